@@ -19,6 +19,59 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.sharding import shard
+
+    dealt = shard(table(spark, sf_dir, "documents"), 8)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.toxicity import score
+
+    scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), epochs=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*|', '')) as symbols,
+         (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':17'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+  from documents),
+keyed as (select *, -ln(u) / (1.0::double / (1.0::double + symbols::double / (size + 1)::double)) as key from sized),
+totals as (
+  select source, sum(size)::bigint as source_size,
+         [1.0::double, 2.0::double, 3.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w
+  from keyed group by source),
+leveled as (
+  select *, 3 * source_size as cap,
+         ((sum(source_size) over ())::bigint - coalesce(sum(3 * source_size) over o, 0)::bigint)::double
+         / ((sum(w) over ()) - coalesce(sum(w) over o, 0.0)) as level
+  from totals
+  window o as (order by (3 * source_size)::double / w, source nulls last rows between unbounded preceding and 1 preceding)),
+free as (select arg_min(level, cap::double / w) as free from leveled where not cap <= w * level),
+targets as (
+  select source, source_size, least(case when cap <= w * level then cap::double else w * free end, cap::double) as target
+  from leveled left join free on true),
+plan as (
+  select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end::bigint as epochs from targets),
+placed as (
+  select k.doc_id, k.source, k.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
+         sum(size) over (partition by k.source order by key, doc_id nulls first range between unbounded preceding and current row) as upto,
+         sum(size) over (partition by k.source, key, doc_id) as own
+  from keyed k join plan p on k.source is not distinct from p.source)
+select doc_id, size, source_size, target,
+       (size * (epochs + case when rest > 0 and 2 * upto - own <= 2 * rest then 1 else 0 end))::bigint as taken
+from placed"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dipfleet.llm.packing import pack
 
@@ -33,8 +86,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_sharding": op3_sharding,
+    "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+}
