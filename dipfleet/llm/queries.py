@@ -19,6 +19,23 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.topk import topk
+
+    return topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+OP1_SQL = """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from usable q join usable c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dipfleet.llm.quality import score
 
@@ -79,6 +96,28 @@ select doc_id, size, source_size, target,
 from placed"""
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.metricjoin import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+OP7_SQL = """
+with recursive usable as (
+  select vec_id, embedding::double[] as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b
+  on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(a, b) as (select vec_id, vec_id from usable union select r.a, l.b from reach r join links l on r.b = l.a),
+classes as (select a as vec_id, min(b) as component_id from reach group by a),
+counts as (select a as vec_id, count(*) as n from links group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, e.vec_id) as component_id,
+       e.vec_id is not distinct from coalesce(component_id, e.vec_id) as kept
+from embeddings e left join classes using (vec_id) left join counts using (vec_id)"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dipfleet.llm.packing import pack
 
@@ -93,14 +132,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_topk": op1_topk,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op7_near_vectors": op7_near_vectors,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_topk": OP1_SQL,
     "op5_mixing": OP5_SQL,
+    "op7_near_vectors": OP7_SQL,
 }
