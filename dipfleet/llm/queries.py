@@ -96,6 +96,12 @@ select doc_id, size, source_size, target,
 from placed"""
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.simhash import near_texts
+
+    return near_texts(table(spark, sf_dir, "documents"), shingle=3, most=2)
+
+
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dipfleet.llm.metricjoin import near_vectors
 
@@ -137,6 +143,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_simhash": op6_simhash,
     "op7_near_vectors": op7_near_vectors,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
