@@ -112,6 +112,11 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _in_order(docs: pa.Table) -> pa.Table:
+    """The rows of a block by id and text: a shuffle may hand them over in another order each time it is read."""
+    return docs.sort_by([("_id", "ascending"), ("_text", "ascending")]) if docs.num_rows else docs
+
+
 def _ids(docs: pa.Table) -> np.ndarray:
     return np.asarray(docs.column("_id").fill_null(_NO_ID))
 
@@ -129,8 +134,18 @@ def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(sorted_keys[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_keys)).tolist(), strict=True)
 
 
+def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of spans as disjoint spans in order."""
+    if not len(starts):
+        return starts.astype(np.int64), ends.astype(np.int64)
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.append(True, starts[1:] > ends[:-1])
+    return starts[new].astype(np.int64), ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)].astype(np.int64)
+
+
 class Exchange:
-    """The four steps of a search. Blocks of documents and buckets of anchors exchange packed arrays; each step is a
+    """The steps of a search. Blocks of documents and buckets of anchors exchange packed arrays; each step is a
     function of one group whose size is set by parameters, not by the size of the corpus."""
 
     def __init__(self, length: int, gram: int, buckets: int, fine: int, hot: int):
@@ -169,8 +184,8 @@ class Exchange:
         return _messages([(bucket, k, 0, keys[a:b].tobytes(), None, None, None) for k, a, b in _cuts(blocks[order])])
 
     def candidates(self, docs: pa.Table, shared: pa.Table) -> tuple[np.ndarray, ...] | None:
-        """Strings of windows under shared anchors: first byte, windows, name of the string, bucket, document id.
-        Windows of an anchor that very many blocks share stand alone, so that they spread over the buckets."""
+        """Strings of windows under shared anchors: first byte, windows, name of the string, anchor, document id, text.
+        Windows of an anchor that very many blocks share stand alone under their own name, and spread over the buckets."""
         buf, offsets = flat(docs.column("_text"))
         keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *_array(shared, "keys", np.uint64)]))
         first, windows, h, text = anchored_runs(buf, offsets, self.length, self.gram)
@@ -188,27 +203,85 @@ class Exchange:
         for i, j in slices(offsets, 1 << 20):  # powers and sums over a slice of whole texts at a time
             of = slice(*np.searchsorted(text, [i, j]))
             name[of] = span_hash(prefix_hash(buf[offsets[i] : offsets[j]]), first[of] - offsets[i], ends[of] - offsets[i], seed=3)
-        bucket = ((np.where(hot, name, h) >> np.uint64(32)) % np.uint64(self.fine)).astype(np.int64)
-        return first, windows, name, bucket, _ids(docs)[text], text
+        return first, windows, name, np.where(hot, name, h), _ids(docs)[text], text
 
-    def strings(self, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """Block to buckets: the different strings of the block, with the smallest id that holds each."""
+    def names(self, docs: pa.Table, shared: pa.Table) -> pa.Table:
+        """Block to buckets: name and anchor of the different strings of the block, with the smallest id that holds each."""
         if not docs.num_rows or not shared.num_rows or (found := self.candidates(docs, shared)) is None:
             return _SCHEMA.empty_table()
-        first, windows, name, bucket, ids, _ = found
-        buf, _ = flat(docs.column("_text"))
-        order = np.lexsort((ids, name, bucket))
-        order = order[np.append(True, (name[order][1:] != name[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))]
-        first, windows, name, bucket, ids = (x[order] for x in (first, windows, name, bucket, ids))
-        block, out = docs.column("_block")[0].as_py(), []
-        for k, a, b in _cuts(bucket):
-            long = windows[a:b] + self.length - 1
-            body = buf[np.repeat(first[a:b] - (np.cumsum(long) - long), long) + np.arange(long.sum())]
-            out.append((k, block, 0, name[a:b].tobytes(), windows[a:b].astype(np.uint16).tobytes(), ids[a:b].tobytes(), body.tobytes()))
+        _, _, name, anchor, ids, _ = found
+        bucket = ((anchor >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
+        order = np.lexsort((ids, name, anchor, bucket))
+        order = order[np.append(True, (name[order][1:] != name[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))]
+        name, anchor, ids, bucket = (x[order] for x in (name, anchor, ids, bucket))
+        block = docs.column("_block")[0].as_py()
+        return _messages([(k, block, 0, name[a:b].tobytes(), anchor[a:b].astype(np.uint32).tobytes(), ids[a:b].tobytes(), None) for k, a, b in _cuts(bucket)])
+
+    def decided(self, messages: pa.Table) -> pa.Table:
+        """Bucket to blocks. Kind 1: strings that stand alone under their anchor, where another block has a smaller id for
+        the same string, and that id. Kind 2: strings under an anchor with several, whose bytes must be compared."""
+        names, anchors, ids = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint32), _array(messages, "ids", np.int64)
+        source = np.repeat(np.arange(len(names)), [len(n) for n in names])
+        name, anchor, own = np.concatenate(names), np.concatenate(anchors), np.concatenate(ids)
+        order = np.lexsort((name, anchor))
+        name, anchor, own, source = name[order], anchor[order], own[order], source[order]
+        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
+        new_name = new_anchor | np.append(True, name[1:] != name[:-1])
+        first, sizes = np.flatnonzero(new_name), np.diff(np.append(np.flatnonzero(new_name), len(name)))
+        least = np.repeat(np.minimum.reduceat(own, first), sizes)
+        under = np.cumsum(new_anchor) - 1
+        several = np.bincount(under, new_name)[under] > 1
+        bucket, blocks, out = messages.column("bucket")[0].as_py(), np.asarray(messages.column("block")), []
+        for kind, told in ((1, ~several & (least < own)), (2, several)):
+            at = np.flatnonzero(told)
+            at = at[np.argsort(source[at], kind="stable")]
+            out += [(bucket, int(blocks[k]), kind, name[at[a:b]].tobytes(), None, least[at[a:b]].tobytes() if kind == 1 else None, None) for k, a, b in _cuts(source[at])]
+        return _messages(out)
+
+    def strings(self, docs: pa.Table, told: pa.Table) -> pa.Table:
+        """Block to buckets: the bytes of the different strings to compare, with the smallest id that holds each. And to
+        itself, under a bucket of its own: the spans to remove that are known by now, and where the strings lie."""
+        docs, kind = _in_order(docs), np.asarray(told.column("kind")) if told.num_rows else np.zeros(0, int)
+        if not docs.num_rows or not told.num_rows or (found := self.candidates(docs, told.filter(pa.array(kind == 0)))) is None:
+            return _SCHEMA.empty_table()
+        first, windows, name, anchor, ids, _ = found
+        ends = first + windows + self.length - 1
+        block = docs.column("_block")[0].as_py()
+        # by name: the smallest id in the block, and a smaller one elsewhere where that is known
+        known, of = np.unique(name, return_inverse=True)
+        least = np.full(len(known), _NO_ID)
+        np.minimum.at(least, of, ids)
+        settled, pending = told.filter(pa.array(kind == 1)), told.filter(pa.array(kind == 2))
+        lower = least.copy()
+        if settled.num_rows:
+            at = np.searchsorted(known, np.concatenate(_array(settled, "keys", np.uint64)))
+            np.minimum.at(lower, at, np.concatenate(_array(settled, "ids", np.int64)))
+        gone = ids > lower[of]
+        starts, stops = _joined(first[gone], ends[gone])
+        wait = np.zeros(len(known), bool)
+        if pending.num_rows:
+            wait[np.searchsorted(known, np.concatenate(_array(pending, "keys", np.uint64)))] = True
+        wait = wait[of]
+        open_ = wait & ~gone
+        out = [(-1 - block, block, 4, starts.tobytes(), stops.tobytes(), None, None), (-1 - block, block, 5, name[open_].tobytes(), first[open_].tobytes(), ids[open_].tobytes(), None)]
+        if wait.any():
+            buf, _ = flat(docs.column("_text"))
+            first, windows, name, anchor, ids = first[wait], windows[wait], name[wait], anchor[wait], ids[wait]
+            bucket = ((anchor >> np.uint64(32)) % np.uint64(self.fine)).astype(np.int64)
+            order = np.lexsort((ids, name, bucket))
+            order = order[np.append(True, (name[order][1:] != name[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))]
+            first, windows, name, bucket, ids = (x[order] for x in (first, windows, name, bucket, ids))
+            for k, a, b in _cuts(bucket):
+                long = windows[a:b] + self.length - 1
+                body = buf[np.repeat(first[a:b] - (np.cumsum(long) - long), long) + np.arange(long.sum())]
+                out.append((k, block, 0, name[a:b].tobytes(), windows[a:b].astype(np.uint16).tobytes(), ids[a:b].tobytes(), body.tobytes()))
         return _messages(out)
 
     def answers(self, messages: pa.Table) -> pa.Table:
-        """Bucket to blocks: the windows of their strings that a document with a smaller id than theirs also holds."""
+        """Bucket to blocks: the windows of their strings that a document with a smaller id than theirs also holds.
+        What a block sent to itself goes on to it."""
+        if messages.column("bucket")[0].as_py() < 0:
+            return messages
         names, counts, ids, bodies = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint16), _array(messages, "ids", np.int64), _array(messages, "body", np.uint8)
         source = np.repeat(np.arange(len(names)), [len(n) for n in names])
         name, windows, own, blob = np.concatenate(names), np.concatenate(counts).astype(np.int64), np.concatenate(ids), np.concatenate(bodies)
@@ -241,36 +314,30 @@ class Exchange:
             out.append((bucket, int(blocks[k]), 1, name[sender[a:b]].tobytes(), np.stack([run_inner[w], run_size[w]]).astype(np.uint16).tobytes(), run_id[w].tobytes(), None))
         return _messages(out)
 
-    def covered(self, docs: pa.Table, told: pa.Table) -> np.ndarray:
-        """Which bytes of the block go."""
-        buf, offsets = flat(docs.column("_text"))
-        cover = np.zeros(len(buf) + 1, np.int32)
+    def covered(self, size: int, told: pa.Table) -> np.ndarray:
+        """Which of the `size` bytes of a block go."""
+        cover = np.zeros(size + 1, np.int32)
         kind = np.asarray(told.column("kind")) if told.num_rows else np.zeros(0, int)
-        found = self.candidates(docs, told.filter(pa.array(kind == 0))) if told.num_rows else None
-        if found is None:
-            return cover[:-1] > 0
-        first, windows, name, _, ids, _ = found
-        _, of = np.unique(name, return_inverse=True)
-        least = np.full(of.max() + 1, _NO_ID)
-        np.minimum.at(least, of, ids)
-        later = ids > least[of]
-        starts, ends = [first[later]], [first[later] + windows[later] + self.length - 1]
-        answers = told.filter(pa.array(kind == 1))
-        if answers.num_rows:
+        mine, places, answers = (told.filter(pa.array(kind == k)) for k in (4, 5, 1)) if told.num_rows else (told,) * 3
+        starts = [np.zeros(0, np.int64), *_array(mine, "keys", np.int64)] if told.num_rows else []
+        ends = [np.zeros(0, np.int64), *_array(mine, "counts", np.int64)] if told.num_rows else []
+        if told.num_rows and answers.num_rows and places.num_rows:
+            name, first, ids = (np.concatenate(_array(places, c, t)) for c, t in (("keys", np.uint64), ("counts", np.int64), ("ids", np.int64)))
             keys = np.concatenate(_array(answers, "keys", np.uint64))
             runs = np.concatenate([np.frombuffer(x.as_py(), np.uint16).reshape(2, -1) for x in answers.column("counts")], axis=1).astype(np.int64)
             below = np.concatenate(_array(answers, "ids", np.int64))
             order = np.argsort(keys, kind="stable")
             keys, runs, below = keys[order], runs[:, order], below[order]
-            a, b = np.searchsorted(keys, name[~later], "left"), np.searchsorted(keys, name[~later], "right")
+            a, b = np.searchsorted(keys, name, "left"), np.searchsorted(keys, name, "right")
             place = np.repeat(np.arange(len(a)), b - a)
             which = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-            hit = below[which] < ids[~later][place]
-            begin = first[~later][place[hit]] + runs[0, which[hit]]
+            hit = below[which] < ids[place]
+            begin = first[place[hit]] + runs[0, which[hit]]
             starts.append(begin)
             ends.append(begin + runs[1, which[hit]] + self.length - 1)
-        np.add.at(cover, np.concatenate(starts), 1)
-        np.add.at(cover, np.concatenate(ends), -1)
+        if starts:
+            np.add.at(cover, np.concatenate(starts), 1)
+            np.add.at(cover, np.concatenate(ends), -1)
         return np.cumsum(cover)[:-1] > 0
 
 
@@ -278,10 +345,10 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     """Remove from every whole text each byte covered by a string of `length` bytes that also starts in a document with a smaller id.
 
     Every window of `length` bytes has an anchor that depends on its bytes alone. Blocks of documents send the hashes
-    of their anchors to buckets and learn which are shared among documents; only strings of windows under shared
-    anchors, each different one once a block, go to buckets where their suffixes are sorted (`sort_windows`) and the
-    smallest id of each window is found; blocks learn the windows to remove. Copies are one string a block, and an
-    anchor shared by more than `hot` blocks is spread over all buckets window by window, so no group grows with the
+    of their anchors to buckets and learn which are shared among documents. Then they send the names (hashes) of the
+    strings of windows under shared anchors, each different one once a block: where an anchor has one string everywhere,
+    the smallest id settles all its windows. Only strings under anchors with several go to buckets with their bytes,
+    where their suffixes are sorted (`sort_windows`) and the smallest id of each window is found. An anchor shared by more than `hot` blocks is spread over all buckets window by window, so no group grows with the
     number of copies. All windows of whole texts are judged on the input.
 
     A null text counts as empty. A null id counts as larger than every id. Documents with the same id never remove
@@ -301,8 +368,9 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
         return rows.toDF(*names)
 
     def finish(docs_: pa.Table, told: pa.Table) -> pa.Table:
-        gone = steps.covered(docs_, told) if docs_.num_rows else np.zeros(0, bool)
+        docs_ = _in_order(docs_)
         buf, offsets = flat(docs_.column("_text")) if docs_.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        gone = steps.covered(len(buf), told) if docs_.num_rows else np.zeros(0, bool)
         n = len(offsets) - 1
         removed = np.append(0, np.cumsum(gone))
         begins = gone.copy()
@@ -318,9 +386,11 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     hashes = side().groupBy("_block").applyInArrow(lambda t: steps.anchors(t), MESSAGE)
     shared = hashes.groupBy("bucket").applyInArrow(lambda t: steps.shared(t), MESSAGE)
     as_side = lambda df: df.toDF(*_SCHEMA.names)
-    strings = side().groupBy("_block").cogroup(as_side(shared).groupBy("block")).applyInArrow(lambda a, b: steps.strings(a, b), MESSAGE)
-    answers = strings.groupBy("bucket").applyInArrow(lambda t: steps.answers(t), MESSAGE)
-    told = as_side(as_side(shared).unionByName(as_side(answers)))
+    names_ = side().groupBy("_block").cogroup(as_side(shared).groupBy("block")).applyInArrow(lambda a, b: steps.names(a, b), MESSAGE)
+    decided = names_.groupBy("bucket").applyInArrow(lambda t: steps.decided(t), MESSAGE)
+    told = as_side(as_side(shared).unionByName(as_side(decided)))
+    strings = side().groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: steps.strings(a, b), MESSAGE)
+    answers = as_side(strings.groupBy("bucket").applyInArrow(lambda t: steps.answers(t), MESSAGE))
     schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType()), StructField("_row", kept_type)])
-    out = side().groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(finish, schema)
+    out = side().groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"_row.{c}").alias(c) for c in keep])
