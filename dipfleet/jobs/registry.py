@@ -2,5 +2,404 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from dipfleet.functions.params import FEATURES, CompactParams, DipParams, EventParams, LiveParams, TrackParams
+from dipfleet.functions.series import so_far
+from dipfleet.jobs import oracles
+from dipfleet.jobs.adaptors import FPS, RETENTION, detections, frames, sensor
+from dipfleet.operators import detections as det
+from dipfleet.operators import features as feat
+from dipfleet.operators import models, segment, sync
+from dipfleet.operators.tracking import track_objects as track
+from dipfleet.streaming import live
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES = oracles.ORACLES
+
+DIPS, EVENTS = DipParams(), EventParams()
+LIVE, COMPACT = LiveParams(calibration_ms=3_000), CompactParams(calibration_samples=10)
+TRACKS = TrackParams(fps=FPS, retention_frames=RETENTION)
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Sums of doubles differ in their last bits with the order of their rows; the nudge keeps those bits from deciding ties."""
+    return df.withColumns({c: F.round(F.col(c) + 3e-8, 6) for c in names})
+
+
+# --- timelines -------------------------------------------------------------------------------------------------------
+
+
+@query
+def filter_start_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.filter_start_time(sensor(spark, sf_dir), 5_000).select("sensor_id", "seq", "time_ms", "distance", F.col("i").cast("long").alias("i"))
+
+
+def _starts(samples: DataFrame) -> DataFrame:
+    """The time of each sensor's sixth sample, as the time that an operator looked up."""
+    return samples.where("seq = 5").select("sensor_id", F.col("time_ms").alias("start_ms"))
+
+
+@query
+def start_at_exact_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = sensor(spark, sf_dir)
+    return sync.start_at_exact_time(samples, _starts(samples))
+
+
+@query
+def rebase_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = sensor(spark, sf_dir)
+    return sync.rebase_timeline(samples, sync.start_at_exact_time(samples, _starts(samples))).select("sensor_id", "seq", "time_seconds", "distance")
+
+
+@query
+def vehicle_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.vehicle_times(frames(spark, sf_dir))
+
+
+@query
+def nearest_depth_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.nearest_depth_join(frames(spark, sf_dir), sensor(spark, sf_dir), 0.1)
+
+
+def _with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.interpolate_counts_join(sensor(spark, sf_dir), frames(spark, sf_dir), 0.1)
+
+
+@query
+def interpolate_counts_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_with_counts(spark, sf_dir), *sync.COUNTS)
+
+
+def _lasts(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("sensor_id").agg((F.max("time_ms") / 1000.0).cast("double").alias("last_seconds"))
+
+
+@query
+def clip_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.clip_markers(sync.vehicle_times(frames(spark, sf_dir)), _lasts(sensor(spark, sf_dir)), -2.5)
+
+
+@query
+def offset_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers shown over all sensors for each offset from -30 to 30 s in steps of 0.5."""
+    runs = sync.offset_sweep(sync.vehicle_times(frames(spark, sf_dir)), _lasts(sensor(spark, sf_dir)), -30.0, 30.0, 0.5)
+    steps = runs.select(F.explode(F.sequence(F.col("first_step"), F.col("first_step") + F.col("offsets") - 1)).alias("step"), "shown")
+    return steps.groupBy("step").agg(F.sum("shown").alias("shown"), F.count("*").alias("sensors"))
+
+
+# --- segmentation ----------------------------------------------------------------------------------------------------
+
+
+@query
+def raw_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.raw_dips(sensor(spark, sf_dir), DIPS.baseline)
+
+
+@query
+def merged_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.merge_dips(segment.raw_dips(sensor(spark, sf_dir), DIPS.baseline), DIPS.merge_gap_ms)
+
+
+@query
+def filtered_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.filter_short_dips(segment.merge_dips(segment.raw_dips(sensor(spark, sf_dir), DIPS.baseline), DIPS.merge_gap_ms), DIPS.min_duration_ms)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.event_stats(segment.segment_events(sensor(spark, sf_dir), EVENTS))
+
+
+@query
+def segment_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_events(spark, sf_dir), "variance", "avg_gradient")
+
+
+@query
+def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segment.gate_events(_events(spark, sf_dir), EVENTS), "variance", "avg_gradient")
+
+
+@query
+def classify_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.classify_events(segment.gate_events(_events(spark, sf_dir), EVENTS), EVENTS).select("sensor_id", "event_id", "time_ms", "duration", "min_depth", "type")
+
+
+@query
+def event_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.event_report(segment.classify_events(segment.gate_events(_events(spark, sf_dir), EVENTS), EVENTS))
+
+
+@query
+def segment_events_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segment.event_stats(segment.segment_events_live(sensor(spark, sf_dir), LIVE)), "variance", "avg_gradient")
+
+
+@query
+def segment_events_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A buffer of five samples, so that overflows happen on this data."""
+    return rounded(segment.segment_events_compact(sensor(spark, sf_dir), CompactParams(capacity=5), line=215.0), "variance")
+
+
+@query
+def longest_stretch_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.longest_stretch_start(sensor(spark, sf_dir))
+
+
+@query
+def calibrate_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.calibrate_mode(sensor(spark, sf_dir), LIVE)
+
+
+@query
+def calibrate_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(segment.calibrate_mean(sensor(spark, sf_dir), COMPACT), "baseline")
+
+
+@query
+def live_events_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `live_detector` gives live, by windows."""
+    events = segment.live_events(sensor(spark, sf_dir), LIVE)
+    return rounded(events, "variance", "avg_gradient").select("sensor_id", "time_ms", "samples", "duration", "min_depth", "variance", "avg_gradient", "baseline", "type")
+
+
+# --- features --------------------------------------------------------------------------------------------------------
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.dip_slices(_with_counts(spark, sf_dir), DIPS)
+
+
+def _dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feat.dip_features(_slices(spark, sf_dir), DIPS, counts=True)
+
+
+@query
+def dip_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.dip_slices(sensor(spark, sf_dir), DIPS).select("sensor_id", "dip_id", "i", "time_ms", "distance")
+
+
+@query
+def dip_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["frame_count", "start_frame_idx", "end_frame_idx", "time_of_dip_seconds", "dip_duration_seconds", "max_depth", "min_depth"]
+    sums = ["avg_depth", "depth_variance", "avg_depth_gradient", "max_depth_gradient", "line_integral"]
+    plain = feat.dip_features(segment.dip_slices(sensor(spark, sf_dir), DIPS), DIPS)
+    return rounded(plain, *sums).select("sensor_id", "dip_id", *columns, *sums, F.round(F.col("depth_fourth_moment") + 3e-4, 2).alias("depth_fourth_moment"))
+
+
+@query
+def dip_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = feat.dip_features(segment.dip_slices(sensor(spark, sf_dir), DIPS), DIPS)
+    return rounded(plain, "dip_height", "fill_factor", "plateau_variance").select("sensor_id", "dip_id", "dip_height", "fill_factor", "plateau_variance", "shape_category")
+
+
+@query
+def dip_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_dips(spark, sf_dir), "avg_vehicles", "avg_bicycles", "avg_people").select("sensor_id", "dip_id", "object", "avg_vehicles", "avg_bicycles", "avg_people")
+
+
+@query
+def dip_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths in whole hundredths, as text."""
+    arrays = feat.dip_arrays(segment.dip_slices(sensor(spark, sf_dir), DIPS))
+    return arrays.select("sensor_id", "dip_id", F.array_join(F.transform("dip_array", lambda d: F.round(d * 100).cast("long").cast("string")), ",").alias("depths"))
+
+
+@query
+def array_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features again, from the arrays alone."""
+    columns = ["avg_depth", "depth_variance", "avg_depth_gradient", "line_integral", "plateau_variance"]
+    arrays = feat.features_of_arrays(feat.dip_arrays(segment.dip_slices(sensor(spark, sf_dir), DIPS)))
+    return rounded(arrays, *columns).select("sensor_id", "dip_id", "frame_count", *columns, "shape_category")
+
+
+@query
+def dip_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = feat.dip_features(segment.dip_slices(sensor(spark, sf_dir), DIPS), DIPS)
+    return rounded(feat.dip_summary(plain), "mean_duration", "mean_max_depth", "mean_variance", "mean_depth")
+
+
+@query
+def object_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(feat.object_distribution(_dips(spark, sf_dir)), "percent")
+
+
+# --- detections ------------------------------------------------------------------------------------------------------
+
+
+@query
+def filter_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = det.truncated_boxes(det.filter_detections(detections(spark, sf_dir))).withColumn("class", det.class_name())
+    return rounded(named, "confidence").select("video_id", "frame_number", "det_idx", "class", "confidence", "x1", "y1", "x2", "y2")
+
+
+@query
+def roi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second video has a region."""
+    boxes = det.filter_detections(detections(spark, sf_dir))
+    rois = boxes.where("video_id % 2 = 0").select("video_id").distinct().selectExpr("video_id", "150 as x", "0 as y", "400 as w", "400 as h")
+    return det.roi_filter(boxes, rois).select("video_id", "frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2")
+
+
+@query
+def box_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(det.consecutive_frame_similarity(det.filter_detections(detections(spark, sf_dir))), "similarity")
+
+
+@query
+def frame_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det.frame_class_counts(det.filter_detections(detections(spark, sf_dir)))
+
+
+@query
+def frame_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det.frame_timeline(det.frame_class_counts(det.filter_detections(detections(spark, sf_dir))), FPS)
+
+
+def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections tracked by their lane; new where a lane is first seen."""
+    boxes = det.filter_detections(detections(spark, sf_dir))
+    first = F.row_number().over(Window.partitionBy("video_id", "lane").orderBy("frame_number", "det_idx")) == 1
+    return boxes.withColumn("is_new", first)
+
+
+@query
+def cumulative_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return det.cumulative_counts(_lanes(spark, sf_dir))
+
+
+@query
+def visibility_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lanes = _lanes(spark, sf_dir)
+    timeline = det.frame_timeline(det.frame_class_counts(lanes), FPS).join(det.cumulative_counts(lanes), ["video_id", "frame_number"], "left")
+    run = so_far(Window.partitionBy("video_id").orderBy("frame_number"))
+    totals = [f"total_{c}_counted" for c in ("people", "bicycles", "vehicles", "objects")]
+    full = timeline.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(run), F.lit(0)) for c in totals})
+    return rounded(det.visibility_stats(full), *[f"{c}_{x}" for c in ("people", "bicycles", "vehicles", "total") for x in ("percent", "mean")])
+
+
+@query
+def track_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metrics = det.track_metrics(det.filter_detections(detections(spark, sf_dir)), TRACKS, track="lane")
+    return rounded(metrics, "mean_aspect", "area_cv")
+
+
+@query
+def valid_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track_metrics(spark, sf_dir).where("valid_vehicle").select("video_id", "lane", "boxes", "duration_seconds")
+
+
+@query
+def valid_person(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track_metrics(spark, sf_dir).where("valid_person").select("video_id", "lane", "boxes", "duration_seconds")
+
+
+@query
+def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track(det.filter_detections(detections(spark, sf_dir)), TRACKS)
+
+
+# --- models ----------------------------------------------------------------------------------------------------------
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.fill_missing_features(models.label_is_vehicle(_dips(spark, sf_dir)))
+
+
+@query
+def label_fill_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_labelled(spark, sf_dir), *FEATURES).select("sensor_id", "dip_id", "is_vehicle", *FEATURES)
+
+
+@query
+def rule_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.rule_score(_labelled(spark, sf_dir)).select("sensor_id", "dip_id", "rule_variance", "rule_gradient")
+
+
+@query
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.stratified_split(_labelled(spark, sf_dir), ["sensor_id", "dip_id"]).select("sensor_id", "dip_id", "is_vehicle", "in_train", "in_test")
+
+
+@query
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = models.rule_score(_labelled(spark, sf_dir))
+    return rounded(models.classification_report(scored, prediction="rule_variance"), "precision", "recall", "f1", "support")
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.assemble_features(_labelled(spark, sf_dir))
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.stratified_split(_assembled(spark, sf_dir), [models.hashed("sensor_id", "dip_id"), "sensor_id", "dip_id"])
+
+
+@query
+def score_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest, trained on 70 %, on all dips."""
+    split = _split(spark, sf_dir).cache()
+    scored = models.score_dips(models.train_random_forest(split.where("in_train")), split)
+    return scored.select("sensor_id", "dip_id", "is_vehicle", "in_test", "ml_vehicle_prob", "ml_prediction", "ml_prediction_label")
+
+
+@query
+def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.cross_validate(_assembled(spark, sf_dir), [models.hashed("sensor_id", "dip_id"), "sensor_id", "dip_id"])
+
+
+@query
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.feature_importance(models.train_random_forest(_split(spark, sf_dir).where("in_train")), spark)
+
+
+@query
+def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.tree_rules(models.train_decision_tree(_split(spark, sf_dir).where("in_train")), spark)
+
+
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _feed(spark: SparkSession, sf_dir: str, folder: str, batches: int = 4) -> DataFrame:
+    """The sensor table as files that arrive one after the other, each a stretch of time, after a trigger per sensor."""
+    samples = sensor(spark, sf_dir)
+    triggers = samples.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms"))
+    feed = live.with_triggers(samples, triggers)
+    width = 31_000 // batches
+    for k in range(batches):
+        part = F.least(F.floor(F.col("time_ms") / width), F.lit(batches - 1)) == k
+        feed.where(part).write.mode("append").parquet(f"{folder}/in/part={k}")
+    return live.sample_feed(spark, f"{folder}/in/*", files_per_batch=1_000)
+
+
+@query
+def live_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live.use_rocksdb(spark)
+    folder = _folder(spark)
+    events = live.run_to_end(live.live_detector(_feed(spark, sf_dir, folder), LIVE), folder)
+    return rounded(events, "variance", "avg_gradient").drop("close_ms")
+
+
+@query
+def compact_live_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live.use_rocksdb(spark)
+    folder = _folder(spark)
+    return rounded(live.run_to_end(live.compact_live_detector(_feed(spark, sf_dir, folder), COMPACT), folder), "variance")
