@@ -131,7 +131,8 @@ def _array(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
 
 def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-    yield from zip(sorted_keys[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_keys)).tolist(), strict=True)
+    if len(first):
+        yield from zip(sorted_keys[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_keys)).tolist(), strict=True)
 
 
 def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
