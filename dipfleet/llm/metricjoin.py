@@ -24,7 +24,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "vec_id", vector: str = "embedding", cell_rows: int = 1024, most_pivots: int = 1024, tile: int = 2048) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "vec_id", vector: str = "embedding", cell_rows: int = 4096, most_pivots: int = 8192, tile: int = 4096) -> DataFrame:
     """Link all pairs of vectors with cosine >= threshold, in double precision, and join links to classes.
 
     Equal vectors are one row with a multiplicity. At most `most_pivots` of the different vectors, by the order of a
@@ -72,46 +72,67 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "
         radius[r.cell] = r.radius
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs of vectors for each cell: those that live there (home) and all that it has to see."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 _, d = split(part)
-                home, own = d.argmin(1), d.min(1)
-                row, cell = np.nonzero(d <= np.minimum(own[:, None] + 2 * reach, radius[None, :] + reach) + 1e-9)
-                at_home = cell == home[row]
-                lost = np.setdiff1d(np.arange(part.num_rows), row[at_home])  # rounding only: home is always kept
-                row, cell, at_home = np.append(row, lost), np.append(cell, home[lost]), np.append(at_home, np.ones(len(lost), bool))
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(at_home), *taken.columns], ["cell", "home", "id", "copies", "v"])
-
-    placed = checkpointed(doubles.mapInArrow(dealt, "cell int, home boolean, id long, copies long, v array<double>"))
-    sizes = placed.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("own"), F.count("*").alias("held")).collect()  # a row for each pivot
+                x, home, own = matrix(part.column(2)), d.argmin(1), d.min(1)
+                ids, copies, sizes = np.asarray(part.column(0)), np.asarray(part.column(1)), np.diff(np.asarray(part.column(2).offsets)).astype(np.int32)
+                single = x.astype(np.float32)
+                x = single if (single == x).all() else x  # half the bytes where nothing is lost
+                seen = d <= np.minimum(own[:, None] + 2 * reach, radius[None, :] + reach) + 1e-9
+                seen[np.arange(len(home)), home] = True
+                rows = []
+                for cell in np.flatnonzero(seen.any(0)):
+                    for is_home, at_ in ((True, np.flatnonzero(home == cell)), (False, np.flatnonzero(seen[:, cell]))):
+                        if len(at_):
+                            rows.append((int(cell), is_home, len(at_), x.shape[1], ids[at_].tobytes(), copies[at_].tobytes(), sizes[at_].tobytes(), x[at_].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), pack, strict=True)], schema=pack)
+
+    pack = pa.schema([("cell", pa.int32()), ("home", pa.bool_()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("sizes", pa.binary()), ("v", pa.binary())])
+    placed = checkpointed(doubles.mapInArrow(dealt, "cell int, home boolean, n long, width int, ids binary, copies binary, sizes binary, v binary"))
+    sizes = placed.groupBy("cell").agg(F.sum(F.when(F.col("home"), F.col("n")).otherwise(0)).alias("own"), F.sum(F.when(F.col("home"), 0).otherwise(F.col("n"))).alias("held")).collect()  # a row for each pivot
     tiles = spark.createDataFrame([(r.cell, -(-r.own // tile), -(-r.held // tile)) for r in sizes if r.own] or [(0, 1, 1)], "cell int, left int, right int")
     placed = placed.join(F.broadcast(tiles), "cell")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    salt = F.xxhash64("id", "v")
-    lefts = placed.where("home").select("cell", F.pmod(salt, F.col("left")).cast("int").alias("i"), F.explode(upto("right")).alias("j"), "id", "copies", "v")
-    rights = placed.select("cell", F.explode(upto("left")).alias("i"), F.pmod(salt, F.col("right")).cast("int").alias("j"), "id", "copies", "v")
-    names = ["cell", "i", "j", "id", "copies", "v"]
+    salt = F.xxhash64("ids")
+    columns = ["width", "ids", "copies", "sizes", "v"]
+    lefts = placed.where("home").select("cell", F.pmod(salt, F.col("left")).cast("int").alias("i"), F.explode(upto("right")).alias("j"), *columns)
+    rights = placed.where("not home").select("cell", F.explode(upto("left")).alias("i"), F.pmod(salt, F.col("right")).cast("int").alias("j"), *columns)
+    names = ["cell", "i", "j", *columns]
     lefts, rights = lefts.toDF(*names), rights.toDF(*names)  # two sides of one table need columns of their own
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
+    def unpacked(packs: pa.Table) -> tuple[np.ndarray, ...]:
+        ids, copies, sizes = (np.concatenate([np.frombuffer(b.as_py(), t) for b in packs.column(c)]) for c, t in (("ids", np.int64), ("copies", np.int64), ("sizes", np.int32)))
+        x, at, width = np.zeros((len(ids), max(packs.column("width").to_pylist()))), 0, packs.column("width").to_pylist()
+        for b, i, w in zip(packs.column("v"), packs.column("ids"), width, strict=True):
+            b, n = b.as_py(), len(i.as_py()) // 8
+            x[at : at + n, :w] = np.frombuffer(b, np.float32 if len(b) == 4 * n * w else np.float64).reshape(n, w)
+            at += n
+        return ids, copies, sizes, _unit(x)
+
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        a, b = matrix(left.column("v")), matrix(right.column("v"))
-        size_a, size_b = np.array([len(x) for x in left.column("v")]), np.array([len(x) for x in right.column("v")])
-        w = max(a.shape[1], b.shape[1])
-        a, b = _unit(np.pad(a, ((0, 0), (0, w - a.shape[1])))), _unit(np.pad(b, ((0, 0), (0, w - b.shape[1]))))
-        ids_a, ids_b, copies = np.asarray(left.column("id")), np.asarray(right.column("id")), np.asarray(right.column("copies"))
-        links = np.zeros(len(ids_a), np.int64)
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        (ids_a, _, size_a, a), (ids_b, copies, size_b, b) = unpacked(left), unpacked(right)
+        w = min(a.shape[1], b.shape[1])
+        fits_a, fits_b = size_a <= w, size_b <= w
+        a, b = a[:, :w], b[:, :w]
+        # products in single precision leave out what is surely below; what is near or above is decided in double
+        fast_a, fast_b, margin = a.astype(np.float32), b.astype(np.float32).T.copy(), 1e-6 * (w + 16)
+        links, pairs = np.zeros(len(ids_a), np.int64), []
         for at in range(0, len(ids_a), 256):
-            near = (a[at : at + 256] @ b.T >= threshold) & (size_a[at : at + 256, None] == size_b[None, :])
-            links[at : at + 256] = near @ copies
-            pairs.append(tuple(np.nonzero(near)))
-            pairs[-1] = (pairs[-1][0] + at, pairs[-1][1])
-        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            i, j = np.nonzero(fast_a[at : at + 256] @ fast_b >= threshold - margin)
+            i += at
+            for some in range(0, len(i), 1 << 18):
+                p, q = i[some : some + (1 << 18)], j[some : some + (1 << 18)]
+                near = (np.einsum("ij,ij->i", a[p], b[q]) >= threshold) & (size_a[p] == size_b[q]) & fits_a[p] & fits_b[q]
+                p, q = p[near], q[near]
+                links += np.bincount(p, copies[q], len(links)).astype(np.int64)
+                pairs.append((p, q))
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
         nodes, at = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
         label = local_components(len(nodes), at[: len(ids_a)][i], at[len(ids_a) :][j])
         met = np.unique(at[len(ids_a) :][j])
