@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +130,40 @@ def _array(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
 
 
+_SIX = np.uint64((1 << 48) - 1)
+
+
+def _six(keys: np.ndarray) -> bytes:
+    """The low six bytes of each hash: enough to tell the anchors of a bucket apart, and a confusion only costs work."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(table: pa.Table) -> list[np.ndarray]:
+    out = []
+    for raw in _array(table, "keys", np.uint8):
+        wide = np.zeros((len(raw) // 6, 8), np.uint8)
+        wide[:, :6] = raw.reshape(-1, 6)
+        out.append(wide.view("<u8").ravel().astype(np.uint64))
+    return out
+
+
+def _narrow(ids: np.ndarray) -> bytes:
+    """Ids in as few bytes as their range needs: a base, a width and the differences."""
+    base, top = (int(ids.min()), int(ids.max())) if len(ids) else (0, 0)
+    width = next((w for w in (2, 4) if top - base < 1 << 8 * w), 8)
+    base = base if width < 8 else 0
+    return struct.pack("<qB", base, width) + (ids - base).astype(f"<{'u' if width < 8 else 'i'}{width}").tobytes()
+
+
+def _ids_of(table: pa.Table, column: str = "ids") -> list[np.ndarray]:
+    out = []
+    for cell in table.column(column):
+        raw = cell.as_py()
+        base, width = struct.unpack_from("<qB", raw)
+        out.append(np.frombuffer(raw, f"<{'u' if width < 8 else 'i'}{width}", offset=9).astype(np.int64) + base)
+    return out
+
+
 def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     first = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
     if len(first):
@@ -167,11 +202,11 @@ class Exchange:
         bucket = ((keys >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         keys, block = keys[order], docs.column("_block")[0].as_py()
-        return _messages([(k, block, 0, keys[a:b].tobytes(), None, None, None) for k, a, b in _cuts(bucket[order])])
+        return _messages([(k, block, 0, _six(keys[a:b]), None, None, None) for k, a, b in _cuts(bucket[order])])
 
     def shared(self, messages: pa.Table) -> pa.Table:
         """Bucket to blocks: those of their anchors that documents with different ids share; the lowest bit says that very many blocks do."""
-        arrays = _array(messages, "keys", np.uint64)
+        arrays = _from_six(messages)
         keys, blocks = np.concatenate(arrays), np.repeat(np.asarray(messages.column("block")), [len(a) for a in arrays])
         order = np.argsort(keys | _ONE, kind="stable")
         keys, blocks = keys[order], blocks[order]
@@ -182,18 +217,18 @@ class Exchange:
         keys, blocks = keys[keep], blocks[keep]
         order = np.argsort(blocks, kind="stable")
         keys, bucket = keys[order], messages.column("bucket")[0].as_py()
-        return _messages([(bucket, k, 0, keys[a:b].tobytes(), None, None, None) for k, a, b in _cuts(blocks[order])])
+        return _messages([(bucket, k, 0, _six(keys[a:b]), None, None, None) for k, a, b in _cuts(blocks[order])])
 
     def candidates(self, docs: pa.Table, shared: pa.Table) -> tuple[np.ndarray, ...] | None:
         """Strings of windows under shared anchors: first byte, windows, name of the string, anchor, document id, text.
         Windows of an anchor that very many blocks share stand alone under their own name, and spread over the buckets."""
         buf, offsets = flat(docs.column("_text"))
-        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *_array(shared, "keys", np.uint64)]))
+        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *_from_six(shared)]))
         first, windows, h, text = anchored_runs(buf, offsets, self.length, self.gram)
         if not len(keys) or not len(h):
             return None
-        at = np.minimum(np.searchsorted(keys | _ONE, h | _ONE), len(keys) - 1)
-        hit = (keys[at] | _ONE) == (h | _ONE)
+        at = np.minimum(np.searchsorted(keys | _ONE, (h & _SIX) | _ONE), len(keys) - 1)
+        hit = (keys[at] | _ONE) == ((h & _SIX) | _ONE)
         first, windows, h, text, hot = first[hit], windows[hit], h[hit], text[hit], (keys[at[hit]] & _ONE) > 0
         spread = np.where(hot, windows, 1)
         inner = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
@@ -216,12 +251,12 @@ class Exchange:
         order = order[np.append(True, (name[order][1:] != name[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))]
         name, anchor, ids, bucket = (x[order] for x in (name, anchor, ids, bucket))
         block = docs.column("_block")[0].as_py()
-        return _messages([(k, block, 0, name[a:b].tobytes(), anchor[a:b].astype(np.uint32).tobytes(), ids[a:b].tobytes(), None) for k, a, b in _cuts(bucket)])
+        return _messages([(k, block, 0, name[a:b].tobytes(), anchor[a:b].astype(np.uint32).tobytes(), _narrow(ids[a:b]), None) for k, a, b in _cuts(bucket)])
 
     def decided(self, messages: pa.Table) -> pa.Table:
         """Bucket to blocks. Kind 1: strings that stand alone under their anchor, where another block has a smaller id for
         the same string, and that id. Kind 2: strings under an anchor with several, whose bytes must be compared."""
-        names, anchors, ids = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint32), _array(messages, "ids", np.int64)
+        names, anchors, ids = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint32), _ids_of(messages)
         source = np.repeat(np.arange(len(names)), [len(n) for n in names])
         name, anchor, own = np.concatenate(names), np.concatenate(anchors), np.concatenate(ids)
         order = np.lexsort((name, anchor))
@@ -236,7 +271,7 @@ class Exchange:
         for kind, told in ((1, ~several & (least < own)), (2, several)):
             at = np.flatnonzero(told)
             at = at[np.argsort(source[at], kind="stable")]
-            out += [(bucket, int(blocks[k]), kind, name[at[a:b]].tobytes(), None, least[at[a:b]].tobytes() if kind == 1 else None, None) for k, a, b in _cuts(source[at])]
+            out += [(bucket, int(blocks[k]), kind, name[at[a:b]].tobytes(), None, _narrow(least[at[a:b]]) if kind == 1 else None, None) for k, a, b in _cuts(source[at])]
         return _messages(out)
 
     def strings(self, docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -256,7 +291,7 @@ class Exchange:
         lower = least.copy()
         if settled.num_rows:
             at = np.searchsorted(known, np.concatenate(_array(settled, "keys", np.uint64)))
-            np.minimum.at(lower, at, np.concatenate(_array(settled, "ids", np.int64)))
+            np.minimum.at(lower, at, np.concatenate(_ids_of(settled)))
         gone = ids > lower[of]
         starts, stops = _joined(first[gone], ends[gone])
         wait = np.zeros(len(known), bool)
@@ -264,7 +299,7 @@ class Exchange:
             wait[np.searchsorted(known, np.concatenate(_array(pending, "keys", np.uint64)))] = True
         wait = wait[of]
         open_ = wait & ~gone
-        out = [(-1 - block, block, 4, starts.tobytes(), stops.tobytes(), None, None), (-1 - block, block, 5, name[open_].tobytes(), first[open_].tobytes(), ids[open_].tobytes(), None)]
+        out = [(-1 - block, block, 4, starts.tobytes(), stops.tobytes(), None, None), (-1 - block, block, 5, name[open_].tobytes(), _narrow(first[open_]), _narrow(ids[open_]), None)]
         if wait.any():
             buf, _ = flat(docs.column("_text"))
             first, windows, name, anchor, ids = first[wait], windows[wait], name[wait], anchor[wait], ids[wait]
@@ -275,7 +310,7 @@ class Exchange:
             for k, a, b in _cuts(bucket):
                 long = windows[a:b] + self.length - 1
                 body = buf[np.repeat(first[a:b] - (np.cumsum(long) - long), long) + np.arange(long.sum())]
-                out.append((k, block, 0, name[a:b].tobytes(), windows[a:b].astype(np.uint16).tobytes(), ids[a:b].tobytes(), body.tobytes()))
+                out.append((k, block, 0, name[a:b].tobytes(), windows[a:b].astype(np.uint16).tobytes(), _narrow(ids[a:b]), body.tobytes()))
         return _messages(out)
 
     def answers(self, messages: pa.Table) -> pa.Table:
@@ -283,7 +318,7 @@ class Exchange:
         What a block sent to itself goes on to it."""
         if messages.column("bucket")[0].as_py() < 0:
             return messages
-        names, counts, ids, bodies = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint16), _array(messages, "ids", np.int64), _array(messages, "body", np.uint8)
+        names, counts, ids, bodies = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint16), _ids_of(messages), _array(messages, "body", np.uint8)
         source = np.repeat(np.arange(len(names)), [len(n) for n in names])
         name, windows, own, blob = np.concatenate(names), np.concatenate(counts).astype(np.int64), np.concatenate(ids), np.concatenate(bodies)
         long = windows + self.length - 1
@@ -312,7 +347,7 @@ class Exchange:
         bucket, blocks, out = messages.column("bucket")[0].as_py(), np.asarray(messages.column("block")), []
         for k, a, b in _cuts(source[sender]):
             w = which[a:b]
-            out.append((bucket, int(blocks[k]), 1, name[sender[a:b]].tobytes(), np.stack([run_inner[w], run_size[w]]).astype(np.uint16).tobytes(), run_id[w].tobytes(), None))
+            out.append((bucket, int(blocks[k]), 1, name[sender[a:b]].tobytes(), np.stack([run_inner[w], run_size[w]]).astype(np.uint16).tobytes(), _narrow(run_id[w]), None))
         return _messages(out)
 
     def covered(self, size: int, told: pa.Table) -> np.ndarray:
@@ -323,10 +358,10 @@ class Exchange:
         starts = [np.zeros(0, np.int64), *_array(mine, "keys", np.int64)] if told.num_rows else []
         ends = [np.zeros(0, np.int64), *_array(mine, "counts", np.int64)] if told.num_rows else []
         if told.num_rows and answers.num_rows and places.num_rows:
-            name, first, ids = (np.concatenate(_array(places, c, t)) for c, t in (("keys", np.uint64), ("counts", np.int64), ("ids", np.int64)))
+            name, first, ids = (np.concatenate(x) for x in (_array(places, "keys", np.uint64), _ids_of(places, "counts"), _ids_of(places)))
             keys = np.concatenate(_array(answers, "keys", np.uint64))
             runs = np.concatenate([np.frombuffer(x.as_py(), np.uint16).reshape(2, -1) for x in answers.column("counts")], axis=1).astype(np.int64)
-            below = np.concatenate(_array(answers, "ids", np.int64))
+            below = np.concatenate(_ids_of(answers))
             order = np.argsort(keys, kind="stable")
             keys, runs, below = keys[order], runs[:, order], below[order]
             a, b = np.searchsorted(keys, name, "left"), np.searchsorted(keys, name, "right")
