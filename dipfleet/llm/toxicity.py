@@ -24,7 +24,7 @@ class Settings:
     """Bounds and constants of the model; none depends on the size of the input.
 
     `buckets`: tokens are hashed into so many counters. `stem`: a word also counts as its first so many bytes. `labelled`: at most so many labelled documents are fitted on,
-    taken by the order of a hash of their ids. `prior`: words of prior belief, spread like the corpus. `least_z`: a token
+    taken by the order of a hash of their ids. `prior`: prior belief, spread like the corpus, as a share of all labelled tokens. `least_z`: a token
     counts as toxic beyond so many standard errors. `drift`: score of every other token. `least`: a passage is reported
     from this score on.
     """
@@ -32,7 +32,7 @@ class Settings:
     buckets: int = 1 << 18
     stem: int = 6
     labelled: int = 20_000
-    prior: float = 1_000.0
+    prior: float = 0.1
     least_z: float = 3.0
     drift: float = -0.05
     least: float = 3.0
@@ -88,9 +88,10 @@ def log_odds(counts: pd.DataFrame, settings: Settings) -> np.ndarray:
     """Score of each bucket: log-odds ratio under a Dirichlet prior shaped like the corpus, where it is beyond doubt."""
     total = counts.attrs["total"]
     scores = np.full(settings.buckets, settings.drift, np.float32)
-    prior = settings.prior * counts["n"].to_numpy() / max(total["n"], 1)
+    mass = settings.prior * (total["toxic"] + total["clean"])
+    prior = mass * counts["n"].to_numpy() / max(total["n"], 1)
     y, x = counts["toxic"].to_numpy() + prior, counts["clean"].to_numpy() + prior
-    n_y, n_x = total["toxic"] + settings.prior, total["clean"] + settings.prior
+    n_y, n_x = total["toxic"] + mass, total["clean"] + mass
     delta = np.log(y / (n_y - y)) - np.log(x / (n_x - x))
     sure = delta / np.sqrt(1 / y + 1 / x) >= settings.least_z
     scores[counts["bucket"].to_numpy()[sure]] = np.minimum(delta[sure], 8.0)
