@@ -85,15 +85,15 @@ def features_of_arrays(dips: DataFrame, array: str = "dip_array", params: DipPar
     dips = dips.withColumn("_steps", F.when(n >= 2, steps).otherwise(F.array().cast("array<double>")))
     low, high = F.floor(n * 0.25).cast("int"), F.floor(n * 0.75).cast("int")
     dips = dips.withColumn("_mid", F.when(high > low, F.slice(a, low + 1, high - low)).otherwise(F.array().cast("array<double>")))
-    mid_mean = total(F.col("_mid")) / F.size("_mid")
+    some, mid_mean = F.nullif(n.cast("double"), F.lit(0.0)), total(F.col("_mid")) / F.nullif(F.size("_mid").cast("double"), F.lit(0.0))
     dips = dips.withColumns({
         "max_depth": F.array_max(a), "min_depth": F.array_min(a),
-        "depth_variance": F.coalesce(total(F.transform(a, lambda v: (v - m) * (v - m))) / n, F.lit(0.0)),
-        "depth_fourth_moment": F.coalesce(total(F.transform(a, lambda v: F.pow(v - m, 4))) / n, F.lit(0.0)),
+        "depth_variance": F.coalesce(total(F.transform(a, lambda v: (v - m) * (v - m))) / some, F.lit(0.0)),
+        "depth_fourth_moment": F.coalesce(total(F.transform(a, lambda v: F.pow(v - m, 4))) / some, F.lit(0.0)),
         "avg_depth_gradient": F.when(n >= 2, total(F.col("_steps")) / (n - 1)).otherwise(0.0),
         "max_depth_gradient": F.coalesce(F.array_max("_steps"), F.lit(0.0)),
         "line_integral": F.when(n >= 2, (total(a) - (F.get(a, F.lit(0)) + F.get(a, n.cast("int") - 1)) / 2.0) / (n - 1)).otherwise(0.0),
-        "_midmean": F.when(F.size("_mid") > 0, mid_mean),
+        "_midmean": mid_mean,
     })
     dips = dips.withColumn("_plateau", total(F.transform("_mid", lambda v: (v - F.col("_midmean")) * (v - F.col("_midmean")))) / F.nullif(F.size("_mid").cast("double"), F.lit(0.0)))
     return _shaped(dips, params).drop("_a", "_steps", "_mid", "_midmean")

@@ -1,0 +1,72 @@
+"""Time joins against plain searches, markers and tracks."""
+
+import random
+
+from dipfleet.functions.params import TrackParams
+from dipfleet.operators import detections, sync
+from dipfleet.operators.tracking import track_objects
+from tests.sensor import machines
+
+
+def series(rnd, spark):
+    frames, samples = [], []
+    for k in range(8):
+        times = sorted({rnd.randint(0, 80) / 4 for _ in range(rnd.randint(1, 30))})
+        frames += [(k, int(t * 4), t, rnd.randint(0, 3), rnd.randint(0, 2), rnd.randint(0, 2)) for t in times]
+        samples += [(k, i, t, float(rnd.randint(50, 230))) for i, t in enumerate(sorted(rnd.choice(range(0, 20_000, 125)) for _ in range(rnd.randint(1, 60))))]
+    return (
+        frames, samples,
+        spark.createDataFrame(frames, "sensor_id long, frame_number long, time_seconds double, vehicles_in_frame long, people_in_frame long, bicycles_in_frame long"),
+        spark.createDataFrame(samples, "sensor_id long, seq long, time_ms long, distance double"),
+    )
+
+
+def test_joins(spark):
+    frames, samples, f, s = series(random.Random(13), spark)
+    for offset in (0.0, 0.125, -1.0):
+        got = {(r.sensor_id, r.frame_number): r.ultrawide_depth_m for r in sync.nearest_depth_join(f, s, offset).collect()}
+        for k, n, t, *_ in frames:
+            own = [(abs(m / 1000 - (t + offset)), m, q, d) for kk, q, m, d in samples if kk == k]
+            last = max(m for _, m, _, _ in own) / 1000
+            assert got[k, n] == (min(own)[3] if 0 <= t + offset <= last else None)
+        got = {(r.sensor_id, r.seq): r.vehicles_in_frame for r in sync.interpolate_counts_join(s, f, offset).collect()}
+        for k, q, m, _ in samples:
+            v, known = m / 1000 - offset, [(t, n) for kk, _, t, n, *_ in frames if kk == k]
+            a, b = max((x for x in known if x[0] <= v), default=None), min((x for x in known if x[0] >= v), default=None)
+            want = 0.0 if a is None or b is None else a[1] if a[0] == v else (b[1] - a[1]) / (b[0] - a[0]) * (v - a[0]) + a[1]
+            assert abs(got[k, q] - want) < 1e-9
+
+
+def test_sweep_counts_what_clipping_shows(spark):
+    _, _, f, s = series(random.Random(14), spark)
+    times, lasts = sync.vehicle_times(f), s.groupBy("sensor_id").agg({"time_ms": "max"}).selectExpr("sensor_id", "cast(`max(time_ms)` / 1000.0 as double) as last_seconds")
+    runs = sync.offset_sweep(times, lasts, -30.0, 30.0, 0.5).collect()
+    for offset in (-30.0, -7.5, 0.0, 3.0, 30.0):
+        want = {r.sensor_id: r["count"] for r in sync.clip_markers(times, lasts, offset).groupBy("sensor_id").count().collect()}
+        step = round((offset + 30) * 2)
+        assert {r.sensor_id: r.shown for r in runs if r.first_step <= step < r.first_step + r.offsets} == want
+
+
+def test_track_objects(spark):
+    rnd, params, rows, want = random.Random(15), TrackParams(fps=4.0, retention_frames=3), [], {}
+    for video in range(12):
+        own, frame = [], 0
+        for _ in range(60):
+            frame += rnd.choice([1, 1, 1, 2, 3, 4, 5, 9])
+            for i in range(rnd.randint(0, 3)):
+                x, y = rnd.choice([0, 100, 200]) + rnd.randint(0, 12), rnd.randint(0, 12)
+                own.append((frame, i, rnd.randint(0, 2), x, y, x + rnd.choice([40, 41, 60]), y + rnd.choice([0, 40, 41])))
+        rows += [(video, *r) for r in own]
+        want.update({(video, r[0], r[1]): o for r, o in zip(own, machines.track(own, params))})
+    df = spark.createDataFrame(rows, "video_id long, frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long")
+    got = {(r.video_id, r.frame_number, r.det_idx): (r.object_id, r.is_new) for r in track_objects(df.repartition(4), params).collect()}
+    assert got == want
+
+
+def test_frames(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)], "frame_number long")
+    assert [r.frame_number for r in detections.frame_time(df, 4.0, 1.3).orderBy("frame_number").collect()] == [5, 6, 7, 8, 9]
+    assert detections.frame_time(df, 4.0, 2.5, total_frames=10).count() == 0
+    boxes = spark.createDataFrame([(1, 0, 0, 10, 10), (1, 4, 4, 10, 10), (2, 0, 0, 2, 2)], "video_id long, x1 int, y1 int, x2 int, y2 int")
+    roi = spark.createDataFrame([(1, 5, 5, 2, 2)], "video_id long, x int, y int, w int, h int")
+    assert detections.roi_filter(boxes, roi).count() == 3 and detections.roi_filter(boxes).count() == 3
