@@ -170,7 +170,7 @@ def near_texts(docs: DataFrame, *, shingle: int = 3, most: int = 2, doc_id: str
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay: of each class the one of smallest id, once; all columns kept."""
-    classes = near_texts(docs, doc_id=doc_id, **options).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(classes, docs[doc_id].cast("long").eqNullSafe(classes["_stays"]), "left_semi")
-    return kept.dropDuplicates([doc_id])
+    """The documents that stay: of each class the one of smallest id, once, and every row without an id; all columns kept."""
+    classes = near_texts(docs, doc_id=doc_id, **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
+    kept = docs.where(F.col(doc_id).isNotNull()).join(classes, docs[doc_id] == classes["_stays"], "left_semi")
+    return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))  # one shuffle serves join and duplicates
