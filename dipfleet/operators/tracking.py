@@ -18,70 +18,73 @@ COLUMNS = "frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 l
 class Tracker:
     """The active tracks of one video. Only running sums of a track's history are kept, so a long track costs no more."""
 
-    FIELDS = ("id", "first", "last", "n", "x1", "y1", "x2", "y2", "ratios", "ratio_sum", "area_sum", "area_m2", "counted")
+    FIELDS = ("id", "first", "last", "n", "x1", "y1", "x2", "y2", "area", "ratios", "ratio_sum", "area_sum", "area_m2", "counted")
 
     def __init__(self, params: TrackParams, state: np.ndarray | None = None, next_id: int = 1):
         self.params, self.next_id = params, next_id
         self.tracks = np.zeros((0, len(self.FIELDS))) if state is None else state
 
-    def similarities(self, box: np.ndarray) -> np.ndarray:
-        boxes = self.tracks[:, 4:8]
-        area, areas = (box[2] - box[0]) * (box[3] - box[1]), (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-        most = np.maximum(area, areas)
+    def similarities(self, box: Sequence[float], area: float) -> np.ndarray:
+        t = self.tracks
+        areas = t[:, 8]
+        gap = np.hypot(t[:, 4] + t[:, 6] - (box[0] + box[2]), t[:, 5] + t[:, 7] - (box[1] + box[3])) / 2
+        if area > 0 and areas.min() > 0:
+            return np.minimum(areas, area) / np.maximum(areas, area) * 0.4 + np.maximum(0.0, 1 - gap / np.sqrt((areas + area) / 2) / 2) * 0.6
+        most, size = np.maximum(area, areas), np.sqrt(np.maximum((area + areas) / 2, 0))
         ratio = np.where(most > 0, np.minimum(area, areas) / np.where(most > 0, most, 1), 0.0)
-        gap = np.hypot((box[0] + box[2] - boxes[:, 0] - boxes[:, 2]) / 2, (box[1] + box[3] - boxes[:, 1] - boxes[:, 3]) / 2)
-        size = np.sqrt(np.maximum((area + areas) / 2, 0))
-        close = np.where(size > 0, np.maximum(0.0, 1 - gap / np.where(size > 0, size, 1) / 2), 0.0)
-        return ratio * 0.4 + close * 0.6
+        return ratio * 0.4 + np.where(size > 0, np.maximum(0.0, 1 - gap / np.where(size > 0, size, 1) / 2), 0.0) * 0.6
 
     def expire(self, frame: int) -> None:
-        self.tracks = self.tracks[frame - self.tracks[:, 2] <= self.params.retention_frames]
+        if len(self.tracks) and frame - self.tracks[:, 2].min() > self.params.retention_frames:
+            self.tracks = self.tracks[frame - self.tracks[:, 2] <= self.params.retention_frames]
 
-    def observe(self, frame: int, box: np.ndarray, class_id: int) -> tuple[int, bool]:
+    def observe(self, frame: int, box: Sequence[float], class_id: int) -> tuple[int, bool]:
         """The track of a detection, and whether it is counted here for the first time."""
-        at = -1
+        w, h = box[2] - box[0], box[3] - box[1]
+        area, at = w * h, -1
         if len(self.tracks):
-            like = self.similarities(box)
+            like = self.similarities(box, area)
             best = int(like.argmax())  # tracks are in the order of their ids: the first created wins ties
             at = best if like[best] > self.params.similarity else -1
         if at < 0:
-            self.tracks = np.vstack([self.tracks, [self.next_id, frame, frame, 0, *box, 0, 0, 0, 0, 0]])
+            self.tracks = np.vstack([self.tracks, [self.next_id, frame, frame, 0, *box, area, 0, 0, 0, 0, 0]])
             self.next_id += 1
             at = len(self.tracks) - 1
-        t = self.tracks[at]
-        t[2], t[4:8] = frame, box
-        w, h = box[2] - box[0], box[3] - box[1]
+        t = self.tracks[at].tolist()
+        t[2], t[4:8], t[8] = frame, box, area
         if h > 0:
-            t[8], t[9] = t[8] + 1, t[9] + w / h
+            t[9], t[10] = t[9] + 1, t[10] + w / h
         t[3] += 1
-        before = t[10] / (t[3] - 1) if t[3] > 1 else 0.0
-        t[10] += w * h
-        t[11] += (w * h - before) * (w * h - t[10] / t[3])
-        new = not t[12] and self.counts(t, frame, class_id)
-        t[12] = t[12] or new
-        return int(t[0]), bool(new)
-
-    def counts(self, t: np.ndarray, frame: int, class_id: int) -> bool:
+        before = t[11] / (t[3] - 1) if t[3] > 1 else 0.0
+        t[11] += area
+        t[12] += (area - before) * (area - t[11] / t[3])
+        new = not t[13] and self.counts(t, frame, class_id)
+        t[13] = float(bool(t[13]) or new)
+        self.tracks[at] = t
+        return int(t[0]), new
+
+    def counts(self, t: Sequence[float], frame: int, class_id: int) -> bool:
         p, seconds = self.params, (frame - t[1]) / self.params.fps
         kind = CLASS_NAMES.get(class_id)
         if kind == "person":
-            return bool(seconds >= p.person_seconds)
+            return seconds >= p.person_seconds
         if kind != "car":
-            return bool(seconds > p.other_seconds)
-        if seconds < p.vehicle_seconds or not t[8] or not p.min_aspect <= t[9] / t[8] <= p.max_aspect:
+            return seconds > p.other_seconds
+        if seconds < p.vehicle_seconds or not t[9] or not p.min_aspect <= t[10] / t[9] <= p.max_aspect:
             return False
-        mean = t[10] / t[3]
-        return not (t[3] > 2 and mean > 0 and np.sqrt(max(t[11], 0) / t[3]) / mean > p.max_area_cv)
+        mean = t[11] / t[3]
+        return not (t[3] > 2 and mean > 0 and (max(t[12], 0.0) / t[3]) ** 0.5 / mean > p.max_area_cv)
 
 
 def track_rows(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
     """Step through detections in order; adds `object_id` and `is_new`."""
     ids, news, last = [], [], None
-    for frame, class_id, *box in rows[["frame_number", "class_id", "x1", "y1", "x2", "y2"]].itertuples(index=False):
+    frames, classes, boxes = rows["frame_number"].tolist(), rows["class_id"].tolist(), rows[["x1", "y1", "x2", "y2"]].to_numpy(float).tolist()
+    for frame, class_id, box in zip(frames, classes, boxes, strict=True):
         if frame != last:
             tracker.expire(frame)
             last = frame
-        i, new = tracker.observe(frame, np.array(box, float), int(class_id))
+        i, new = tracker.observe(frame, box, class_id)
         ids.append(i)
         news.append(new)
     return rows.assign(object_id=np.array(ids, "int64"), is_new=np.array(news, bool))
