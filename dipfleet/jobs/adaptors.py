@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# the key has its final name before the numbering, so that one shuffle by it serves what follows
 _SENSOR = """
-select user_id as sensor_id,
-       cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as seq,
+select sensor_id,
+       cast(row_number() over (partition by sensor_id order by ts, event_id) - 1 as bigint) as seq,
        ({US}(ts) - 1704067200000000) {DIV} 86400000 as time_ms,
        greatest(cast(250.0 as double) - value, cast(1.0 as double)) as distance
-from {EVENTS}"""
+from (select user_id as sensor_id, ts, event_id, value from {EVENTS}) e"""
 
 _FRAMES = """
 select user_id as sensor_id,
