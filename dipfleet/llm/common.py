@@ -66,7 +66,7 @@ def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def parts(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def parts(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each batch cut into runs of whole texts: the rows, their bytes and their offsets."""
     for batch in batches:
         buf, offsets = flat(batch.column(batch.schema.get_field_index(text)))
@@ -91,7 +91,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def _up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) <= n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(max(n + 1, 1 << 21), base, np.uint64)
+            p = np.full(max(n + 1, 1 << 20), base, np.uint64)
             p[0] = 1
             _powers[k] = np.cumprod(p)
     return _powers[0][: n + 1], _powers[1][: n + 1]

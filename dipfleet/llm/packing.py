@@ -28,7 +28,7 @@ class Ids(dict):
     merges are in the order of their ids (then lowest id and lowest rank agree), and else to the tokenizer itself.
     """
 
-    REMEMBERED = 200_000
+    REMEMBERED = 120_000
 
     def __init__(self, path: str):
         import regex

@@ -85,14 +85,14 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int, gram: int)
     alone, so equal windows anywhere have equal anchors. Windows never cross texts.
     """
     found = []
-    for i, j in slices(offsets, 1 << 20):
+    for i, j in slices(offsets, 1 << 19):
         base = offsets[i]
         part, ends = buf[base : offsets[j]], offsets[i : j + 1] - base
         if len(part) < length:
             continue
         places = np.arange(len(part) - gram + 1)
         h = span_hash(prefix_hash(part), places, places + gram)
-        bits = np.uint64(int(len(h)).bit_length())
+        bits = np.uint64(32)  # for places; the same in every slice, so that equal windows break ties alike
         best = ((h >> bits) << bits) | places.astype(np.uint64)
         span, have = length - gram + 1, 1
         while 2 * have <= span:
@@ -236,7 +236,7 @@ class Exchange:
         first, windows = first + np.where(hot, inner, 0), np.where(hot, 1, windows)
         ends = first + windows + self.length - 1
         name = np.zeros(len(first), np.uint64)
-        for i, j in slices(offsets, 1 << 20):  # powers and sums over a slice of whole texts at a time
+        for i, j in slices(offsets, 1 << 19):  # powers and sums over a slice of whole texts at a time
             of = slice(*np.searchsorted(text, [i, j]))
             name[of] = span_hash(prefix_hash(buf[offsets[i] : offsets[j]]), first[of] - offsets[i], ends[of] - offsets[i], seed=3)
         return first, windows, name, np.where(hot, name, h), _ids(docs)[text], text

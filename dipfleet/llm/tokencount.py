@@ -18,7 +18,7 @@ class Pieces:
     """The merges of a byte-fallback piece model as arrays: a pair of symbols that joins to a piece, and its rank."""
 
     #: Pre-tokens remembered in each of two generations; the memory of a worker stays bounded.
-    REMEMBERED = 250_000
+    REMEMBERED = 150_000
 
     def __init__(self, path: str):
         import sentencepiece
