@@ -46,30 +46,53 @@ def difference(partials: Sequence[Sequence[int]]) -> tuple[list[int], list[list[
     return sums, place
 
 
-def _local(shards: int):
-    """Give each group of a task a part of that task: each batch is differenced, then laid against the sums so far."""
+#: Items that a task differences at a time, and the bundles that they leave.
+BATCH, BUNDLES = 256, 64
+#: The driver differences so many items at most; while there are more, tasks bundle them.
+ITEMS = 20_000
+
+
+def bundled(sums: Sequence[int], bundles: int) -> list[int]:
+    """A bundle for each item, of `bundles` near equal ones. An item above an even share of those not yet set apart is
+    a bundle of its own, so no bundle of several items is larger than about a share."""
+    order = sorted(range(len(sums)), key=lambda i: (-sums[i], i))
+    rest, alone = sum(sums), 0
+    while alone < min(len(order), bundles - 1) and sums[order[alone]] * (bundles - alone) >= rest:
+        rest -= sums[order[alone]]
+        alone += 1
+    out = [0] * len(sums)
+    for n, i in enumerate(order[:alone]):
+        out[i] = n
+    if small := order[alone:]:
+        k = bundles - alone
+        _, place = difference([[sums[i]] + [0] * (k - 1) for i in small])
+        for i, at in zip(small, place, strict=True):
+            out[i] = alone + at[0]
+    return out
+
+
+def _local(batch_rows: int, bundles: int):
+    """Name the bundle of each item of a task, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, so_far = TaskContext.get().partitionId(), [0] * shards
+        task, fresh = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                part = batch.slice(at, 5_000)
-                sums, place = difference([[s] + [0] * (shards - 1) for s in part.column(1).to_pylist()])
-                rising = sorted(range(shards), key=lambda p: (so_far[p], p))
-                for falling, p in enumerate(rising):
-                    so_far[p] += sums[falling]
-                mine = pa.array([rising[p[0]] for p in place], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([task] * part.num_rows, pa.int32()), mine], ["gkey", "bytes", "task", "part"])
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                mine = pa.array([(task << 32) + fresh + n for n in bundled(part.column(1).to_pylist(), bundles)], pa.int64())
+                fresh += bundles
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), mine], ["item", "bytes", "bundle"])
 
     return run
 
 
-def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", text: str = "text", batch_rows: int = BATCH, bundles: int = BUNDLES, items: int = ITEMS) -> DataFrame:
     """Deal documents into shards of near equal bytes; documents with equal texts stay together.
 
     Groups are summed by a digest of their text before they are shuffled, so a text with any number of copies is one
-    row. Each task differences its own groups in batches; the driver differences the tasks' sums alone (`shards`
-    numbers for each task). A group larger than an equal share fills a shard by itself: the balance is then as near as
+    row. While there are more than `items`, tasks difference them in batches into a quarter as many bundles, a large
+    group being a bundle of its own; the driver differences what is left, each a single item, so that a large group is
+    offset by all others. A group larger than an equal share fills a shard by itself: the balance is then as near as
     whole groups allow. Slots count from 0 in each shard and are numbered bucket by bucket, not in one task.
 
     A null text counts as the empty text (size 1, checksum 0); null ids are kept; repeated rows are documents of their
@@ -83,13 +106,17 @@ def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", text: str
     )
     keyed = checkpointed(keyed)
     groups = keyed.groupBy("gkey").agg(F.sum("size").alias("bytes"))
-    local = checkpointed(groups.mapInArrow(_local(shards), "gkey binary, bytes long, task int, part int"))
-    sums: dict[int, list[int]] = {}
-    for r in local.groupBy("task", "part").agg(F.sum("bytes").alias("bytes")).collect():  # `shards` rows for each task
-        sums.setdefault(r.task, [0] * shards)[r.part] = r.bytes
-    tasks = sorted(sums)
-    _, place = difference([sums[t] for t in tasks]) if tasks else ([], [])
-    where = spark.createDataFrame([(t, p, place[i][p]) for i, t in enumerate(tasks) for p in range(shards)] or [(0, 0, 0)], "task int, part int, shard int")
-    dealt = keyed.join(local.join(F.broadcast(where), ["task", "part"]).select("gkey", "shard"), "gkey")
+    levels, left = [], checkpointed(groups.select(F.col("gkey").alias("item"), "bytes"))
+    n, before = left.count(), None
+    while n > items and n != before:
+        levels.append(checkpointed(left.mapInArrow(_local(batch_rows, bundles), f"item {left.dtypes[0][1]}, bytes long, bundle long")))
+        left = checkpointed(levels[-1].groupBy("bundle").agg(F.sum("bytes").alias("bytes")).select(F.col("bundle").alias("item"), "bytes"))
+        n, before = left.count(), n
+    last = left.orderBy("item").collect()  # at most `items`
+    _, place = difference([[r.bytes] + [0] * (shards - 1) for r in last]) if last else ([], [])
+    where = spark.createDataFrame([(r[0], p[0]) for r, p in zip(last, place, strict=True)], f"item {left.dtypes[0][1]}, shard int")
+    for up in reversed(levels):
+        where = up.join(where.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard")
+    dealt = keyed.join(where.withColumnRenamed("item", "gkey"), "gkey")
     dealt = checkpointed(dealt.select("doc_id", "size", "text_crc32", "gkey", "shard"))
     return numbered(dealt, ["shard"], ["doc_id", "gkey"], "slot", dealt.count()).select("doc_id", "size", "text_crc32", "gkey", "shard", F.col("slot").cast("long").alias("slot"))
