@@ -385,7 +385,7 @@ def _feed(spark: SparkSession, sf_dir: str, folder: str, batches: int = 4) -> Da
     feed = live.with_triggers(samples, triggers)
     width = 31_000 // batches
     for k in range(batches):
-        part = F.least(F.floor(F.col("time_ms") / width), F.lit(batches - 1)) == k
+        part = F.greatest(F.least(F.floor(F.col("time_ms") / width), F.lit(batches - 1)), F.lit(0)) == k
         feed.where(part).write.mode("append").parquet(f"{folder}/in/part={k}")
     return live.sample_feed(spark, f"{folder}/in/*", files_per_batch=1_000)
 

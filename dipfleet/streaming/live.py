@@ -1,4 +1,5 @@
-"""Live detectors as keyed state machines; their output equals the batch operators on the same rows.
+"""Live detectors as keyed state machines; their output equals the batch operators on the same rows, except for events of
+more samples than the live buffer holds (5,000): the batch operators keep all of them.
 
 State lives in the RocksDB state store, a few values and the open event per sensor. Within a micro-batch rows are
 stepped in order of (time, seq); rows at or before the last step of their sensor are late: dropped, and counted in the
