@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from dipfleet.llm.common import flat, prefix_hash, slices, span_hash
+from dipfleet.llm.common import flat, mix, prefix_hash, slices, span_hash
 
 _NO_ID = np.iinfo(np.int64).max  # of a document without id: larger than every id
 _ONE = np.uint64(1)
@@ -130,21 +130,8 @@ def _array(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype) for x in table.column(name)]
 
 
-_SIX = np.uint64((1 << 48) - 1)
-
-
-def _six(keys: np.ndarray) -> bytes:
-    """The low six bytes of each hash: enough to tell the anchors of a bucket apart, and a confusion only costs work."""
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _from_six(table: pa.Table) -> list[np.ndarray]:
-    out = []
-    for raw in _array(table, "keys", np.uint8):
-        wide = np.zeros((len(raw) // 6, 8), np.uint8)
-        wide[:, :6] = raw.reshape(-1, 6)
-        out.append(wide.view("<u8").ravel().astype(np.uint64))
-    return out
+def _of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.array(np.asarray(table.column("kind")) == kind)) if table.num_rows else table
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -170,222 +157,260 @@ def _cuts(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(sorted_keys[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_keys)).tolist(), strict=True)
 
 
-def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The union of spans as disjoint spans in order."""
-    if not len(starts):
-        return starts.astype(np.int64), ends.astype(np.int64)
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], np.maximum.accumulate(ends[order])
-    new = np.append(True, starts[1:] > ends[:-1])
-    return starts[new].astype(np.int64), ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)].astype(np.int64)
+def _gathered(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of many spans, one after the other."""
+    return buf[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+
+
+def _runs(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + counts[0] - 1, then the same of the next, and so on."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+
+
+def named_strings(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, name: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order strings by (group, name) and mark where a string differs from the one before, in groups of their own.
+
+    Names are hashes and only bring equal strings together: every string is held against the bytes of the first of its
+    name, and what differs from it is named anew until each name has one string.
+    """
+    name = name.copy()
+    while True:
+        order = np.lexsort((name, group))
+        new = np.append(True, (name[order][1:] != name[order][:-1]) | (group[order][1:] != group[order][:-1]))[: len(order)]
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        at = np.flatnonzero(~new)
+        differs = np.zeros(len(order), bool)
+        for i in range(0, len(at), 1 << 16):
+            some = at[i : i + (1 << 16)]
+            a, b = order[some], lead[some]
+            same = lengths[a] == lengths[b]
+            size = np.where(same, lengths[a], 0)
+            unlike = _gathered(buf, starts[a], size) != _gathered(buf, starts[b], size)
+            of = np.repeat(np.arange(len(some)), size)
+            differs[some] = ~same | (np.bincount(of[unlike], minlength=len(some)) > 0)
+        if not differs.any():
+            return order, new
+        name[order[differs]] = mix(name[order[differs]], 7)
+
+
+def names_of(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """A hash of each span; spans come in the order of the texts that they lie in."""
+    name = np.zeros(len(starts), np.uint64)
+    for i, j in slices(offsets, 1 << 19):  # powers and sums over a slice of whole texts at a time
+        of = slice(*np.searchsorted(text, [i, j]))
+        name[of] = span_hash(prefix_hash(buf[offsets[i] : offsets[j]]), starts[of] - offsets[i], ends[of] - offsets[i], seed=3)
+    return name
 
 
 class Exchange:
     """The steps of a search. Blocks of documents and buckets of anchors exchange packed arrays; each step is a
-    function of one group whose size is set by parameters, not by the size of the corpus."""
+    function of one group whose size is set by parameters, not by the size of the corpus.
+
+    Kinds of messages. 0 to a bucket: strings; 0 to a block: anchors that it shares. 1 to a block: windows of its strings
+    that a smaller id holds. A bucket number of `first` or more is a first level for windows that very many blocks hold:
+    it combines `fan` blocks and stands for them at the bucket proper.
+    """
 
-    def __init__(self, length: int, gram: int, buckets: int, fine: int, hot: int):
+    def __init__(self, length: int, gram: int, blocks: int, buckets: int, fine: int, hot: int, fan: int = 64):
         self.length, self.gram, self.buckets, self.fine, self.hot = length, gram, buckets, fine, hot
+        self.groups, self.first = -(-blocks // fan), max(blocks, fine)
+
+    # --- which anchors are shared
 
     def anchors(self, docs: pa.Table) -> pa.Table:
-        """Block to buckets: the different anchors of the block; the lowest bit says that two ids of the block share one."""
+        """Block to buckets: the different anchors of the block; the lowest bit says that two ids of the block share one.
+        Four bytes tell the anchors of a bucket apart: a confusion only costs work."""
         buf, offsets = flat(docs.column("_text"))
         _, _, h, text = anchored_runs(buf, offsets, self.length, self.gram)
         if not len(h):
             return _SCHEMA.empty_table()
-        ids = _ids(docs)[text]
-        order = np.lexsort((ids, h | _ONE))
-        h, ids = h[order] | _ONE, ids[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        last = np.append(first[1:], len(h)) - 1
-        keys = (h[first] ^ _ONE) | (ids[first] != ids[last]).astype(np.uint64)
-        bucket = ((keys >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        keys, block = keys[order], docs.column("_block")[0].as_py()
-        return _messages([(k, block, 0, _six(keys[a:b]), None, None, None) for k, a, b in _cuts(bucket[order])])
+        ids, bucket, key = _ids(docs)[text], self._bucket(h, self.buckets), h.astype(np.uint32) | np.uint32(1)
+        order = np.lexsort((ids, key, bucket))
+        key, bucket, ids = key[order], bucket[order], ids[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
+        last = np.append(first[1:], len(key)) - 1
+        key = key[first] ^ (ids[first] == ids[last]).astype(np.uint32)
+        block = docs.column("_block")[0].as_py()
+        return _messages([(k, block, 0, key[a:b].tobytes(), None, None, None) for k, a, b in _cuts(bucket[first])])
 
     def shared(self, messages: pa.Table) -> pa.Table:
         """Bucket to blocks: those of their anchors that documents with different ids share; the lowest bit says that very many blocks do."""
-        arrays = _from_six(messages)
+        arrays = _array(messages, "keys", np.uint32)
         keys, blocks = np.concatenate(arrays), np.repeat(np.asarray(messages.column("block")), [len(a) for a in arrays])
-        order = np.argsort(keys | _ONE, kind="stable")
+        one = np.uint32(1)
+        order = np.argsort(keys | one, kind="stable")
         keys, blocks = keys[order], blocks[order]
-        first = np.flatnonzero(np.append(True, (keys[1:] | _ONE) != (keys[:-1] | _ONE)))
+        first = np.flatnonzero(np.append(True, (keys[1:] | one) != (keys[:-1] | one)))
         sizes = np.diff(np.append(first, len(keys)))
-        keep = np.repeat((sizes > 1) | (np.bitwise_or.reduceat(keys & _ONE, first) > 0), sizes)
-        keys = (keys | _ONE) ^ np.repeat((sizes <= self.hot).astype(np.uint64), sizes)
+        keep = np.repeat((sizes > 1) | (np.bitwise_or.reduceat(keys & one, first) > 0), sizes)
+        keys = (keys | one) ^ np.repeat((sizes <= self.hot).astype(np.uint32), sizes)
         keys, blocks = keys[keep], blocks[keep]
         order = np.argsort(blocks, kind="stable")
         keys, bucket = keys[order], messages.column("bucket")[0].as_py()
-        return _messages([(bucket, k, 0, _six(keys[a:b]), None, None, None) for k, a, b in _cuts(blocks[order])])
+        return _messages([(bucket, k, 0, keys[a:b].tobytes(), None, None, None) for k, a, b in _cuts(blocks[order])])
 
-    def candidates(self, docs: pa.Table, shared: pa.Table) -> tuple[np.ndarray, ...] | None:
-        """Strings of windows under shared anchors: first byte, windows, name of the string, anchor, document id, text.
-        Windows of an anchor that very many blocks share stand alone under their own name, and spread over the buckets."""
-        buf, offsets = flat(docs.column("_text"))
-        keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *_from_six(shared)]))
+    @staticmethod
+    def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+        return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+    # --- strings of windows under shared anchors
+
+    def candidates(self, docs: pa.Table, told: pa.Table, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        """Strings of windows under shared anchors, in the order of their messages: first byte, windows, id, bucket, and where
+        a string differs from the one before. Windows of an anchor that very many blocks share stand alone and go where
+        their own bytes send them, to the first level of those of this block's group."""
+        shared = _of_kind(told, 0)
+        if not docs.num_rows or not shared.num_rows:
+            return None
+        arrays = _array(shared, "keys", np.uint32)
+        keys = np.sort(np.concatenate(arrays).astype(np.uint64) | np.repeat(np.asarray(shared.column("bucket")).astype(np.uint64) << np.uint64(32), [len(a) for a in arrays]))
         first, windows, h, text = anchored_runs(buf, offsets, self.length, self.gram)
-        if not len(keys) or not len(h):
+        if not len(h):
             return None
-        at = np.minimum(np.searchsorted(keys | _ONE, (h & _SIX) | _ONE), len(keys) - 1)
-        hit = (keys[at] | _ONE) == ((h & _SIX) | _ONE)
+        own = (self._bucket(h, self.buckets).astype(np.uint64) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF)) | _ONE
+        at = np.minimum(np.searchsorted(keys | _ONE, own), len(keys) - 1)
+        hit = (keys[at] | _ONE) == own
         first, windows, h, text, hot = first[hit], windows[hit], h[hit], text[hit], (keys[at[hit]] & _ONE) > 0
         spread = np.where(hot, windows, 1)
-        inner = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
+        inner = _runs(spread, np.zeros(len(spread), np.int64))
         first, windows, h, text, hot = (np.repeat(x, spread) for x in (first, windows, h, text, hot))
         first, windows = first + np.where(hot, inner, 0), np.where(hot, 1, windows)
-        ends = first + windows + self.length - 1
-        name = np.zeros(len(first), np.uint64)
-        for i, j in slices(offsets, 1 << 19):  # powers and sums over a slice of whole texts at a time
-            of = slice(*np.searchsorted(text, [i, j]))
-            name[of] = span_hash(prefix_hash(buf[offsets[i] : offsets[j]]), first[of] - offsets[i], ends[of] - offsets[i], seed=3)
-        return first, windows, name, np.where(hot, name, h), _ids(docs)[text], text
-
-    def names(self, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        """Block to buckets: name and anchor of the different strings of the block, with the smallest id that holds each."""
-        if not docs.num_rows or not shared.num_rows or (found := self.candidates(docs, shared)) is None:
-            return _SCHEMA.empty_table()
-        _, _, name, anchor, ids, _ = found
-        bucket = ((anchor >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
-        order = np.lexsort((ids, name, anchor, bucket))
-        order = order[np.append(True, (name[order][1:] != name[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))]
-        name, anchor, ids, bucket = (x[order] for x in (name, anchor, ids, bucket))
-        block = docs.column("_block")[0].as_py()
-        return _messages([(k, block, 0, name[a:b].tobytes(), anchor[a:b].astype(np.uint32).tobytes(), _narrow(ids[a:b]), None) for k, a, b in _cuts(bucket)])
-
-    def decided(self, messages: pa.Table) -> pa.Table:
-        """Bucket to blocks. Kind 1: strings that stand alone under their anchor, where another block has a smaller id for
-        the same string, and that id. Kind 2: strings under an anchor with several, whose bytes must be compared."""
-        names, anchors, ids = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint32), _ids_of(messages)
-        source = np.repeat(np.arange(len(names)), [len(n) for n in names])
-        name, anchor, own = np.concatenate(names), np.concatenate(anchors), np.concatenate(ids)
-        order = np.lexsort((name, anchor))
-        name, anchor, own, source = name[order], anchor[order], own[order], source[order]
-        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
-        new_name = new_anchor | np.append(True, name[1:] != name[:-1])
-        first, sizes = np.flatnonzero(new_name), np.diff(np.append(np.flatnonzero(new_name), len(name)))
-        least = np.repeat(np.minimum.reduceat(own, first), sizes)
-        under = np.cumsum(new_anchor) - 1
-        several = np.bincount(under, new_name)[under] > 1
-        bucket, blocks, out = messages.column("bucket")[0].as_py(), np.asarray(messages.column("block")), []
-        for kind, told in ((1, ~several & (least < own)), (2, several)):
-            at = np.flatnonzero(told)
-            at = at[np.argsort(source[at], kind="stable")]
-            out += [(bucket, int(blocks[k]), kind, name[at[a:b]].tobytes(), None, _narrow(least[at[a:b]]) if kind == 1 else None, None) for k, a, b in _cuts(source[at])]
-        return _messages(out)
+        name = names_of(buf, offsets, first, first + windows + self.length - 1, text)
+        group = docs.column("_block")[0].as_py() % self.groups
+        bucket = np.where(hot, self.first + self._bucket(name, self.fine) * self.groups + group, self._bucket(h, self.fine))
+        order, new = named_strings(buf, first, windows + self.length - 1, name, bucket)
+        return first[order], windows[order], _ids(docs)[text][order], bucket[order], new
 
     def strings(self, docs: pa.Table, told: pa.Table) -> pa.Table:
-        """Block to buckets: the bytes of the different strings to compare, with the smallest id that holds each. And to
-        itself, under a bucket of its own: the spans to remove that are known by now, and where the strings lie."""
-        docs, kind = _in_order(docs), np.asarray(told.column("kind")) if told.num_rows else np.zeros(0, int)
-        if not docs.num_rows or not told.num_rows or (found := self.candidates(docs, told.filter(pa.array(kind == 0)))) is None:
+        """Block to buckets: each different string once, with the smallest id of the block that holds it."""
+        docs = _in_order(docs)
+        buf, offsets = flat(docs.column("_text")) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        if (found := self.candidates(docs, told, buf, offsets)) is None:
             return _SCHEMA.empty_table()
-        first, windows, name, anchor, ids, _ = found
-        ends = first + windows + self.length - 1
-        block = docs.column("_block")[0].as_py()
-        # by name: the smallest id in the block, and a smaller one elsewhere where that is known
-        known, of = np.unique(name, return_inverse=True)
-        least = np.full(len(known), _NO_ID)
-        np.minimum.at(least, of, ids)
-        settled, pending = told.filter(pa.array(kind == 1)), told.filter(pa.array(kind == 2))
-        lower = least.copy()
-        if settled.num_rows:
-            at = np.searchsorted(known, np.concatenate(_array(settled, "keys", np.uint64)))
-            np.minimum.at(lower, at, np.concatenate(_ids_of(settled)))
-        gone = ids > lower[of]
-        starts, stops = _joined(first[gone], ends[gone])
-        wait = np.zeros(len(known), bool)
-        if pending.num_rows:
-            wait[np.searchsorted(known, np.concatenate(_array(pending, "keys", np.uint64)))] = True
-        wait = wait[of]
-        open_ = wait & ~gone
-        out = [(-1 - block, block, 4, starts.tobytes(), stops.tobytes(), None, None), (-1 - block, block, 5, name[open_].tobytes(), _narrow(first[open_]), _narrow(ids[open_]), None)]
-        if wait.any():
-            buf, _ = flat(docs.column("_text"))
-            first, windows, name, anchor, ids = first[wait], windows[wait], name[wait], anchor[wait], ids[wait]
-            bucket = ((anchor >> np.uint64(32)) % np.uint64(self.fine)).astype(np.int64)
-            order = np.lexsort((ids, name, bucket))
-            order = order[np.append(True, (name[order][1:] != name[order][:-1]) | (bucket[order][1:] != bucket[order][:-1]))]
-            first, windows, name, bucket, ids = (x[order] for x in (first, windows, name, bucket, ids))
-            for k, a, b in _cuts(bucket):
-                long = windows[a:b] + self.length - 1
-                body = buf[np.repeat(first[a:b] - (np.cumsum(long) - long), long) + np.arange(long.sum())]
-                out.append((k, block, 0, name[a:b].tobytes(), windows[a:b].astype(np.uint16).tobytes(), _narrow(ids[a:b]), body.tobytes()))
+        first, windows, ids, bucket, new = found
+        lead = np.flatnonzero(new)
+        return self._sent(buf, first[lead], windows[lead], np.minimum.reduceat(ids, lead), bucket[lead], docs.column("_block")[0].as_py())
+
+    def _sent(self, buf: np.ndarray, first: np.ndarray, windows: np.ndarray, ids: np.ndarray, bucket: np.ndarray, sender: int) -> pa.Table:
+        out = []
+        for k, a, b in _cuts(bucket):
+            body = _gathered(buf, first[a:b], windows[a:b] + self.length - 1).tobytes()
+            out.append((k, sender, 0, struct.pack("<q", len(body)), windows[a:b].astype(np.uint16).tobytes(), _narrow(ids[a:b]), pa.compress(body, "zstd", asbytes=True)))
         return _messages(out)
 
-    def answers(self, messages: pa.Table) -> pa.Table:
-        """Bucket to blocks: the windows of their strings that a document with a smaller id than theirs also holds.
-        What a block sent to itself goes on to it."""
-        if messages.column("bucket")[0].as_py() < 0:
-            return messages
-        names, counts, ids, bodies = _array(messages, "keys", np.uint64), _array(messages, "counts", np.uint16), _ids_of(messages), _array(messages, "body", np.uint8)
-        source = np.repeat(np.arange(len(names)), [len(n) for n in names])
-        name, windows, own, blob = np.concatenate(names), np.concatenate(counts).astype(np.int64), np.concatenate(ids), np.concatenate(bodies)
+    def _received(self, messages: pa.Table) -> tuple[np.ndarray, ...]:
+        """Bytes of the strings, where each begins, windows, smallest id, which message and which place in it."""
+        counts, ids, sizes = _array(messages, "counts", np.uint16), _ids_of(messages), [s[0] for s in _array(messages, "keys", np.int64)]
+        blob = np.frombuffer(b"".join(pa.decompress(x.as_py(), int(n), "zstd", asbytes=True) for x, n in zip(messages.column("body"), sizes, strict=True)), np.uint8)
+        many = np.array([len(c) for c in counts])
+        windows = np.concatenate(counts).astype(np.int64)
         long = windows + self.length - 1
-        at = np.cumsum(long) - long
-        _, rep, of = np.unique(name, return_index=True, return_inverse=True)
-        least = np.full(len(rep), _NO_ID)
-        np.minimum.at(least, of, own)
-        # every different string once: its windows are the suffixes to sort
+        return blob, np.cumsum(long) - long, windows, np.concatenate(ids), np.repeat(np.arange(len(many)), many), _runs(many, np.zeros(len(many), np.int64))
+
+    def _lowest(self, messages: pa.Table) -> tuple[np.ndarray, ...]:
+        """What was received, with the different string of each, and of those the first, and for all their windows the smallest id."""
+        blob, at, windows, own, source, place = self._received(messages)
+        ends = at + windows + self.length - 1
+        name = np.zeros(len(at), np.uint64)
+        for i, j in slices(np.append(at, len(blob)), 1 << 19):
+            name[i:j] = span_hash(prefix_hash(blob[at[i] : ends[j - 1]]), at[i:j] - at[i], ends[i:j] - at[i], seed=3)
+        order, new = named_strings(blob, at, ends - at, name, np.zeros(len(at), np.int64))
+        lead = np.flatnonzero(new)
+        of = np.zeros(len(at), np.int64)
+        of[order] = np.cumsum(new) - 1
+        rep, least = order[lead], np.minimum.reduceat(own[order], lead)
+        # the windows of every different string are the suffixes to sort
         string = np.repeat(np.arange(len(rep)), windows[rep])
-        inner = np.arange(len(string)) - np.repeat(np.cumsum(windows[rep]) - windows[rep], windows[rep])
-        order, new = sort_windows(blob, at[rep][string] + inner, self.length)
-        classes = np.cumsum(new) - 1
-        smallest = np.minimum.reduceat(least[string[order]], np.flatnonzero(new))
-        lowest = np.zeros(len(order), np.int64)
-        lowest[order] = smallest[classes]
+        sorted_, starts_class = sort_windows(blob, _runs(windows[rep], at[rep]), self.length)
+        smallest = np.minimum.reduceat(least[string[sorted_]], np.flatnonzero(starts_class))
+        lowest = np.zeros(len(string), np.int64)
+        lowest[sorted_] = smallest[np.cumsum(starts_class) - 1]
+        return blob, at, windows, own, source, place, of, rep, string, lowest
+
+    def answers(self, messages: pa.Table) -> pa.Table:
+        """Bucket to senders: the windows of their strings that a document with a smaller id than theirs also holds."""
+        _, _, windows, own, source, place, of, rep, string, lowest = self._lowest(messages)
         # runs of windows of a string with one smallest id below that of some sender
-        edge = np.append(True, (string[1:] != string[:-1]) | (lowest[1:] != lowest[:-1]))
-        run = np.flatnonzero(edge)
-        run_string, run_inner, run_id, run_size = string[run], inner[run], lowest[run], np.diff(np.append(run, len(string)))
+        run = np.flatnonzero(np.append(True, (string[1:] != string[:-1]) | (lowest[1:] != lowest[:-1])))
+        begin = np.cumsum(windows[rep]) - windows[rep]
+        run_string, run_id, run_size = string[run], lowest[run], np.diff(np.append(run, len(string)))
+        run_inner = run - begin[run_string]
         first_run = np.searchsorted(run_string, np.arange(len(rep) + 1))
         many = np.diff(first_run)[of]
-        sender = np.repeat(np.arange(len(name)), many)
-        which = np.repeat(first_run[of], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        sender = np.repeat(np.arange(len(own)), many)
+        which = _runs(many, first_run[of])
         told = run_id[which] < own[sender]
-        sender, which = sender[told], which[told]
-        bucket, blocks, out = messages.column("bucket")[0].as_py(), np.asarray(messages.column("block")), []
-        for k, a, b in _cuts(source[sender]):
-            w = which[a:b]
-            out.append((bucket, int(blocks[k]), 1, name[sender[a:b]].tobytes(), np.stack([run_inner[w], run_size[w]]).astype(np.uint16).tobytes(), _narrow(run_id[w]), None))
-        return _messages(out)
-
-    def covered(self, size: int, told: pa.Table) -> np.ndarray:
-        """Which of the `size` bytes of a block go."""
-        cover = np.zeros(size + 1, np.int32)
-        kind = np.asarray(told.column("kind")) if told.num_rows else np.zeros(0, int)
-        mine, places, answers = (told.filter(pa.array(kind == k)) for k in (4, 5, 1)) if told.num_rows else (told,) * 3
-        starts = [np.zeros(0, np.int64), *_array(mine, "keys", np.int64)] if told.num_rows else []
-        ends = [np.zeros(0, np.int64), *_array(mine, "counts", np.int64)] if told.num_rows else []
-        if told.num_rows and answers.num_rows and places.num_rows:
-            name, first, ids = (np.concatenate(x) for x in (_array(places, "keys", np.uint64), _ids_of(places, "counts"), _ids_of(places)))
-            keys = np.concatenate(_array(answers, "keys", np.uint64))
-            runs = np.concatenate([np.frombuffer(x.as_py(), np.uint16).reshape(2, -1) for x in answers.column("counts")], axis=1).astype(np.int64)
-            below = np.concatenate(_ids_of(answers))
-            order = np.argsort(keys, kind="stable")
-            keys, runs, below = keys[order], runs[:, order], below[order]
-            a, b = np.searchsorted(keys, name, "left"), np.searchsorted(keys, name, "right")
-            place = np.repeat(np.arange(len(a)), b - a)
-            which = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-            hit = below[which] < ids[place]
-            begin = first[place[hit]] + runs[0, which[hit]]
-            starts.append(begin)
-            ends.append(begin + runs[1, which[hit]] + self.length - 1)
-        if starts:
-            np.add.at(cover, np.concatenate(starts), 1)
-            np.add.at(cover, np.concatenate(ends), -1)
+        return self._told(messages, source, place, sender[told], run_inner[which[told]], run_size[which[told]], run_id[which[told]])
+
+    def _told(self, messages: pa.Table, source: np.ndarray, place: np.ndarray, sender: np.ndarray, inner: np.ndarray, size: np.ndarray, ids: np.ndarray) -> pa.Table:
+        bucket, blocks = messages.column("bucket")[0].as_py(), np.asarray(messages.column("block"))
+        return _messages([
+            (bucket, int(blocks[k]), 1, place[sender[a:b]].astype(np.uint32).tobytes(), np.stack([inner[a:b], size[a:b]]).astype(np.uint16).tobytes(), _narrow(ids[a:b]), None)
+            for k, a, b in _cuts(source[sender])
+        ])
+
+    # --- the first level of windows that very many blocks hold
+
+    def combined(self, messages: pa.Table) -> pa.Table:
+        """First level to buckets: each different window once, with the smallest id of the group of blocks."""
+        messages = messages.sort_by("block")
+        blob, at, windows, own, _, _, of, rep, _, lowest = self._lowest(messages)
+        me = messages.column("bucket")[0].as_py()
+        return self._sent(blob, at[rep], windows[rep], lowest, np.full(len(rep), (me - self.first) // self.groups), me)
+
+    def relayed(self, messages: pa.Table, answers: pa.Table) -> pa.Table:
+        """First level to blocks: their windows that a smaller id holds, in this group of blocks or beyond."""
+        if not messages.num_rows:
+            return _SCHEMA.empty_table()
+        messages = messages.sort_by("block")
+        _, _, _, own, source, place, of, _, _, lowest = self._lowest(messages)
+        if answers.num_rows:
+            lowest = lowest.copy()
+            np.minimum.at(lowest, np.concatenate(_array(answers, "keys", np.uint32)), np.concatenate(_ids_of(answers)))
+        sender = np.flatnonzero(lowest[of] < own)
+        return self._told(messages, source, place, sender, np.zeros(len(sender), int), np.ones(len(sender), int), lowest[of[sender]])
+
+    # --- the verdict
+
+    def covered(self, docs: pa.Table, told: pa.Table, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which bytes of a block go: strings that a smaller id of the block holds, and what the buckets say of the others."""
+        if (found := self.candidates(docs, told, buf, offsets)) is None:
+            return np.zeros(len(buf), bool)
+        first, windows, ids, bucket, new = found
+        lead, string = np.flatnonzero(new), np.cumsum(new) - 1
+        gone = ids > np.minimum.reduceat(ids, lead)[string]
+        cover = np.zeros(len(buf) + 1, np.int32)
+        spans = [(first[gone], (first + windows + self.length - 1)[gone])]
+        answers = _of_kind(told, 1)
+        if answers.num_rows:
+            open_ = np.flatnonzero(~gone)
+            held = np.searchsorted(string[open_], np.arange(len(lead) + 1))  # of each string the places still open
+            base = np.searchsorted(bucket[lead], np.asarray(answers.column("bucket")))
+            keys = _array(answers, "keys", np.uint32)
+            of = np.concatenate([k.astype(np.int64) + b for k, b in zip(keys, base, strict=True)])
+            inner, size = np.concatenate([np.frombuffer(x.as_py(), np.uint16).reshape(2, -1) for x in answers.column("counts")], axis=1).astype(np.int64)
+            many = held[of + 1] - held[of]
+            places, run = open_[_runs(many, held[of])], np.repeat(np.arange(len(of)), many)
+            begin = first[places] + inner[run]
+            spans.append((begin, begin + size[run] + self.length - 1))
+        for begin, end in spans:
+            np.add.at(cover, begin, 1)
+            np.add.at(cover, end, -1)
         return np.cumsum(cover)[:-1] > 0
 
 
-def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), gram: int = 20, block_bytes: int = 4 << 20, hot: int = 64) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), gram: int = 20, block_bytes: int = 4 << 20, hot: int = 64, fan: int = 64) -> DataFrame:
     """Remove from every whole text each byte covered by a string of `length` bytes that also starts in a document with a smaller id.
 
     Every window of `length` bytes has an anchor that depends on its bytes alone. Blocks of documents send the hashes
-    of their anchors to buckets and learn which are shared among documents. Then they send the names (hashes) of the
-    strings of windows under shared anchors, each different one once a block: where an anchor has one string everywhere,
-    the smallest id settles all its windows. Only strings under anchors with several go to buckets with their bytes,
-    where their suffixes are sorted (`sort_windows`) and the smallest id of each window is found. An anchor shared by more than `hot` blocks is spread over all buckets window by window, so no group grows with the
-    number of copies. All windows of whole texts are judged on the input.
+    of their anchors to buckets and learn which are shared among documents: windows under other anchors occur once and
+    are left out. The strings of windows under shared anchors go to buckets with their bytes, each different one once
+    a block, and there their suffixes are sorted (`sort_windows`): equal windows end up in one class, and its smallest
+    id decides. Hashes only route and bring candidates together; no byte goes without a comparison of bytes.
+
+    Blocks are dealt by id and text, so no id makes a large block. An anchor that more than `hot` blocks share is spread over
+    all buckets window by window, and such windows are combined over `fan` blocks at a time before they reach their bucket.
+    All windows of whole texts are judged on the input.
 
     A null text counts as empty. A null id counts as larger than every id. Documents with the same id never remove
     each other's bytes; repeated rows get a row each. Texts shorter than `length` are kept whole. Columns in `keep` are
@@ -394,39 +419,45 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
     blocks = max(8, -(-total // block_bytes))
-    steps = Exchange(length, gram, max(8, total // (2 * block_bytes)), max(8, total // block_bytes), hot)
+    steps = Exchange(length, gram, blocks, max(8, total // (2 * block_bytes)), max(8, total // block_bytes), hot, fan)
+    tasks = max(8, -(-total // (8 * block_bytes)))  # so many bytes a task, whatever the size of the table
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
     names = ["_block", "_id", "_text", "_row"]
-    rows = docs.select(F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(blocks)).alias("_block"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row.alias("_row"))
+    block = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(blocks))
+    rows = docs.select(block.alias("_block"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row.alias("_row")).repartition(tasks, "_block")
     kept_type = rows.schema["_row"].dataType
 
-    def side() -> DataFrame:  # the same plan each time, so that one shuffle of the texts serves all steps
-        return rows.toDF(*names)
+    def side() -> GroupedData:  # the same plan each time, so that one shuffle of the texts serves all steps
+        return rows.toDF(*names).groupBy("_block")
+
+    def to(messages: DataFrame, whom: str) -> GroupedData:
+        return messages.toDF(*_SCHEMA.names).repartition(tasks, whom).groupBy(whom)
 
     def finish(docs_: pa.Table, told: pa.Table) -> pa.Table:
         docs_ = _in_order(docs_)
-        buf, offsets = flat(docs_.column("_text")) if docs_.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-        gone = steps.covered(len(buf), told) if docs_.num_rows else np.zeros(0, bool)
-        n = len(offsets) - 1
+        if not docs_.num_rows:
+            return empty
+        buf, offsets = flat(docs_.column("_text"))
+        gone = steps.covered(docs_, told, buf, offsets)
         removed = np.append(0, np.cumsum(gone))
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[offsets[:-1][offsets[:-1] < len(gone)]] = gone[offsets[:-1][offsets[:-1] < len(gone)]]
         spans = np.append(0, np.cumsum(begins))
         kept = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        columns = [docs_.column("_id"), pa.array(np.diff(offsets)), pa.array(removed[offsets[1:]] - removed[offsets[:-1]]), pa.array(spans[offsets[1:]] - spans[offsets[:-1]]), pa.array(kept, pa.binary()), docs_.column("_row")] if n else None
-        out_names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "_row"]
-        return pa.table(columns, names=out_names) if columns else empty
+        counts = [np.diff(offsets), removed[offsets[1:]] - removed[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]]
+        return pa.table([docs_.column("_id"), *map(pa.array, counts), pa.array(kept, pa.binary()), docs_.column("_row")], names=empty.schema.names)
 
     empty = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("_row", to_arrow_type(kept_type))]).empty_table()
-    hashes = side().groupBy("_block").applyInArrow(lambda t: steps.anchors(t), MESSAGE)
-    shared = hashes.groupBy("bucket").applyInArrow(lambda t: steps.shared(t), MESSAGE)
-    as_side = lambda df: df.toDF(*_SCHEMA.names)
-    names_ = side().groupBy("_block").cogroup(as_side(shared).groupBy("block")).applyInArrow(lambda a, b: steps.names(a, b), MESSAGE)
-    decided = names_.groupBy("bucket").applyInArrow(lambda t: steps.decided(t), MESSAGE)
-    told = as_side(as_side(shared).unionByName(as_side(decided)))
-    strings = side().groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: steps.strings(a, b), MESSAGE)
-    answers = as_side(strings.groupBy("bucket").applyInArrow(lambda t: steps.answers(t), MESSAGE))
+    hashes = side().applyInArrow(lambda t: steps.anchors(t), MESSAGE)
+    shared = to(hashes, "bucket").applyInArrow(lambda t: steps.shared(t), MESSAGE)
+    strings = side().cogroup(to(shared, "block")).applyInArrow(lambda a, b: steps.strings(a, b), MESSAGE)
+    first = F.col("bucket") >= steps.first
+    combined = to(strings.where(first), "bucket").applyInArrow(lambda t: steps.combined(t), MESSAGE)
+    answers = to(strings.where(~first).unionByName(combined), "bucket").applyInArrow(lambda t: steps.answers(t), MESSAGE)
+    direct, back = answers.where(F.col("block") < steps.first), answers.where(F.col("block") >= steps.first)
+    relayed = to(strings.where(first), "bucket").cogroup(to(back, "block")).applyInArrow(lambda a, b: steps.relayed(a, b), MESSAGE)
+    told = shared.unionByName(direct).unionByName(relayed)
     schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType()), StructField("_row", kept_type)])
-    out = side().groupBy("_block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    out = side().cogroup(to(told, "block")).applyInArrow(finish, schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"_row.{c}").alias(c) for c in keep])

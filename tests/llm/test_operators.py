@@ -95,11 +95,25 @@ def test_repeats(spark, hot):
     ids = rnd.sample(range(-50, 1000), len(texts))
     ids[7] = None
     rows = list(zip(ids, texts)) + [(ids[3], texts[3]), (ids[2], texts[9])]
+    passage = sentence(rnd, 25)  # in every document of one id, and of none
+    rows += [(500, f"{sentence(rnd, 12)} {passage}") for _ in range(60)] + [(None, f"{passage} {sentence(rnd, 12)}") for _ in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffixes.without_repeats(docs, 50, hot=hot, block_bytes=1 << 12).withColumn("d", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "d").collect()
+    got = suffixes.without_repeats(docs, 50, hot=hot, fan=2, block_bytes=1 << 12).withColumn("d", F.sha2("kept", 256)).select("doc_id", "n_bytes", "n_removed", "n_spans", "d").collect()
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows)
 
 
+def test_names_only_bring_strings_together():
+    """However many strings share a name, each is held against the bytes of the first and named anew if it differs."""
+    rnd = random.Random(12)
+    strings = [rnd.choice([b"abc", b"abd", b"ab", b"xyz", b""]) for _ in range(300)]
+    buf = np.frombuffer(b"".join(strings), np.uint8)
+    lengths = np.array([len(s) for s in strings])
+    group = np.array([rnd.randrange(3) for _ in strings])
+    order, new = suffixes.named_strings(buf, np.cumsum(lengths) - lengths, lengths, np.zeros(300, np.uint64), group)
+    seen = [[(int(group[i]), strings[i]) for i in c] for c in np.split(order, np.flatnonzero(new)[1:])]
+    assert all(len(set(c)) == 1 for c in seen) and len({c[0] for c in seen}) == len(seen)
+
+
 def roots(nodes, links):
     label = {n: n for n in nodes}
     while True:
