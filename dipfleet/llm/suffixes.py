@@ -211,6 +211,9 @@ class Exchange:
     it combines `fan` blocks and stands for them at the bucket proper.
     """
 
+    #: An anchor is told once for so many of its runs in a block.
+    STEP = 16
+
     def __init__(self, length: int, gram: int, blocks: int, buckets: int, fine: int, hot: int, fan: int = 64):
         self.length, self.gram, self.buckets, self.fine, self.hot = length, gram, buckets, fine, hot
         self.groups, self.first = -(-blocks // fan), max(blocks, fine)
@@ -230,11 +233,13 @@ class Exchange:
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
         last = np.append(first[1:], len(key)) - 1
         key = key[first] ^ (ids[first] == ids[last]).astype(np.uint32)
+        times = -(-(last + 1 - first) // self.STEP)  # so that very many strings in few blocks are noticed too
+        key, bucket = np.repeat(key, times), np.repeat(bucket[first], times)
         block = docs.column("_block")[0].as_py()
-        return _messages([(k, block, 0, key[a:b].tobytes(), None, None, None) for k, a, b in _cuts(bucket[first])])
+        return _messages([(k, block, 0, key[a:b].tobytes(), None, None, None) for k, a, b in _cuts(bucket)])
 
     def shared(self, messages: pa.Table) -> pa.Table:
-        """Bucket to blocks: those of their anchors that documents with different ids share; the lowest bit says that very many blocks do."""
+        """Bucket to blocks: those of their anchors that documents with different ids share; the lowest bit says that very many strings lie under it."""
         arrays = _array(messages, "keys", np.uint32)
         keys, blocks = np.concatenate(arrays), np.repeat(np.asarray(messages.column("block")), [len(a) for a in arrays])
         one = np.uint32(1)
@@ -244,6 +249,7 @@ class Exchange:
         sizes = np.diff(np.append(first, len(keys)))
         keep = np.repeat((sizes > 1) | (np.bitwise_or.reduceat(keys & one, first) > 0), sizes)
         keys = (keys | one) ^ np.repeat((sizes <= self.hot).astype(np.uint32), sizes)
+        keep &= np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]))  # once a block
         keys, blocks = keys[keep], blocks[keep]
         order = np.argsort(blocks, kind="stable")
         keys, bucket = keys[order], messages.column("bucket")[0].as_py()
@@ -257,8 +263,8 @@ class Exchange:
 
     def candidates(self, docs: pa.Table, told: pa.Table, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] | None:
         """Strings of windows under shared anchors, in the order of their messages: first byte, windows, id, bucket, and where
-        a string differs from the one before. Windows of an anchor that very many blocks share stand alone and go where
-        their own bytes send them, to the first level of those of this block's group."""
+        a string differs from the one before. Windows of an anchor with very many strings stand alone and go where
+        their own bytes send them, to the first level of this block's group."""
         shared = _of_kind(told, 0)
         if not docs.num_rows or not shared.num_rows:
             return None
@@ -327,8 +333,9 @@ class Exchange:
         lowest[sorted_] = smallest[np.cumsum(starts_class) - 1]
         return blob, at, windows, own, source, place, of, rep, string, lowest
 
-    def answers(self, messages: pa.Table) -> pa.Table:
+    def answers(self, messages: pa.Table, combined: pa.Table) -> pa.Table:
         """Bucket to senders: the windows of their strings that a document with a smaller id than theirs also holds."""
+        messages = pa.concat_tables([messages.select(_SCHEMA.names).cast(_SCHEMA), combined.select(_SCHEMA.names).cast(_SCHEMA)])
         _, _, windows, own, source, place, of, rep, string, lowest = self._lowest(messages)
         # runs of windows of a string with one smallest id below that of some sender
         run = np.flatnonzero(np.append(True, (string[1:] != string[:-1]) | (lowest[1:] != lowest[:-1])))
@@ -359,9 +366,10 @@ class Exchange:
         return self._sent(blob, at[rep], windows[rep], lowest, np.full(len(rep), (me - self.first) // self.groups), me)
 
     def relayed(self, messages: pa.Table, answers: pa.Table) -> pa.Table:
-        """First level to blocks: their windows that a smaller id holds, in this group of blocks or beyond."""
+        """First level to blocks: their windows that a smaller id holds, in this group of blocks or beyond. What a bucket
+        proper answered to a block goes on to it."""
         if not messages.num_rows:
-            return _SCHEMA.empty_table()
+            return answers.select(_SCHEMA.names)
         messages = messages.sort_by("block")
         _, _, _, own, source, place, of, _, _, lowest = self._lowest(messages)
         if answers.num_rows:
@@ -399,7 +407,7 @@ class Exchange:
         return np.cumsum(cover)[:-1] > 0
 
 
-def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), gram: int = 20, block_bytes: int = 4 << 20, hot: int = 64, fan: int = 64) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), gram: int = 20, block_bytes: int = 4 << 20, hot: int = 8192, fan: int = 64) -> DataFrame:
     """Remove from every whole text each byte covered by a string of `length` bytes that also starts in a document with a smaller id.
 
     Every window of `length` bytes has an anchor that depends on its bytes alone. Blocks of documents send the hashes
@@ -408,8 +416,8 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     a block, and there their suffixes are sorted (`sort_windows`): equal windows end up in one class, and its smallest
     id decides. Hashes only route and bring candidates together; no byte goes without a comparison of bytes.
 
-    Blocks are dealt by id and text, so no id makes a large block. An anchor that more than `hot` blocks share is spread over
-    all buckets window by window, and such windows are combined over `fan` blocks at a time before they reach their bucket.
+    Blocks are dealt by id and text, so no id makes a large block. An anchor told more than `hot` times (once for each
+    block and 16 runs there) is spread over all buckets window by window, and such windows are combined over `fan` blocks at a time before they reach their bucket.
     All windows of whole texts are judged on the input.
 
     A null text counts as empty. A null id counts as larger than every id. Documents with the same id never remove
@@ -420,7 +428,7 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
     blocks = max(8, -(-total // block_bytes))
     steps = Exchange(length, gram, blocks, max(8, total // (2 * block_bytes)), max(8, total // block_bytes), hot, fan)
-    tasks = max(8, -(-total // (8 * block_bytes)))  # so many bytes a task, whatever the size of the table
+    tasks = max(8, -(-total // (4 * block_bytes)))  # so many bytes a task, whatever the size of the table
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
     names = ["_block", "_id", "_text", "_row"]
     block = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(blocks))
@@ -452,12 +460,16 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     hashes = side().applyInArrow(lambda t: steps.anchors(t), MESSAGE)
     shared = to(hashes, "bucket").applyInArrow(lambda t: steps.shared(t), MESSAGE)
     strings = side().cogroup(to(shared, "block")).applyInArrow(lambda a, b: steps.strings(a, b), MESSAGE)
-    first = F.col("bucket") >= steps.first
-    combined = to(strings.where(first), "bucket").applyInArrow(lambda t: steps.combined(t), MESSAGE)
-    answers = to(strings.where(~first).unionByName(combined), "bucket").applyInArrow(lambda t: steps.answers(t), MESSAGE)
-    direct, back = answers.where(F.col("block") < steps.first), answers.where(F.col("block") >= steps.first)
-    relayed = to(strings.where(first), "bucket").cogroup(to(back, "block")).applyInArrow(lambda a, b: steps.relayed(a, b), MESSAGE)
-    told = shared.unionByName(direct).unionByName(relayed)
+
+    def received(low: int, past: int) -> GroupedData:
+        """Strings for some buckets. A condition that is not deterministic stays above the shuffle, so one serves all uses."""
+        wanted = F.when(F.spark_partition_id() >= 0, F.col("bucket").between(low, past - 1))
+        return strings.toDF(*_SCHEMA.names).repartition(tasks, "bucket").where(wanted).groupBy("bucket")
+
+    combined = received(steps.first, 1 << 62).applyInArrow(lambda t: steps.combined(t), MESSAGE)
+    answers = received(0, steps.first).cogroup(to(combined, "bucket")).applyInArrow(lambda a, b: steps.answers(a, b), MESSAGE)
+    relayed = received(steps.first, 1 << 62).cogroup(to(answers, "block")).applyInArrow(lambda a, b: steps.relayed(a, b), MESSAGE)
+    told = shared.unionByName(relayed)
     schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType()), StructField("_row", kept_type)])
     out = side().cogroup(to(told, "block")).applyInArrow(finish, schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"_row.{c}").alias(c) for c in keep])
