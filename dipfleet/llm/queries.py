@@ -64,12 +64,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*|', '')) as symbols,
-         (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':17'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
-  from documents),
-keyed as (select *, -ln(u) / (1.0::double / (1.0::double + symbols::double / (size + 1)::double)) as key from sized),
+with parted as (
+  select doc_id, source, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as said from documents),
+sized as (
+  select doc_id, source, len(said)::bigint as size, len(list_distinct(said))::double as different,
+         length(regexp_replace(body, '[^!-@\[-`{-~]', '', 'g'))::double as marks,
+         (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || body || ':17'), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u
+  from parted),
+keyed as (
+  select *, -ln(u) / (least(1.0::double, (different * different + 1) / (4 * size::double + 1)) / (1 + marks / (size::double + 1))) as key from sized),
 totals as (
   select source, sum(size)::bigint as source_size,
          [1.0::double, 2.0::double, 3.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w
@@ -88,11 +91,10 @@ plan as (
   select *, case when source_size > 0 then least(floor(target / source_size), 3) else 0 end::bigint as epochs from targets),
 placed as (
   select k.doc_id, k.source, k.size, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
-         sum(size) over (partition by k.source order by key, doc_id nulls first range between unbounded preceding and current row) as upto,
-         sum(size) over (partition by k.source, key, doc_id) as own
+         sum(size) over (partition by k.source order by key, size rows between unbounded preceding and current row) as upto
   from keyed k join plan p on k.source is not distinct from p.source)
 select doc_id, size, source_size, target,
-       (size * (epochs + case when rest > 0 and 2 * upto - own <= 2 * rest then 1 else 0 end))::bigint as taken
+       (size * (epochs + case when rest > 0 and 2 * upto - size <= 2 * rest then 1 else 0 end))::bigint as taken
 from placed"""
 
 

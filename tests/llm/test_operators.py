@@ -197,7 +197,7 @@ def test_mixing_targets(spark):
     rnd = random.Random(7)
     sources = ["a"] * 500 + ["b"] * 60 + ["c"] * 15 + [None] * 100
     texts = [sentence(rnd, rnd.randint(1, 40)) for _ in sources]
-    rows = mixing.mix(frame(spark, texts, sources), per_bucket=16).toPandas()
+    rows = mixing.mix(frame(spark, texts, sources), per_task=64).toPandas()
     sizes = rows.groupby("source", dropna=False)["size"].sum()
     total = int(sizes.sum())
     targets = rows.groupby("source", dropna=False)["target"].first()
@@ -205,10 +205,40 @@ def test_mixing_targets(spark):
     taken = rows.groupby("source", dropna=False)["taken"].sum()
     assert (np.abs(taken.values - targets.values) <= 20).all()  # half of the longest text
     assert (rows["taken"] <= 3 * rows["size"]).all()
-    repeated = Counter(r.doc_id for r in mixing.mixed(frame(spark, texts, sources), per_bucket=16).collect())
+    repeated = Counter(r.doc_id for r in mixing.mixed(frame(spark, texts, sources), per_task=64).collect())
     assert repeated == Counter({int(r.doc_id): int(r.copies) for r in rows.itertuples() if r.copies})
 
 
+@pytest.mark.parametrize("kind", ["null", "three", "repeats", "junk"])
+def test_mixing_meets_targets_whatever_the_ids(spark, kind):
+    """Null ids, few ids, exact repeats (a third of all rows and more), and texts full of marks."""
+    rnd = random.Random(17)
+    texts, sources, ids = [], [], []
+    for i in range(900):
+        texts.append("one text of six words here" if kind == "repeats" and i % 3 else sentence(rnd, rnd.randint(1, 30)) + (" #$%&| *" * 9 if kind == "junk" else ""))
+        sources.append("a" if i % 9 else "b")
+        ids.append({"null": None, "three": i % 3, "repeats": i if i % 3 == 0 else 7}.get(kind, i))
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in zip(ids, texts, sources)], DOCS).repartition(5)
+    rows = mixing.mix(docs, per_task=50).toPandas()
+    assert len(rows) == 900 and (rows["taken"] <= 3 * rows["size"]).all()
+    for _, of in rows.groupby("source"):
+        assert abs(of["taken"].sum() - of["target"].iloc[0]) <= of["size"].max() / 2 + 1e-6
+    copies = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed(docs, per_task=50).collect())
+    want = Counter()
+    for r in rows.itertuples():
+        want[(None if pd.isna(r.doc_id) else int(r.doc_id), r.source, r.size)] += r.copies
+    assert copies == +want
+
+
+def test_mixing_ranges_are_even(spark):
+    """Ranges of keys hold about as many rows each, also where all texts are full of marks."""
+    rnd = random.Random(18)
+    docs = frame(spark, [sentence(rnd, 5) + " #" * rnd.randint(0, 60) for _ in range(4000)], ["a"] * 4000)
+    keyed = mixing.with_keys(docs, "doc_id", "text", "source", 17).groupBy("_source", "_key", "_size").count().repartitionByRange(20, "_source", "_key", "_size")
+    counts = keyed.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert counts.max() <= 3 * counts.mean()
+
+
 def test_sharding(spark):
     rnd = random.Random(8)
     texts = [sentence(rnd, rnd.randint(0, 60)) for _ in range(700)] + ["same text"] * 40 + ["", None, ""]
