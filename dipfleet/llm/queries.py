@@ -31,7 +31,7 @@ with usable as (
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-  from usable q join usable c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
+  from (select distinct vec_id, v from usable where vec_id % 100 = 0) q join usable c on q.vec_id <> c.vec_id)
 select query_id, rank::int as rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10"""
 

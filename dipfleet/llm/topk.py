@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def finite(vector: str) -> Column:
     """Whether a vector is neither null nor holds a null, NaN or infinite component; an empty one passes."""
     v = F.col(vector)
@@ -66,7 +64,7 @@ def topk(vectors: DataFrame, queries: Column, k: int = 10, *, vec_id: str = "vec
 
     Rows with a null id, a null vector or one with null or non-finite components take no part. Vectors of unequal
     length are compared over their common components. Repeated rows are candidates each (a row is no candidate of a
-    query with its own id); a repeated query id is answered once for each different vector, ranked together. Fewer
+    query with its own id); a repeated query is asked once, and an id with different vectors once for each, ranked together. Fewer
     than k candidates: all. Empty tables give an empty result; other columns are ignored.
     Returns `query_id, rank, vec_id, score`.
     """
@@ -76,7 +74,7 @@ def topk(vectors: DataFrame, queries: Column, k: int = 10, *, vec_id: str = "vec
     scaled = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("double")))
     salt = F.xxhash64("id", "v")
     shared = scaled.withColumn("shard", F.pmod(salt, F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asking = scaled.where("q").withColumn("block", F.pmod(salt, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asking = scaled.where("q").select("id", "v").distinct().withColumn("block", F.pmod(salt, F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def tile(queries_: pa.Table, rows_: pa.Table) -> pa.Table:
         found: list[pa.Table] = []
@@ -99,5 +97,3 @@ def topk(vectors: DataFrame, queries: Column, k: int = 10, *, vec_id: str = "vec
     merged = lists.withColumn("_r", F.row_number().over(branch)).where(F.col("_r") <= k)
     root = Window.partitionBy("query_id").orderBy(*best)
     return merged.withColumn("rank", F.row_number().over(root)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
