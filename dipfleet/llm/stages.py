@@ -20,10 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity reaches 0.7 go; labels, priors and calibration are learned on this stage's own input.
-    Rows without an id, and rows whose text has no toxic passage, always stay."""
-    rejected = score(docs, table(spark, sf_dir, "labels")).where("score >= 0.7").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rejected, docs["doc_id"] == rejected["_gone"], "left_anti").select(*COLUMNS)
+    """Rows whose toxicity reaches 0.7 go, each by its own text, with or without an id; labels, priors and calibration are
+    learned on this stage's own input. Rows whose text has no toxic passage always stay."""
+    scored = score(docs, table(spark, sf_dir, "labels"), keep=tuple(COLUMNS))
+    return scored.where("score < 0.7 or best <= 0").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from dipfleet.llm.common import checkpointed, crc_mod3, parts, prefix_hash, span_hash, word_spans
+from dipfleet.llm.common import checkpointed, crc_mod3, mix, parts, prefix_hash, span_hash, word_spans
 
 #: Lower case for the ASCII letters, and a blank for ASCII punctuation, digits and controls: words are what is left.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -23,29 +24,41 @@ FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 class Settings:
     """Bounds and constants of the model; none depends on the size of the input.
 
-    `buckets`: tokens are hashed into so many counters. `stem`: a word also counts as its first so many bytes. `labelled`: at most so many labelled documents are fitted on,
-    taken by the order of a hash of their ids. `prior`: prior belief, spread like the corpus, as a share of all labelled tokens. `least_z`: a token
-    counts as toxic beyond so many standard errors. `drift`: score of every other token. `least`: a passage is reported
-    from this score on.
+    `labelled`: at most so many labelled documents are fitted on, taken by the order of a hash of their ids. `tokens`: at
+    most so many different tokens of toxic ones, those in most of them first. `stem`: a word also counts as its first so many
+    bytes. `prior`: prior belief, spread like the corpus, as a share of all labelled tokens. `least_z`: a token counts as
+    toxic beyond so many standard errors. `drift`: score of every other token. `least`: a passage is reported from this
+    score on.
     """
 
-    buckets: int = 1 << 18
-    stem: int = 6
     labelled: int = 20_000
+    tokens: int = 1 << 20
+    stem: int = 6
     prior: float = 0.1
     least_z: float = 3.0
     drift: float = -0.05
     least: float = 3.0
 
 
-def token_buckets(buf: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
-    """Hash buckets of every word and of its stem (its first bytes), its text, start and end byte."""
+def token_hashes(buf: np.ndarray, offsets: np.ndarray, settings: Settings) -> tuple[np.ndarray, ...]:
+    """Hashes of every word and of its stem (its first bytes), its text, start and end byte."""
     folded = FOLD[buf]
     starts, ends, text = word_spans(folded, offsets)
     prefix = prefix_hash(folded)
-    stems = span_hash(prefix, starts, np.minimum(ends, starts + settings.stem), seed=1)
-    size = np.uint64(settings.buckets)
-    return (span_hash(prefix, starts, ends) % size).astype(np.int64), (stems % size).astype(np.int64), text, starts, ends
+    return span_hash(prefix, starts, ends), span_hash(prefix, starts, np.minimum(ends, starts + settings.stem), seed=1), text, starts, ends
+
+
+def _once(word: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the different words of each text."""
+    return np.unique(word ^ mix(text.astype(np.uint64), 5), return_index=True)[1]
+
+
+def _at(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash among sorted ones, and whether it is one of them."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return at, known[at] == hashes
 
 
 def training_labels(labels: DataFrame, column: str, bound: int, doc_id: str = "doc_id") -> DataFrame:
@@ -54,48 +67,67 @@ def training_labels(labels: DataFrame, column: str, bound: int, doc_id: str = "d
     return known.orderBy(F.xxhash64("_doc"), "_doc").limit(bound)
 
 
-def token_counts_by_label(docs: DataFrame, settings: Settings) -> pd.DataFrame:
-    """Counts of each bucket that a toxic training document holds: in the whole corpus, in toxic and in other labelled documents.
+def toxic_tokens(toxic: DataFrame, settings: Settings) -> np.ndarray:
+    """Sorted hashes of the words and stems of toxic training documents: only these can score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, offsets in parts(batches, "text"):
+            word, stem, text, _, _ = token_hashes(buf, offsets, settings)
+            once = _once(word, text)
+            seen, n = np.unique(np.concatenate([word[once], stem[once]]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    found = toxic.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(settings.tokens)
+    return np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def token_counts_by_label(docs: DataFrame, tokens: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """In how many documents each token lies (in the whole corpus, in toxic and in other labelled ones), and the same summed over
+    all tokens whatever.
 
-    Each different word of a document counts once, as itself and as its stem. Counted over every document, summed within tasks, then by bucket; the driver gets `buckets` rows at most.
+    Each different word of a document counts once, as itself and as its stem. Counted over every document, summed within
+    tasks, then by token.
     """
-    size = settings.buckets
+    shared = docs.sparkSession.sparkContext.broadcast(tokens)  # `tokens` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((3, size), np.int64)
+        known = shared.value
+        counts = np.zeros((3, len(known) + 1), np.int64)  # the last for all tokens
         for rows, buf, offsets in parts(batches, "text"):
-            word, stem, text, _, _ = token_buckets(buf, offsets, settings)
-            _, once = np.unique(text * size + word, return_index=True)
-            label = np.asarray(rows.column(1).fill_null(-1))[text[once]] if len(text) else np.zeros(0, int)
-            for bucket in (word[once], stem[once]):
-                for k, of in enumerate((bucket, bucket[label == 1], bucket[label == 0])):
-                    if len(of):
-                        counts[k] += np.bincount(of, minlength=size)
+            word, stem, text, _, _ = token_hashes(buf, offsets, settings)
+            if not len(word):
+                continue
+            once = _once(word, text)
+            label = np.asarray(rows.column(1).fill_null(-1))[text[once]]
+            for k, of in enumerate((np.ones(len(once), bool), label == 1, label == 0)):
+                counts[k, -1] += 2 * of.sum()
+            for hashes in (word[once], stem[once]):
+                at, hit = _at(known, hashes)
+                for k, of in enumerate((hit, hit & (label == 1), hit & (label == 0))):
+                    if of.any():
+                        counts[k, :-1] += np.bincount(at[of], minlength=len(known))
         seen = np.flatnonzero(counts[0])
         for i in range(0, len(seen), 50_000):
             at = seen[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c[at]) for c in counts)], ["bucket", "n", "toxic", "clean"])
-
-    counted = docs.select("text", "_label").mapInArrow(run, "bucket int, n long, toxic long, clean long")
-    summed = counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
-    summed = checkpointed(summed)
-    frame = summed.where("toxic > 0").toPandas()
-    frame.attrs["total"] = {k: int(v) for k, v in summed.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "toxic", "clean")]).first().asDict().items()}
-    return frame
-
-
-def log_odds(counts: pd.DataFrame, settings: Settings) -> np.ndarray:
-    """Score of each bucket: log-odds ratio under a Dirichlet prior shaped like the corpus, where it is beyond doubt."""
-    total = counts.attrs["total"]
-    scores = np.full(settings.buckets, settings.drift, np.float32)
-    mass = settings.prior * (total["toxic"] + total["clean"])
-    prior = mass * counts["n"].to_numpy() / max(total["n"], 1)
-    y, x = counts["toxic"].to_numpy() + prior, counts["clean"].to_numpy() + prior
-    n_y, n_x = total["toxic"] + mass, total["clean"] + mass
-    delta = np.log(y / (n_y - y)) - np.log(x / (n_x - x))
-    sure = delta / np.sqrt(1 / y + 1 / x) >= settings.least_z
-    scores[counts["bucket"].to_numpy()[sure]] = np.minimum(delta[sure], 8.0)
-    return scores
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c[at]) for c in counts)], ["token", "n", "toxic", "clean"])
+
+    counted = docs.select("text", "_label").mapInArrow(run, "token long, n long, toxic long, clean long")
+    summed = counted.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")]).toPandas()  # `tokens` + 1 rows
+    out = np.zeros((3, len(tokens) + 1), np.int64)
+    out[:, summed["token"].to_numpy(np.int64)] = summed[["n", "toxic", "clean"]].to_numpy(np.int64).T
+    return out[:, :-1], out[:, -1]
+
+
+def log_odds(counts: np.ndarray, total: np.ndarray, settings: Settings) -> np.ndarray:
+    """Log-odds ratio of each token under a Dirichlet prior shaped like the corpus, where it is beyond doubt, and else 0."""
+    mass = settings.prior * (total[1] + total[2])
+    prior = mass * counts[0] / max(total[0], 1)
+    y, x = counts[1] + prior, counts[2] + prior
+    n_y, n_x = total[1] + mass, total[2] + mass
+    with np.errstate(divide="ignore", invalid="ignore"):
+        delta = np.log(y / (n_y - y)) - np.log(x / (n_x - x))
+        sure = delta / np.sqrt(1 / y + 1 / x) >= settings.least_z
+    return np.where(sure, np.minimum(delta, 8.0), 0.0)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -120,17 +152,24 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for low, high, a, b in found]
 
 
-def passages(docs: DataFrame, scores: np.ndarray, settings: Settings) -> DataFrame:
-    """Every document with its number of tokens, its best passage score and all passages of at least `settings.least`."""
-    shared = docs.sparkSession.sparkContext.broadcast(scores)  # `buckets` numbers
+def passages(docs: DataFrame, tokens: np.ndarray, scores: np.ndarray, settings: Settings) -> DataFrame:
+    """Every document (`doc_id, text, _row`) with its number of tokens, its best passage score and all passages of at least
+    `settings.least`. Tokens of score 0 count as any other word."""
+    shared = docs.sparkSession.sparkContext.broadcast((tokens[scores > 0], scores[scores > 0]))
     least = settings.least
+    row = docs.schema["_row"]
+    found = "doc_id long, tokens long, best double, passages array<struct<start:long,end:long,score:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        known, worth = shared.value
         for rows, buf, offsets in parts(batches, "text"):
-            word, stem, text, starts, ends = token_buckets(buf, offsets, settings)
-            value = np.maximum(table[word], table[stem]).astype(np.float64)
-            again = (np.diff(word, prepend=-1) == 0) & (np.diff(text, prepend=-1) == 0)
+            word, stem, text, starts, ends = token_hashes(buf, offsets, settings)
+            value = np.full(len(word), settings.drift)
+            for hashes in (word, stem):
+                at, hit = _at(known, hashes)
+                value[hit] = np.maximum(value[hit], worth[at[hit]])
+            again = np.zeros(len(word), bool)
+            again[1:] = (word[1:] == word[:-1]) & (text[1:] == text[:-1])
             value[again] = np.minimum(value[again], settings.drift)  # a word said over and over is said once
             tokens = np.bincount(text, minlength=rows.num_rows)
             best, spans = np.zeros(rows.num_rows), [[] for _ in range(rows.num_rows)]
@@ -150,11 +189,12 @@ def passages(docs: DataFrame, scores: np.ndarray, settings: Settings) -> DataFra
                         if score >= least:
                             spans[of].append({"start": int(starts[at[first // 2]]) - base, "end": int(ends[at[(past - 1) // 2]]) - base, "score": score})
             yield pa.RecordBatch.from_arrays(
-                [rows.column(1), pa.array(tokens, pa.int64()), pa.array(best), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
-                ["doc_id", "tokens", "best", "passages"],
+                [rows.column(1), rows.column(2), pa.array(tokens, pa.int64()), pa.array(best), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
+                ["doc_id", "_row", "tokens", "best", "passages"],
             )
 
-    return docs.select("text", "doc_id").mapInArrow(run, "doc_id long, tokens long, best double, passages array<struct<start:long,end:long,score:double>>")
+    fields = StructType.fromDDL(found).fields
+    return docs.select("text", "doc_id", "_row").mapInArrow(run, StructType([fields[0], row, *fields[1:]]))
 
 
 @dataclass(frozen=True)
@@ -196,21 +236,27 @@ def calibrate(sample: pd.DataFrame) -> Calibration:
     return Calibration(rate, log_k, float(max(w[0], 0.0)), float(w[1]), empty)
 
 
-def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:  # noqa: B008
-    """Score every whole text for toxicity.
+def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """Score every whole text for toxicity. No text is shuffled.
 
-    Labels are learned from at most `settings.labelled` rows outside the held-out third; token counts are taken over
-    all documents. Null and empty texts have no passage and get the rate at which documents without one are toxic; null
-    ids are scored and never held out; repeated rows are scored each; other columns are ignored; without labels the
-    score is a constant below one half; an empty table gives an empty result.
-    Returns `doc_id, held_out, score, tokens, best, passages`.
+    Labels are learned from at most `settings.labelled` ids outside the held-out third (of repeated ids all texts count, and
+    the calibration takes the one of the best passage); token counts are taken over all documents. Null and empty texts
+    have no passage and get the rate at which documents without one are toxic; null ids are scored and never held out; repeated rows are
+    scored each, by their own text; columns in `keep` are handed through, others ignored; without labels the score is a
+    constant below one half; an empty table gives an empty result.
+    Returns `doc_id, held_out, score, tokens, best, passages` and `_row`, a struct of `keep`.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row.alias("_row"))
     train = checkpointed(training_labels(labels.select(F.col(doc_id), F.col(label)), label, settings.labelled, doc_id))
     known = F.broadcast(train)  # `labelled` rows at most
-    counts = token_counts_by_label(rows.join(known, rows["doc_id"] == known["_doc"], "left"), settings)
-    scored = checkpointed(passages(rows, log_odds(counts, settings), settings))
-    law = calibrate(scored.join(known, scored["doc_id"] == known["_doc"]).select("tokens", "best", "_label").toPandas())
+    marked = rows.join(known, rows["doc_id"] == known["_doc"], "left")
+    tokens = toxic_tokens(marked.where("_label = 1"), settings)
+    scores = log_odds(*token_counts_by_label(marked, tokens, settings), settings)
+    sample = passages(marked.where("_label is not null").select("text", "doc_id", F.col("_label").alias("_row")), tokens, scores, settings)
+    sample = sample.groupBy("doc_id").agg(F.max(F.struct("best", "tokens", F.col("_row").alias("_label"))).alias("_most"))
+    law = calibrate(sample.select("_most.*").toPandas())  # a row for each labelled id
     logit = law.bits(F.col("tokens").cast("double"), F.col("best")) * law.slope + law.offset
     value = F.when(F.col("best") > 0, 1 / (1 + F.exp(-logit))).otherwise(F.lit(law.empty))
-    return scored.select("doc_id", F.coalesce(crc_mod3("doc_id") == 1, F.lit(False)).alias("held_out"), value.alias("score"), "tokens", "best", "passages")
+    scored = passages(rows, tokens, scores, settings)
+    return scored.select("doc_id", F.coalesce(crc_mod3("doc_id") == 1, F.lit(False)).alias("held_out"), value.alias("score"), "tokens", "best", "passages", "_row")
