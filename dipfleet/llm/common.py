@@ -117,9 +117,9 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix((prefix[ends] - prefix[starts]) * down[starts], seed)
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest index reachable over the links a-b among n nodes."""
-    label = np.arange(n)
+def local_components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """Smallest index reachable over the links a-b among n nodes, and over those that `label` stands for already."""
+    label = np.arange(n) if label is None else label.copy()
     while len(a):
         la, lb = label[a], label[b]
         apart = la != lb

@@ -60,95 +60,128 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def index_links(f: np.ndarray, group: np.ndarray, most: int, fanout: int = 8, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs within a group that differ in at most `most` bits.
+def index_classes(f: np.ndarray, group: np.ndarray, most: int, fanout: int = 8, chunk: int = 1 << 20) -> np.ndarray:
+    """The class of each fingerprint (the first place in it): those of a group that are linked at `most` or fewer bits.
 
-    `f` comes sorted by group and Gray rank. Each node of the index covers up to `fanout` nodes below it and keeps the
-    bits on which all of them agree (mask) and their values (pattern). A pair of nodes is dropped as soon as the bits
-    fixed in both differ in more than `most` places, with everything below it.
+    `f` holds a row of 64-bit words for each fingerprint and comes sorted by group and Gray rank. Each node of the index
+    covers up to `fanout` nodes below it and keeps the bits on which all of them agree (mask) and their values (pattern).
+    A pair of nodes is dropped as soon as the bits fixed in both differ in more than `most` places, with everything below
+    it, and also when all below it is one class already: a large family of copies is joined by few of its pairs.
     """
-    lows, patterns, masks, owners = [np.arange(len(f))], [f], [np.full(len(f), ~np.uint64(0))], [group]
+    patterns, masks, owners, lows = [f], [np.full(f.shape, ~np.uint64(0))], [group], [np.arange(len(f))]
     while len(owners[-1]) > len(np.unique(owners[-1])):
         own = owners[-1]
         first = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
         inside = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
         cut = np.flatnonzero(inside % fanout == 0)
-        ones, zeros = patterns[-1] & masks[-1], ~patterns[-1] & masks[-1]
-        ones, zeros = np.bitwise_and.reduceat(ones, cut), np.bitwise_and.reduceat(zeros, cut)
+        ones, zeros = np.bitwise_and.reduceat(patterns[-1] & masks[-1], cut), np.bitwise_and.reduceat(~patterns[-1] & masks[-1], cut)
         lows.append(cut)
         masks.append(ones | zeros)
         patterns.append(ones)
         owners.append(own[cut])
-    top = np.arange(len(owners[-1]))
-    work, found = [(len(lows) - 1, top, top)], []
+    top, step = np.arange(len(owners[-1])), max(1, chunk // fanout**2)
+    label = np.arange(len(f))
+    least, largest = [label] * len(lows), [label] * len(lows)  # of the classes below each node
+
+    def refresh() -> None:
+        least[0] = largest[0] = label
+        for level in range(1, len(lows)):
+            least[level], largest[level] = np.minimum.reduceat(least[level - 1], lows[level]), np.maximum.reduceat(largest[level - 1], lows[level])
+
+    refresh()
+    work = [(len(lows) - 1, top, top)]
     while work:
         level, a, b = work.pop()
         if level == 0:
             far = a != b
-            found.append((a[far], b[far]))
+            if far.any():
+                label = local_components(len(f), a[far], b[far], label)
+                refresh()
             continue
-        below = np.append(lows[level], len(owners[level - 1]))
-        for at in range(0, len(a), max(1, chunk // fanout**2)):
-            x, y = a[at : at + max(1, chunk // fanout**2)], b[at : at + max(1, chunk // fanout**2)]
-            left, wide = below[x], below[x + 1] - below[x]
-            right, broad = below[y], below[y + 1] - below[y]
-            i = np.repeat(left, wide) + np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
-            of = np.repeat(np.arange(len(x)), wide)
-            times = broad[of]
-            j = np.repeat(right[of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            i = np.repeat(i, times)
-            keep = i <= j
-            i, j = i[keep], j[keep]
-            down = level - 1
-            near = np.bitwise_count((patterns[down][i] ^ patterns[down][j]) & masks[down][i] & masks[down][j]) <= most
-            work.append((down, i[near], j[near]))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 2
-    return a, b
-
-
-def near_links(distinct: DataFrame, most: int = 2, blocks: int = 4) -> DataFrame:
-    """Links among different fingerprints (`f`) at `most` or fewer differing bits, as a forest for each shared pattern.
-
-    The upper nodes of the index are shared masked patterns: of `blocks` equal blocks of bits, two fingerprints within
-    `most` agree on some `blocks - most` of them. Every fingerprint is dealt to each such masked pattern; below a
-    pattern the fingerprints are sorted by Gray rank and searched through the hierarchy. A fingerprint has at most
-    1 + 64 + 2016 different ones within 2 bits, so a node of any size yields links in proportion to its fingerprints.
+        if len(a) > step:
+            work.append((level, a[step:], b[step:]))
+            a, b = a[:step], b[:step]
+        one = (least[level][a] == largest[level][a]) & (least[level][b] == largest[level][b]) & (least[level][a] == least[level][b])
+        a, b = a[~one], b[~one]
+        below, down = np.append(lows[level], len(owners[level - 1])), level - 1
+        wide, broad = below[a + 1] - below[a], below[b + 1] - below[b]
+        i = np.repeat(below[a] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
+        times = np.repeat(broad, wide)
+        j = np.repeat(np.repeat(below[b], wide) - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        i = np.repeat(i, times)
+        keep = i <= j
+        i, j = i[keep], j[keep]
+        near = np.bitwise_count((patterns[down][i] ^ patterns[down][j]) & masks[down][i] & masks[down][j]).sum(1, dtype=np.int64) <= most
+        i, j = i[near], j[near]
+        same = i == j  # what lies close in Gray order first
+        work += [(down, i[~same], j[~same]), (down, i[same], j[same])]
+    return label
+
+
+#: So many fingerprints below one shared pattern meet in a task; more are dealt in pairs of slices.
+SLICE = 1 << 17
+
+
+def pattern_classes(dealt: DataFrame, words: int, most: int, slice_rows: int = SLICE, every: int = 64) -> DataFrame:
+    """Classes below each shared pattern: `node, root, name` for all but the classes of one.
+
+    `dealt` has a row `node, name, f0, f1, ..` for each fingerprint and each node (shared pattern) that it lies under; names
+    and nodes are longs. Tasks sort them by Gray rank and search the hierarchy. A node of more than `slice_rows`, judged
+    by one fingerprint in `every`, is dealt into slices, and every pair of slices meets in a task of its own: no node is one
+    task, and none is cut short.
     """
-    width = 64 // blocks
-    masks = [sum(((1 << width) - 1) << (width * k) for k in kept) for kept in combinations(range(blocks), blocks - most)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    dealt = distinct.select("f", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("f").bitwiseAND(F.lit(m)).alias("pattern")) for k, m in enumerate(signed)])).alias("n")).select("n.mask", "n.pattern", "f")
+    columns = [f"f{k}" for k in range(words)]
+    some = dealt.where(F.pmod(F.xxhash64("name"), F.lit(every)) == 0)
+    large = some.groupBy("node").agg(F.ceil(F.count("*") * every / slice_rows).cast("int").alias("_slices")).where("_slices > 1")
+    dealt = dealt.join(F.broadcast(checkpointed(large)), "node", "left")  # a row for each `slice_rows` fingerprints at most
+    n = F.coalesce("_slices", F.lit(1))
+    dealt = dealt.withColumn("_i", F.pmod(F.xxhash64(*columns), n).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), n - 1)))
+    tile = F.when(n == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("_i", "_j"), F.greatest("_i", "_j")))
+    tiles = dealt.select(tile.alias("node"), "name", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def links(mask: np.ndarray, pattern: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            new = (np.diff(mask, prepend=-1) != 0) | (np.diff(pattern, prepend=0) != 0)
-            new[:1] = True
-            group = np.cumsum(new)
-            many = np.bincount(group)[group] > 1
-            f, group = f[many].view(np.uint64), group[many]
-            if not len(f):
+        held: list[pa.RecordBatch] = []  # of a node that may go on in the next batch
+
+        def classes(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            node = np.asarray(table.column("node"))
+            group = np.cumsum(np.append(True, node[1:] != node[:-1]))
+            many = np.flatnonzero(np.bincount(group)[group] > 1)
+            if not len(many):
                 return
-            order = np.lexsort((gray_rank(f), group))
-            f, group = f[order], group[order]
-            a, b = index_links(f, group, most)
-            label = local_components(len(f), a, b)
-            linked = np.flatnonzero(label != np.arange(len(f)))
-            yield pa.RecordBatch.from_arrays([pa.array(f[linked].view(np.int64)), pa.array(f[label[linked]].view(np.int64))], schema=schema)
+            f, group = np.stack([np.asarray(table.column(c)).view(np.uint64)[many] for c in columns], 1), group[many]
+            order = np.lexsort((*gray_rank(f).T[::-1], group))
+            label = index_classes(f[order], group[order], most)
+            linked = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+            rows, name = many[order], np.asarray(table.column("name"))
+            yield pa.RecordBatch.from_arrays([pa.array(node[rows[linked]]), pa.array(name[rows[label[linked]]]), pa.array(name[rows[linked]])], ["node", "root", "name"])
 
         for batch in batches:
-            rows = [np.concatenate([r, np.asarray(c).astype(np.int64)]) for r, c in zip(rest, batch.columns, strict=True)]
-            last = len(rows[0]) - 1  # the last pattern may go on in the next batch
-            whole = int(np.flatnonzero((rows[0] != rows[0][last]) | (rows[1] != rows[1][last]))[-1]) + 1 if ((rows[0] != rows[0][last]) | (rows[1] != rows[1][last])).any() else 0
-            if whole:
-                yield from links(*(r[:whole] for r in rows))
-            rest = [r[whole:] for r in rows]
-        if len(rest[0]):
-            yield from links(*rest)
+            node = np.asarray(batch.column(0))
+            new = np.flatnonzero(node[1:] != node[:-1]) + 1
+            cut = int(new[-1]) if len(new) else 0
+            if cut or (held and len(node) and held[-1].column(0)[-1].as_py() != node[0]):
+                yield from classes(pa.Table.from_batches(held + [batch.slice(0, cut)]))
+                held = []
+            if len(node):
+                held.append(batch.slice(cut))
+        if held:
+            yield from classes(pa.Table.from_batches(held))
+
+    return tiles.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, root long, name long")
 
-    return dealt.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(run, "a long, b long")
+
+def near_links(distinct: DataFrame, most: int = 2, blocks: int = 4, **slicing) -> DataFrame:
+    """Links among different fingerprints (`f`) at `most` or fewer differing bits, as a forest for each shared pattern.
+
+    The upper nodes of the index are shared masked patterns: of `blocks` equal blocks of bits, two fingerprints within
+    `most` agree on some `blocks - most` of them. Every fingerprint is dealt to each such masked pattern, so none is missed.
+    """
+    width = 64 // blocks
+    masks = [sum(((1 << width) - 1) << (width * k) for k in kept) for kept in combinations(range(blocks), blocks - most)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    nodes = F.array(*[F.xxhash64(F.lit(k), F.col("f").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
+    dealt = distinct.select(F.explode(nodes).alias("node"), F.col("f").alias("name"), F.col("f").alias("f0"))
+    return pattern_classes(dealt, 1, most, **slicing).where("root <> name").select(F.col("name").alias("a"), F.col("root").alias("b"))
 
 
 def near_texts(docs: DataFrame, *, shingle: int = 3, most: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -167,10 +200,3 @@ def near_texts(docs: DataFrame, *, shingle: int = 3, most: int = 2, doc_id: str
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined.join(smallest, "component").select("f", "component_id")
     return marked.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay: of each class the one of smallest id, once, and every row without an id; all columns kept."""
-    classes = near_texts(docs, doc_id=doc_id, **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.where(F.col(doc_id).isNotNull()).join(classes, docs[doc_id] == classes["_stays"], "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.where(F.col(doc_id).isNull()))  # one shuffle serves join and duplicates

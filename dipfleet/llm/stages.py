@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dipfleet.llm.common import table
 from dipfleet.llm.mixing import mixed
-from dipfleet.llm.nearcopies import deduplicated
+from dipfleet.llm.nearcopies import without_near_copies
 from dipfleet.llm.packing import pack
 from dipfleet.llm.queries import tokenizer_path
 from dipfleet.llm.suffixes import without_repeats
@@ -27,9 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of texts of similarity 0.8 and more (Jaccard, shingles of five words) stays, the one of
-    smallest id."""
-    return deduplicated(docs, shingle=5, least=0.8).select(*COLUMNS)
+    """One row of each class of texts of similarity 0.8 and more (Jaccard, shingles of five words) stays, the one of
+    smallest id; rows without an id are judged like any other."""
+    return without_near_copies(docs, shingle=5, least=0.8).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 from dipfleet.llm import nearcopies, stages
-from tests.llm.test_operators import DATA, frame, roots
+from tests.llm.test_operators import DATA, DOCS, frame, roots
 
 
 def text(rnd, n):
@@ -32,15 +34,20 @@ def planted(rnd, families, sizes=(40, 200)):
 
 
 def test_planted_copies_from_08_to_095_go(spark):
-    pairs = [p for p in planted(random.Random(31), 400) if 0.8 <= similarity(*p) <= 0.95]
-    assert len(pairs) > 100 and any(similarity(*p) < 0.83 for p in pairs)
+    """Candidates are found with a probability: of pairs at 0.8 and above at least 95 of 100 go, from 0.85 on 98 of 100."""
+    pairs = [p for p in planted(random.Random(31), 600) if 0.8 <= similarity(*p) <= 0.95]
+    assert len(pairs) > 150 and any(similarity(*p) < 0.83 for p in pairs)
     docs = frame(spark, [t for p in pairs for t in p])
     kept = {r.doc_id for r in stages.drop_near_copies(spark, docs, DATA).collect()}
-    assert kept == set(range(0, 2 * len(pairs), 2))
+    assert kept >= set(range(0, 2 * len(pairs), 2))
+    gone = [2 * i + 1 not in kept for i in range(len(pairs))]
+    close = [g for g, p in zip(gone, pairs) if similarity(*p) >= 0.85]
+    assert sum(gone) >= 0.95 * len(gone) and sum(close) >= 0.98 * len(close)
 
 
 def test_texts_below_08_stay_and_chains_are_one_class(spark):
-    """Chains: neighbours are similar, ends are not; the smallest key of a bucket need not be similar to all."""
+    """Chains: neighbours are similar, ends are not; the smallest key of a class need not be similar to all. No text goes
+    without a similar one of its class; nearly all that should go do."""
     rnd = random.Random(32)
     texts = [t for p in planted(rnd, 150, (20, 60)) for t in p]
     for _ in range(6):
@@ -53,15 +60,28 @@ def test_texts_below_08_stay_and_chains_are_one_class(spark):
     near = [(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i] or "", texts[j] or "") >= 0.8]
     want = set(roots(range(len(texts)), near).values())
     kept = {r.doc_id for r in stages.drop_near_copies(spark, frame(spark, texts), DATA).collect()}
-    assert kept == want
+    assert kept >= want and len(kept - want) <= 0.05 * (len(texts) - len(want))
+
 
+def test_no_unlike_text_is_lost_under_one_id_or_none(spark):
+    rnd = random.Random(33)
+    a, b, c = (" ".join(text(rnd, 50)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, c), (None, c), (None, a), (3, c.upper()), (None, None), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    kept = [(r.doc_id, r.text) for r in stages.drop_near_copies(spark, docs, DATA).collect()]
+    assert sorted(kept[:], key=str) in [sorted([(1, a), (1, b), (3, c.upper()), (None, x)], key=str) for x in (None, "")]
 
-def test_band_keys_do_not_depend_on_neighbours_or_case():
-    import numpy as np
 
-    texts = [b"a b c d e f g", b"", b"A  b C d\ne F g ", b"a b", b"a b c d e f h"]
+def test_wide_fingerprints_equal_a_plain_version_whatever_lies_beside():
+    rnd = random.Random(34)
+    texts = [b"a b c d e f g", b"", b"A  b C d\ne F g ", b"a b", b"a b c d e f h", " ".join(text(rnd, 70_000)).encode(), b"x y z " * 50]
     joined = np.frombuffer(b"".join(texts), np.uint8)
-    keys = nearcopies.band_keys(joined, np.cumsum([0, *map(len, texts)]))
+    found = nearcopies.wide_fingerprints(joined, np.cumsum([0, *map(len, texts)]))
     for i, t in enumerate(texts):
-        assert (nearcopies.band_keys(np.frombuffer(t, np.uint8), np.array([0, len(t)])) == keys[i]).all()
-    assert (keys[0] == keys[2]).all() and not keys[1].any() and (keys[0] != keys[3]).any()
+        assert (nearcopies.wide_fingerprints(np.frombuffer(t, np.uint8), np.array([0, len(t)])) == found[i]).all()
+    assert (found[0] == found[2]).all() and not found[1].any() and (found[0] != found[3]).any()
+
+
+def test_masks_are_the_same_everywhere():
+    masks = nearcopies.sampled_masks()
+    assert (np.bitwise_count(masks).sum(1) == nearcopies.BITS).all() and (masks == nearcopies.sampled_masks()).all()

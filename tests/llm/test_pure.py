@@ -109,17 +109,22 @@ def test_fingerprints_equal_a_plain_version():
         assert simhash.fingerprint(text.encode(), 3) == want
 
 
-def test_index_links_find_every_pair():
+def test_index_classes_are_those_of_every_pair():
+    """Also of several words, in chunks of any size."""
     rng = np.random.default_rng(8)
-    for most in (0, 2, 5):
-        centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
-        f = np.unique(np.concatenate([centres, *[centres ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, k))) for k in (1, 2, 2, 3, 4) for _ in range(5)]]))
+    for most, chunk in ((0, 64), (2, 64), (5, 1 << 20), (3, 9)):
+        centres = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+        flips = np.zeros((45, 2), np.uint64)
+        for n, row in enumerate(flips):
+            for bit in rng.integers(0, 128, (1, 2, 2, 3, 4)[n % 5]):
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        f = np.unique(np.concatenate([centres, *[centres[rng.integers(0, 12, 3)] ^ x for x in flips]]), axis=0)
         group = rng.integers(0, 2, len(f))
-        order = np.lexsort((simhash.gray_rank(f), group))
+        order = np.lexsort((*simhash.gray_rank(f).T[::-1], group))
         f, group = f[order], group[order]
-        a, b = simhash.index_links(f, group, most, fanout=3, chunk=64)
-        want = {(i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if group[i] == group[j] and bin(int(f[i] ^ f[j])).count("1") <= most}
-        assert len(a) == len(want) and set(zip(a.tolist(), b.tolist())) == want
+        apart = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+        a, b = np.nonzero((apart <= most) & (group[:, None] == group[None]))
+        assert (simhash.index_classes(f, group, most, fanout=3, chunk=chunk) == common.local_components(len(f), a, b)).all()
 
 
 def test_tile_top_with_ties():
