@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +91,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     """Tokenize every whole text, append `end_id` and cut the ids into pieces whose lengths are powers of two.
 
     Every piece is a sequence by itself, so no sequence crosses documents and none is padded; `bucket` (log2 of the
-    length) says which sequences batch together. Map-only: sequence numbers count up from a base for each input partition.
+    length) says which sequences batch together, and sequence numbers run within a bucket: all those of one length lie
+    between bucket << 56 and the next, counted up from a base for each input partition. Map-only.
     A null or empty text gives the single id `end_id`; repeated rows are packed each; a null id stays null; an empty
     table gives an empty result; other columns are ignored. `longest` is a power of two.
     Returns `doc_id, start, length, bucket, ids (binary, little-endian unsigned 32 bits), doc_tokens, sequence_id, offset`.
@@ -100,11 +102,12 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(tokenizer)
+        ids, base = ids_of(tokenizer), TaskContext.get().partitionId() << 32
+        fresh = [(bucket << 56) + base for bucket in range(longest.bit_length())]
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                rows, starts, lengths, pieces, totals = [], [], [], [], []
+                rows, starts, lengths, pieces, totals, numbers = [], [], [], [], [], []
                 for k, text_ in enumerate(part.column(1).to_pylist()):
                     of = ids.of(text_ or "") + end
                     at = 0
@@ -114,12 +117,14 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
                         lengths.append(n)
                         pieces.append(of[4 * at : 4 * (at + n)])
                         totals.append(len(of) // 4)
+                        numbers.append(fresh[n.bit_length() - 1])
+                        fresh[n.bit_length() - 1] += 1
                         at += n
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([n.bit_length() - 1 for n in lengths], pa.int32()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64())],
-                    ["doc_id", "start", "length", "bucket", "ids", "doc_tokens"],
+                    [part.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([n.bit_length() - 1 for n in lengths], pa.int32()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64()), pa.array(numbers, pa.int64())],
+                    ["doc_id", "start", "length", "bucket", "ids", "doc_tokens", "sequence_id"],
                 )
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = source.mapInArrow(run, "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long")
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pieces = source.mapInArrow(run, "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long, sequence_id long")
+    return pieces.withColumn("offset", F.lit(0).cast("long"))

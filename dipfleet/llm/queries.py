@@ -130,7 +130,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dipfleet.llm.packing import pack
 
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), longest=2048)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

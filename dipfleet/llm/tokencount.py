@@ -14,6 +14,55 @@ from pyspark.sql import functions as F
 _NONE = np.iinfo(np.int32).max
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a serialized message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            at += 1
+            n |= (raw[at - 1] & 127) << shift
+            shift += 7
+            if raw[at - 1] < 128:
+                return n
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            at += size
+            yield key >> 3, raw[at - size : at]
+
+
+#: Numbers of the fields read from a piece model: pieces (and their type), trainer (type, blanks at the end), normalizer.
+PIECE, TRAINER, NORMALIZER = 1, 2, 3
+PIECE_TYPE, USER_DEFINED, MODEL_TYPE, BPE, BLANK_AT_END, CHARACTER_MAP, DUMMY_PREFIX, FEWER_BLANKS = 3, 4, 3, 2, 24, 2, 3, 4
+
+
+def require_plain_bpe(raw: bytes) -> None:
+    """Raise where a model does what `Pieces` does not count: another algorithm, a normalizer, pieces defined by users."""
+    trainer, normalizer, wrong = {}, {}, []
+    for field, value in _fields(raw):
+        if field == TRAINER:
+            trainer = dict(_fields(value))
+        elif field == NORMALIZER:
+            normalizer = dict(_fields(value))
+        elif field == PIECE and dict(_fields(value)).get(PIECE_TYPE, 1) == USER_DEFINED and "user-defined pieces" not in wrong:
+            wrong.append("user-defined pieces")
+    if trainer.get(MODEL_TYPE, 1) != BPE:
+        wrong.append("not byte-pair merges")
+    if trainer.get(BLANK_AT_END, 0):
+        wrong.append("blanks at the end of pieces")
+    if normalizer.get(CHARACTER_MAP) or not normalizer.get(DUMMY_PREFIX, 1) or normalizer.get(FEWER_BLANKS, 1):
+        wrong.append("a normalizer")
+    if wrong:
+        raise ValueError(f"cannot count with this piece model: {', '.join(wrong)}")
+
+
 class Pieces:
     """The merges of a byte-fallback piece model as arrays: a pair of symbols that joins to a piece, and its rank."""
 
@@ -24,6 +73,7 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        require_plain_bpe(sp.serialized_model_proto())
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         texts = [sp.id_to_piece(i) for i in plain]
         ids = {t: k for k, t in enumerate(texts)}

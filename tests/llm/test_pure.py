@@ -179,3 +179,19 @@ def test_term_counts_do_not_depend_on_neighbours():
         assert (quality.term_counts(*pack_bytes([t]))[0] == whole[i]).all()
     assert whole[0][-1] == 3 and whole[0][-3] == 1 and whole[0][-2] == 1
     assert mixing.BROADCAST_SOURCES
+
+
+def test_other_piece_models_are_refused():
+    import sentencepiece
+
+    from dipfleet.llm.queries import tokenizer_path
+
+    raw = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model")).serialized_model_proto()
+    tokencount.require_plain_bpe(raw)
+
+    def message(field, body):
+        return bytes([field << 3 | 2, len(body)]) + body
+
+    for extra, why in ((message(1, b"\x0a\x01x\x18\x04"), "user-defined"), (message(2, b"\x18\x01"), "merges"), (message(3, b"\x12\x02ab\x20\x00"), "normalizer"), (message(3, b""), "normalizer")):
+        with pytest.raises(ValueError, match=why):
+            tokencount.require_plain_bpe(raw + extra)
