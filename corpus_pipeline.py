@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipfleet.llm.common import shared_folder, table
+from dipfleet.llm.common import remove_folder, shared_folder, table
 from dipfleet.llm.stages import cut_repeats, drop_near_copies, drop_toxic, mix_sources, pack_sequences
 
 STAGES = [
@@ -22,9 +22,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`; each result is written as Parquet in the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Apply the stages to `documents`; each result is written as Parquet in the shared folder and read again, and deleted
+    once the next one is written."""
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{folder}/{name}"
     return docs
