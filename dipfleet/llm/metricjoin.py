@@ -24,13 +24,42 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "vec_id", vector: str = "embedding", cell_rows: int = 4096, most_pivots: int = 8192, tile: int = 4096) -> DataFrame:
+#: Pivots whose distances leave out pairs within a tile.
+REFERENCES = 32
+
+
+def in_reach(block: np.ndarray, others: np.ndarray, reach: float) -> np.ndarray:
+    """Which of `others` may lie within `reach` of a vector of the block, given the distances of both to the same pivots: by
+    the triangle inequality the distances of a near pair differ by `reach` at most, whatever the pivot."""
+    low, high = block.min(0) - reach - 1e-6, block.max(0) + reach + 1e-6
+    return np.flatnonzero(((others >= low) & (others <= high)).all(1))
+
+
+def pruned_blocks(d: np.ndarray, others: np.ndarray, reach: float, rows: int = 256, fine: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of vectors, each with those of `others` that pivots do not keep away from it. Vectors with the same nearest pivot
+    follow each other; where pivots keep any away at all, a block is cut into fine ones if these see less than half as much."""
+    if not len(d) or not len(others):
+        return
+    order = np.lexsort((d.min(1), d.argmin(1)))
+    for at in range(0, len(order), rows):
+        block = order[at : at + rows]
+        some = in_reach(d[block], others, reach)
+        parts = [block[k : k + fine] for k in range(0, len(block), fine)] if len(some) < 0.95 * len(others) else []
+        seen = [in_reach(d[part], others[some], reach) for part in parts]
+        if parts and 2 * sum(len(part) * len(s) for part, s in zip(parts, seen, strict=True)) < len(block) * len(some):
+            yield from ((part, some[s]) for part, s in zip(parts, seen, strict=True))
+        else:
+            yield block, some
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "vec_id", vector: str = "embedding", cell_rows: int = 16384, most_pivots: int = 8192, tile: int = 16384) -> DataFrame:
     """Link all pairs of vectors with cosine >= threshold, in double precision, and join links to classes.
 
     Equal vectors are one row with a multiplicity. At most `most_pivots` of the different vectors, by the order of a
     hash, are pivots: each vector lives in the cell of its nearest pivot and is copied to those cells where, by the
     triangle inequality, a vector within range may live. A cell joins its own vectors with all it holds, in tiles of
     at most `tile` x `tile` vectors that go to different tasks, and gives link counts and local classes, never all pairs.
+    Within a tile the distances to further pivots leave out what cannot be near before any product.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and are classes of their own.
     Vectors of different lengths never link. A null id is kept as a class without id; repeated rows count as vectors of
@@ -121,17 +150,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "
         fits_a, fits_b = size_a <= w, size_b <= w
         a, b = a[:, :w], b[:, :w]
         # products in single precision leave out what is surely below; what is near or above is decided in double
-        fast_a, fast_b, margin = a.astype(np.float32), b.astype(np.float32).T.copy(), 1e-6 * (w + 16)
+        p = np.pad(shared.value, ((0, 0), (0, max(0, w - shared.value.shape[1]))))[:, :w]
+        p = _unit(p[np.argsort(_distances(p[left.column("cell")[0].as_py()][None], p)[0], kind="stable")[:REFERENCES]])
+        from_a, from_b = _distances(a, p), _distances(b, p)
+        fast_a, fast_b, margin = a.astype(np.float32), b.astype(np.float32), 1e-6 * (w + 16)
         links, pairs = np.zeros(len(ids_a), np.int64), []
-        for at in range(0, len(ids_a), 256):
-            i, j = np.nonzero(fast_a[at : at + 256] @ fast_b >= threshold - margin)
-            i += at
-            for some in range(0, len(i), 1 << 18):
-                p, q = i[some : some + (1 << 18)], j[some : some + (1 << 18)]
-                near = (np.einsum("ij,ij->i", a[p], b[q]) >= threshold) & (size_a[p] == size_b[q]) & fits_a[p] & fits_b[q]
-                p, q = p[near], q[near]
-                links += np.bincount(p, copies[q], len(links)).astype(np.int64)
-                pairs.append((p, q))
+        for block, some in pruned_blocks(from_a, from_b, reach):
+            i, j = np.nonzero(fast_a[block] @ (fast_b if len(some) == len(fast_b) else fast_b[some]).T >= threshold - margin)
+            i, j = block[i], some[j]
+            for k in range(0, len(i), 1 << 18):
+                x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
+                near = (np.einsum("ij,ij->i", a[x], b[y]) >= threshold) & (size_a[x] == size_b[y]) & fits_a[x] & fits_b[y]
+                x, y = x[near], y[near]
+                links += np.bincount(x, copies[y], len(links)).astype(np.int64)
+                pairs.append((x, y))
         i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int),) * 2
         nodes, at = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
         label = local_components(len(nodes), at[: len(ids_a)][i], at[len(ids_a) :][j])

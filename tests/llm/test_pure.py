@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from dipfleet.llm import common, mixing, packing, quality, sharding, simhash, suffixes, tokencount, topk, toxicity
+from dipfleet.llm import common, metricjoin, mixing, packing, quality, sharding, simhash, suffixes, tokencount, topk, toxicity
 from dipfleet.llm.queries import tokenizer_path
 
 
@@ -195,3 +195,18 @@ def test_other_piece_models_are_refused():
     for extra, why in ((message(1, b"\x0a\x01x\x18\x04"), "user-defined"), (message(2, b"\x18\x01"), "merges"), (message(3, b"\x12\x02ab\x20\x00"), "normalizer"), (message(3, b""), "normalizer")):
         with pytest.raises(ValueError, match=why):
             tokencount.require_plain_bpe(raw + extra)
+
+
+def test_pivots_leave_out_most_pairs_of_clustered_vectors():
+    """No near pair is left out, and on clusters less than a tenth of all pairs would reach a product."""
+    rng = np.random.default_rng(13)
+    centres = rng.normal(size=(60, 24))
+    x = metricjoin._unit(centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 24)) * 0.1)
+    d = metricjoin._distances(x, x[:32])
+    reach, tried, seen = float(np.sqrt(0.1)), 0, []
+    for block, some in metricjoin.pruned_blocks(d, d, reach):
+        tried += len(block) * len(some)
+        seen.append(block)
+        near = np.flatnonzero((x[block] @ x.T >= 0.95).any(0))
+        assert np.isin(near, some).all()
+    assert sorted(np.concatenate(seen)) == list(range(6000)) and tried < 0.1 * 6000**2
