@@ -28,3 +28,17 @@ def test_bundles_keep_large_groups_apart():
     sums = [rnd.randint(1, 100) for _ in range(500)] + [10_000, 3_000]
     place = sharding.bundled(sums, 16)
     assert [place.count(place[i]) for i in (-1, -2)] == [1, 1] and set(place) == set(range(16))
+
+
+@pytest.mark.parametrize("items", [sharding.ITEMS, 1000])
+def test_heavy_tails_are_as_tight_as_differencing_of_all_groups(spark, items):
+    """Pareto sizes: many small groups and a few large ones; items=1000: most are bundled by tasks first."""
+    rnd = random.Random(43)
+    sizes = [min(int(30 * rnd.paretovariate(1.1)), 200_000) for _ in range(12_000)]
+    docs = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "doc_id long, n int").selectExpr("doc_id", "rpad(concat(doc_id, ' '), n, 'x') as text").repartition(6)
+    load = sharding.shard(docs, 8, items=items).groupBy("shard").agg({"size": "sum"}).toPandas()["sum(size)"]
+    mean = load.sum() / 8
+    real = [r.size for r in docs.selectExpr("octet_length(text) + 1 as size").collect()]
+    whole, _ = sharding.difference([[n] + [0] * 7 for n in real])
+    assert sum(whole) == load.sum()
+    assert load.max() - load.min() <= max(0.001 * mean, 2 * (max(whole) - min(whole)))
