@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from dipfleet.llm.common import checkpointed, mix, parts, prefix_hash, span_hash, word_spans
 from dipfleet.llm.components import components
@@ -198,15 +198,15 @@ def links(marked: DataFrame, docs: DataFrame, *, shingle: int = 5, least: float
     return found.unionByName(_verified(crossed, texts, shingle, least))
 
 
-def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each class of similar texts stays: the one of smallest id (none counts as larger than any), once; all
-    columns kept.
+def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each class of similar texts stays: the one of smallest id (none counts as larger than any), once. Returns
+    the id, the text and the columns in `keep`.
 
     Texts of equal words are one class whatever their number, and so are texts without words. Rows are chosen by id and
     words together, so unlike texts under one id, or under none, are judged each by itself; of rows whose texts differ in case
     or white space alone under one id any one stays. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
     marked = checkpointed(_marked(rows, shingle))
     classes = components(links(marked, rows, shingle=shingle, least=least))
     named = marked.join(classes, marked["key"] == classes["node"], "left").select("doc_id", "slot", F.coalesce("component", "key").alias("component"))
@@ -215,8 +215,8 @@ def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in parts(batches, "text"):
             slots = [_slot(_digest(w), d) for w, d in zip(_words(buf, offsets), part.column(0).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), part.column(2)], ["slot", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), *part.columns], ["slot", *part.schema.names])
 
-    slotted = rows.mapInArrow(run, StructType([marked.schema["slot"], StructField("row", rows.schema["row"].dataType)]))
+    slotted = rows.mapInArrow(run, StructType([marked.schema["slot"], *rows.schema.fields]))
     once = slotted.dropDuplicates(["slot"])  # copies of a task are one row before the shuffle, which serves the join too
-    return once.join(stays, once["slot"] == stays["_stays"], "left_semi").select("row.*")
+    return once.join(stays, once["slot"] == stays["_stays"], "left_semi").select(F.col("doc_id").alias(doc_id), F.col("text").alias(text), *[F.col(f"row.{c}").alias(c) for c in keep])

@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dipfleet.llm.common import release_memory
+
 #: How a byte-level model splits a text into pre-tokens: a fixed pattern of the public vocabulary, and the same pattern
 #: for texts of ASCII and Latin letters alone, which the standard library matches faster.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -124,6 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
                     [part.column(0).take(pa.array(rows, pa.int32())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array([n.bit_length() - 1 for n in lengths], pa.int32()), pa.array(pieces, pa.binary()), pa.array(totals, pa.int64()), pa.array(numbers, pa.int64())],
                     ["doc_id", "start", "length", "bucket", "ids", "doc_tokens", "sequence_id"],
                 )
+            release_memory()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = source.mapInArrow(run, "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long, sequence_id long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipfleet.llm.common import checkpointed, flat, local_components
+from dipfleet.llm.common import checkpointed, flat, local_components, release_memory
 from dipfleet.llm.components import components
 
 
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, *, doc_id: str = "doc_id", t
                 raw = buf.tobytes()
                 f = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(f.view(np.int64))], ["doc_id", "f"])
+            release_memory()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, f long")
 

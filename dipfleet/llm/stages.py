@@ -22,14 +22,15 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity reaches 0.7 go, each by its own text, with or without an id; labels, priors and calibration are
     learned on this stage's own input. Rows whose text has no toxic passage always stay."""
-    scored = score(docs, table(spark, sf_dir, "labels"), keep=tuple(COLUMNS))
-    return scored.where("score < 0.7 or best <= 0").select("_row.*")
+    others = tuple(c for c in COLUMNS if c != "text")
+    scored = score(docs, table(spark, sf_dir, "labels"), keep=others, carry_text=True)
+    return scored.where("score < 0.7 or best <= 0").select(*["text" if c == "text" else f"_row.{c}" for c in COLUMNS])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of texts of similarity 0.8 and more (Jaccard, shingles of five words) stays, the one of
     smallest id; rows without an id are judged like any other."""
-    return without_near_copies(docs, shingle=5, least=0.8).select(*COLUMNS)
+    return without_near_copies(docs, shingle=5, least=0.8, keep=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

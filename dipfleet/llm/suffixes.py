@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from dipfleet.llm.common import flat, mix, prefix_hash, slices, span_hash
+from dipfleet.llm.common import flat, mix, prefix_hash, release_memory, slices, span_hash
 
 _NO_ID = np.iinfo(np.int64).max  # of a document without id: larger than every id
 _ONE = np.uint64(1)
@@ -435,6 +435,16 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     rows = docs.select(block.alias("_block"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row.alias("_row")).repartition(tasks, "_block")
     kept_type = rows.schema["_row"].dataType
 
+    def step(name: str):
+        """A step of one group, after which its memory is given back."""
+
+        def run(*groups: pa.Table) -> pa.Table:
+            out = finish(*groups) if name == "finish" else getattr(steps, name)(*groups)
+            release_memory()
+            return out
+
+        return (lambda a, b: run(a, b)) if name in ("strings", "answers", "relayed", "finish") else (lambda t: run(t))
+
     def side() -> GroupedData:  # the same plan each time, so that one shuffle of the texts serves all steps
         return rows.toDF(*names).groupBy("_block")
 
@@ -457,19 +467,19 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
         return pa.table([docs_.column("_id"), *map(pa.array, counts), pa.array(kept, pa.binary()), docs_.column("_row")], names=empty.schema.names)
 
     empty = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("_row", to_arrow_type(kept_type))]).empty_table()
-    hashes = side().applyInArrow(lambda t: steps.anchors(t), MESSAGE)
-    shared = to(hashes, "bucket").applyInArrow(lambda t: steps.shared(t), MESSAGE)
-    strings = side().cogroup(to(shared, "block")).applyInArrow(lambda a, b: steps.strings(a, b), MESSAGE)
+    hashes = side().applyInArrow(step("anchors"), MESSAGE)
+    shared = to(hashes, "bucket").applyInArrow(step("shared"), MESSAGE)
+    strings = side().cogroup(to(shared, "block")).applyInArrow(step("strings"), MESSAGE)
 
     def received(low: int, past: int) -> GroupedData:
         """Strings for some buckets. A condition that is not deterministic stays above the shuffle, so one serves all uses."""
         wanted = F.when(F.spark_partition_id() >= 0, F.col("bucket").between(low, past - 1))
         return strings.toDF(*_SCHEMA.names).repartition(tasks, "bucket").where(wanted).groupBy("bucket")
 
-    combined = received(steps.first, 1 << 62).applyInArrow(lambda t: steps.combined(t), MESSAGE)
-    answers = received(0, steps.first).cogroup(to(combined, "bucket")).applyInArrow(lambda a, b: steps.answers(a, b), MESSAGE)
-    relayed = received(steps.first, 1 << 62).cogroup(to(answers, "block")).applyInArrow(lambda a, b: steps.relayed(a, b), MESSAGE)
+    combined = received(steps.first, 1 << 62).applyInArrow(step("combined"), MESSAGE)
+    answers = received(0, steps.first).cogroup(to(combined, "bucket")).applyInArrow(step("answers"), MESSAGE)
+    relayed = received(steps.first, 1 << 62).cogroup(to(answers, "block")).applyInArrow(step("relayed"), MESSAGE)
     told = shared.unionByName(relayed)
     schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType()), StructField("_row", kept_type)])
-    out = side().cogroup(to(told, "block")).applyInArrow(finish, schema)
+    out = side().cogroup(to(told, "block")).applyInArrow(step("finish"), schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"_row.{c}").alias(c) for c in keep])

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dipfleet.llm.common import release_memory
+
 _NONE = np.iinfo(np.int32).max
 
 
@@ -198,6 +200,7 @@ def token_counts(docs: DataFrame, model: str, *, doc_id: str = "doc_id", text: s
                 part = batch.slice(i, 512)
                 n = pa.array(model_.count(part.column(2).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n], ["doc_id", "n_bytes", "n_tokens"])
+            release_memory()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     return source.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -152,8 +152,8 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for low, high, a, b in found]
 
 
-def passages(docs: DataFrame, tokens: np.ndarray, scores: np.ndarray, settings: Settings) -> DataFrame:
-    """Every document (`doc_id, text, _row`) with its number of tokens, its best passage score and all passages of at least
+def passages(docs: DataFrame, tokens: np.ndarray, scores: np.ndarray, settings: Settings, carry_text: bool = False) -> DataFrame:
+    """Every document (`doc_id, text, _row`; the text comes back only if it is to be carried) with its number of tokens, its best passage score and all passages of at least
     `settings.least`. Tokens of score 0 count as any other word."""
     shared = docs.sparkSession.sparkContext.broadcast((tokens[scores > 0], scores[scores > 0]))
     least = settings.least
@@ -189,12 +189,12 @@ def passages(docs: DataFrame, tokens: np.ndarray, scores: np.ndarray, settings:
                         if score >= least:
                             spans[of].append({"start": int(starts[at[first // 2]]) - base, "end": int(ends[at[(past - 1) // 2]]) - base, "score": score})
             yield pa.RecordBatch.from_arrays(
-                [rows.column(1), rows.column(2), pa.array(tokens, pa.int64()), pa.array(best), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
-                ["doc_id", "_row", "tokens", "best", "passages"],
+                [*([rows.column(0)] if carry_text else []), rows.column(1), rows.column(2), pa.array(tokens, pa.int64()), pa.array(best), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))],
+                [*(["text"] if carry_text else []), "doc_id", "_row", "tokens", "best", "passages"],
             )
 
     fields = StructType.fromDDL(found).fields
-    return docs.select("text", "doc_id", "_row").mapInArrow(run, StructType([fields[0], row, *fields[1:]]))
+    return docs.select("text", "doc_id", "_row").mapInArrow(run, StructType([*([docs.schema["text"]] if carry_text else []), fields[0], row, *fields[1:]]))
 
 
 @dataclass(frozen=True)
@@ -236,7 +236,7 @@ def calibrate(sample: pd.DataFrame) -> Calibration:
     return Calibration(rate, log_k, float(max(w[0], 0.0)), float(w[1]), empty)
 
 
-def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: tuple[str, ...] = (), carry_text: bool = False) -> DataFrame:  # noqa: B008
     """Score every whole text for toxicity. No text is shuffled.
 
     Labels are learned from at most `settings.labelled` ids outside the held-out third (of repeated ids all texts count, and
@@ -244,7 +244,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     have no passage and get the rate at which documents without one are toxic; null ids are scored and never held out; repeated rows are
     scored each, by their own text; columns in `keep` are handed through, others ignored; without labels the score is a
     constant below one half; an empty table gives an empty result.
-    Returns `doc_id, held_out, score, tokens, best, passages` and `_row`, a struct of `keep`.
+    Returns `doc_id, held_out, score, tokens, best, passages`, `_row` (a struct of `keep`) and, if it is carried, `text`.
     """
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row.alias("_row"))
@@ -258,5 +258,5 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     law = calibrate(sample.select("_most.*").toPandas())  # a row for each labelled id
     logit = law.bits(F.col("tokens").cast("double"), F.col("best")) * law.slope + law.offset
     value = F.when(F.col("best") > 0, 1 / (1 + F.exp(-logit))).otherwise(F.lit(law.empty))
-    scored = passages(rows, tokens, scores, settings)
-    return scored.select("doc_id", F.coalesce(crc_mod3("doc_id") == 1, F.lit(False)).alias("held_out"), value.alias("score"), "tokens", "best", "passages", "_row")
+    scored = passages(rows, tokens, scores, settings, carry_text)
+    return scored.select(*(["text"] if carry_text else []), "doc_id", F.coalesce(crc_mod3("doc_id") == 1, F.lit(False)).alias("held_out"), value.alias("score"), "tokens", "best", "passages", "_row")
