@@ -146,22 +146,31 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix((prefix[ends] - prefix[starts]) * down[starts], seed)
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest index reachable over the links a-b among n nodes, and over those that `label` stands for already."""
-    label = np.arange(n) if label is None else label.copy()
+def joined_classes(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes (each node's smallest member) after the links a-b, and those of the links that joined two of them: a forest."""
+    label, left, right = label.copy(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(a):
         la, lb = label[a], label[b]
         apart = la != lb
         if not apart.any():
             break
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        a, b, high, low = a[apart], b[apart], np.maximum(la, lb)[apart], np.minimum(la, lb)[apart]
+        order = np.lexsort((low, high))
+        first = order[np.append(True, high[order][1:] != high[order][:-1])]
+        label[high[first]] = low[first]
+        left.append(a[first])
+        right.append(b[first])
         while True:
             up = label[label]
             if (up == label).all():
                 break
             label = up
-    return label
+    return label, np.concatenate(left), np.concatenate(right)
+
+
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index reachable over the links a-b among n nodes."""
+    return joined_classes(np.arange(n), a, b)[0]
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows: int, per_bucket: int = 20_000) -> DataFrame:

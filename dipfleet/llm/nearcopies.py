@@ -14,12 +14,13 @@ from pyspark.sql.types import StructType
 
 from dipfleet.llm.common import checkpointed, mix, parts, prefix_hash, span_hash, word_spans
 from dipfleet.llm.components import components
-from dipfleet.llm.simhash import pattern_classes
+from dipfleet.llm.simhash import pattern_links
 
 #: 64-bit words of a fingerprint. Texts of similarity 0.8 differ in some 39 +- 6 of its 256 bits, unlike ones in 128 +- 8.
 WORDS = 4
-#: Candidates differ in so many bits at most.
-MOST = 60
+#: Texts whose fingerprints differ in so few bits are near copies (at a similarity of 0.7 one pair of a thousand does). Beyond, the
+#: index links them by rising distance, and each link is checked on the words; unlike texts never come near the last tier.
+TIERS = (30, 36, 42, 48, 60)
 #: Upper nodes of the index: every fingerprint lies under MASKS patterns of BITS bits each. A pair of similarity 0.8 agrees on
 #: one of them with probability 0.95, at 0.85 with 0.99, at 0.9 with more than 0.999. Beyond some billions of different
 #: texts, add two bits and 1.4 times the masks for each fourfold growth, so that patterns stay as rare.
@@ -94,12 +95,16 @@ def _digest(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
+def _name(key: bytes) -> int:
+    return struct.unpack_from("<q", key)[0]
+
+
 def _slot(key: bytes, doc_id: int | None) -> bytes:
     return key if doc_id is None else key + struct.pack("<q", doc_id)
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """`doc_id, key` (of the words of the text), `slot` (key and id), `worded` and the fingerprint."""
+    """`doc_id, name` (of the words of the text), `slot` (words and id), `worded` and the fingerprint."""
     names = [f"f{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +113,9 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
             keys = [_digest(w) for w in words]
             slots = [_slot(k, d) for k, d in zip(keys, part.column(0).to_pylist(), strict=True)]
             f = wide_fingerprints(buf, offsets, shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(slots, pa.binary()), pa.array([bool(w) for w in words]), *(pa.array(f[:, k].copy()) for k in range(WORDS))], ["doc_id", "key", "slot", "worded", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_name(k) for k in keys], pa.int64()), pa.array(slots, pa.binary()), pa.array([bool(w) for w in words]), *(pa.array(f[:, k].copy()) for k in range(WORDS))], ["doc_id", "name", "slot", "worded", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, slot binary, worded boolean, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, name long, slot binary, worded boolean, " + ", ".join(f"{n} long" for n in names))
 
 
 def _nodes(distinct: DataFrame) -> DataFrame:
@@ -136,15 +141,15 @@ def _nodes(distinct: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`key, text` of the wanted keys, each once."""
+    """`name, text` (words) of the wanted names, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offsets in parts(batches, "text"):
             words = _words(buf, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())], ["key", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(_digest(w)) for w in words], pa.int64()), pa.array(words, pa.binary())], ["name", "text"])
 
-    texts = docs.select("text").mapInArrow(run, "key binary, text binary")
-    return texts.join(wanted.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k"), "left_semi").dropDuplicates(["key"])
+    texts = docs.select("text").mapInArrow(run, "name long, text binary")
+    return texts.join(wanted.withColumnRenamed("name", "_k"), F.col("name") == F.col("_k"), "left_semi").dropDuplicates(["name"])
 
 
 def _with_text(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
@@ -152,7 +157,7 @@ def _with_text(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
     counts = pairs.groupBy(side).agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("_n"))
     other = "b" if side == "a" else "a"
     dealt = pairs.join(counts, side).withColumn("_s", F.pmod(F.xxhash64(other), F.col("_n")).cast("int")).drop("_n")
-    copies = texts.join(counts, texts["key"] == counts[side]).select(F.col("key").alias(side), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.col("text").alias(f"text_{side}"))
+    copies = texts.join(counts, texts["name"] == counts[side]).select(F.col("name").alias(side), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.col("text").alias(f"text_{side}"))
     return dealt.join(copies, [side, "_s"]).drop("_s")
 
 
@@ -167,35 +172,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
                 yield part.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     both = _with_text(_with_text(pairs, texts, "b"), texts, "a").select("a", "b", "text_a", "text_b")
-    return checkpointed(both.mapInArrow(run, "a binary, b binary"))
+    return checkpointed(both.mapInArrow(run, "a long, b long"))
 
 
 def links(marked: DataFrame, docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """Links between keys that have the components of all similar pairs that the index finds.
+    """Links `a, b` between names whose components are the classes of similar texts.
 
-    Below each pattern the index gives classes of close fingerprints. First every member is held against the smallest key
-    of its class. Then, in classes that these links leave in several components, every key outside the largest of them is
-    held against all keys of other components that are close. So a large family of copies gives links in proportion to
-    its size, and no pair that the index finds is passed over unless it is joined already.
+    Below each pattern the index joins close fingerprints to classes, and those by a forest of about the least distances.
+    Links of the forest that the sure ones do not imply are checked on the words. So a family of copies of any size costs links
+    in proportion to it; every pattern gives a forest of its own, so a text is held against its neighbours of many.
     """
-    names = [f"f{k}" for k in range(WORDS)]
-    distinct = marked.where("worded").select("key", F.xxhash64("key").alias("name"), *names).dropDuplicates(["key"])
-    classes = pattern_classes(_nodes(distinct), WORDS, MOST).select(F.xxhash64("node", "root").alias("class"), "name")
-    dealt = checkpointed(classes.join(distinct.select("name", "key"), "name").select("class", "key"))
-    dealt = dealt.join(dealt.groupBy("class").agg(F.min("key").alias("lead")), "class")
-    texts = checkpointed(_texts(docs, dealt.select("key").distinct()))
-    tried = checkpointed(dealt.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct())
-    found = _verified(tried, texts, shingle, least)
-    joined = components(found)
-    placed = checkpointed(dealt.join(joined, dealt["key"] == joined["node"], "left").select("class", "key", F.coalesce("component", "key").alias("component")))
-    sizes = placed.groupBy("class", "component").agg(F.count("*").alias("_n"))
-    split = sizes.groupBy("class").agg(F.max(F.struct("_n", "component")).alias("_most"), F.count("*").alias("_parts")).where("_parts > 1").select("class", F.col("_most.component").alias("largest"))
-    left = checkpointed(placed.join(split, "class").join(distinct, "key"))
-    few = left.where("component <> largest").select("class", F.col("key").alias("_k"), F.col("component").alias("_c"), *[F.col(n).alias(f"_{n}") for n in names])
-    apart = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"_{n}"))) for n in names), F.lit(0))
-    crossed = few.join(left, "class").where((F.col("component") != F.col("_c")) & (apart <= MOST)).select(F.least("key", "_k").alias("a"), F.greatest("key", "_k").alias("b")).distinct()
-    crossed = checkpointed(crossed.join(tried, ["a", "b"], "left_anti"))
-    return found.unionByName(_verified(crossed, texts, shingle, least))
+    distinct = marked.where("worded").select("name", *[f"f{k}" for k in range(WORDS)]).dropDuplicates(["name"])
+    found = pattern_links(_nodes(distinct), WORDS, TIERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    found = checkpointed(found)
+    sure = found.where("sure").select("a", "b")
+    classes = checkpointed(components(sure))
+    doubtful = found.where("not sure")
+    for side in ("a", "b"):
+        doubtful = doubtful.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
+    doubtful = checkpointed(doubtful.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
+    wanted = doubtful.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    texts = checkpointed(_texts(docs, wanted))
+    return sure.unionByName(_verified(doubtful, texts, shingle, least))
 
 
 def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -209,7 +207,7 @@ def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
     marked = checkpointed(_marked(rows, shingle))
     classes = components(links(marked, rows, shingle=shingle, least=least))
-    named = marked.join(classes, marked["key"] == classes["node"], "left").select("doc_id", "slot", F.coalesce("component", "key").alias("component"))
+    named = marked.join(classes, marked["name"] == classes["node"], "left").select("doc_id", "slot", F.coalesce("component", "name").alias("component"))
     stays = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "slot")).alias("_least")).select(F.col("_least.slot").alias("_stays"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipfleet.llm.common import checkpointed, flat, local_components, release_memory
+from dipfleet.llm.common import checkpointed, flat, joined_classes, release_memory
 from dipfleet.llm.components import components
 
 
@@ -61,13 +61,13 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def index_classes(f: np.ndarray, group: np.ndarray, most: int, fanout: int = 8, chunk: int = 1 << 20) -> np.ndarray:
-    """The class of each fingerprint (the first place in it): those of a group that are linked at `most` or fewer bits.
+def index_classes(f: np.ndarray, group: np.ndarray, tiers: Sequence[int], fanout: int = 8, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each fingerprint (the first place in it): those of a group that are linked at `tiers[0]` or fewer bits.
+    And the links that join these classes further as the distance rises from tier to tier: a forest, about that of least distances.
 
     `f` holds a row of 64-bit words for each fingerprint and comes sorted by group and Gray rank. Each node of the index
     covers up to `fanout` nodes below it and keeps the bits on which all of them agree (mask) and their values (pattern).
-    A pair of nodes is dropped as soon as the bits fixed in both differ in more than `most` places, with everything below
-    it, and also when all below it is one class already: a large family of copies is joined by few of its pairs.
+    A pair of nodes is dropped as soon as the bits fixed in both differ in too many places, with everything below it, and also when all below it is one class already: a large family of copies is joined by few of its pairs.
     """
     patterns, masks, owners, lows = [f], [np.full(f.shape, ~np.uint64(0))], [group], [np.arange(len(f))]
     while len(owners[-1]) > len(np.unique(owners[-1])):
@@ -90,41 +90,46 @@ def index_classes(f: np.ndarray, group: np.ndarray, most: int, fanout: int = 8,
             least[level], largest[level] = np.minimum.reduceat(least[level - 1], lows[level]), np.maximum.reduceat(largest[level - 1], lows[level])
 
     refresh()
-    work = [(len(lows) - 1, top, top)]
-    while work:
-        level, a, b = work.pop()
-        if level == 0:
-            far = a != b
-            if far.any():
-                label = local_components(len(f), a[far], b[far], label)
-                refresh()
-            continue
-        if len(a) > step:
-            work.append((level, a[step:], b[step:]))
-            a, b = a[:step], b[:step]
-        one = (least[level][a] == largest[level][a]) & (least[level][b] == largest[level][b]) & (least[level][a] == least[level][b])
-        a, b = a[~one], b[~one]
-        below, down = np.append(lows[level], len(owners[level - 1])), level - 1
-        wide, broad = below[a + 1] - below[a], below[b + 1] - below[b]
-        i = np.repeat(below[a] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
-        times = np.repeat(broad, wide)
-        j = np.repeat(np.repeat(below[b], wide) - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        i = np.repeat(i, times)
-        keep = i <= j
-        i, j = i[keep], j[keep]
-        near = np.bitwise_count((patterns[down][i] ^ patterns[down][j]) & masks[down][i] & masks[down][j]).sum(1, dtype=np.int64) <= most
-        i, j = i[near], j[near]
-        same = i == j  # what lies close in Gray order first
-        work += [(down, i[~same], j[~same]), (down, i[same], j[same])]
-    return label
+    sure, left, right = label, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for tier, most in enumerate(tiers):
+        work = [(len(lows) - 1, top, top)]
+        while work:
+            level, a, b = work.pop()
+            if level == 0:
+                label, x, y = joined_classes(label, a, b)
+                if len(x):
+                    refresh()
+                    left.append(x)
+                    right.append(y)
+                continue
+            if len(a) > step:
+                work.append((level, a[step:], b[step:]))
+                a, b = a[:step], b[:step]
+            one = (least[level][a] == largest[level][a]) & (least[level][b] == largest[level][b]) & (least[level][a] == least[level][b])
+            a, b = a[~one], b[~one]
+            below, down = np.append(lows[level], len(owners[level - 1])), level - 1
+            wide, broad = below[a + 1] - below[a], below[b + 1] - below[b]
+            i = np.repeat(below[a] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())
+            times = np.repeat(broad, wide)
+            j = np.repeat(np.repeat(below[b], wide) - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            i = np.repeat(i, times)
+            keep = i <= j
+            i, j = i[keep], j[keep]
+            near = np.bitwise_count((patterns[down][i] ^ patterns[down][j]) & masks[down][i] & masks[down][j]).sum(1, dtype=np.int64) <= most
+            i, j = i[near], j[near]
+            same = i == j  # what lies close in Gray order first
+            work += [(down, i[~same], j[~same]), (down, i[same], j[same])]
+        if tier == 0:
+            sure, left, right = label, left[:1], right[:1]
+    return sure, np.concatenate(left), np.concatenate(right)
 
 
 #: So many fingerprints below one shared pattern meet in a task; more are dealt in pairs of slices.
 SLICE = 1 << 17
 
 
-def pattern_classes(dealt: DataFrame, words: int, most: int, slice_rows: int = SLICE, every: int = 64) -> DataFrame:
-    """Classes below each shared pattern: `node, root, name` for all but the classes of one.
+def pattern_links(dealt: DataFrame, words: int, tiers: Sequence[int], slice_rows: int = SLICE, every: int = 64) -> DataFrame:
+    """Links `a, b` below each shared pattern: `sure` ones join the classes at `tiers[0]` bits, others go on (`index_classes`).
 
     `dealt` has a row `node, name, f0, f1, ..` for each fingerprint and each node (shared pattern) that it lies under; names
     and nodes are longs. Tasks sort them by Gray rank and search the hierarchy. A node of more than `slice_rows`, judged
@@ -151,10 +156,11 @@ def pattern_classes(dealt: DataFrame, words: int, most: int, slice_rows: int = S
                 return
             f, group = np.stack([np.asarray(table.column(c)).view(np.uint64)[many] for c in columns], 1), group[many]
             order = np.lexsort((*gray_rank(f).T[::-1], group))
-            label = index_classes(f[order], group[order], most)
-            linked = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
-            rows, name = many[order], np.asarray(table.column("name"))
-            yield pa.RecordBatch.from_arrays([pa.array(node[rows[linked]]), pa.array(name[rows[label[linked]]]), pa.array(name[rows[linked]])], ["node", "root", "name"])
+            label, a, b = index_classes(f[order], group[order], tiers)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            name = np.asarray(table.column("name"))[many[order]]
+            sure = np.append(np.ones(len(linked), bool), np.zeros(len(a), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(name[np.append(linked, a)]), pa.array(name[np.append(label[linked], b)]), pa.array(sure)], ["a", "b", "sure"])
 
         for batch in batches:
             node = np.asarray(batch.column(0))
@@ -168,7 +174,7 @@ def pattern_classes(dealt: DataFrame, words: int, most: int, slice_rows: int = S
         if held:
             yield from classes(pa.Table.from_batches(held))
 
-    return tiles.repartition("node").sortWithinPartitions("node").mapInArrow(run, "node long, root long, name long")
+    return tiles.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, sure boolean")
 
 
 def near_links(distinct: DataFrame, most: int = 2, blocks: int = 4, **slicing) -> DataFrame:
@@ -182,7 +188,7 @@ def near_links(distinct: DataFrame, most: int = 2, blocks: int = 4, **slicing) -
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     nodes = F.array(*[F.xxhash64(F.lit(k), F.col("f").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
     dealt = distinct.select(F.explode(nodes).alias("node"), F.col("f").alias("name"), F.col("f").alias("f0"))
-    return pattern_classes(dealt, 1, most, **slicing).where("root <> name").select(F.col("name").alias("a"), F.col("root").alias("b"))
+    return pattern_links(dealt, 1, [most], **slicing).select("a", "b")
 
 
 def near_texts(docs: DataFrame, *, shingle: int = 3, most: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

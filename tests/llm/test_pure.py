@@ -124,7 +124,11 @@ def test_index_classes_are_those_of_every_pair():
         f, group = f[order], group[order]
         apart = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
         a, b = np.nonzero((apart <= most) & (group[:, None] == group[None]))
-        assert (simhash.index_classes(f, group, most, fanout=3, chunk=chunk) == common.local_components(len(f), a, b)).all()
+        want = common.local_components(len(f), a, b)
+        sure, left, right = simhash.index_classes(f, group, [most // 2, most], fanout=3, chunk=chunk)
+        i, j = np.nonzero((apart <= most // 2) & (group[:, None] == group[None]))
+        assert (sure == common.local_components(len(f), i, j)).all() and (apart[left, right] <= most).all()
+        assert (common.joined_classes(sure, left, right)[0] == want).all() and len(left) == len(set(sure)) - len(set(want))
 
 
 def test_tile_top_with_ties():
