@@ -37,6 +37,18 @@ def positioned(samples: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return samples.withColumn("i", F.row_number().over(ordered(keys)) - 1)
 
 
+def numbered(df: DataFrame, group: str, bucket: Column, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Adds gapless numbers from 1 within each group, in `order`. No task sorts a group: `bucket` cuts it into stretches of the
+    order, prefix sums of their counts say where each begins, and only stretches are sorted."""
+    cut = df.withColumn("_bucket", bucket)
+    counts = cut.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_of")).agg(F.count("*").alias("_count"))
+    before = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_group", "_of", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))  # a row for each stretch
+    inside = Window.partitionBy(group, "_bucket").orderBy(*order)
+    joined = cut.join(counts, cut[group].eqNullSafe(counts["_group"]) & cut["_bucket"].eqNullSafe(counts["_of"]))
+    return joined.withColumn(name, F.col("_base") + F.row_number().over(inside)).drop("_bucket", "_group", "_of", "_base")
+
+
 def box_area(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return (x2 - x1) * (y2 - y1)
 

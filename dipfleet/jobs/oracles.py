@@ -177,6 +177,15 @@ ruled as (
   select video_id, lane, boxes, duration_seconds, round(mean_aspect, 6) as mean_aspect, round(area_cv, 6) as area_cv,
          coalesce(duration_seconds >= 1 and mean_aspect between 0.3 and 3 and (boxes <= 2 or area_cv <= 0.15), false) as valid_vehicle,
          duration_seconds >= 0.5 as valid_person, duration_seconds > 0.5 as valid_other from metrics)"""
+TABLE = """seen as (
+  select video_id, frame_number, string_agg((['person', 'bicycle', 'car'])[class_id + 1] || ' ' || round(confidence * 1e6)::bigint::varchar || ' ' || concat_ws(',', x1, y1, x2, y2), ';' order by det_idx) as detected_objects from boxes group by video_id, frame_number),
+table_ as (
+  select t.video_id, t.time_seconds, t.frame_number, people_in_frame, bicycles_in_frame, vehicles_in_frame, total_in_frame,
+         coalesce(max(total_people_counted) over w, 0) as total_people_counted, coalesce(max(total_bicycles_counted) over w, 0) as total_bicycles_counted,
+         coalesce(max(total_vehicles_counted) over w, 0) as total_vehicles_counted, coalesce(max(total_objects_counted) over w, 0) as total_objects_counted,
+         coalesce(newly_counted_this_frame, 0) as newly_counted_this_frame, coalesce(detected_objects, '') as detected_objects, total_in_frame as total_detections
+  from timeline t left join cumulative using (video_id, frame_number) left join seen using (video_id, frame_number)
+  window w as (partition by t.video_id order by t.frame_number))"""
 _NINE = ("dip_duration_seconds", "min_depth", "avg_depth", "line_integral", "avg_depth_gradient", "depth_variance", "dip_height", "fill_factor", "plateau_variance")
 _ROUND = lambda names: ", ".join(f"round({c}, 6) as {c}" for c in names)
 PLAIN = f"with {DIPS}, {slices()}, {FEATURES}"
@@ -250,9 +259,20 @@ select video_id, frame_number, det_idx, next_idx, round(similarity, 6) as simila
     "frame_timeline": f"with {BOXES}, {CLASS_COUNTS}, {TIMELINE} select * from timeline",
     "cumulative_counts": f"with {BOXES}, {CUMULATIVE} select * from cumulative",
     "visibility_stats": f"""with {BOXES}, {CLASS_COUNTS}, {TIMELINE}, {CUMULATIVE},
-finals as (select video_id, max(total_people_counted) as final_people, max(total_bicycles_counted) as final_bicycles, max(total_vehicles_counted) as final_vehicles from cumulative group by video_id)
-select video_id, max(time_seconds) as duration, count(*) as frames, {_VISIBLE}, min(final_people) as final_people, min(final_bicycles) as final_bicycles, min(final_vehicles) as final_vehicles
+finals as (select video_id, max(total_people_counted) as final_people, max(total_bicycles_counted) as final_bicycles, max(total_vehicles_counted) as final_vehicles, max(total_objects_counted) as final_objects from cumulative group by video_id)
+select video_id, max(time_seconds) as duration, count(*) as frames, {_VISIBLE}, min(final_people) as final_people, min(final_bicycles) as final_bicycles, min(final_vehicles) as final_vehicles, min(final_objects) as final_objects
 from timeline join finals using (video_id) group by video_id""",
+    "frame_table": f"with {BOXES}, {CLASS_COUNTS}, {TIMELINE}, {CUMULATIVE}, {TABLE} select * from table_",
+    "frame_counts_roundtrip": f"with {BOXES}, {CLASS_COUNTS}, {TIMELINE}, {CUMULATIVE}, {TABLE} select * exclude (video_id) from table_",
+    "frame_counts_live": f"with {BOXES}, {CLASS_COUNTS} select * from counts",
+    "sensor_log_roundtrip": f"with {SENSOR} select sensor_id::varchar as sensor_id, seq, time_ms, distance from sensor",
+    "lenient_log_roundtrip": f"with {SENSOR} select sensor_id::varchar as sensor_id, seq, time_ms, distance from sensor",
+    "log_to_report": f"{TYPED} select sensor_id::varchar as sensor_id, count(*) filter (type = 'Vehicle') as vehicles, count(*) as events, min(time_ms) as first_ms, max(duration) as longest from typed group by sensor_id",
+    "dip_table_roundtrip": f"""{LABELLED},
+depths_ as (select sensor_id, dip_id, string_agg(round(distance * 100)::bigint::varchar, ',' order by i) as depths from slices group by sensor_id, dip_id)
+select time_of_dip_seconds, dip_duration_seconds, frame_count, start_frame_idx, end_frame_idx, min_depth, object, shape_category,
+{_ROUND(('avg_depth', 'depth_variance', 'avg_depth_gradient', 'line_integral', 'fill_factor', 'plateau_variance', 'avg_vehicles', 'avg_bicycles', 'avg_people'))}, depths
+from labelled join depths_ using (sensor_id, dip_id)""",
     "track_metrics": f"with {BOXES}, {METRICS} select * from ruled",
     "valid_vehicle": f"with {BOXES}, {METRICS} select video_id, lane, boxes, duration_seconds from ruled where valid_vehicle",
     "valid_person": f"with {BOXES}, {METRICS} select video_id, lane, boxes, duration_seconds from ruled where valid_person",

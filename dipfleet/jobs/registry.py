@@ -6,17 +6,18 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipfleet.functions.params import FEATURES, CompactParams, DipParams, EventParams, LiveParams, TrackParams
-from dipfleet.functions.series import so_far
+from dipfleet.jobs import files as file_jobs
 from dipfleet.jobs import oracles
 from dipfleet.jobs.adaptors import FPS, RETENTION, detections, frames, sensor
 from dipfleet.operators import detections as det
 from dipfleet.operators import features as feat
 from dipfleet.operators import models, segment, sync
 from dipfleet.operators.tracking import track_objects as track
+from dipfleet.sources import files
 from dipfleet.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,12 +282,19 @@ def cumulative_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def visibility_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lanes = _lanes(spark, sf_dir)
-    timeline = det.frame_timeline(det.frame_class_counts(lanes), FPS).join(det.cumulative_counts(lanes), ["video_id", "frame_number"], "left")
-    run = so_far(Window.partitionBy("video_id").orderBy("frame_number"))
-    totals = [f"total_{c}_counted" for c in ("people", "bicycles", "vehicles", "objects")]
-    full = timeline.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(run), F.lit(0)) for c in totals})
-    return rounded(det.visibility_stats(full), *[f"{c}_{x}" for c in ("people", "bicycles", "vehicles", "total") for x in ("percent", "mean")])
+    stats = det.visibility_stats(det.frame_table(_lanes(spark, sf_dir), FPS))
+    return rounded(stats, *[f"{c}_{x}" for c in ("people", "bicycles", "vehicles", "total") for x in ("percent", "mean")])
+
+
+def _as_text(frames: DataFrame) -> DataFrame:
+    """The detections of a frame as text: class, confidence in millionths, corners."""
+    one = lambda d: F.concat_ws(" ", d["class"], F.round(d["confidence"] * 1e6).cast("long").cast("string"), F.array_join(F.transform(d["bbox"], lambda x: x.cast("string")), ","))
+    return frames.withColumn("detected_objects", F.array_join(F.transform("detected_objects", one), ";"))
+
+
+@query
+def frame_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_text(det.frame_table(_lanes(spark, sf_dir), FPS))
 
 
 @query
@@ -342,21 +350,27 @@ def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.assemble_features(_labelled(spark, sf_dir))
 
 
+def _shuffled() -> dict:
+    """A hashed order of the dips, in 4,096 stretches."""
+    h = models.hashed("sensor_id", "dip_id")
+    return {"order": [h, "sensor_id", "dip_id"], "stretch": F.shiftright(h, 52)}
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.stratified_split(_assembled(spark, sf_dir), [models.hashed("sensor_id", "dip_id"), "sensor_id", "dip_id"])
+    return models.stratified_split(_assembled(spark, sf_dir), **_shuffled())
 
 
 @query
 def score_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forest, trained on 70 %, on all dips."""
-    split = _split(spark, sf_dir).cache()
+    split = _split(spark, sf_dir)
     scored = models.score_dips(models.train_random_forest(split.where("in_train")), split)
     return scored.select("sensor_id", "dip_id", "is_vehicle", "in_test", "ml_vehicle_prob", "ml_prediction", "ml_prediction_label")
 
 
 @query
 def cross_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.cross_validate(_assembled(spark, sf_dir), [models.hashed("sensor_id", "dip_id"), "sensor_id", "dip_id"])
+    return models.cross_validate(_assembled(spark, sf_dir), **_shuffled())
 
 
 @query
@@ -373,21 +387,44 @@ def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder that all executors share: in the one that the cluster names, or our own where the master is local."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def _feed(spark: SparkSession, sf_dir: str, folder: str, batches: int = 4) -> DataFrame:
-    """The sensor table as files that arrive one after the other, each a stretch of time, after a trigger per sensor."""
+#: Arrivals that a feed is cut into, and files of each; a micro-batch reads the files of one arrival.
+ARRIVALS, FILES = 4, 4
+
+
+def _arriving(table: DataFrame, part: Column, folder: str) -> str:
+    """A table as files that arrive one arrival after the other. It is computed once."""
+    spark = table.sparkSession
+    table.withColumn("_part", F.greatest(F.least(part, F.lit(ARRIVALS - 1)), F.lit(0))).write.parquet(f"{folder}/all")
+    for k in range(ARRIVALS):
+        spark.read.parquet(f"{folder}/all").where(F.col("_part") == k).drop("_part").repartition(FILES).write.parquet(f"{folder}/in/part={k}")
+    return f"{folder}/in/*"
+
+
+def _feed(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The sensor table as arrivals, each a stretch of time, after a trigger per sensor."""
     samples = sensor(spark, sf_dir)
     triggers = samples.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms"))
-    feed = live.with_triggers(samples, triggers)
-    width = 31_000 // batches
-    for k in range(batches):
-        part = F.greatest(F.least(F.floor(F.col("time_ms") / width), F.lit(batches - 1)), F.lit(0)) == k
-        feed.where(part).write.mode("append").parquet(f"{folder}/in/part={k}")
-    return live.sample_feed(spark, f"{folder}/in/*", files_per_batch=1_000)
+    path = _arriving(live.with_triggers(samples, triggers), F.floor(F.col("time_ms") / (31_000 // ARRIVALS)).cast("int"), folder)
+    return live.sample_feed(spark, path, files_per_batch=FILES)
+
+
+def _boxes_feed(spark: SparkSession, sf_dir: str, folder: str, closing: bool = False) -> DataFrame:
+    """Detections as arrivals, each a stretch of frames. A closing row without a video, long after all, moves the watermark on."""
+    boxes = det.filter_detections(detections(spark, sf_dir)).withColumn("at", F.timestamp_seconds(F.col("frame_number") / FPS))
+    if closing:
+        boxes = boxes.unionByName(boxes.groupBy().agg(F.max("frame_number").alias("frame_number"), F.timestamp_seconds(F.lit(4e9)).alias("at")), allowMissingColumns=True)
+    most = boxes.agg(F.max("frame_number")).first()[0] or 0
+    path = _arriving(boxes, F.floor(F.col("frame_number") * ARRIVALS / (most + 1)).cast("int"), folder)
+    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query
@@ -403,3 +440,71 @@ def compact_live_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
     folder = _folder(spark)
     return rounded(live.run_to_end(live.compact_live_detector(_feed(spark, sf_dir, folder), COMPACT), folder), "variance")
+
+
+@query
+def track_objects_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `track_objects` gives, live."""
+    live.use_rocksdb(spark)
+    folder = _folder(spark)
+    return live.run_to_end(live.track_objects_live(_boxes_feed(spark, sf_dir, folder), TRACKS), folder)
+
+
+@query
+def frame_counts_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `frame_class_counts` gives, live."""
+    live.use_rocksdb(spark)
+    folder = _folder(spark)
+    return live.run_to_end(live.frame_counts_live(_boxes_feed(spark, sf_dir, folder, closing=True), "at"), folder).where("video_id is not null")
+
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def sensor_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sensor table written as logs and read again."""
+    folder = _folder(spark)
+    files.write_sensor_log(sensor(spark, sf_dir), folder)
+    return files.read_sensor_log(spark, folder)
+
+
+@query
+def lenient_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs with blanks for commas and with lines that hold no sample."""
+    folder = _folder(spark)
+    samples = sensor(spark, sf_dir).repartition("sensor_id").sortWithinPartitions("sensor_id", "time_ms", "seq")
+    line = F.concat(F.col("time_ms").cast("string"), F.when(F.col("seq") % 2 == 0, " ").otherwise(" , "), F.col("distance").cast("string"))
+    lines = samples.withColumn("value", F.explode(F.when(F.col("seq") % 10 == 3, F.array(line, F.lit("restarted"), F.lit(""), F.lit("12"))).otherwise(F.array(line))))
+    lines.select("sensor_id", "value").write.partitionBy("sensor_id").text(folder)
+    return files.read_sensor_log_lenient(spark, folder)
+
+
+@query
+def frame_counts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame table of all videos written as CSV and read again."""
+    folder = _folder(spark)
+    files.write_csv(det.frame_table(_lanes(spark, sf_dir), FPS).drop("video_id"), folder)
+    return _as_text(files.read_frame_counts(spark, folder))
+
+
+@query
+def dip_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dips with features, objects and depths written as CSV and read again."""
+    folder = _folder(spark)
+    slices = _slices(spark, sf_dir)
+    dips = feat.dip_features(slices, DIPS, counts=True).join(feat.dip_arrays(slices).select("sensor_id", "dip_id", "dip_array"), ["sensor_id", "dip_id"])
+    files.write_dips(dips.select(*[c.split(" ")[0] for c in files.DIP_FEATURES.split(", ")]), folder)
+    back = files.read_dip_features(spark, folder)
+    depths = F.array_join(F.transform("dip_array", lambda d: F.round(d * 100).cast("long").cast("string")), ",").alias("depths")
+    kept = ["time_of_dip_seconds", "dip_duration_seconds", "frame_count", "start_frame_idx", "end_frame_idx", "min_depth", "object", "shape_category"]
+    sums = ["avg_depth", "depth_variance", "avg_depth_gradient", "line_integral", "fill_factor", "plateau_variance", "avg_vehicles", "avg_bicycles", "avg_people"]
+    return rounded(back, *sums).select(*kept, *sums, depths)
+
+
+@query
+def log_to_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event report, from the sensor table written as logs."""
+    folder = _folder(spark)
+    files.write_sensor_log(sensor(spark, sf_dir), folder, " ")
+    return file_jobs.log_to_report(spark, folder, EVENTS)

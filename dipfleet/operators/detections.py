@@ -76,6 +76,31 @@ def cumulative_counts(tracked: DataFrame, keys: Sequence[str] = VIDEO) -> DataFr
     return per_frame.withColumns({k: F.sum(v).over(w) for k, v in totals.items()}).drop("_p", "_b", "_v")
 
 
+def frame_table(tracked: DataFrame, fps: float, keys: Sequence[str] = VIDEO) -> DataFrame:
+    """The frame table: a row for every frame up to the last of each video, with what is seen there per class, the objects first
+    counted there, the running totals, and the detections themselves in order. One aggregation by frame and one window.
+
+    `tracked` holds boxes with `class_id, confidence, det_idx, is_new`. Boxes of other classes count in the totals of a frame alone.
+    """
+    of, new = (lambda k: F.count_if(F.col("class_id") == k)), (lambda c: F.count_if(F.col("is_new") & c))
+    boxes = F.sort_array(F.collect_list(F.struct("det_idx", class_name().alias("class"), "confidence", F.array("x1", "y1", "x2", "y2").alias("bbox"))))  # as many as one frame holds
+    seen = F.transform(boxes, lambda b: F.struct(b["class"].alias("class"), b["confidence"].alias("confidence"), b["bbox"].alias("bbox")))
+    names = {"people": 0, "bicycles": 1, "vehicles": 2}
+    per = tracked.groupBy(*keys, "frame_number").agg(
+        *[of(k).alias(f"{n}_in_frame") for n, k in names.items()], F.count("*").alias("total_in_frame"), *[new(F.col("class_id") == k).alias(f"_{n}") for n, k in names.items()],
+        new(F.lit(True)).alias("newly_counted_this_frame"), seen.alias("detected_objects"),
+    )
+    frames = per.groupBy(*keys).agg(F.max("frame_number").alias("_last")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"))).alias("frame_number"))
+    full = frames.join(per, [*keys, "frame_number"], "left").na.fill(0)
+    full = full.withColumn("detected_objects", F.coalesce("detected_objects", F.array().cast(per.schema["detected_objects"].dataType)))
+    run = so_far(Window.partitionBy(*keys).orderBy("frame_number"))
+    totals = {f"total_{n}_counted": F.sum(f"_{n}").over(run) for n in names} | {"total_objects_counted": F.sum("newly_counted_this_frame").over(run)}
+    out = full.withColumns({**totals, "time_seconds": F.col("frame_number") / F.lit(float(fps)), "total_detections": F.size("detected_objects").cast("long")})
+    return out.select(
+        *keys, "time_seconds", "frame_number", *[f"{n}_in_frame" for n in (*names, "total")], *[f"total_{n}_counted" for n in (*names, "objects")], "newly_counted_this_frame", "detected_objects", "total_detections"
+    )
+
+
 def visibility_stats(frames: DataFrame, keys: Sequence[str] = VIDEO) -> DataFrame:
     """Duration and frames; per class and for all objects: frames with any, percent, mean and most."""
     aggs = [F.max("time_seconds").alias("duration"), F.count("*").alias("frames")]
@@ -83,7 +108,7 @@ def visibility_stats(frames: DataFrame, keys: Sequence[str] = VIDEO) -> DataFram
         n = F.col(f"{c}_in_frame")
         aggs += [F.count_if(n > 0).alias(f"{c}_frames"), (F.count_if(n > 0) * 100.0 / F.count("*")).alias(f"{c}_percent"), F.avg(n).alias(f"{c}_mean"), F.max(n).alias(f"{c}_most")]
     if "total_objects_counted" in frames.columns:
-        aggs += [F.max_by(f"total_{c}_counted", "frame_number").alias(f"final_{c}") for c in ("people", "bicycles", "vehicles")]
+        aggs += [F.max_by(f"total_{c}_counted", "frame_number").alias(f"final_{c}") for c in ("people", "bicycles", "vehicles", "objects")]
     return frames.groupBy(*keys).agg(*aggs)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipfleet.functions.params import FEATURES, RULE_GRADIENT, RULE_VARIANCE
+from dipfleet.functions.series import numbered
 
 
 def label_is_vehicle(dips: DataFrame) -> DataFrame:
@@ -35,9 +36,10 @@ def rule_score(dips: DataFrame) -> DataFrame:
     return dips.withColumns({"rule_variance": (F.col("depth_variance") <= RULE_VARIANCE).cast("int"), "rule_gradient": (F.col("avg_depth_gradient") <= RULE_GRADIENT).cast("int")})
 
 
-def stratified_split(dips: DataFrame, order: Sequence[str | Column], test_share: float = 0.3, label: str = "is_vehicle", least: int = 20) -> DataFrame:
+def stratified_split(dips: DataFrame, order: Sequence[str | Column], test_share: float = 0.3, label: str = "is_vehicle", least: int = 20, stretch: Column | None = None) -> DataFrame:
     """Adds `in_train` and `in_test`: an exact stratified split. Of each label the first rows in `order` are tested, floor(share x n) of
-    them, and the largest remainders get one more up to ceil(share x all); with fewer than `least` rows both hold all."""
+    them, and the largest remainders get one more up to ceil(share x all); with fewer than `least` rows both hold all. `stretch` cuts the order into stretches that are
+    sorted apart; by default its first column does."""
     share = F.lit(test_share)
     sizes = dips.groupBy(label).agg(F.count("*").alias("_of"))
     everything = Window.partitionBy()
@@ -45,11 +47,15 @@ def stratified_split(dips: DataFrame, order: Sequence[str | Column], test_share:
     extra = F.ceil(F.col("_all") * share) - F.sum("_quota").over(everything)
     sizes = sizes.withColumn("_extra", extra).withColumn("_rank", F.row_number().over(Window.orderBy((F.col("_of") * share - F.col("_quota")).desc(), F.col(label))))
     sizes = sizes.withColumn("_quota", F.col("_quota") + (F.col("_rank") <= F.col("_extra")).cast("long"))  # a row for each label
-    ranked = dips.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(*order))).join(F.broadcast(sizes), label)
+    ranked = numbered(dips, label, _first(order) if stretch is None else stretch, order, "_r").join(F.broadcast(sizes), label)
     test = (F.col("_all") < least) | (F.col("_r") <= F.col("_quota"))
     return ranked.withColumns({"in_test": test, "in_train": (F.col("_all") < least) | ~test}).drop("_of", "_all", "_quota", "_extra", "_rank", "_r")
 
 
+def _first(order: Sequence[str | Column]) -> Column:
+    return F.col(order[0]) if isinstance(order[0], str) else order[0]
+
+
 def hashed(*columns: str, seed: int = 42) -> Column:
     return F.xxhash64(*columns, F.lit(seed))
 
@@ -62,10 +68,10 @@ def train_decision_tree(train: DataFrame, label: str = "is_vehicle", seed: int =
     return DecisionTreeClassifier(labelCol=label, maxDepth=3, minInstancesPerNode=5, seed=seed).fit(train)
 
 
-def cross_validate(assembled: DataFrame, order: Sequence[str | Column], folds: int = 5, label: str = "is_vehicle") -> DataFrame:
+def cross_validate(assembled: DataFrame, order: Sequence[str | Column], folds: int = 5, label: str = "is_vehicle", stretch: Column | None = None) -> DataFrame:
     """Accuracy of the forest per fold with their mean and twice their deviation; folds are stratified by label."""
     spark = assembled.sparkSession
-    dealt = assembled.withColumn("_fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(*order)), F.lit(folds))).cache()
+    dealt = numbered(assembled, label, _first(order) if stretch is None else stretch, order, "_n").withColumn("_fold", F.pmod("_n", F.lit(folds)).cast("int")).drop("_n").cache()
     rows = []
     for k in range(folds):
         scored = train_random_forest(dealt.where(F.col("_fold") != k), label).transform(dealt.where(F.col("_fold") == k))

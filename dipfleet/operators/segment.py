@@ -85,7 +85,9 @@ def segment_events(samples: DataFrame, params: EventParams = EventParams(), keys
 
 
 def event_stats(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per event: bounds, duration, least depth, population variance and mean absolute step."""
+    """One row per event: bounds, duration, least depth, population variance and mean absolute step. Null and NaN distances
+    are samples, but enter no depth, variance or step."""
+    rows = rows.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
     step = F.abs(F.col("distance") - F.lag("distance").over(Window.partitionBy(*keys, "event_id").orderBy("i")))
     return rows.withColumn("_step", step).groupBy(*keys, "event_id").agg(
         F.min("i").alias("start_idx"), F.max("i").alias("end_idx"), F.min("time_ms").alias("time_ms"), F.count("*").alias("samples"), ((F.max("time_ms") - F.min("time_ms")) / 1000.0).cast("double").alias("duration"),
@@ -142,8 +144,8 @@ def live_events(samples: DataFrame, params: LiveParams = LiveParams(), keys: Seq
 
 
 def calibrate_mean(samples: DataFrame, params: CompactParams = CompactParams(), keys: Sequence[str] = KEYS) -> DataFrame:  # noqa: B008
-    """Baseline per key: the mean of its first samples; null until there are enough."""
-    first = samples.withColumn("_n", F.row_number().over(ordered(keys))).where(F.col("_n") <= params.calibration_samples)
+    """Baseline per key: the mean of its first samples, null and NaN ones left out; null until there are enough."""
+    first = samples.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance"))).withColumn("_n", F.row_number().over(ordered(keys))).where(F.col("_n") <= params.calibration_samples)
     return first.groupBy(*keys).agg(F.when(F.count("*") >= params.calibration_samples, F.avg("distance")).alias("baseline"))
 
 
@@ -158,7 +160,7 @@ def segment_events_compact(samples: DataFrame, params: CompactParams = CompactPa
     n = params.capacity + 1
     rows = samples.withColumn("i", F.row_number().over(w) - 1)
     if line is None:
-        base = F.avg(F.when(F.col("i") < params.calibration_samples, F.col("distance"))).over(Window.partitionBy(*keys))
+        base = F.avg(F.when((F.col("i") < params.calibration_samples) & ~F.isnan("distance"), F.col("distance"))).over(Window.partitionBy(*keys))
         rows = rows.withColumn("_line", base - params.offset).where(F.col("i") >= params.calibration_samples)
     else:
         rows = rows.withColumn("_line", F.lit(float(line)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,16 @@ DIP_FEATURES = (
 
 
 def _sensor() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    """The sensor of a log: the folder `sensor_id=..` that it lies in, or else the name of the file."""
+    path = F.col("_metadata.file_path")
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"/sensor_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
+
+
+def write_sensor_log(samples: DataFrame, path: str, separator: str = ",") -> None:
+    """Lines of time and distance in the order of time, a folder for each sensor."""
+    line = F.concat_ws(separator, F.col("time_ms").cast("string"), F.col("distance").cast("string"))
+    placed = samples.repartition("sensor_id").sortWithinPartitions("sensor_id", "time_ms", "seq")
+    placed.select("sensor_id", line.alias("value")).write.partitionBy("sensor_id").text(path)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -71,6 +81,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.withColumns(nested).write.csv(path, header=True, quote='"', escape='"')
 
 
+def write_dips(dips: DataFrame, path: str) -> bool:
+    """Dip results as CSV. Where there are none, nothing is written but a warning to the log."""
+    if dips.isEmpty():
+        logging.getLogger(__name__).warning("no dips found: nothing is written to %s", path)
+        return False
+    write_csv(dips, path)
+    return True
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Parquet, nested columns as they are, one folder per value of `partition_by`."""
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)

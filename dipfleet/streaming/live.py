@@ -1,5 +1,6 @@
 """Live detectors as keyed state machines; their output equals the batch operators on the same rows, except for events of
-more samples than the live buffer holds (5,000): the batch operators keep all of them.
+more samples than the live buffer holds (5,000): the batch operators keep all of them. Null distances arrive as NaN; both
+are samples that enter no depth, variance or step.
 
 State lives in the RocksDB state store, a few values and the open event per sensor. Within a micro-batch rows are
 stepped in order of (time, seq); rows at or before the last step of their sensor are late: dropped, and counted in the
@@ -89,7 +90,8 @@ class LiveMachine:
         duration, least = (self.buffer[-1][0] - times) / 1000.0, float(np.nanmin(depths))
         if not (self.p.min_seconds <= duration <= self.p.max_seconds and least < self.baseline - self.p.min_height):
             return None
-        variance, gradient = float(depths.var()), float(np.abs(np.diff(depths)).mean()) if len(depths) > 1 else 0.0
+        steps = np.abs(np.diff(depths))
+        variance, gradient = float(np.nanvar(depths)), float(np.nanmean(steps)) if (steps == steps).any() else 0.0
         kind = "Vehicle" if variance < self.p.max_variance and gradient < self.p.max_gradient else "Person/Bike"
         return {"time_ms": times, "close_ms": self.buffer[-1][0], "samples": len(depths), "duration": duration, "min_depth": least, "variance": variance, "avg_gradient": gradient, "baseline": self.baseline, "type": kind}
 
@@ -98,13 +100,15 @@ class CompactMachine:
     """Calibration by a mean, then events of samples below the line; the event is kept as count, mean and squares."""
 
     def __init__(self, params: CompactParams):
-        self.p, self.calibrated, self.total, self.seen = params, 0.0, 0.0, 0
+        self.p, self.calibrated, self.total, self.seen, self.good = params, float("nan"), 0.0, 0, 0
         self.n, self.mean, self.m2, self.start = 0, 0.0, 0.0, 0
 
     def step(self, t: int, d: float) -> dict | None:
         if self.seen < self.p.calibration_samples:
-            self.seen, self.total = self.seen + 1, self.total + d
-            self.calibrated = self.total / self.seen
+            self.seen += 1
+            if d == d:
+                self.good, self.total = self.good + 1, self.total + d
+                self.calibrated = self.total / self.good
             return None
         if d < self.calibrated - self.p.offset:
             if self.n == self.p.capacity:
@@ -181,12 +185,13 @@ class CompactDetector(StatefulProcessor):
         self.params = params
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.core = handle.getValueState("core", "calibrated double, total double, seen long, n long, mean double, m2 double, start long, time_ms long, seq long, late long")
+        self.core = handle.getValueState("core", "calibrated double, total double, seen long, good long, n long, mean double, m2 double, start long, time_ms long, seq long, late long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         m, last, late = CompactMachine(self.params), (_FIRST_BATCH, -2), 0
         if (state := self.core.get()) is not None:
-            m.calibrated, m.total, m.seen, m.n, m.mean, m.m2, m.start, *order, late = state
+            m.calibrated, m.total, m.seen, m.good, m.n, m.mean, m.m2, m.start, *order, late = state
+            m.calibrated = float("nan") if m.calibrated is None else m.calibrated
             last = tuple(order)
         frame, dropped = _in_order(rows, last)
         out = []
@@ -194,7 +199,7 @@ class CompactDetector(StatefulProcessor):
             last = (int(t), int(seq))
             if seq >= 0 and (event := m.step(int(t), float(d))) is not None:
                 out.append({"sensor_id": key[0], **event})
-        self.core.update((float(m.calibrated), float(m.total), int(m.seen), int(m.n), float(m.mean), float(m.m2), int(m.start), *last, late + dropped))
+        self.core.update((float(m.calibrated), float(m.total), int(m.seen), int(m.good), int(m.n), float(m.mean), float(m.m2), int(m.start), *last, late + dropped))
         yield from _table(COMPACT, out)
 
     def close(self) -> None:

@@ -38,3 +38,23 @@ def test_column_mapping(spark):
     assert files.with_column_mapping(df, {"time": "t"}).columns == ["time", "depth", "vehicles", "bicycles", "people"]
     with pytest.raises(ValueError, match="time_seconds"):
         files.with_column_mapping(df)
+
+
+def test_logs_to_results(spark, tmp_path, caplog):
+    """A log and frame counts to merged tables and dips; a log without dips warns and writes none."""
+    from dipfleet.jobs import files as jobs
+
+    for name, depth in (("7", 100.0), ("8", 230.0)):
+        line = [(t, depth if 2000 <= t < 3500 else 230.0) for t in range(0, 6000, 50)]
+        folder = tmp_path / f"log{name}"
+        folder.mkdir()
+        (folder / f"{name}.txt").write_text("".join(f"{t},{d}\n" for t, d in line))
+    frames = spark.createDataFrame([(int(s), f, f / 4.0, 0, 0, int(8 <= f < 14)) for s in "78" for f in range(24)], "sensor_id long, frame_number long, time_seconds double, people_in_frame long, bicycles_in_frame long, vehicles_in_frame long")
+    assert jobs.merge_and_dips(spark, str(tmp_path / "log7"), frames.where("sensor_id = 7"), str(tmp_path / "out7"), 0.0)
+    dips = spark.read.csv(str(tmp_path / "out7" / "dips"), header=True).collect()
+    assert [(r.object, float(r.min_depth)) for r in dips] == [("V", 100.0)]
+    assert spark.read.parquet(str(tmp_path / "out7" / "frames_with_depth")).count() == 24
+    assert not jobs.merge_and_dips(spark, str(tmp_path / "log8"), frames.where("sensor_id = 8"), str(tmp_path / "out8"), 0.0)
+    assert "no dips found" in caplog.text and not (tmp_path / "out8" / "dips").exists()
+    report = jobs.log_to_report(spark, str(tmp_path / "log7")).collect()
+    assert [(r.sensor_id, r.events) for r in report] == [("7", 1)]
