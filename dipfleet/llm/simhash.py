@@ -61,7 +61,7 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def index_classes(f: np.ndarray, group: np.ndarray, tiers: Sequence[int], fanout: int = 8, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def index_classes(f: np.ndarray, group: np.ndarray, tiers: Sequence[int], fanout: int = 8, chunk: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The class of each fingerprint (the first place in it): those of a group that are linked at `tiers[0]` or fewer bits.
     And the links that join these classes further as the distance rises from tier to tier: a forest, about that of least distances.
 
@@ -157,10 +157,13 @@ def pattern_links(dealt: DataFrame, words: int, tiers: Sequence[int], slice_rows
             f, group = np.stack([np.asarray(table.column(c)).view(np.uint64)[many] for c in columns], 1), group[many]
             order = np.lexsort((*gray_rank(f).T[::-1], group))
             label, a, b = index_classes(f[order], group[order], tiers)
-            linked = np.flatnonzero(label != np.arange(len(label)))
             name = np.asarray(table.column("name"))[many[order]]
+            root = name.copy()  # the least name of a class: the same below many patterns, so that links repeat and fall together
+            np.minimum.at(root, label, name)
+            root = root[label]
+            linked = np.flatnonzero(root != name)
             sure = np.append(np.ones(len(linked), bool), np.zeros(len(a), bool))
-            yield pa.RecordBatch.from_arrays([pa.array(name[np.append(linked, a)]), pa.array(name[np.append(label[linked], b)]), pa.array(sure)], ["a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(name[linked], name[a])), pa.array(np.append(root[linked], name[b])), pa.array(sure)], ["a", "b", "sure"])
 
         for batch in batches:
             node = np.asarray(batch.column(0))
