@@ -6,7 +6,6 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -79,11 +78,6 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, self.any(text) if BEYOND_LATIN.search(text) else self.latin(text)))
 
 
-@lru_cache(maxsize=2)
-def ids_of(path: str) -> Ids:
-    return Ids(path)
-
-
 def powers(n: int, longest: int) -> list[int]:
     """Lengths of the pieces of n ids: as many of the longest as fit, then the binary digits of the rest."""
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 1, -1, -1) if (n % longest) >> b & 1]
@@ -104,7 +98,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base = ids_of(tokenizer), TaskContext.get().partitionId() << 32
+        # of the task alone: workers live on, and would hold the vocabulary while they run other stages
+        ids, base = Ids(tokenizer), TaskContext.get().partitionId() << 32
         fresh = [(bucket << 56) + base for bucket in range(longest.bit_length())]
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -127,6 +122,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
                     ["doc_id", "start", "length", "bucket", "ids", "doc_tokens", "sequence_id"],
                 )
             release_memory()
+        del ids
+        release_memory()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = source.mapInArrow(run, "doc_id long, start long, length long, bucket int, ids binary, doc_tokens long, sequence_id long")
