@@ -183,3 +183,21 @@ def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows:
     offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inside = Window.partitionBy(*group, "_b").orderBy(*order)
     return dealt.join(offsets, [*group, "_b"]).withColumn(name, F.col("_o") + F.row_number().over(inside) - 1).drop("_b", "_o")
+
+
+#: A key with more than a `HOT`-th of all rows is hot: there are at most so many.
+HOT = 10_000
+
+
+def joined_by_key(rows: DataFrame, of_keys: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows joined with the one row of their key, where it has one; `count` says how many rows a key has at least and is dropped.
+
+    Keys that hold more than a ten-thousandth of all counted rows are at most 10,000, whatever the size of the table: those are
+    broadcast, so that the rows of a hot key stay where they lie. All others meet by a shuffle, where no key is large.
+    """
+    total = of_keys.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT > F.lit(total)
+    few = F.broadcast(of_keys.where(hot).drop(count))
+    here = rows.join(few, key)
+    rest = rows.join(few.select(key), key, "left_anti").join(of_keys.where(~hot).drop(count), key)
+    return here.unionByName(rest)

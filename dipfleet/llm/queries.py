@@ -146,6 +146,88 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.secrets import find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_owned", "n_copied")
+
+
+def _matches(kind: str, pattern: str, least: int, value: str) -> str:
+    """Non-overlapping matches, one after the other: each is the first place of its own text in what the last one left."""
+    return f"""
+{kind}_all as (select n, body, regexp_extract_all(body, '{pattern}') as found from docs),
+{kind}(n, k, pos, body, found) as (
+  select n, 0, 0, body, found from {kind}_all where len(found) > 0
+  union all select n, k + 1, pos + strpos(substr(body, pos + 1), found[k + 1]) - 1 + length(found[k + 1]), body, found from {kind} where k < len(found)),
+{kind}_spans as (
+  select n, '{kind}' as kind, pos - length(said) as start, pos as "end", pos - length(val) as from_, val from (
+    select n, pos, found[k] as said, {value} as val from {kind} where k > 0) x where length({'val' if kind == 'assign' else 'said'}) >= {least})"""
+
+
+_ASSIGNED = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_LEAD = rf"""({_ASSIGNED})["'']?\x20*[:=]\x20*["'']?"""
+OP11_SQL = rf"""
+with recursive docs as (select row_number() over () as n, doc_id, source, coalesce(text, '') as body from documents),
+{_matches("assign", _LEAD + "[A-Za-z0-9+/_.=-]+", 6, f"regexp_replace(found[k], '^{_LEAD}', '')")},
+{_matches("access", "AKIA[A-Z0-9]+", 20, "found[k]")},
+{_matches("hex", "[0-9a-f]{24,}", 24, "found[k]")},
+{_matches("run", "[A-Za-z0-9+/_-]{20,}", 20, "found[k]")},
+base as (select * from assign_spans union all select * from access_spans union all select * from hex_spans),
+places as (
+  select distinct n, from_ as start, "end", val from base
+  union select n, start, "end", val from run_spans r
+  where not exists (select 1 from base b where b.n = r.n and b.start < r."end" and r.start < b."end")),
+valued as (
+  select *, length(val) >= 16 and regexp_matches(val, '[A-Za-z]') and regexp_matches(val, '[0-9]') and len(list_distinct(string_split(val, ''))) >= 8 as live from places),
+candidates as (select v.*, d.doc_id, d.source from valued v join docs d using (n) where live or exists (select 1 from base b where b.n = v.n and b.from_ = v.start and b."end" = v."end")),
+used as (
+  select val, bool_or(live) as live, count(distinct coalesce('s' || source, '')) as owners,
+         count(distinct coalesce('s' || source, '') || chr(10) || coalesce(doc_id::varchar, '')) as repositories from candidates group by val),
+added as (
+  select n, case when owners >= 3 or repositories >= 100 then 'copied' else 'owned' end as kind, start, "end"
+  from candidates join used u using (val) where owners >= 3 or repositories >= 100 or u.live),
+spans as (
+  select n, kind, start, "end", list_position(['assign', 'access', 'hex', 'owned', 'copied'], kind) as k
+  from (select n, kind, start, "end" from base union all select * from added) x),
+listed as (
+  select n, string_agg(kind || ':' || start || ':' || "end", ',' order by start, k) filter (k <= 3) as base, string_agg(kind || ':' || start || ':' || "end", ',' order by start, k) as spans,
+         count(*) filter (k = 1) as n_assign, count(*) filter (k = 2) as n_access, count(*) filter (k = 3) as n_hex, count(*) filter (k = 4) as n_owned, count(*) filter (k = 5) as n_copied
+  from spans group by n)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_owned, 0) as n_owned, coalesce(n_copied, 0) as n_copied
+from docs left join listed using (n)"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), 4)
+
+
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dipfleet.llm.middle import fill_in_middle
+
+    return fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
+OP13_SQL = r"""
+with docs as (
+  select doc_id, coalesce(text, '') as body, sha256('7:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') as u from documents),
+drawn as (
+  select *, len(u) as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from docs),
+cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+         case when body = '' or contains(body, '<P>') or contains(body, '<S>') or contains(body, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from drawn),
+pieces as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:n], '') as s from cut)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then body when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(body) as restored_sha256
+from pieces"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
@@ -157,10 +239,15 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_secrets": op11_secrets,
+    "op12_whitening": op12_whitening,
+    "op13_middle": op13_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op5_mixing": OP5_SQL,
     "op7_near_vectors": OP7_SQL,
+    "op11_secrets": OP11_SQL,
+    "op13_middle": OP13_SQL,
 }

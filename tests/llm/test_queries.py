@@ -25,6 +25,9 @@ COLUMNS = {
     "op8_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op10_suffix_dedup": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    "op11_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op12_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op13_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
 
 
@@ -39,6 +42,8 @@ def test_columns_and_rows_are_those_of_the_contract(spark, name):
         assert (rows.groupby("query_id")["rank"].max() == 10).all()
     elif name == "op7_near_vectors":
         assert len(rows) == spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    elif name == "op12_whitening":
+        assert len(rows) == 4 * spark.read.parquet(f"{DATA}/embeddings.parquet").count() and rows["identity_error"].max() <= 1e-4
     elif name == "op8_packing":
         assert rows["doc_id"].nunique() == docs and (rows["doc_tokens"] == rows.groupby("doc_id")["length"].transform("sum")).all()
     else:
