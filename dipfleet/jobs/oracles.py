@@ -168,6 +168,36 @@ cumulative as (
   select video_id, frame_number, newly_counted_this_frame, (sum(p) over w)::bigint as total_people_counted, (sum(b) over w)::bigint as total_bicycles_counted,
          (sum(v) over w)::bigint as total_vehicles_counted, (sum(newly_counted_this_frame) over w)::bigint as total_objects_counted
   from per window w as (partition by video_id order by frame_number))"""
+#: The tracker one detection of every video at a time: tracks are a list of structs, in the order of their ids.
+TRACKED = """walked as (select *, row_number() over (partition by video_id order by frame_number, det_idx) as k from boxes),
+walk(video_id, k, tracks, next_id, frame_number, det_idx, class_id, x1, y1, x2, y2, object_id, is_new) as (
+  select distinct video_id, 0::bigint, []::struct(id bigint, first bigint, last bigint, n bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, rn bigint, rs double, s bigint, ss hugeint, counted boolean)[],
+         1::bigint, null::bigint, null::bigint, null::int, null::bigint, null::bigint, null::bigint, null::bigint, null::bigint, null::boolean from boxes
+  union all
+  select video_id, k, case when hit then list_transform(alive, lambda t, j: case when j = place then this else t end) else list_append(alive, this) end,
+         next_id + (not hit)::bigint, frame_number, det_idx, class_id, x1, y1, x2, y2, this.id, this.counted and not coalesce(was, false)
+  from (
+    select *, {id: own.id, first: own.first, last: own.last, n: own.n, x1: own.x1, y1: own.y1, x2: own.x2, y2: own.y2, rn: own.rn, rs: own.rs, s: own.s, ss: own.ss,
+               counted: coalesce(was, false) or case
+                 when class_id = 0 then (frame_number - own.first) / 4.0::double >= 0.5
+                 when class_id <> 2 then (frame_number - own.first) / 4.0::double > 0.5
+                 else (frame_number - own.first) / 4.0::double >= 1 and own.rn > 0 and own.rs / own.rn between 0.3 and 3
+                      and (own.n <= 2 or own.s <= 0 or sqrt((own.n * own.ss - own.s::hugeint * own.s)::double) / own.s <= 0.15) end} as this
+    from (
+      select *, {id: case when hit then old.id else next_id end, first: case when hit then old.first else frame_number end, last: frame_number, n: coalesce(old.n, 0) + 1, x1: x1, y1: y1, x2: x2, y2: y2,
+                 rn: coalesce(old.rn, 0) + (y2 > y1)::bigint, rs: coalesce(old.rs, 0.0) + case when y2 > y1 then (x2 - x1)::double / (y2 - y1) else 0 end,
+                 s: coalesce(old.s, 0) + area, ss: coalesce(old.ss, 0) + area::hugeint * area} as own, old.counted as was
+      from (
+        select *, coalesce(list_max(likes), 0) > 0.6 as hit, list_position(likes, list_max(likes)) as place,
+               case when coalesce(list_max(likes), 0) > 0.6 then alive[list_position(likes, list_max(likes))] end as old
+        from (
+          select *, list_transform(alive, lambda t: 0.4::double * (case when greatest((t.x2 - t.x1) * (t.y2 - t.y1), area) > 0
+                       then least((t.x2 - t.x1) * (t.y2 - t.y1), area)::double / greatest((t.x2 - t.x1) * (t.y2 - t.y1), area) else 0 end)
+                     + 0.6::double * (case when (t.x2 - t.x1) * (t.y2 - t.y1) + area > 0 then greatest(0.0::double, 1 - sqrt(pow((t.x1 + t.x2 - x1 - x2) / 2.0::double, 2) + pow((t.y1 + t.y2 - y1 - y2) / 2.0::double, 2))
+                       / sqrt(((t.x2 - t.x1) * (t.y2 - t.y1) + area) / 2.0::double) / 2) else 0 end)) as likes
+          from (select o.*, list_filter(w.tracks, lambda t: o.frame_number - t.last <= 8) as alive, w.next_id, (o.x2 - o.x1) * (o.y2 - o.y1) as area
+                from walk w join walked o on o.video_id = w.video_id and o.k = w.k + 1) a) b) c) d) e)"""
+TRACKS = f"with recursive {BOXES}, {TRACKED} select video_id, frame_number, det_idx, class_id, x1, y1, x2, y2, object_id, is_new from walk where k > 0"
 METRICS = """metrics as (
   select video_id, lane, count(*) as boxes, (max(frame_number) - min(frame_number)) / 4.0::double as duration_seconds,
          avg(case when y2 - y1 > 0 then (x2 - x1)::double / (y2 - y1) end) as mean_aspect,
@@ -222,6 +252,13 @@ select step, sum(n)::bigint as shown, count(*) as sensors from shown group by st
     "classify_events": f"{TYPED} select sensor_id, event_id, time_ms, duration, min_depth, type from typed",
     "event_report": f"{TYPED} select sensor_id, count(*) filter (type = 'Vehicle') as vehicles, count(*) as events, min(time_ms) as first_ms, max(duration) as longest from typed group by sensor_id",
     "segment_events_live": f"with {SENSOR}, {events('215', 200, 2, True)} select * from stats",
+    "long_dips": f"with {DIPS} select * from kept",
+    "long_events": f"{BATCH} select * from stats",
+    "long_events_live": f"with {SENSOR}, {events('215', 200, 2, True)} select * from stats",
+    "dip_slice_join": f"with {DIPS} select p.sensor_id, r.dip_id, p.i, p.time_ms, p.distance from pos p join raw r on p.sensor_id = r.sensor_id and p.i between r.start_idx and r.end_idx",
+    "late_samples": f"""with {SENSOR},
+lasts as (select sensor_id, max(time_ms * 1000000 + seq) as last from sensor where seq % 50 <> 7 and time_ms < (select max(time_ms) - 1500 from sensor where seq % 50 <> 7) group by sensor_id)
+select sensor_id, count(*) as late_rows from sensor join lasts using (sensor_id) where seq % 50 = 7 and time_ms * 1000000 + seq <= last group by sensor_id""",
     "segment_events_compact": compact(5, "215", 0),
     "longest_stretch_start": f"""with {SENSOR},
 l0 as (select *, row_number() over (partition by sensor_id order by time_ms, seq) - 1 as i, coalesce(distance > 220, false) as above from sensor),
@@ -248,6 +285,9 @@ min(min_depth) as least_depth, max(max_depth) as greatest_depth, round(avg(avg_d
 x1::int as x1, y1::int as y1, x2::int as x2, y2::int as y2 from boxes""",
     "roi_filter": f"""with {BOXES} select video_id, frame_number, det_idx, class_id, x1, y1, x2, y2 from boxes
 where video_id % 2 = 1 or ((x1 + x2) / 2.0::double between 150 and 550 and (y1 + y2) / 2.0::double between 0 and 400)""",
+    "roi_regions": f"""with {BOXES}, centred as (select *, (x1 + x2) / 2.0::double as cx, (y1 + y2) / 2.0::double as cy from boxes) select video_id, frame_number, det_idx, class_id, x1, y1, x2, y2 from centred
+where video_id % 3 = 0 or (cx between 150 and 350 and cy between 0 and 400) or (cx between 300 and 500 and cy between 100 and 127) or (cx between 640 and 670 and cy between 0 and 1000)""",
+    "frame_times": f"with {BOXES}, {CLASS_COUNTS}, {TIMELINE} select video_id, frame_number, frame_number / 4.0::double as time_seconds, total_in_frame from timeline where frame_number >= 41",
     "box_similarity_pairs": f"""with {BOXES},
 pairs as (select a.video_id, a.frame_number, a.det_idx, b.det_idx as next_idx, ((a.x2 - a.x1) * (a.y2 - a.y1))::double as s, ((b.x2 - b.x1) * (b.y2 - b.y1))::double as t,
                  sqrt(pow((a.x1 + a.x2) / 2.0::double - (b.x1 + b.x2) / 2.0::double, 2) + pow((a.y1 + a.y2) / 2.0::double - (b.y1 + b.y2) / 2.0::double, 2)) as dist
@@ -273,6 +313,9 @@ depths_ as (select sensor_id, dip_id, string_agg(round(distance * 100)::bigint::
 select time_of_dip_seconds, dip_duration_seconds, frame_count, start_frame_idx, end_frame_idx, min_depth, object, shape_category,
 {_ROUND(('avg_depth', 'depth_variance', 'avg_depth_gradient', 'line_integral', 'fill_factor', 'plateau_variance', 'avg_vehicles', 'avg_bicycles', 'avg_people'))}, depths
 from labelled join depths_ using (sensor_id, dip_id)""",
+    "track_objects": TRACKS,
+    "track_objects_crowded": TRACKS,
+    "track_objects_live": TRACKS,
     "track_metrics": f"with {BOXES}, {METRICS} select * from ruled",
     "valid_vehicle": f"with {BOXES}, {METRICS} select video_id, lane, boxes, duration_seconds from ruled where valid_vehicle",
     "valid_person": f"with {BOXES}, {METRICS} select video_id, lane, boxes, duration_seconds from ruled where valid_person",

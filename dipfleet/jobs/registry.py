@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipfleet.functions.params import FEATURES, CompactParams, DipParams, EventParams, LiveParams, TrackParams
+from dipfleet.functions.series import positioned
+from dipfleet.functions.storage import fresh_folder as _folder
 from dipfleet.jobs import files as file_jobs
 from dipfleet.jobs import oracles
 from dipfleet.jobs.adaptors import FPS, RETENTION, detections, frames, sensor
 from dipfleet.operators import detections as det
 from dipfleet.operators import features as feat
-from dipfleet.operators import models, segment, sync
-from dipfleet.operators.tracking import track_objects as track
+from dipfleet.operators import intervals, longseries, models, segment, sync, tracking
 from dipfleet.sources import files
 from dipfleet.streaming import live
 
@@ -142,6 +141,41 @@ def event_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.event_report(segment.classify_events(segment.gate_events(_events(spark, sf_dir), EVENTS), EVENTS))
 
 
+#: Buckets of the long forms, in milliseconds: some fifteen to a sensor on this data.
+BUCKET_MS = 2_000
+
+
+@query
+def long_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `filtered_dips` gives, without a window over a whole sensor."""
+    raw = longseries.long_raw_dips(sensor(spark, sf_dir), DIPS.baseline, bucket_ms=BUCKET_MS)
+    return segment.filter_short_dips(longseries.long_merge_dips(raw, DIPS.merge_gap_ms, bucket_ms=4 * BUCKET_MS), DIPS.min_duration_ms)
+
+
+@query
+def long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `segment_events` gives, without a window over a whole sensor."""
+    return rounded(longseries.long_events(sensor(spark, sf_dir), EVENTS, bucket_ms=BUCKET_MS), "variance", "avg_gradient")
+
+
+@query
+def long_events_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `segment_events_live` gives, without a window over a whole sensor."""
+    return rounded(longseries.long_events(sensor(spark, sf_dir), LIVE, bucket_ms=BUCKET_MS), "variance", "avg_gradient")
+
+
+@query
+def dip_slice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of a log in each dip of a table that was stored apart; raw dips share their boundary rows."""
+    folder = _folder(spark)
+    samples = sensor(spark, sf_dir)
+    files.write_table(segment.raw_dips(samples, DIPS.baseline), f"{folder}/dips")
+    files.write_sensor_log(samples, f"{folder}/log")
+    log = positioned(files.read_sensor_log(spark, f"{folder}/log")).withColumn("sensor_id", F.col("sensor_id").cast("long"))
+    joined = intervals.dip_rows(log, spark.read.parquet(f"{folder}/dips"))
+    return joined.select("sensor_id", "dip_id", F.col("i").cast("long").alias("i"), "time_ms", "distance")
+
+
 @query
 def segment_events_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segment.event_stats(segment.segment_events_live(sensor(spark, sf_dir), LIVE)), "variance", "avg_gradient")
@@ -253,6 +287,21 @@ def roi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.roi_filter(boxes, rois).select("video_id", "frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2")
 
 
+@query
+def roi_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two videos of three have three regions each, of which two overlap."""
+    boxes = det.filter_detections(detections(spark, sf_dir))
+    rois = boxes.where("video_id % 3 <> 0").select("video_id").distinct().selectExpr("video_id", "stack(3, 150, 0, 200, 400, 300, 100, 200, 27, 640, 0, 30, 1000) as (x, y, w, h)")
+    return det.roi_filter(boxes, rois).select("video_id", "frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2")
+
+
+@query
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames from the tenth second of a video on, with their time; a video that is over by then has none."""
+    table = det.frame_timeline(det.frame_class_counts(det.filter_detections(detections(spark, sf_dir))), FPS).drop("time_seconds")
+    return det.frame_time(table, FPS, start_s=10.3).select("video_id", "frame_number", "time_seconds", "total_in_frame")
+
+
 @query
 def box_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(det.consecutive_frame_similarity(det.filter_detections(detections(spark, sf_dir))), "similarity")
@@ -315,7 +364,13 @@ def valid_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def track_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return track(det.filter_detections(detections(spark, sf_dir)), TRACKS)
+    return tracking.track_objects(det.filter_detections(detections(spark, sf_dir)), TRACKS)
+
+
+@query
+def track_objects_crowded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `track_objects` gives, by parts of a video that cannot reach each other."""
+    return tracking.track_crowded(det.filter_detections(detections(spark, sf_dir)), TRACKS)
 
 
 # --- models ----------------------------------------------------------------------------------------------------------
@@ -386,52 +441,61 @@ def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all executors share: in the one that the cluster names, or our own where the master is local."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-#: Arrivals that a feed is cut into, and files of each; a micro-batch reads the files of one arrival.
+#: Arrivals that a feed is cut into, and files of each; a micro-batch reads so many files, of one arrival or two.
 ARRIVALS, FILES = 4, 4
+#: Milliseconds of a sensor's time in an arrival, and how much later than in order a sample may arrive.
+STRETCH, JITTER = 31_000 // ARRIVALS, 1_500
+FOREVER = 10**12
 
 
-def _arriving(table: DataFrame, part: Column, folder: str) -> str:
+def _arriving(table: DataFrame, part: Column, folder: str, arrivals: int = ARRIVALS, files_each: int = FILES) -> str:
     """A table as files that arrive one arrival after the other. It is computed once."""
     spark = table.sparkSession
-    table.withColumn("_part", F.greatest(F.least(part, F.lit(ARRIVALS - 1)), F.lit(0))).write.parquet(f"{folder}/all")
-    for k in range(ARRIVALS):
-        spark.read.parquet(f"{folder}/all").where(F.col("_part") == k).drop("_part").repartition(FILES).write.parquet(f"{folder}/in/part={k}")
+    table.withColumn("_part", F.greatest(F.least(part, F.lit(arrivals - 1)), F.lit(0))).write.parquet(f"{folder}/all")
+    for k in range(arrivals):
+        spark.read.parquet(f"{folder}/all").where(F.col("_part") == k).drop("_part").repartition(files_each).write.parquet(f"{folder}/in/part={k}")
     return f"{folder}/in/*"
 
 
+def _delayed(*columns: str) -> Column:
+    """Milliseconds that a row arrives late by, from 0 to JITTER."""
+    return F.pmod(F.xxhash64(*columns), F.lit(JITTER))
+
+
 def _feed(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """The sensor table as arrivals, each a stretch of time, after a trigger per sensor."""
+    """The sensor table as arrivals out of order, with a trigger per sensor; at last a row of a sensor of its own moves the
+    watermark past all. A micro-batch may hold files of two arrivals, so rows may be a stretch and their own delay behind."""
     samples = sensor(spark, sf_dir)
-    triggers = samples.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms"))
-    path = _arriving(live.with_triggers(samples, triggers), F.floor(F.col("time_ms") / (31_000 // ARRIVALS)).cast("int"), folder)
-    return live.sample_feed(spark, path, files_per_batch=FILES)
+    feed = live.with_triggers(samples, samples.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms")))
+    feed = feed.unionByName(spark.createDataFrame([(-1, -1, FOREVER, 0.0, live.TRIGGER)], feed.schema))
+    part = F.when(F.col("time_ms") == FOREVER, ARRIVALS).otherwise(F.least(F.floor((F.col("time_ms") + _delayed("sensor_id", "seq")) / STRETCH), F.lit(ARRIVALS - 1)).cast("int"))
+    path = _arriving(feed, part, folder, ARRIVALS + 1)
+    return live.reordered(live.sample_feed(spark, path, files_per_batch=FILES), STRETCH + JITTER)
 
 
-def _boxes_feed(spark: SparkSession, sf_dir: str, folder: str, closing: bool = False) -> DataFrame:
-    """Detections as arrivals, each a stretch of frames. A closing row without a video, long after all, moves the watermark on."""
+def _boxes_arrivals(spark: SparkSession, sf_dir: str, folder: str, closing: bool, jitter: int) -> tuple[DataFrame, int]:
+    """Detections as arrivals, each a stretch of frames, and rows up to `jitter` frames late, so that arrivals cut through frames; and
+    by how many milliseconds a row may be behind. A closing row without a video, long after all, moves the watermark on."""
     boxes = det.filter_detections(detections(spark, sf_dir)).withColumn("at", F.timestamp_seconds(F.col("frame_number") / FPS))
-    if closing:
-        boxes = boxes.unionByName(boxes.groupBy().agg(F.max("frame_number").alias("frame_number"), F.timestamp_seconds(F.lit(4e9)).alias("at")), allowMissingColumns=True)
     most = boxes.agg(F.max("frame_number")).first()[0] or 0
-    path = _arriving(boxes, F.floor(F.col("frame_number") * ARRIVALS / (most + 1)).cast("int"), folder)
-    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    if closing:
+        boxes = boxes.unionByName(boxes.groupBy().agg(F.lit(FOREVER).alias("frame_number"), F.timestamp_seconds(F.lit(4e9)).alias("at")), allowMissingColumns=True)
+    late = F.pmod(F.xxhash64("video_id", "frame_number", "det_idx"), F.lit(jitter + 1))
+    part = F.when(F.col("frame_number") == FOREVER, ARRIVALS).otherwise(F.least(F.floor((F.col("frame_number") + late) * ARRIVALS / (most + 1)), F.lit(ARRIVALS - 1)).cast("int"))
+    path = _arriving(boxes, part, folder, ARRIVALS + closing)
+    # a micro-batch may hold files of two arrivals
+    return spark.readStream.schema(boxes.schema).option("maxFilesPerTrigger", FILES).parquet(path), int((most / ARRIVALS + jitter + 2) * 1000 / FPS)
+
+
+def _boxes_feed(spark: SparkSession, sf_dir: str, folder: str, closing: bool = False) -> DataFrame:
+    return _boxes_arrivals(spark, sf_dir, folder, closing, 0)[0]
 
 
 @query
 def live_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
     folder = _folder(spark)
-    events = live.run_to_end(live.live_detector(_feed(spark, sf_dir, folder), LIVE), folder)
+    events = live.on_time(live.run_to_end(live.live_detector(_feed(spark, sf_dir, folder), LIVE), folder))
     return rounded(events, "variance", "avg_gradient").drop("close_ms")
 
 
@@ -439,15 +503,28 @@ def live_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compact_live_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     live.use_rocksdb(spark)
     folder = _folder(spark)
-    return rounded(live.run_to_end(live.compact_live_detector(_feed(spark, sf_dir, folder), COMPACT), folder), "variance")
+    return rounded(live.on_time(live.run_to_end(live.compact_live_detector(_feed(spark, sf_dir, folder), COMPACT), folder)), "variance")
+
+
+@query
+def late_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late samples of each sensor: every fiftieth comes after all others, and is late if later ones of its sensor were stepped by
+    then, which are those more than the allowed delay behind the newest."""
+    live.use_rocksdb(spark)
+    folder, samples = _folder(spark), sensor(spark, sf_dir).withColumn("kind", F.lit(live.SAMPLE))
+    samples = samples.unionByName(spark.createDataFrame([(-1, 0, 10**8, 0.0, live.SAMPLE)], samples.schema))
+    part = F.when(F.col("sensor_id") == -1, 1).when(F.col("seq") % 50 == 7, 2).otherwise(0)
+    feed = live.sample_feed(spark, _arriving(samples, part, folder, 3, 1))
+    return live.late_counts(live.run_to_end(live.compact_live_detector(live.reordered(feed, JITTER, grace_ms=2 * 10**8), COMPACT), folder))
 
 
 @query
 def track_objects_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What `track_objects` gives, live."""
+    """What `track_objects` gives, live, from detections out of order and frames in pieces."""
     live.use_rocksdb(spark)
     folder = _folder(spark)
-    return live.run_to_end(live.track_objects_live(_boxes_feed(spark, sf_dir, folder), TRACKS), folder)
+    feed, delay = _boxes_arrivals(spark, sf_dir, folder, True, 3)
+    return live.on_time(live.run_to_end(live.track_objects_live(live.reordered(feed, delay, F.unix_millis("at")), TRACKS), folder))
 
 
 @query
@@ -455,7 +532,8 @@ def frame_counts_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What `frame_class_counts` gives, live."""
     live.use_rocksdb(spark)
     folder = _folder(spark)
-    return live.run_to_end(live.frame_counts_live(_boxes_feed(spark, sf_dir, folder, closing=True), "at"), folder).where("video_id is not null")
+    feed, delay = _boxes_arrivals(spark, sf_dir, folder, True, 3)
+    return live.run_to_end(live.frame_counts_live(feed, "at", f"{delay} milliseconds"), folder).where("video_id is not null")
 
 
 # --- files -----------------------------------------------------------------------------------------------------------

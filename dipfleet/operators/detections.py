@@ -27,14 +27,45 @@ def truncated_boxes(detections: DataFrame) -> DataFrame:
     return detections.withColumns({c: F.col(c).cast("int") for c in ("x1", "y1", "x2", "y2")})
 
 
-def roi_filter(detections: DataFrame, rois: DataFrame | None = None, keys: Sequence[str] = VIDEO) -> DataFrame:
-    """Boxes whose centre lies in the region of their video, edges included; a video without a region keeps all."""
+def roi_filter(detections: DataFrame, rois: DataFrame | None = None, keys: Sequence[str] = VIDEO, small: int = 100_000) -> DataFrame:
+    """Boxes whose centre lies in a region of their video, edges included, each once; a video without a region keeps all.
+
+    A video may have any number of regions, also overlapping ones. A grid indexes them: a region is copied to the cells that it
+    touches, a centre lies in one, and both meet by video and cell. Cells are as wide as regions are on average; regions many
+    times larger go to a level of wider cells. The index is broadcast if it has at most `small` rows, and else shuffled.
+    Regions with a null or negative extent hold nothing; a box with a null corner is in none.
+    """
     if rois is None:
         return detections
-    joined = detections.join(rois.select(*keys, "x", "y", "w", "h"), list(keys), "left")
+    places = rois.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")]).where("x is not null and y is not null and w >= 0 and h >= 0")
+    shape = places.agg(F.avg(F.greatest("w", "h")).alias("mean"), F.max(F.greatest("w", "h")).alias("most")).first()
+    sides = [max(shape["mean"] or 0.0, 1.0)]
+    while sides[-1] * 16 < (shape["most"] or 0.0):
+        sides.append(sides[-1] * 16)
+    level = F.lit(0)
+    for k in range(1, len(sides)):
+        level = F.when(F.greatest("w", "h") > sides[k - 1] * 16, k).otherwise(level)
+    side = F.element_at(F.array(*[F.lit(s) for s in sides]), F.col("_level") + 1)
+    cell = lambda c: F.floor(c / side).cast("long")
+    index = places.withColumn("_level", level).withColumn("_gx", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x") + F.col("w")))))
+    index = index.withColumn("_gy", F.explode(F.sequence(cell(F.col("y")), cell(F.col("y") + F.col("h")))))
+    few = len(index.limit(small + 1).select("_level").take(small + 1)) <= small if small else False
+    sized = F.broadcast if few else (lambda df: df)
+    videos = rois.select(*keys).distinct()
+    free = detections.join(sized(videos), list(keys), "left_anti")
     cx, cy = (F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0
-    inside = cx.between(F.col("x"), F.col("x") + F.col("w")) & cy.between(F.col("y"), F.col("y") + F.col("h"))
-    return joined.where(F.col("x").isNull() | inside).drop("x", "y", "w", "h")
+    rest, found = detections.withColumns({"_cx": cx, "_cy": cy}), []
+    for k, s in enumerate(sides):  # a few: the sizes of regions decide
+        of = index.where(F.col("_level") == k).select(*[F.col(c).alias(f"r_{c}") for c in (*keys, "_gx", "_gy", "x", "y", "w", "h")])
+        placed = rest.withColumns({"_gx": F.floor(F.col("_cx") / s).cast("long"), "_gy": F.floor(F.col("_cy") / s).cast("long")})
+        inside = F.col("_cx").between(F.col("r_x"), F.col("r_x") + F.col("r_w")) & F.col("_cy").between(F.col("r_y"), F.col("r_y") + F.col("r_h"))
+        for c in (*keys, "_gx", "_gy"):
+            inside = inside & (placed[c] == of[f"r_{c}"])
+        found.append(placed.join(sized(of), inside, "left_semi").drop("_gx", "_gy"))
+        rest = placed.join(sized(of), inside, "left_anti").drop("_gx", "_gy") if k + 1 < len(sides) else rest
+    for hit in found:
+        free = free.unionByName(hit.drop("_cx", "_cy"))
+    return free
 
 
 def frame_time(frames: DataFrame, fps: float, start_s: float = 0.0, total_frames: int | None = None) -> DataFrame:

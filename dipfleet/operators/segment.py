@@ -60,8 +60,9 @@ def dip_slices(samples: DataFrame, params: DipParams = DipParams(), keys: Sequen
     return rows.drop("below", "pi", "pt", "ni", "nt", "_pb", "_end_ms", "_new", "_lead", "_run", "_last", "_span")
 
 
-def _event_rows(samples: DataFrame, line: float | Column, gap_ms: int, keys: Sequence[str], live: bool) -> DataFrame:
-    """Rows of events: keys, `event_id, i, time_ms, distance`. A row that closes an event and leads into the next is in both."""
+def _event_rows(samples: DataFrame, line: float | Column, gap_ms: int, keys: Sequence[str], live: bool, most: int | None = None) -> DataFrame:
+    """Rows of events: keys, `event_id, i, time_ms, distance`, at most the first `most` of each. A row that closes an event and leads
+    into the next is in both."""
     w = ordered(keys)
     rows = _neighbours(samples, line, keys).withColumn("pd", F.lag("distance").over(w))
     rows = rows.withColumns({"lbi": F.last(F.when(F.col("below"), F.col("i")), ignorenulls=True).over(earlier(w)), "lb": F.last(F.when(F.col("below"), F.col("time_ms")), ignorenulls=True).over(earlier(w))})
@@ -72,6 +73,8 @@ def _event_rows(samples: DataFrame, line: float | Column, gap_ms: int, keys: Seq
     event = Window.partitionBy(*keys, "event_id")
     rows = rows.withColumn("_shut", F.min(F.when(F.col("_close"), F.col("i"))).over(event))
     rows = rows.where("i <= _shut") if live else rows.where("_shut is null or i <= _shut")
+    if most is not None:
+        rows = rows.withColumn("_from", F.max(F.when(F.col("_start"), F.coalesce("pi", "i"))).over(event)).where(F.col("i") - F.col("_from") < most)
     own = rows.select(*keys, "event_id", "i", "time_ms", "distance", "_start", "pi", "pt", "pd")
     # the lead-in row is taken from the starting row: no join
     both = F.when(F.col("_start") & F.col("pi").isNotNull(), F.array(F.struct(F.col("pi").alias("i"), F.col("pt").alias("time_ms"), F.col("pd").alias("distance")), F.struct("i", "time_ms", "distance"))).otherwise(F.array(F.struct("i", "time_ms", "distance")))
@@ -112,8 +115,9 @@ def event_report(classified: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 
 def segment_events_live(samples: DataFrame, params: LiveParams = LiveParams(), keys: Sequence[str] = KEYS, line: Column | None = None) -> DataFrame:  # noqa: B008
-    """Rows of the live counter's events: only closed ones; closing needs two rows in a row that are not below."""
-    return _event_rows(samples, params.line if line is None else line, params.gap_ms, keys, live=True)
+    """Rows of the live counter's events: only closed ones; closing needs two rows in a row that are not below. Of each event
+    the rows that the live buffer holds, its first 5,000."""
+    return _event_rows(samples, params.line if line is None else line, params.gap_ms, keys, live=True, most=params.buffer)
 
 
 def calibrate_mode(samples: DataFrame, params: LiveParams = LiveParams(), keys: Sequence[str] = KEYS) -> DataFrame:  # noqa: B008

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dipfleet.functions.graph import linked_parts
 from dipfleet.functions.params import CLASS_NAMES, TrackParams
-from dipfleet.functions.series import so_far
+from dipfleet.functions.series import numbered, so_far
+from dipfleet.functions.storage import checkpointed
 
 COLUMNS = "frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long, object_id long, is_new boolean"
 
@@ -111,3 +113,65 @@ def track_objects(detections: DataFrame, params: TrackParams = TrackParams(), ke
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = most.select(*keys, "_part", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_shift"))
     return tracked.join(shift, [*keys, "_part"]).withColumn("object_id", F.col("object_id") + F.col("_shift")).drop("_part", "_shift")
+
+
+#: Detections that are tracked in one call, about: parts are small, so several go together.
+BUNDLE = 4_096
+
+
+def reach(params: TrackParams) -> float | None:
+    """Boxes whose centres are so many mean sizes apart, or more, never match; None where any distance may."""
+    return 2.0 * (1.0 - (params.similarity - 0.4) / 0.6) if params.similarity >= 0.4 else None
+
+
+def reachable_parts(detections: DataFrame, params: TrackParams, keys: Sequence[str] = ("video_id",)) -> DataFrame:
+    """Detections with `_part`, and `_bundles` for each video: those of different parts of a video can never come to one track, nor
+    vie for one.
+
+    A track is matched by its last box, at most the retention before, within `reach` mean sizes. Boxes are dealt into cells of a
+    quarter of that reach (of the video's largest box) and of the retention's frames; a cell keeps the bounds of its centres and
+    frames and its largest area. Cells link if boxes within these bounds might match, and linked cells are one part. Cells
+    meet by an equi-join on the neighbourhood, so a crowd costs its occupied cells, not its pairs of boxes.
+    """
+    far, span = reach(params), params.retention_frames + 1
+    area = F.greatest((F.col("x2") - F.col("x1")).cast("double") * (F.col("y2") - F.col("y1")), F.lit(0.0))
+    boxes = detections.withColumns({"_cx": (F.col("x1") + F.col("x2")) / 2.0, "_cy": (F.col("y1") + F.col("y2")) / 2.0, "_area": area})
+    sides = boxes.groupBy(*keys).agg(F.greatest(F.sqrt(F.max("_area")) * far, F.lit(1.0)).alias("_side"), F.ceil(F.count("*") / BUNDLE).alias("_bundles"))  # a row for each video
+    cell = {"_fx": F.floor(F.col("_cx") * 4 / F.col("_side")), "_fy": F.floor(F.col("_cy") * 4 / F.col("_side")), "_fb": F.floor(F.col("frame_number") / span)}
+    boxes = boxes.join(sides, list(keys)).withColumns(cell).withColumn("_node", F.xxhash64(*keys, *cell))  # equal hashes only join parts
+    bounds = [f(c).alias(f"{n}{e}") for c, n in (("_cx", "x"), ("_cy", "y"), ("frame_number", "f")) for f, e in ((F.min, "0"), (F.max, "1"))]
+    nodes = boxes.groupBy(*keys, "_node", "_fx", "_fy", "_fb").agg(*bounds, F.max("_area").alias("area"))
+    nodes = checkpointed(nodes.withColumns({"_bx": F.floor(F.col("_fx") / 4), "_by": F.floor(F.col("_fy") / 4)}).drop("_fx", "_fy"))
+    kept = ["_node", "x0", "x1", "y0", "y1", "f0", "f1", "area"]
+    there = nodes.select(*keys, "_bx", "_by", "_fb", *[F.col(c).alias(f"o_{c}") for c in kept])
+    steps = lambda *by: F.explode(F.array(*[F.lit(k) for k in by]))
+    here = nodes.withColumn("_dx", steps(-1, 0, 1)).withColumn("_dy", steps(-1, 0, 1)).withColumn("_df", steps(0, 1))
+    here = here.select(*keys, (F.col("_bx") + F.col("_dx")).alias("_bx"), (F.col("_by") + F.col("_dy")).alias("_by"), (F.col("_fb") + F.col("_df")).alias("_fb"), *kept)
+    apart = lambda n: F.greatest(F.col(f"{n}0") - F.col(f"o_{n}1"), F.col(f"o_{n}0") - F.col(f"{n}1"), F.lit(0)).cast("double")
+    near = (F.hypot(apart("x"), apart("y")) <= F.sqrt((F.col("area") + F.col("o_area")) / 2) * far * (1 + 1e-9)) & (apart("f") <= params.retention_frames)
+    links = here.join(there, [*keys, "_bx", "_by", "_fb"]).where(near & (F.col("_node") != F.col("o__node")))
+    parts = linked_parts(links.select(F.col("_node").alias("a"), F.col("o__node").alias("b")))
+    return boxes.join(parts, boxes["_node"] == parts["node"], "left").withColumn("_part", F.coalesce("part", "_node")).drop("_cx", "_cy", "_area", "_side", *cell, "_node", "node", "part")
+
+
+def track_crowded(detections: DataFrame, params: TrackParams = TrackParams(), keys: Sequence[str] = ("video_id",)) -> DataFrame:  # noqa: B008
+    """`track_objects` for videos without gaps: parts of a video that cannot reach each other are tracked in parallel.
+
+    Tracks never leave their part and are created in the same order, so only their numbers differ: they are counted anew by
+    the first detection of each, in stretches of frames. Parts are tracked in bundles of some thousand detections. A threshold below 0.4 lets any two boxes match: then gaps alone cut.
+    """
+    if reach(params) is None:
+        return track_objects(detections, params, keys)
+    wanted = ["frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2"]
+    parts = reachable_parts(detections.select(*keys, *wanted), params, keys).withColumn("_part", F.pmod(F.xxhash64("_part"), F.col("_bundles")))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return track_rows(Tracker(params), rows.sort_values(["frame_number", "det_idx"]))[[*keys, "_part", *wanted, "object_id", "is_new"]]
+
+    schema = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keys) + ", _part long, " + COLUMNS
+    tracked = checkpointed(parts.select(*keys, "_part", *wanted).groupBy(*keys, "_part").applyInPandas(run, schema))
+    tracks = tracked.groupBy(*keys, "_part", F.col("object_id").alias("_own")).agg(F.min(F.struct("frame_number", "det_idx")).alias("_first"))
+    tracks = tracks.withColumn("_video", F.struct(*keys))
+    ids = numbered(tracks, "_video", F.floor(F.col("_first.frame_number") / (params.retention_frames + 1)), ["_first"], "_id").select(*keys, "_part", "_own", "_id")
+    joined = tracked.withColumnRenamed("object_id", "_own").join(ids, [*keys, "_part", "_own"])
+    return joined.select(*keys, *wanted, F.col("_id").alias("object_id"), "is_new")

@@ -1,10 +1,11 @@
-"""Live detectors as keyed state machines; their output equals the batch operators on the same rows, except for events of
-more samples than the live buffer holds (5,000): the batch operators keep all of them. Null distances arrive as NaN; both
-are samples that enter no depth, variance or step.
-
-State lives in the RocksDB state store, a few values and the open event per sensor. Within a micro-batch rows are
-stepped in order of (time, seq); rows at or before the last step of their sensor are late: dropped, and counted in the
-state. Watermarks only bound how long a source waits; they never reorder samples.
+"""Live detectors as keyed state machines; their output equals the batch operators on the same rows. Null distances arrive as NaN;
+both are samples that enter no depth, variance or step.
+
+State lives in the RocksDB state store: a few values and the open event per sensor, and the rows that wait. With a watermark
+(`reordered`) rows wait until it has passed them, and are then stepped in order of (time, seq), by an event-time timer if
+nothing else arrives for their key: rows may come in any order within the allowed delay, and a frame in any number of pieces.
+Without one, rows are stepped as they come, in order within a micro-batch. Rows at or before the last step of their key are
+late: they are not stepped, but come out as rows that are marked `late`.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,8 +23,8 @@ from dipfleet.operators.tracking import Tracker, track_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SAMPLE, TRIGGER = "sample", "trigger"
-EVENTS = "sensor_id long, time_ms long, close_ms long, samples long, duration double, min_depth double, variance double, avg_gradient double, baseline double, type string"
-COMPACT = "sensor_id long, time_ms long, close_ms long, samples long, duration_ms long, variance double, type string"
+EVENTS = "sensor_id long, time_ms long, close_ms long, samples long, duration double, min_depth double, variance double, avg_gradient double, baseline double, type string, late boolean"
+COMPACT = "sensor_id long, time_ms long, close_ms long, samples long, duration_ms long, variance double, type string, late boolean"
 _FIRST_BATCH = -(1 << 62)
 
 
@@ -128,128 +129,202 @@ class CompactMachine:
         return {"time_ms": self.start, "close_ms": t, "samples": n, "duration_ms": t - self.start, "variance": variance, "type": "VEHICLE" if variance <= self.p.max_variance else "OTHER"}
 
 
-def _in_order(rows: Iterator[pd.DataFrame], last: tuple[int, int]) -> tuple[pd.DataFrame, int]:
-    """The rows of a batch in order, without those that come too late, and how many these were."""
-    frame = pd.concat(list(rows), ignore_index=True)
-    late = (frame["time_ms"] < last[0]) | ((frame["time_ms"] == last[0]) & (frame["seq"] <= last[1]))
-    return frame[~late].sort_values(["time_ms", "seq"], kind="stable"), int(late.sum())
+def _names(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
-def _table(schema: str, rows: list[dict]) -> Iterator[pd.DataFrame]:
-    if rows:
-        yield pd.DataFrame(rows)[[c.strip().split(" ")[0] for c in schema.split(",")]]
+class Ordered(StatefulProcessor):
+    """Steps the rows of a key in the order of `ORDER`; `waits` until the watermark is past their `event_ms`.
 
+    A subclass names what it holds of a row (`ROW`), what it gives out (`OUT`), and how it is stepped: `restore` its state, `consume`
+    rows in order, `store` it. Late rows come out with the columns that they share with `OUT`.
+    """
 
-class LiveDetector(StatefulProcessor):
-    """`LiveMachine` over the state store: scalars in one value, calibration counts in a map, the open event in a list."""
+    ORDER: tuple[str, str] = ("time_ms", "seq")
+    KEY, ROW, OUT = "", "", ""
 
-    def __init__(self, params: LiveParams):
-        self.params = params
+    def __init__(self, params, waits: bool = False):
+        self.params, self.waits = params, waits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.core = handle.getValueState("core", "phase string, baseline double, t0 long, last_dip long, prev_t long, prev_d double, time_ms long, seq long, late long")
+        self.handle = handle
+        self.place = handle.getValueState("place", "first long, second long, late long, timer long")
+        if self.waits:
+            self.waiting = handle.getListState("waiting", self.ROW + ", event_ms long")
+        self.open(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.advance(key, pd.concat(list(rows), ignore_index=True), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.advance(key, None, timerValues)
+
+    def advance(self, key, frame: pd.DataFrame | None, timers) -> Iterator[pd.DataFrame]:
+        first, second, late, timer = self.place.get() or (_FIRST_BATCH, _FIRST_BATCH, 0, None)
+        t, seq = self.ORDER
+        columns = _names(self.ROW) + ["event_ms"] * self.waits
+        held = pd.DataFrame([tuple(x) for x in self.waiting.get()], columns=columns) if self.waits else None
+        if frame is not None:
+            behind = (frame[t] < first) | ((frame[t] == first) & (frame[seq] <= second))
+            late += int(behind.sum())
+            if behind.any():
+                told = frame[behind].reset_index(drop=True).assign(**{self.KEY: key[0], "late": True})
+                nothing = pd.Series([None] * len(told), dtype=object)
+                yield pd.DataFrame({c: told[c] if c in told else nothing for c in _names(self.OUT)})
+            frame = frame.loc[~behind, columns]
+            held = frame if held is None or held.empty else pd.concat([held, frame], ignore_index=True)
+        ready = held["event_ms"] < timers.getCurrentWatermarkInMs() if self.waits else np.ones(len(held), bool)
+        now = held[ready].sort_values([t, seq], kind="stable")
+        if len(now):
+            self.restore()
+            stepped = self.consume(key, now)
+            self.store()
+            first, second = int(now[t].iloc[-1]), int(now[seq].iloc[-1])
+            if len(stepped):
+                yield stepped.assign(late=False).reindex(columns=_names(self.OUT))
+        if self.waits:
+            rest = held[~ready]
+            self.waiting.clear()
+            if len(rest):
+                self.waiting.put(list(rest.itertuples(index=False, name=None)))
+            due = int(rest["event_ms"].min()) + 1 if len(rest) else None
+            if due != timer:
+                if timer is not None and timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                if due is not None:
+                    self.handle.registerTimer(due)
+                timer = due
+        self.place.update((first, second, late, timer))
+
+    def close(self) -> None:
+        pass
+
+
+class LiveDetector(Ordered):
+    """`LiveMachine` over the state store: scalars in one value, calibration counts in a map, the open event in a list."""
+
+    KEY, ROW, OUT = "sensor_id", "time_ms long, seq long, distance double, kind string", EVENTS
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.core = handle.getValueState("core", "phase string, baseline double, t0 long, last_dip long, prev_t long, prev_d double")
         self.bins = handle.getMapState("bins", "bin int", "n int")
         self.buffer = handle.getListState("buffer", "time_ms long, distance double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        m, last, late = LiveMachine(self.params), (_FIRST_BATCH, -2), 0
+    def restore(self) -> None:
+        m = self.machine = LiveMachine(self.params)
         if (state := self.core.get()) is not None:
-            m.phase, m.baseline, m.t0, m.last_dip, prev_t, prev_d, *order, late = state
-            m.prev, last = (None if prev_t is None else (prev_t, float("nan") if prev_d is None else prev_d)), tuple(order)
+            m.phase, m.baseline, m.t0, m.last_dip, prev_t, prev_d = state
+            m.prev = None if prev_t is None else (prev_t, float("nan") if prev_d is None else prev_d)
             m.bins = {int(k[0]): int(v[0]) for k, v in self.bins.iterator()} if m.phase == "CALIBRATING" else {}
             m.buffer = [tuple(x) for x in self.buffer.get()] if m.phase in ("IN_DIP", "WAITING_FOR_MERGE") else []
-        frame, dropped = _in_order(rows, last)
+
+    def consume(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for t, seq, d, kind in frame[["time_ms", "seq", "distance", "kind"]].itertuples(index=False):
-            last = (int(t), int(seq))
+        for t, d, kind in rows[["time_ms", "distance", "kind"]].itertuples(index=False):
             if kind == TRIGGER:
-                m.trigger(int(t))
-            elif (event := m.step(int(t), float(d))) is not None:
+                self.machine.trigger(int(t))
+            elif (event := self.machine.step(int(t), float("nan") if d is None else float(d))) is not None:
                 out.append({"sensor_id": key[0], **event})
+        return pd.DataFrame(out)
+
+    def store(self) -> None:
+        m = self.machine
         prev_t, prev_d = m.prev or (None, None)
-        self.core.update((m.phase, float(m.baseline), int(m.t0), int(m.last_dip), prev_t, prev_d, *last, late + dropped))
+        self.core.update((m.phase, float(m.baseline), int(m.t0), int(m.last_dip), prev_t, prev_d))
         self.bins.clear()
         for k, v in m.bins.items():
             self.bins.updateValue((k,), (v,))
         self.buffer.clear()
         if m.buffer:
             self.buffer.put(m.buffer)
-        yield from _table(EVENTS, out)
 
-    def close(self) -> None:
-        pass
 
+class CompactDetector(Ordered):
+    KEY, ROW, OUT = "sensor_id", "time_ms long, seq long, distance double, kind string", COMPACT
 
-class CompactDetector(StatefulProcessor):
-    def __init__(self, params: CompactParams):
-        self.params = params
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.core = handle.getValueState("core", "calibrated double, total double, seen long, good long, n long, mean double, m2 double, start long, time_ms long, seq long, late long")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.core = handle.getValueState("core", "calibrated double, total double, seen long, good long, n long, mean double, m2 double, start long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        m, last, late = CompactMachine(self.params), (_FIRST_BATCH, -2), 0
+    def restore(self) -> None:
+        m = self.machine = CompactMachine(self.params)
         if (state := self.core.get()) is not None:
-            m.calibrated, m.total, m.seen, m.good, m.n, m.mean, m.m2, m.start, *order, late = state
+            m.calibrated, m.total, m.seen, m.good, m.n, m.mean, m.m2, m.start = state
             m.calibrated = float("nan") if m.calibrated is None else m.calibrated
-            last = tuple(order)
-        frame, dropped = _in_order(rows, last)
+
+    def consume(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for t, seq, d in frame[["time_ms", "seq", "distance"]].itertuples(index=False):
-            last = (int(t), int(seq))
-            if seq >= 0 and (event := m.step(int(t), float(d))) is not None:
+        for t, d, kind in rows[["time_ms", "distance", "kind"]].itertuples(index=False):
+            if kind != TRIGGER and (event := self.machine.step(int(t), float("nan") if d is None else float(d))) is not None:
                 out.append({"sensor_id": key[0], **event})
-        self.core.update((float(m.calibrated), float(m.total), int(m.seen), int(m.good), int(m.n), float(m.mean), float(m.m2), int(m.start), *last, late + dropped))
-        yield from _table(COMPACT, out)
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out)
 
+    def store(self) -> None:
+        m = self.machine
+        self.core.update((float(m.calibrated), float(m.total), int(m.seen), int(m.good), int(m.n), float(m.mean), float(m.m2), int(m.start)))
 
-class LiveTracker(StatefulProcessor):
-    """`Tracker` over the state store; a frame's detections must come in one batch."""
 
-    OUT = "video_id long, frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long, object_id long, is_new boolean"
+class LiveTracker(Ordered):
+    """`Tracker` over the state store. A frame may come in pieces: its detections are stepped in order, whenever they arrive."""
 
-    def __init__(self, params: TrackParams):
-        self.params = params
+    ORDER = ("frame_number", "det_idx")
+    KEY, ROW = "video_id", "frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long"
+    OUT = "video_id long, frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long, object_id long, is_new boolean, late boolean"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "id long, frame long")
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "id long")
         self.tracks = handle.getListState("tracks", ", ".join(f"f{i} double" for i in range(len(Tracker.FIELDS))))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.next.get()
-        tracker, last = Tracker(self.params), _FIRST_BATCH
-        if state is not None:
-            held = [list(x) for x in self.tracks.get()]
-            tracker = Tracker(self.params, np.array(held).reshape(-1, len(Tracker.FIELDS)), int(state[0]))
-            last = state[1]
-        frame = pd.concat(list(rows), ignore_index=True)
-        frame = frame[frame["frame_number"] > last].sort_values(["frame_number", "det_idx"], kind="stable")
-        if len(frame):
-            out = track_rows(tracker, frame)
-            self.next.update((tracker.next_id, int(frame["frame_number"].max())))
-            self.tracks.clear()
-            if len(tracker.tracks):
-                self.tracks.put([tuple(map(float, t)) for t in tracker.tracks])
-            yield out[[c.strip().split(" ")[0] for c in self.OUT.split(",")]]
+    def restore(self) -> None:
+        self.tracker = Tracker(self.params)
+        if (state := self.next.get()) is not None:
+            self.tracker = Tracker(self.params, np.array([list(x) for x in self.tracks.get()]).reshape(-1, len(Tracker.FIELDS)), int(state[0]))
 
-    def close(self) -> None:
-        pass
+    def consume(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return track_rows(self.tracker, rows).assign(video_id=key[0])
+
+    def store(self) -> None:
+        self.next.update((self.tracker.next_id,))
+        self.tracks.clear()
+        if len(self.tracker.tracks):
+            self.tracks.put([tuple(map(float, t)) for t in self.tracker.tracks])
+
+
+def reordered(feed: DataFrame, delay_ms: int, event_ms: Column | str = "time_ms", grace_ms: int = 86_400_000) -> DataFrame:
+    """A feed whose rows wait for others that are up to `delay_ms` behind the newest row seen, of whatever key.
+
+    Adds `event_ms` (positive milliseconds) and the watermark's column. That lies `grace_ms` after the event, with as much
+    more delay: the watermark is then the newest event less the delay, but rows that come later than it still reach
+    the operator, which gives them out as late; only those later by the grace are dropped by Spark, which counts them.
+    """
+    event = (F.col(event_ms) if isinstance(event_ms, str) else event_ms).cast("long")
+    return feed.withColumn("event_ms", event).withColumn("at", F.timestamp_millis(F.col("event_ms") + grace_ms)).withWatermark("at", f"{delay_ms + grace_ms} milliseconds")
+
+
+def _stepped(feed: DataFrame, processor: type[Ordered], params) -> DataFrame:
+    waits = "event_ms" in feed.columns
+    return feed.groupBy(processor.KEY).transformWithStateInPandas(processor(params, waits), processor.OUT, "append", "eventTime" if waits else "none")
+
+
+def on_time(rows: DataFrame) -> DataFrame:
+    return rows.where("not late").drop("late")
+
+
+def late_counts(rows: DataFrame, key: str = "sensor_id") -> DataFrame:
+    """Late rows of each key."""
+    return rows.where("late").groupBy(key).agg(F.count("*").alias("late_rows"))
 
 
 def live_detector(feed: DataFrame, params: LiveParams = LiveParams()) -> DataFrame:  # noqa: B008
-    """Gated and classified events of every sensor, as they close."""
-    return feed.groupBy("sensor_id").transformWithStateInPandas(LiveDetector(params), EVENTS, "append", "none")
+    """Gated and classified events of every sensor, as they close, and late rows."""
+    return _stepped(feed, LiveDetector, params)
 
 
 def compact_live_detector(feed: DataFrame, params: CompactParams = CompactParams()) -> DataFrame:  # noqa: B008
-    return feed.groupBy("sensor_id").transformWithStateInPandas(CompactDetector(params), COMPACT, "append", "none")
+    return _stepped(feed, CompactDetector, params)
 
 
 def track_objects_live(detections: DataFrame, params: TrackParams = TrackParams()) -> DataFrame:  # noqa: B008
-    return detections.groupBy("video_id").transformWithStateInPandas(LiveTracker(params), LiveTracker.OUT, "append", "none")
+    return _stepped(detections, LiveTracker, params)
 
 
 def frame_counts_live(detections: DataFrame, event_time: str, late: str = "10 seconds", keys: Sequence[str] = ("video_id",)) -> DataFrame:

@@ -39,7 +39,7 @@ def comparable(df, columns):
 
 def test_live_detector(spark, samples, tmp_path):
     stream = feed(spark, live.with_triggers(samples, samples.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms"))), str(tmp_path))
-    got = live.run_to_end(live.live_detector(stream, LIVE), str(tmp_path))
+    got = live.on_time(live.run_to_end(live.live_detector(stream, LIVE), str(tmp_path)))
     columns = ["sensor_id", "time_ms", "samples", "duration", "min_depth", "variance", "avg_gradient", "baseline", "type"]
     want = comparable(segment.live_events(samples, LIVE), columns)
     assert len(want) > 5 and comparable(got, columns) == want
@@ -47,7 +47,7 @@ def test_live_detector(spark, samples, tmp_path):
 
 def test_compact_detector(spark, samples, tmp_path):
     stream = feed(spark, live.with_triggers(samples, samples.limit(0)), str(tmp_path))
-    got = live.run_to_end(live.compact_live_detector(stream, COMPACT), str(tmp_path))
+    got = live.on_time(live.run_to_end(live.compact_live_detector(stream, COMPACT), str(tmp_path)))
     columns = ["sensor_id", "time_ms", "close_ms", "samples", "duration_ms", "variance", "type"]
     want = comparable(segment.segment_events_compact(samples, COMPACT), columns)
     assert len(want) > 5 and comparable(got, columns) == want
@@ -79,3 +79,69 @@ def test_frame_counts(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = live.run_to_end(live.frame_counts_live(stream, "at"), str(tmp_path)).collect()
     assert len(got) == 30 and all((r.people_in_frame, r.bicycles_in_frame, r.vehicles_in_frame) == (2, 0, 1) for r in got)
+
+
+def jumbled(spark, df, folder, time, delay, cuts, rnd_seed, closing):
+    """Rows in arrivals by their time and a delay of their own; then a row of no key that moves the watermark past all."""
+    late_by = F.pmod(F.xxhash64(F.lit(rnd_seed), *df.columns), F.lit(delay))
+    step = df.agg(F.max(time)).first()[0] // cuts + 1
+    arrival = F.floor((F.col(time) + late_by) / step)
+    for k in range(cuts + 1 + delay // step):
+        part = df.where(arrival == k)
+        if not part.isEmpty():
+            part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    closing.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    live.use_rocksdb(spark)
+    return live.sample_feed(spark, f"{folder}/in", df.schema)
+
+
+@pytest.mark.parametrize("cuts", [2, 9])
+def test_event_time_restores_the_order(spark, samples, tmp_path, cuts):
+    """Arrivals shuffled within the delay give exactly the batch result, for both detectors."""
+    feed = live.with_triggers(samples, samples.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms")))
+    closing = feed.limit(1).withColumns({"sensor_id": F.lit(-1).cast("long"), "time_ms": F.lit(10**9).cast("long")})
+    stream = live.reordered(jumbled(spark, feed, str(tmp_path), "time_ms", 3_000, cuts, cuts, closing), 3_000)
+    columns = ["sensor_id", "time_ms", "samples", "duration", "min_depth", "variance", "avg_gradient", "baseline", "type"]
+    got = live.run_to_end(live.live_detector(stream, LIVE), f"{tmp_path}/a")
+    want = comparable(segment.live_events(samples, LIVE), columns)
+    assert got.where("late").count() == 0 and len(want) > 5 and comparable(live.on_time(got), columns) == want
+    columns = ["sensor_id", "time_ms", "close_ms", "samples", "duration_ms", "variance", "type"]
+    got = live.run_to_end(live.compact_live_detector(stream, COMPACT), f"{tmp_path}/b")
+    assert got.where("late").count() == 0 and comparable(live.on_time(got), columns) == comparable(segment.segment_events_compact(samples, COMPACT), columns)
+
+
+def test_late_rows_come_out_marked(spark, samples, tmp_path):
+    """Rows that come after the watermark has let later ones of their sensor step are told, and the rest is as without them."""
+    late = (F.col("seq") % 20 == 7) & (F.col("seq") < 140)
+    feed = live.with_triggers(samples, samples.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms")))
+    closing = feed.limit(1).withColumns({"sensor_id": F.lit(-1).cast("long"), "time_ms": F.lit(50_000_000).cast("long")})
+    stream = live.reordered(jumbled(spark, feed.where(~late), str(tmp_path), "time_ms", 500, 4, 1, closing), 600)
+    feed.where(late).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = live.run_to_end(live.live_detector(stream, LIVE), str(tmp_path))
+    columns = ["sensor_id", "time_ms", "samples", "duration", "min_depth", "variance", "avg_gradient", "baseline", "type"]
+    assert comparable(live.on_time(got), columns) == comparable(segment.live_events(samples.where(~late), LIVE), columns)
+    assert {r.sensor_id: r.late_rows for r in live.late_counts(got).collect()} == {r.sensor_id: r["count"] for r in samples.where(late).groupBy("sensor_id").count().collect()}
+
+
+def test_frames_in_pieces(spark, tmp_path):
+    """Detections of a frame that arrive in different micro-batches, out of order, are tracked as in batch."""
+    rnd = random.Random(18)
+    rows = [(v, f, i, rnd.randint(0, 2), x, 0, x + 50, 50) for v in range(3) for f in range(1, 40) for i in range(rnd.randint(1, 4)) if (x := rnd.choice([0, 60, 200]) + rnd.randint(0, 9)) >= 0]
+    schema = "video_id long, frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long"
+    df, params = spark.createDataFrame(rows, schema), TrackParams(fps=4.0, retention_frames=8)
+    closing = df.limit(1).withColumns({"video_id": F.lit(-1).cast("long"), "frame_number": F.lit(10**6).cast("long")})
+    stream = live.reordered(jumbled(spark, df, str(tmp_path), "frame_number", 6, 7, 3, closing), 2_000, F.col("frame_number") * 250)
+    got = live.run_to_end(live.track_objects_live(stream, params), str(tmp_path))
+    columns = ["video_id", "frame_number", "det_idx", "object_id", "is_new"]
+    assert got.where("late").count() == 0 and comparable(live.on_time(got), columns) == comparable(track_objects(df, params), columns)
+
+
+def test_events_longer_than_the_buffer(spark, tmp_path):
+    """5,000 samples of an event are kept, live as in batch."""
+    depths = [230.0] * 20 + [100.0 + i % 3 for i in range(5_200)] + [230.0] * 20
+    df = spark.createDataFrame([(1, i, i + 1, d) for i, d in enumerate(depths)], SCHEMA)
+    params = LiveParams(calibration_ms=10, gap_ms=5, min_seconds=0.1)
+    stream = feed(spark, live.with_triggers(df, df.groupBy("sensor_id").agg(F.min("time_ms").alias("time_ms"))), str(tmp_path))
+    got = live.on_time(live.run_to_end(live.live_detector(stream, params), str(tmp_path)))
+    columns = ["sensor_id", "time_ms", "samples", "duration", "min_depth", "variance", "avg_gradient", "baseline", "type"]
+    assert comparable(got, columns) == comparable(segment.live_events(df, params), columns) and got.first().samples == 5_000
