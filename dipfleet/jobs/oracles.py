@@ -223,7 +223,89 @@ _VISIBLE = ", ".join(
     f"count(*) filter ({c}_in_frame > 0) as {c}_frames, round(count(*) filter ({c}_in_frame > 0) * 100.0::double / count(*), 6) as {c}_percent, round(avg({c}_in_frame), 6) as {c}_mean, max({c}_in_frame) as {c}_most" for c in ("people", "bicycles", "vehicles", "total")
 )
 
+#: Dips with their split by id, as in `stratified_split`, and their features, to six digits, as a list.
+SPLIT = f"""{LABELLED},
+flat_ as materialized (select sensor_id, dip_id, is_vehicle, {_ROUND(_NINE)} from labelled),
+sizes as (select is_vehicle, count(*) as n, sum(count(*)) over () as n_all, floor(count(*) * 0.3::double) as quota from flat_ group by is_vehicle),
+quotas as (select *, quota + case when row_number() over (order by n * 0.3::double - quota desc, is_vehicle) <= ceil(n_all * 0.3::double) - sum(quota) over () then 1 else 0 end as q from sizes),
+split as materialized (
+  select sensor_id, dip_id, is_vehicle, [{', '.join(_NINE)}] as f, n_all < 20 or r > q as in_train, n_all < 20 or r <= q as in_test, ((r) % 5)::int as fold from (
+    select *, row_number() over (partition by is_vehicle order by sensor_id, dip_id) as r from flat_) l join quotas using (is_vehicle))"""
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+
+
+def _drawn(digest: str) -> str:
+    return " + ".join(f"((('0x' || substr(md5({digest}), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 >= {p}::double)::int" for p in _POISSON)
+
+
+def _gini(n: str, k: str) -> str:
+    return f"2.0::double * (({k})::double / ({n})) * (1.0::double - ({k})::double / ({n}))"
+
+
+def grown(depth: int, least: int, tried: int) -> str:
+    """Trees level by level over `r0` (model, weight w, y, f, node 1): their nodes are `nodes`."""
+    ctes = []
+    for d in range(depth + 1):
+        ctes.append(f"n{d} as materialized (select model, node, sum(w)::bigint as n, sum(w * y)::bigint as k from r{d} group by model, node)")
+        if d == depth:
+            ctes.append(f"b{d} as (select model, node, 0 as j, 0.0::double as threshold, 0.0::double as gain from n{d} where false)")
+            break
+        ctes.append(f"""s{d} as materialized (
+  select model, node, n, k, j from (
+    select *, row_number() over (partition by model, node order by md5('42:' || model || ':' || node || ':' || j), j) as place from n{d}, (select unnest(range(9))::int as j) u where k between 1 and n - 1 and n >= {2 * least}) x
+  where place <= {tried})""")
+        ctes.append(f"""c{d} as (
+  select *, sum(w) over o as l, sum(w1) over o as l1, lead(v) over o as u from (
+    select model, node, j, n, k, f[j + 1] as v, sum(w)::bigint as w, sum(w * y)::bigint as w1 from r{d} join s{d} using (model, node) group by all) x
+  window o as (partition by model, node, j order by v))""")
+        gain = f"round({_gini('n', 'k')} - l::double / n * ({_gini('l', 'l1')}) - (n - l)::double / n * ({_gini('n - l', 'k - l1')}), 12)"
+        ctes.append(f"""b{d} as materialized (
+  select model, node, j, threshold, gain from (
+    select model, node, j, (v + u) / 2 as threshold, gain, row_number() over (partition by model, node order by gain desc, j, v) as place
+    from (select *, {gain} as gain from c{d} where u is not null and l >= {least} and n - l >= {least}) x) y where place = 1 and gain > 0)""")
+        ctes.append(f"r{d + 1} as materialized (select r.model, r.w, r.y, r.f, r.node * 2 + (r.f[b.j + 1] > b.threshold)::int as node from r{d} r join b{d} b using (model, node))")
+    nodes = " union all ".join(f"select model, node, j, threshold, n, k, gain from n{d} left join b{d} using (model, node)" for d in range(depth + 1))
+    return ", ".join(ctes) + f", nodes as materialized ({nodes})"
+
+
+def walked(rows: str, depth: int) -> str:
+    """`rows` (with model, node 1 and f) in their leaves: `leaf` has the share of class 1."""
+    steps = [f"w0 as ({rows})"]
+    steps += [f"w{d + 1} as (select w.* exclude (node), case when t.j is null then w.node else w.node * 2 + (w.f[t.j + 1] > t.threshold)::int end as node from w{d} w join nodes t using (model, node))" for d in range(depth)]
+    return ", ".join(steps) + f", leaf as (select w.*, t.k::double / t.n as share from w{depth} w join nodes t using (model, node))"
+
+
+_TREE = f"""{SPLIT}, r0 as materialized (select 0 as model, 1 as w, is_vehicle as y, f, 1 as node from split where in_train), {grown(3, 5, 9)}"""
+_FOREST = f"""{SPLIT}, r0 as materialized (
+  select * from (select model, {_drawn("'42:' || model || ':' || sensor_id || ':' || dip_id")} as w, is_vehicle as y, f, 1 as node from split, (select unnest(range(50))::int as model) m where in_train) x where w > 0), {grown(5, 3, 3)}"""
+_FOLDS = f"""{SPLIT}, r0 as materialized (
+  select * from (select g * 10 + tree as model, {_drawn("'42:' || tree || ':' || sensor_id || ':' || dip_id || ':' || g")} as w, is_vehicle as y, f, 1 as node
+                 from split, (select unnest(range(5))::int as g) a, (select unnest(range(10))::int as tree) b where g <> fold) x where w > 0), {grown(5, 3, 3)}"""
+_SCORED = _FOREST + ", " + walked("select sensor_id, dip_id, is_vehicle, in_test, f, model, 1 as node from split, (select distinct model from nodes) m", 5) + """,
+probs as (select sensor_id, dip_id, is_vehicle, in_test, sum(share) / 50.0::double as p from leaf group by all)"""
+REPORT = f"""
+per as (select case k when 1 then 'Vehicle' else 'Non-Vehicle' end as class, (count(*) filter (y = k and p = k))::double as tp, (count(*) filter (p = k))::double as pp, (count(*) filter (y = k))::double as support, count(*)::double as n
+        from scored, (values (0), (1)) v(k) group by k),
+rated as (select *, case when pp > 0 then tp / pp else 0 end as precision, case when support > 0 then tp / support else 0 end as recall from per),
+full_ as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from rated),
+rows_ as (
+  select class, precision, recall, f1, support from full_
+  union all select 'accuracy', sum(tp) / min(n), sum(tp) / min(n), sum(tp) / min(n), sum(support) from full_
+  union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) from full_
+  union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from full_)
+select class, {_ROUND(('precision', 'recall', 'f1', 'support'))} from rows_"""
+
 ORACLES: dict[str, str] = {
+    "tree_nodes": f"{_TREE} select node::bigint as node, [{', '.join(repr(c) for c in _NINE)}][j + 1] as feature, round(threshold, 6) as threshold, n::double as n, k::double as n_1, round(gain, 6) as gain from nodes",
+    "forest_scores": f"""{_SCORED} select sensor_id, dip_id, is_vehicle, in_test, round(p, 6) as ml_vehicle_prob, (p > 0.5)::int as ml_prediction, case when p > 0.5 then 'Vehicle' else 'Non-Vehicle' end as ml_prediction_label from probs""",
+    "forest_report": f"{_SCORED}, scored as (select is_vehicle as y, (p > 0.5)::int as p from probs where in_test), {REPORT}",
+    "forest_importance": f"""{_FOREST},
+shares as (select model, j, sum(n * gain) / sum(sum(n * gain)) over (partition by model) as g from nodes where j is not null group by model, j)
+select [{', '.join(repr(c) for c in _NINE)}][u.j + 1] as feature, round(coalesce(sum(g) / (select count(distinct model) from shares), 0), 6) as importance from (select unnest(range(9))::int as j) u left join shares using (j) group by u.j""",
+    "forest_folds": _FOLDS + ", " + walked("select sensor_id, dip_id, is_vehicle, fold, f, model, 1 as node from split join (select distinct model from nodes) m on model // 10 = fold", 5) + """,
+hits as (select fold, ((avg(share) > 0.5)::int = is_vehicle)::int::double as hit from leaf group by sensor_id, dip_id, fold, is_vehicle),
+folds_ as (select fold, count(*) as rows, avg(hit) as accuracy from hits group by fold)
+select fold, rows, round(accuracy, 6) as accuracy, round(avg(accuracy) over (), 6) as mean_accuracy, round(stddev_pop(accuracy) over () * 2, 6) as two_std from folds_""",
     "filter_start_time": f"with {SENSOR} select sensor_id, seq, time_ms, distance, row_number() over (partition by sensor_id order by time_ms, seq) - 1 as i from sensor where time_ms >= 5000",
     "start_at_exact_time": f"with {SENSOR}, {STARTS} select * from starts",
     "rebase_timeline": f"with {SENSOR}, {STARTS} select sensor_id, seq, (time_ms - start_ms) / 1000.0::double as time_seconds, distance from sensor join starts using (sensor_id) where seq >= start_seq",
@@ -326,18 +408,7 @@ sizes as (select is_vehicle, count(*) as n, sum(count(*)) over () as n_all, floo
 quotas as (select *, quota + case when row_number() over (order by n * 0.3::double - quota desc, is_vehicle) <= ceil(n_all * 0.3::double) - sum(quota) over () then 1 else 0 end as q from sizes)
 select sensor_id, dip_id, is_vehicle, n_all < 20 or r > q as in_train, n_all < 20 or r <= q as in_test from (
   select *, row_number() over (partition by is_vehicle order by sensor_id, dip_id) as r from labelled) l join quotas using (is_vehicle)""",
-    "classification_report": f"""{LABELLED},
-scored as (select is_vehicle as y, (depth_variance <= 3070)::int as p from labelled),
-per as (select case k when 1 then 'Vehicle' else 'Non-Vehicle' end as class, (count(*) filter (y = k and p = k))::double as tp, (count(*) filter (p = k))::double as pp, (count(*) filter (y = k))::double as support, count(*)::double as n
-        from scored, (values (0), (1)) v(k) group by k),
-rated as (select *, case when pp > 0 then tp / pp else 0 end as precision, case when support > 0 then tp / support else 0 end as recall from per),
-full_ as (select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from rated),
-rows_ as (
-  select class, precision, recall, f1, support from full_
-  union all select 'accuracy', sum(tp) / min(n), sum(tp) / min(n), sum(tp) / min(n), sum(support) from full_
-  union all select 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) from full_
-  union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from full_)
-select class, {_ROUND(('precision', 'recall', 'f1', 'support'))} from rows_""",
+    "classification_report": f"{LABELLED}, scored as (select is_vehicle as y, (depth_variance <= 3070)::int as p from labelled), {REPORT}",
 }
 #: Like `rounded` in the registry: a value that ends in 5 at the seventh place rounds up in both engines.
 ORACLES = {k: v.replace(", 6)", " + 3e-8, 6)") for k, v in ORACLES.items()}

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipfleet.functions.params import FEATURES, CompactParams, DipParams, EventParams, LiveParams, TrackParams
-from dipfleet.functions.series import positioned
+from dipfleet.functions.series import numbered, positioned
+from dipfleet.functions.storage import checkpointed
 from dipfleet.functions.storage import fresh_folder as _folder
 from dipfleet.jobs import files as file_jobs
 from dipfleet.jobs import oracles
 from dipfleet.jobs.adaptors import FPS, RETENTION, detections, frames, sensor
 from dipfleet.operators import detections as det
 from dipfleet.operators import features as feat
-from dipfleet.operators import intervals, longseries, models, segment, sync, tracking
+from dipfleet.operators import intervals, longseries, models, segment, sync, tracking, trees
 from dipfleet.sources import files
 from dipfleet.streaming import live
 
@@ -26,6 +27,7 @@ ORACLES = oracles.ORACLES
 DIPS, EVENTS = DipParams(), EventParams()
 LIVE, COMPACT = LiveParams(calibration_ms=3_000), CompactParams(calibration_samples=10)
 TRACKS = TrackParams(fps=FPS, retention_frames=RETENTION)
+FOLD_FOREST = trees.TreeParams(depth=5, min_leaf=3, tried=3, trees=10)
 
 
 def query(f: Query) -> Query:
@@ -438,6 +440,51 @@ def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.tree_rules(models.train_decision_tree(_split(spark, sf_dir).where("in_train")), spark)
 
 
+def _split_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled dips, features to six digits, split by their ids; computed once."""
+    rows = rounded(_labelled(spark, sf_dir), *FEATURES).select("sensor_id", "dip_id", "is_vehicle", *FEATURES)
+    return checkpointed(models.stratified_split(rows, ["sensor_id", "dip_id"]))
+
+
+def _trees(split: DataFrame, params: trees.TreeParams) -> DataFrame:
+    return checkpointed(trees.train_trees(trees.bagged(split.where("in_train"), params, ["sensor_id", "dip_id"]), params))
+
+
+@query
+def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of an exact decision tree, trained on 70 %, with their conditions in words."""
+    return rounded(trees.rules(_trees(_split_dips(spark, sf_dir), trees.TREE)), "threshold", "gain").drop("model", "path")
+
+
+@query
+def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact forest, trained on 70 %, as columns over all dips."""
+    split = _split_dips(spark, sf_dir)
+    scored = trees.score_by_columns(split, _trees(split, trees.FOREST))
+    return rounded(scored, "ml_vehicle_prob").select("sensor_id", "dip_id", "is_vehicle", "in_test", "ml_vehicle_prob", "ml_prediction", "ml_prediction_label")
+
+
+@query
+def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the forest on the held-out part."""
+    split = _split_dips(spark, sf_dir)
+    scored = trees.score_by_columns(split.where("in_test"), _trees(split, trees.FOREST))
+    return rounded(models.classification_report(scored, prediction="ml_prediction"), "precision", "recall", "f1", "support")
+
+
+@query
+def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(trees.importances(_trees(_split_dips(spark, sf_dir), trees.FOREST)), "importance")
+
+
+@query
+def forest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stratified folds of ten trees each, all grown together."""
+    rows = rounded(_labelled(spark, sf_dir), *FEATURES).select("sensor_id", "dip_id", "is_vehicle", *FEATURES)
+    dealt = numbered(rows, "is_vehicle", F.col("sensor_id"), ["sensor_id", "dip_id"], "_n").withColumn("fold", F.pmod("_n", F.lit(5)).cast("int")).drop("_n")
+    return rounded(trees.cross_validated(checkpointed(dealt), ["sensor_id", "dip_id"], FOLD_FOREST), "accuracy", "mean_accuracy", "two_std")
+
+
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from dipfleet.functions.params import FEATURES, RULE_GRADIENT, RULE_VARIANCE
 from dipfleet.functions.series import numbered
@@ -38,8 +41,8 @@ def rule_score(dips: DataFrame) -> DataFrame:
 
 def stratified_split(dips: DataFrame, order: Sequence[str | Column], test_share: float = 0.3, label: str = "is_vehicle", least: int = 20, stretch: Column | None = None) -> DataFrame:
     """Adds `in_train` and `in_test`: an exact stratified split. Of each label the first rows in `order` are tested, floor(share x n) of
-    them, and the largest remainders get one more up to ceil(share x all); with fewer than `least` rows both hold all. `stretch` cuts the order into stretches that are
-    sorted apart; by default its first column does."""
+    them, and the largest remainders get one more up to ceil(share x all); with fewer than `least` rows both hold all. `stretch` cuts the order
+    into stretches that are sorted apart; by default quantiles of its first column do."""
     share = F.lit(test_share)
     sizes = dips.groupBy(label).agg(F.count("*").alias("_of"))
     everything = Window.partitionBy()
@@ -47,13 +50,19 @@ def stratified_split(dips: DataFrame, order: Sequence[str | Column], test_share:
     extra = F.ceil(F.col("_all") * share) - F.sum("_quota").over(everything)
     sizes = sizes.withColumn("_extra", extra).withColumn("_rank", F.row_number().over(Window.orderBy((F.col("_of") * share - F.col("_quota")).desc(), F.col(label))))
     sizes = sizes.withColumn("_quota", F.col("_quota") + (F.col("_rank") <= F.col("_extra")).cast("long"))  # a row for each label
-    ranked = numbered(dips, label, _first(order) if stretch is None else stretch, order, "_r").join(F.broadcast(sizes), label)
+    ranked = numbered(dips, label, stretches(dips, order[0]) if stretch is None else stretch, order, "_r").join(F.broadcast(sizes), label)
     test = (F.col("_all") < least) | (F.col("_r") <= F.col("_quota"))
     return ranked.withColumns({"in_test": test, "in_train": (F.col("_all") < least) | ~test}).drop("_of", "_all", "_quota", "_extra", "_rank", "_r")
 
 
-def _first(order: Sequence[str | Column]) -> Column:
-    return F.col(order[0]) if isinstance(order[0], str) else order[0]
+def stretches(df: DataFrame, first: str | Column, n: int = 64) -> Column:
+    """Which of some `n` stretches of about equal size a row lies in, by the first column of an order: it never falls as that
+    rises. Text and other values without quantiles are a stretch each."""
+    first = F.col(first) if isinstance(first, str) else first
+    if not isinstance(df.select(first.alias("v")).schema["v"].dataType, NumericType):
+        return first
+    cuts = df.agg(F.percentile_approx(first, [k / n for k in range(1, n)], 1000).alias("c")).first()["c"] or []
+    return F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < first)) if cuts else F.lit(0)
 
 
 def hashed(*columns: str, seed: int = 42) -> Column:
@@ -69,13 +78,17 @@ def train_decision_tree(train: DataFrame, label: str = "is_vehicle", seed: int =
 
 
 def cross_validate(assembled: DataFrame, order: Sequence[str | Column], folds: int = 5, label: str = "is_vehicle", stretch: Column | None = None) -> DataFrame:
-    """Accuracy of the forest per fold with their mean and twice their deviation; folds are stratified by label."""
+    """Accuracy of the forest per fold with their mean and twice their deviation; folds are stratified by label. All folds are
+    fitted at once, and their scores are one job."""
     spark = assembled.sparkSession
-    dealt = numbered(assembled, label, _first(order) if stretch is None else stretch, order, "_n").withColumn("_fold", F.pmod("_n", F.lit(folds)).cast("int")).drop("_n").cache()
-    rows = []
-    for k in range(folds):
-        scored = train_random_forest(dealt.where(F.col("_fold") != k), label).transform(dealt.where(F.col("_fold") == k))
-        rows.append((k, scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]))
+    dealt = numbered(assembled, label, stretches(assembled, order[0]) if stretch is None else stretch, order, "_n").withColumn("_fold", F.pmod("_n", F.lit(folds)).cast("int")).drop("_n").cache()
+    with ThreadPool(folds) as pool:
+        fitted = pool.map(inheritable_thread_target(spark)(lambda k: train_random_forest(dealt.where(F.col("_fold") != k), label)), range(folds))
+    hits = None
+    for k, model in enumerate(fitted):
+        scored = model.transform(dealt.where(F.col("_fold") == k)).select("_fold", (F.col("prediction") == F.col(label)).cast("double").alias("hit"))
+        hits = scored if hits is None else hits.unionByName(scored)
+    rows = [(r["_fold"], r["accuracy"]) for r in hits.groupBy("_fold").agg(F.avg("hit").alias("accuracy")).orderBy("_fold").collect()]  # a row for each fold
     dealt.unpersist()
     w = Window.partitionBy()
     return spark.createDataFrame(rows, "fold int, accuracy double").withColumns({"mean_accuracy": F.avg("accuracy").over(w), "two_std": F.stddev_pop("accuracy").over(w) * 2})
