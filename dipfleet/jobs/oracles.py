@@ -295,7 +295,25 @@ rows_ as (
   union all select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support) from full_)
 select class, {_ROUND(('precision', 'recall', 'f1', 'support'))} from rows_"""
 
+SESSIONS = """below_ as (select *, row_number() over (partition by sensor_id order by time_ms, seq) as k from sensor where distance < 220),
+breaks as (select *, sum(case when gap is null or gap > 300 then 1 else 0 end) over (partition by sensor_id order by k) as session
+           from (select *, time_ms - lag(time_ms) over (partition by sensor_id order by k) as gap from below_) x)"""
+LINES = """lines_ as (
+  select sensor_id, time_ms, seq, u.place, case u.place when 0 then time_ms || ',' || distance when 1 then 'restarted' when 2 then '' else '12' end as line
+  from sensor, (values (0), (1), (2), (3)) u(place) where u.place = 0 or seq % 10 = 3),
+placed_ as (select *, coalesce(sum(length(line) + 1) over (partition by sensor_id order by time_ms, seq, place rows between unbounded preceding and 1 preceding), 0)::bigint as start from lines_)"""
+
 ORACLES: dict[str, str] = {
+    "bad_log_lines": f"""with {SENSOR}, {LINES} select sensor_id::varchar as sensor_id, start as "at", line, 'not a time and a distance' as reason from placed_ where place in (1, 3)""",
+    "device_log_live": compact(500, "case when true then base - 15 end", 10),
+    "bucketed_features": f"{PLAIN} select sensor_id, dip_id, {_ROUND(('dip_height', 'fill_factor', 'plateau_variance'))}, shape_category from dips",
+    "merged_tables_roundtrip": f"""with {SENSOR}, {COUNTED} select sensor_id::varchar as sensor_id, seq, time_ms / 1000.0::double as time, distance as depth, round(vehicles_in_frame, 6) as vehicles,
+round(people_in_frame, 6) as people, round(bicycles_in_frame, 6) as bicycles from counted""",
+    "session_events": f"with {SENSOR}, {SESSIONS} select sensor_id, min(time_ms) as start_ms, max(time_ms) as last_ms, count(*) as samples, min(distance) as min_depth, round(var_pop(distance), 6) as variance from breaks group by sensor_id, session",
+    "session_differences": f"""with {DIPS}, {SESSIONS},
+a as (select sensor_id, count(*) as dips from merged group by sensor_id), b as (select sensor_id, count(distinct session) as sessions from breaks group by sensor_id)
+select dips, sessions, count(*) as sensors from a join b using (sensor_id) group by dips, sessions""",
+    "scored_dips_roundtrip": f"""{_SCORED} select sensor_id, dip_id, is_vehicle, round(p, 6) as ml_vehicle_prob, (p > 0.5)::int as ml_prediction, case when p > 0.5 then 'Vehicle' else 'Non-Vehicle' end as ml_prediction_label from probs""",
     "tree_nodes": f"{_TREE} select node::bigint as node, [{', '.join(repr(c) for c in _NINE)}][j + 1] as feature, round(threshold, 6) as threshold, n::double as n, k::double as n_1, round(gain, 6) as gain from nodes",
     "forest_scores": f"""{_SCORED} select sensor_id, dip_id, is_vehicle, in_test, round(p, 6) as ml_vehicle_prob, (p > 0.5)::int as ml_prediction, case when p > 0.5 then 'Vehicle' else 'Non-Vehicle' end as ml_prediction_label from probs""",
     "forest_report": f"{_SCORED}, scored as (select is_vehicle as y, (p > 0.5)::int as p from probs where in_test), {REPORT}",
@@ -410,5 +428,6 @@ select sensor_id, dip_id, is_vehicle, n_all < 20 or r > q as in_train, n_all < 2
   select *, row_number() over (partition by is_vehicle order by sensor_id, dip_id) as r from labelled) l join quotas using (is_vehicle)""",
     "classification_report": f"{LABELLED}, scored as (select is_vehicle as y, (depth_variance <= 3070)::int as p from labelled), {REPORT}",
 }
+ORACLES["frames_with_depth_roundtrip"] = ORACLES["nearest_depth_join"].replace("select a.sensor_id, frame_number", "select a.sensor_id::varchar as sensor_id, frame_number")
 #: Like `rounded` in the registry: a value that ends in 5 at the seventh place rounds up in both engines.
 ORACLES = {k: v.replace(", 6)", " + 3e-8, 6)") for k, v in ORACLES.items()}

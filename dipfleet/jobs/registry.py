@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from dipfleet.jobs.adaptors import FPS, RETENTION, detections, frames, sensor
 from dipfleet.operators import detections as det
 from dipfleet.operators import features as feat
 from dipfleet.operators import intervals, longseries, models, segment, sync, tracking, trees
-from dipfleet.sources import files
+from dipfleet.sources import devicelog, files
 from dipfleet.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +184,21 @@ def segment_events_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(segment.event_stats(segment.segment_events_live(sensor(spark, sf_dir), LIVE)), "variance", "avg_gradient")
 
 
+@query
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dips approximated by sessions of samples below the line."""
+    return rounded(segment.session_events(sensor(spark, sf_dir).where("time_ms >= 0"), DIPS.baseline, DIPS.merge_gap_ms), "variance")
+
+
+@query
+def session_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensors by how many merged dips they have, and how many sessions."""
+    samples = sensor(spark, sf_dir).where("time_ms >= 0")
+    dips = segment.merge_dips(segment.raw_dips(samples, DIPS.baseline), DIPS.merge_gap_ms).groupBy("sensor_id").agg(F.count("*").alias("dips"))
+    sessions = segment.session_events(samples, DIPS.baseline, DIPS.merge_gap_ms).groupBy("sensor_id").agg(F.count("*").alias("sessions"))
+    return dips.join(sessions, "sensor_id").groupBy("dips", "sessions").agg(F.count("*").alias("sensors"))
+
+
 @query
 def segment_events_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A buffer of five samples, so that overflows happen on this data."""
@@ -605,6 +621,69 @@ def lenient_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_sensor_log_lenient(spark, folder)
 
 
+def _faulty_log(spark: SparkSession, sf_dir: str) -> str:
+    """The sensor table as logs with lines that hold no sample."""
+    folder = _folder(spark)
+    samples = sensor(spark, sf_dir).repartition("sensor_id").sortWithinPartitions("sensor_id", "time_ms", "seq")
+    line = F.concat_ws(",", F.col("time_ms").cast("string"), F.col("distance").cast("string"))
+    lines = samples.withColumn("value", F.explode(F.when(F.col("seq") % 10 == 3, F.array(line, F.lit("restarted"), F.lit(""), F.lit("12"))).otherwise(F.array(line))))
+    lines.select("sensor_id", "value").write.partitionBy("sensor_id").text(folder)
+    return folder
+
+
+@query
+def bad_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of logs that hold no sample, by sensor and offset."""
+    bad = devicelog.bad_lines(devicelog.log_lines(spark, _faulty_log(spark, sf_dir)))
+    return bad.select("sensor_id", "at", "line", "reason")
+
+
+@query
+def device_log_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `compact_live_detector` gives, from logs that are read as a stream of lines."""
+    live.use_rocksdb(spark)
+    samples = devicelog.log_samples(devicelog.log_lines(spark, _faulty_log(spark, sf_dir), stream=True))
+    feed = samples.withColumns({"sensor_id": F.col("sensor_id").cast("long"), "kind": F.lit(live.SAMPLE)})
+    return rounded(live.on_time(live.run_to_end(live.compact_live_detector(feed, COMPACT), _folder(spark))), "variance")
+
+
+@query
+def bucketed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `dip_shape` gives, from a table in buckets by sensor: no shuffle after it is written."""
+    name = f"samples_{uuid.uuid4().hex}"
+    files.write_bucketed(sensor(spark, sf_dir), name, f"{_folder(spark)}/samples", buckets=8)
+    plain = feat.dip_features(segment.dip_slices(spark.table(name), DIPS), DIPS)
+    return rounded(plain, "dip_height", "fill_factor", "plateau_variance").select("sensor_id", "dip_id", "dip_height", "fill_factor", "plateau_variance", "shape_category")
+
+
+@query
+def merged_tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment job: logs and frame counts to samples with counts, read again under their logical names."""
+    folder = _folder(spark)
+    files.write_sensor_log(sensor(spark, sf_dir), f"{folder}/log")
+    file_jobs.merge_and_dips(spark, f"{folder}/log", frames(spark, sf_dir), f"{folder}/out", 0.1, DIPS)
+    merged = spark.read.parquet(f"{folder}/out/samples_with_counts").withColumn("time_s", (F.col("time_ms") / 1000.0).cast("double"))
+    named = files.with_column_mapping(merged, {"time": "time_s", "depth": "distance"})
+    return rounded(named, "vehicles", "people", "bicycles").select("sensor_id", "seq", "time", "depth", "vehicles", "people", "bicycles")
+
+
+@query
+def frames_with_depth_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alignment job's other table: frames with the depth nearest in time."""
+    folder = _folder(spark)
+    files.write_sensor_log(sensor(spark, sf_dir), f"{folder}/log")
+    file_jobs.merge_and_dips(spark, f"{folder}/log", frames(spark, sf_dir), f"{folder}/out", 0.1, DIPS)
+    return spark.read.parquet(f"{folder}/out/frames_with_depth").select("sensor_id", "frame_number", "time_seconds", "ultrawide_depth_m")
+
+
+@query
+def scored_dips_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dips with the scores of the forest, written as CSV and read again."""
+    folder = _folder(spark)
+    files.write_csv(forest_scores(spark, sf_dir).drop("in_test"), folder)
+    return spark.read.schema("sensor_id long, dip_id long, is_vehicle int, ml_vehicle_prob double, ml_prediction int, ml_prediction_label string").csv(folder, header=True)
+
+
 @query
 def frame_counts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frame table of all videos written as CSV and read again."""

@@ -189,3 +189,19 @@ def longest_stretch_start(samples: DataFrame, threshold: float = 220.0, min_span
     best = F.max_by(F.struct("start_idx", "start_ms", "span_ms"), F.struct(F.col("span_ms"), -F.col("start_idx"))).alias("b")
     return runs.groupBy(*keys).agg(best).select(*keys, "b.start_idx", "b.start_ms", "b.span_ms")
 
+
+def session_events(samples: DataFrame, line: float | Column, gap_ms: int = DipParams.merge_gap_ms, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Stretches of samples below the line with no more than `gap_ms` between them, as sessions: an approximation of merged dips.
+
+    The gap is measured between samples below the line, not from the closing row of one run to the lead-in of the next, and
+    one of exactly `gap_ms` joins; there is no lead-in row. In return it is one aggregation that streams: a feed with the
+    watermarked time `at` gives the same sessions. Times are at or after 1970; keys, `start_ms, last_ms, samples, min_depth, variance`.
+    """
+    rows = samples.where(is_below("distance", line))
+    at = F.col("at") if "at" in samples.columns else F.timestamp_millis("time_ms")
+    sessions = rows.withColumn("at", at) if "at" not in samples.columns else rows
+    # a session ends, and the next begins, a millisecond past the gap
+    grouped = sessions.groupBy(*keys, F.session_window("at", f"{gap_ms} milliseconds").alias("_session")).agg(
+        F.min("time_ms").alias("start_ms"), F.max("time_ms").alias("last_ms"), F.count("*").alias("samples"), F.min("distance").alias("min_depth"), F.var_pop("distance").alias("variance")
+    )
+    return grouped.drop("_session")

@@ -62,6 +62,15 @@ def read_frame_counts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("detected_objects", F.from_json("detected_objects", DETECTED))
 
 
+def bad_frame_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of frame counts that do not fit their columns, for a side table: `file, line, reason`."""
+    rows = spark.read.schema(FRAME_COUNTS + ", _line string").csv(path, header=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_line")
+    names = [c.split(" ")[0] for c in FRAME_COUNTS.split(", ")]
+    empty = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in names])
+    # every column is read, as a line is only held against those
+    return rows.withColumn("reason", F.concat(F.lit("not read: "), empty)).where("_line is not null").select(F.col("_metadata.file_path").alias("file"), F.col("_line").alias("line"), "reason")
+
+
 def with_column_mapping(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Columns renamed from physical to logical names; `mapping` overrides the defaults. Missing ones raise."""
     names = {**DEFAULT_MAPPING, **(mapping or {})}
@@ -93,3 +102,9 @@ def write_dips(dips: DataFrame, path: str) -> bool:
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Parquet, nested columns as they are, one folder per value of `partition_by`."""
     (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, keys: tuple[str, ...] = ("sensor_id",), order: tuple[str, ...] = ("time_ms", "seq"), buckets: int = 16) -> None:
+    """A table whose files are buckets by key, each sorted: what works by these keys reads it without a shuffle."""
+    dealt = df.repartition(buckets, *keys)  # a file for each bucket
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys, *order).format("parquet").option("path", path).saveAsTable(table)
