@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from dipfleet.llm.common import checkpointed, mix, parts, prefix_hash, span_hash, word_spans
 from dipfleet.llm.components import components
@@ -18,9 +18,13 @@ from dipfleet.llm.simhash import pattern_links
 
 #: 64-bit words of a fingerprint. Texts of similarity 0.8 differ in some 39 +- 6 of its 256 bits, unlike ones in 128 +- 8.
 WORDS = 4
-#: Texts whose fingerprints differ in so few bits are near copies (at a similarity of 0.7 one pair of a thousand does). Beyond, the
-#: index links them by rising distance, and each link is checked on the words; unlike texts never come near the last tier.
+#: The index links texts by rising distance of their fingerprints; every link is checked on the words. Unlike texts never come
+#: near the last tier.
 TIERS = (30, 36, 42, 48, 60)
+#: Links that a class keeps below a pattern beside the one that joins it, should that fail.
+SPARE = 3
+#: Rounds in which each class has its nearest link checked; then all links are that are still between classes.
+ROUNDS = 2
 #: Upper nodes of the index: every fingerprint lies under MASKS patterns of BITS bits each. A pair of similarity 0.8 agrees on
 #: one of them with probability 0.95, at 0.85 with 0.99, at 0.9 with more than 0.999. Beyond some billions of different
 #: texts, add two bits and 1.4 times the masks for each fourfold growth, so that patterns stay as rare.
@@ -95,16 +99,12 @@ def _digest(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
-def _name(key: bytes) -> int:
-    return struct.unpack_from("<q", key)[0]
-
-
 def _slot(key: bytes, doc_id: int | None) -> bytes:
     return key if doc_id is None else key + struct.pack("<q", doc_id)
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """`doc_id, name` (of the words of the text), `slot` (words and id), `worded` and the fingerprint."""
+    """`doc_id, key` (128 bits of the words of the text), `slot` (words and id), `worded` and the fingerprint."""
     names = [f"f{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +113,19 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
             keys = [_digest(w) for w in words]
             slots = [_slot(k, d) for k, d in zip(keys, part.column(0).to_pylist(), strict=True)]
             f = wide_fingerprints(buf, offsets, shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_name(k) for k in keys], pa.int64()), pa.array(slots, pa.binary()), pa.array([bool(w) for w in words]), *(pa.array(f[:, k].copy()) for k in range(WORDS))], ["doc_id", "name", "slot", "worded", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(slots, pa.binary()), pa.array([bool(w) for w in words]), *(pa.array(f[:, k].copy()) for k in range(WORDS))], ["doc_id", "key", "slot", "worded", *names])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, slot binary, worded boolean, " + ", ".join(f"{n} long" for n in names))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, name long, slot binary, worded boolean, " + ", ".join(f"{n} long" for n in names))
+
+def _named(docs: DataFrame, shingle: int) -> DataFrame:
+    """A row for each different text: a `name` (a number of its own), its `key` and fingerprint, `worded`, and the `slot` of its
+    row of least id. Rows of one text are one before they are shuffled."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "slot")).alias("least")
+    print_ = F.max(F.struct("worded", *[f"f{k}" for k in range(WORDS)])).alias("f")
+    once = _marked(docs, shingle).groupBy("key").agg(least, print_)
+    # written once: the numbers stay
+    return checkpointed(once.select(F.monotonically_increasing_id().alias("name"), "key", "least", "f.*"))
 
 
 def _nodes(distinct: DataFrame) -> DataFrame:
@@ -141,15 +151,18 @@ def _nodes(distinct: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`name, text` (words) of the wanted names, each once."""
+    """`name, text` (words) of the wanted texts (`name, key`), each once. Copies of a task are one row before any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # digests of a task's texts
         for _, buf, offsets in parts(batches, "text"):
-            words = _words(buf, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array([_name(_digest(w)) for w in words], pa.int64()), pa.array(words, pa.binary())], ["name", "text"])
+            words = [(k, w) for w in _words(buf, offsets) if w and (k := _digest(w)) not in seen]
+            words = list(dict(words).items())
+            seen.update(k for k, _ in words)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in words], pa.binary()), pa.array([w for _, w in words], pa.binary())], ["_key", "text"])
 
-    texts = docs.select("text").mapInArrow(run, "name long, text binary")
-    return texts.join(wanted.withColumnRenamed("name", "_k"), F.col("name") == F.col("_k"), "left_semi").dropDuplicates(["name"])
+    texts = docs.select("text").mapInArrow(run, "_key binary, text binary")
+    return texts.join(wanted, F.col("_key") == F.col("key")).select("name", "text").dropDuplicates(["name"])
 
 
 def _with_text(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
@@ -175,25 +188,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return checkpointed(both.mapInArrow(run, "a long, b long"))
 
 
-def links(marked: DataFrame, docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """Links `a, b` between names whose components are the classes of similar texts.
+def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of different classes, with these as `_a` and `_b`."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    return pairs.where("_a <> _b")
+
 
-    Below each pattern the index joins close fingerprints to classes, and those by a forest of about the least distances.
-    Links of the forest that the sure ones do not imply are checked on the words. So a family of copies of any size costs links
-    in proportion to it; every pattern gives a forest of its own, so a text is held against its neighbours of many.
+def links(named: DataFrame, docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Links `a, b` between names whose components are the classes of similar texts: each was checked on the words.
+
+    The index finds pairs of close fingerprints below every shared pattern: a forest of about least distances and some spare ones,
+    so a family of copies of any size gives pairs in proportion to it. Of those, each class has its nearest link to another class
+    checked, classes are joined by what holds, and so again; at last every pair that still lies between two classes is
+    checked. So no pair is believed, none is given up, and few are read.
     """
-    distinct = marked.where("worded").select("name", *[f"f{k}" for k in range(WORDS)]).dropDuplicates(["name"])
-    found = pattern_links(_nodes(distinct), WORDS, TIERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure").groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    found = checkpointed(found)
-    sure = found.where("sure").select("a", "b")
-    classes = checkpointed(components(sure))
-    doubtful = found.where("not sure")
-    for side in ("a", "b"):
-        doubtful = doubtful.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"_{side}")), side, "left")
-    doubtful = checkpointed(doubtful.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"))
-    wanted = doubtful.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    texts = checkpointed(_texts(docs, wanted))
-    return sure.unionByName(_verified(doubtful, texts, shingle, least))
+    fingerprints = [f"f{k}" for k in range(WORDS)]
+    found = pattern_links(_nodes(named.where("worded").select("name", *fingerprints)), WORDS, TIERS, spare=SPARE)
+    open_pairs = checkpointed(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    texts = checkpointed(_texts(docs, named.select("name", "key").join(wanted, "name", "left_semi")))
+    held, classes = None, None
+    for round_ in range(ROUNDS + 1):
+        if classes is not None:
+            open_pairs = checkpointed(_between(open_pairs, classes).select("a", "b", "bits", "_a", "_b"))
+        else:
+            open_pairs = open_pairs.withColumns({"_a": F.col("a"), "_b": F.col("b")})
+        asked = open_pairs.select("a", "b")
+        if round_ < ROUNDS:
+            sides = open_pairs.select(F.col("_a").alias("c"), "bits", "a", "b").unionByName(open_pairs.select(F.col("_b").alias("c"), "bits", "a", "b"))
+            asked = checkpointed(sides.groupBy("c").agg(F.min(F.struct("bits", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
+            open_pairs = open_pairs.join(asked, ["a", "b"], "left_anti").select("a", "b", "bits")
+        true = _verified(asked, texts, shingle, least)
+        held = true if held is None else held.unionByName(true)
+        if round_ < ROUNDS:
+            classes = checkpointed(components(held))
+    return held
 
 
 def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -205,16 +235,16 @@ def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     or white space alone under one id any one stays. An empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("row"))
-    marked = checkpointed(_marked(rows, shingle))
-    classes = components(links(marked, rows, shingle=shingle, least=least))
-    named = marked.join(classes, marked["name"] == classes["node"], "left").select("doc_id", "slot", F.coalesce("component", "name").alias("component"))
-    stays = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "slot")).alias("_least")).select(F.col("_least.slot").alias("_stays"))
+    named = _named(rows, shingle)
+    classes = components(links(named, rows, shingle=shingle, least=least))
+    of = named.join(classes, named["name"] == classes["node"], "left").select("least", F.coalesce("component", "name").alias("component"))
+    stays = of.groupBy("component").agg(F.min("least").alias("_least")).select(F.col("_least.slot").alias("_stays"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offsets in parts(batches, "text"):
             slots = [_slot(_digest(w), d) for w, d in zip(_words(buf, offsets), part.column(0).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.binary()), *part.columns], ["slot", *part.schema.names])
 
-    slotted = rows.mapInArrow(run, StructType([marked.schema["slot"], *rows.schema.fields]))
+    slotted = rows.mapInArrow(run, StructType([StructField("slot", BinaryType()), *rows.schema.fields]))
     once = slotted.dropDuplicates(["slot"])  # copies of a task are one row before the shuffle, which serves the join too
     return once.join(stays, once["slot"] == stays["_stays"], "left_semi").select(F.col("doc_id").alias(doc_id), F.col("text").alias(text), *[F.col(f"row.{c}").alias(c) for c in keep])

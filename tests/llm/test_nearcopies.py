@@ -85,3 +85,36 @@ def test_wide_fingerprints_equal_a_plain_version_whatever_lies_beside():
 def test_masks_are_the_same_everywhere():
     masks = nearcopies.sampled_masks()
     assert (np.bitwise_count(masks).sum(1) == nearcopies.BITS).all() and (masks == nearcopies.sampled_masks()).all()
+
+
+def families(rnd, n, size, least, most):
+    """Texts of 300 words, each family around one base that is no text itself."""
+    out = []
+    for _ in range(n):
+        base = text(rnd, 300)
+        out += [" ".join(edited(rnd, base, rnd.randint(least, most))) for _ in range(size)]
+    return out
+
+
+def test_families_on_both_sides_of_the_threshold(spark):
+    """Families whose pairs lie at 0.65 to 0.95: no text goes without a chain of similar pairs to the one that stays, and at least
+    98 of 100 that should go do."""
+    for seed, least, most in ((35, 1, 6), (36, 3, 9), (37, 5, 12)):
+        texts = families(random.Random(seed), 60, 8, least, most)
+        sets = [nearcopies.shingles(t.encode()) for t in texts]
+        near = [(i, j) for i in range(len(texts)) for j in range(i - i % 8, i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        want = set(roots(range(len(texts)), near).values())
+        kept = {r.doc_id for r in stages.drop_near_copies(spark, frame(spark, texts), DATA).collect()}
+        assert kept >= want and len(kept - want) <= 0.02 * (len(texts) - len(want)) + 1
+
+
+def test_every_link_is_a_similar_pair(spark):
+    """Also in one large family at the threshold, where most candidates fail."""
+    texts = families(random.Random(38), 3, 150, 3, 8)
+    docs = frame(spark, texts + texts[:50])
+    named = nearcopies._named(docs.select("doc_id", "text"), 5)
+    key = {bytes(r.key): r.name for r in named.select("key", "name").collect()}
+    words = {key[nearcopies._digest(t.lower().encode())]: t for t in texts}
+    assert len(words) == len(set(texts)) == named.count()
+    found = nearcopies.links(named, docs).distinct().collect()
+    assert len(found) > 50 and all(similarity(words[r.a], words[r.b]) >= 0.8 for r in found)
