@@ -173,16 +173,16 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return joined_classes(np.arange(n), a, b)[0]
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], name: str, rows: int, per_bucket: int = 20_000) -> DataFrame:
-    """Gapless numbers from 0 within each group, without sorting a group in one task: rows are dealt into hash
-    buckets of about `per_bucket`, buckets are offset by prefix sums of their counts, and only buckets are sorted."""
-    n = max(1, -(-rows // per_bucket))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(n)))
-    counts = dealt.groupBy(*group, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*group, "_b").orderBy(*order)
-    return dealt.join(offsets, [*group, "_b"]).withColumn(name, F.col("_o") + F.row_number().over(inside) - 1).drop("_b", "_o")
+def numbered(written: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """Gapless numbers from 0 within each group, without sorting a group in one task and however often rows repeat: rows are numbered
+    within the partitions that they lie in, and prefix sums of the counts put one partition after the other. The table must
+    be a checkpoint, so that its partitions stay as they are."""
+    placed = written.withColumn("_part", F.spark_partition_id())
+    counts = placed.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))  # a row for each partition
+    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    return placed.join(offsets, [*group, "_part"]).withColumn(name, F.col("_o") + F.row_number().over(inside) - 1).drop("_part", "_o")
 
 
 #: A key with more than a `HOT`-th of all rows is hot: there are at most so many.

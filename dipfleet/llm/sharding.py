@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dipfleet.llm.common import checkpointed, numbered
+from dipfleet.llm.common import checkpointed, joined_by_key, numbered
 
 
 def difference(partials: Sequence[Sequence[int]]) -> tuple[list[int], list[list[int]]]:
@@ -46,9 +46,9 @@ def difference(partials: Sequence[Sequence[int]]) -> tuple[list[int], list[list[
     return sums, place
 
 
-#: Items that a task differences at a time, and the bundles that they leave.
-BATCH, BUNDLES = 256, 64
-#: The driver differences so many items at most; while there are more, tasks bundle them.
+#: Items that a task differences at a time, the bundles that they leave, and items of a task.
+BATCH, BUNDLES, TASK = 256, 64, 8_192
+#: The driver differences so many items at most; tasks bundle all items first, and again while there are more.
 ITEMS = 20_000
 
 
@@ -90,10 +90,11 @@ def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", text: str
     """Deal documents into shards of near equal bytes; documents with equal texts stay together.
 
     Groups are summed by a digest of their text before they are shuffled, so a text with any number of copies is one
-    row. While there are more than `items`, tasks difference them in batches into a quarter as many bundles, a large
-    group being a bundle of its own; the driver differences what is left, each a single item, so that a large group is
-    offset by all others. A group larger than an equal share fills a shard by itself: the balance is then as near as
-    whole groups allow. Slots count from 0 in each shard and are numbered bucket by bucket, not in one task.
+    row. Tasks of some thousand items difference them in batches into a quarter as many bundles, a large group being a bundle of its
+    own, and do so again while there are more than `items`; the driver differences what is left, each a single item, so that a
+    large group is offset by all others. A group larger than an equal share fills a shard by itself: the balance is then as near as
+    whole groups allow. Slots count from 0 in each shard and are numbered where the rows lie, not in one task; rows of
+    a group that holds very many never meet.
 
     A null text counts as the empty text (size 1, checksum 0); null ids are kept; repeated rows are documents of their
     own; an empty table gives an empty result; other columns are ignored.
@@ -105,11 +106,15 @@ def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", text: str
         F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("gkey")
     )
     keyed = checkpointed(keyed)
-    groups = keyed.groupBy("gkey").agg(F.sum("size").alias("bytes"))
-    levels, left = [], checkpointed(groups.select(F.col("gkey").alias("item"), "bytes"))
-    n, before = left.count(), None
-    while n > items and n != before:
-        levels.append(checkpointed(left.mapInArrow(_local(batch_rows, bundles), f"item {left.dtypes[0][1]}, bytes long, bundle long")))
+    groups = checkpointed(keyed.groupBy("gkey").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    levels, left = [], groups.select(F.col("gkey").alias("item"), "bytes")
+    n, before = groups.count(), None
+    while n and (not levels or n > items):
+        if n == before:
+            raise RuntimeError(f"{n} items are not fewer for being bundled; at most {items} may go to the driver")
+        # tasks of many batches: whatever the number of partitions, items become fewer
+        spread = left.repartition(-(-n // TASK), "item")
+        levels.append(checkpointed(spread.mapInArrow(_local(batch_rows, bundles), f"item {left.dtypes[0][1]}, bytes long, bundle long")))
         left = checkpointed(levels[-1].groupBy("bundle").agg(F.sum("bytes").alias("bytes")).select(F.col("bundle").alias("item"), "bytes"))
         n, before = left.count(), n
     last = left.orderBy("item").collect()  # at most `items`
@@ -117,6 +122,6 @@ def shard(docs: DataFrame, shards: int = 8, *, doc_id: str = "doc_id", text: str
     where = spark.createDataFrame([(r[0], p[0]) for r, p in zip(last, place, strict=True)], f"item {left.dtypes[0][1]}, shard int")
     for up in reversed(levels):
         where = up.join(where.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard")
-    dealt = keyed.join(where.withColumnRenamed("item", "gkey"), "gkey")
-    dealt = checkpointed(dealt.select("doc_id", "size", "text_crc32", "gkey", "shard"))
-    return numbered(dealt, ["shard"], ["doc_id", "gkey"], "slot", dealt.count()).select("doc_id", "size", "text_crc32", "gkey", "shard", F.col("slot").cast("long").alias("slot"))
+    where = where.withColumnRenamed("item", "gkey").join(groups.select("gkey", "rows"), "gkey")
+    dealt = checkpointed(joined_by_key(keyed, where, "gkey", "rows").select("doc_id", "size", "text_crc32", "gkey", "shard"))
+    return numbered(dealt, ["shard"], ["doc_id", "gkey"], "slot").select("doc_id", "size", "text_crc32", "gkey", "shard", F.col("slot").cast("long").alias("slot"))
