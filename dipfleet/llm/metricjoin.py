@@ -24,10 +24,19 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
 
-#: Pivots whose distances leave out pairs within a tile.
+#: Pivots at least, where there are as many vectors: however small the table, it is joined cell by cell.
+PIVOTS = 32
+#: Pivots whose distances leave out pairs within a tile: those nearest to the tile's own.
 REFERENCES = 32
 
 
+def pivot_vectors(reps: DataFrame, n: int, cell_rows: int, most: int) -> np.ndarray:
+    """Unit vectors of the pivots: of `n` different vectors one in `cell_rows`, from PIVOTS to `most`, by the order of a hash."""
+    chosen = reps.orderBy(F.xxhash64("v"), "id").limit(min(n, most, max(PIVOTS, n // cell_rows))).select(F.col("v").cast("array<double>").alias("v")).collect()
+    width = max((len(r.v) for r in chosen), default=1)
+    return _unit(np.array([list(r.v) + [0.0] * (width - len(r.v)) for r in chosen])) if chosen else np.zeros((1, 1))
+
+
 def in_reach(block: np.ndarray, others: np.ndarray, reach: float) -> np.ndarray:
     """Which of `others` may lie within `reach` of a vector of the block, given the distances of both to the same pivots: by
     the triangle inequality the distances of a near pair differ by `reach` at most, whatever the pivot."""
@@ -55,8 +64,8 @@ def pruned_blocks(d: np.ndarray, others: np.ndarray, reach: float, rows: int = 2
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "vec_id", vector: str = "embedding", cell_rows: int = 16384, most_pivots: int = 8192, tile: int = 16384) -> DataFrame:
     """Link all pairs of vectors with cosine >= threshold, in double precision, and join links to classes.
 
-    Equal vectors are one row with a multiplicity. At most `most_pivots` of the different vectors, by the order of a
-    hash, are pivots: each vector lives in the cell of its nearest pivot and is copied to those cells where, by the
+    Equal vectors are one row with a multiplicity. Of the different vectors one in `cell_rows`, from 32 up to `most_pivots`, by the
+    order of a hash, are pivots: each vector lives in the cell of its nearest pivot and is copied to those cells where, by the
     triangle inequality, a vector within range may live. A cell joins its own vectors with all it holds, in tiles of
     at most `tile` x `tile` vectors that go to different tasks, and gives link counts and local classes, never all pairs.
     Within a tile the distances to further pivots leave out what cannot be near before any product.
@@ -73,10 +82,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, *, vec_id: str = "
     reps = checkpointed(live.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
     n = reps.count()
     reach = float(np.sqrt(max(2 - 2 * threshold, 0))) * (1 + 1e-9) + 1e-9
-    chosen = reps.orderBy(F.xxhash64("v"), "id").limit(max(1, min(most_pivots, n // cell_rows))).select(F.col("v").cast("array<double>").alias("v")).collect()
-    lengths = {len(r.v) for r in chosen}
-    width = max(lengths, default=1)
-    pivots = _unit(np.array([list(r.v) + [0.0] * (width - len(r.v)) for r in chosen])) if chosen else np.zeros((1, 1))
+    pivots = pivot_vectors(reps, n, cell_rows, most_pivots)
     shared = spark.sparkContext.broadcast(pivots)  # `most_pivots` rows
 
     def split(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
