@@ -80,7 +80,7 @@ def term_counts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of share of the text times rarity, roots taken; shapes and words of length 1 each (0 for a text without)."""
-    out = np.zeros(counts.shape, np.float32)
+    out = np.zeros(counts.shape)
     for part in (slice(0, SHAPES), slice(SHAPES, TERMS)):
         x = np.sqrt(counts[:, part] / np.maximum(counts[:, part].sum(1, keepdims=True), 1)) * idf[part]
         out[:, part] = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -131,7 +131,8 @@ def counted(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Rarity of the terms, axes of the latent space, and the labelled vectors in it with their labels."""
+    """Rarity of the terms, axes of the latent space, and the labelled vectors in it with their labels. Texts are placed, and cosines
+    taken, in double precision."""
 
     idf: np.ndarray
     axes: np.ndarray
@@ -145,7 +146,7 @@ class Model:
         """Score and largest cosine of each vector: every labelled one is held against it, and the nearest vote."""
         cosine, k = at @ self.known.T, min(neighbours, len(self.label))
         top = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        near = np.maximum(np.take_along_axis(cosine, top, 1), 0).astype(np.float64)
+        near = np.maximum(np.take_along_axis(cosine, top, 1), 0)
         votes = near**sharpness
         weight = votes.sum(1)
         scores = np.full(len(at), float(self.label.mean()))
@@ -161,16 +162,21 @@ def fit(rows: DataFrame, labels: DataFrame, settings: Settings, doc_id: str, lab
     idf = np.log((n + 1) / (seen + 1)) + 1
     known = sorted((r._label, bytes(r.counts)) for r in counted(rows.join(train, rows["doc_id"] == train["_doc"])).collect())  # `labelled` rows at most
     if not known:
-        return Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.full(1, 0.5, np.float32))
-    x = np.zeros((len(known), TERMS), np.float32)
-    for a in range(0, len(known), BLOCK):
+        return Model(idf, np.zeros((TERMS, 1)), np.zeros((1, 1)), np.full(1, 0.5))
+
+    def block(a: int) -> np.ndarray:
         counts = np.zeros((len(known[a : a + BLOCK]), TERMS))
         for row, (_, pairs) in zip(counts, known[a : a + BLOCK], strict=True):
             term, count = np.frombuffer(pairs, "<u4").reshape(2, -1)
             row[term] = count
-        x[a : a + BLOCK] = weighted(counts, idf)
-    axes = latent_axes(x, settings.rank)
-    return Model(idf, axes, unit(x @ axes).astype(np.float32), np.array([y for y, _ in known], np.float32))
+        return weighted(counts, idf)
+
+    x = np.zeros((len(known), TERMS), np.float32)  # for the axes alone
+    for a in range(0, len(known), BLOCK):
+        x[a : a + BLOCK] = block(a)
+    axes = latent_axes(x, settings.rank).astype(np.float64)
+    at = np.concatenate([block(a) @ axes for a in range(0, len(known), BLOCK)])
+    return Model(idf, axes, unit(at), np.array([y for y, _ in known], np.float64))
 
 
 def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:  # noqa: B008

@@ -33,7 +33,7 @@ def test_votes_equal_a_plain_count(corpus):
         pairs = sorted(((float(np.dot(v, k) / max(np.linalg.norm(v), 1e-12)), float(y)) for k, y in zip(model.known, model.label)), reverse=True)[: SETTINGS.neighbours]
         weight = sum(max(c, 0) ** SETTINGS.sharpness for c, _ in pairs)
         want = sum(max(c, 0) ** SETTINGS.sharpness * y for c, y in pairs) / weight if weight else float(model.label.mean())
-        assert got[r.doc_id] == pytest.approx((want, max(pairs[0][0], 0)), abs=2e-3)
+        assert got[r.doc_id] == pytest.approx((want, max(pairs[0][0], 0)), abs=1e-9)
 
 
 def test_terms_and_rarity_equal_plain_counts(corpus):
