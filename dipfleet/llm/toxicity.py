@@ -24,8 +24,8 @@ FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 class Settings:
     """Bounds and constants of the model; none depends on the size of the input.
 
-    `labelled`: at most so many labelled documents are fitted on, taken by the order of a hash of their ids. `tokens`: at
-    most so many different tokens of toxic ones, those in most of them first. `stem`: a word also counts as its first so many
+    `labelled`: at most so many labelled documents are fitted on, taken by the order of a hash of their ids. `tokens`: so many
+    different tokens of toxic ones are counted in a pass over the corpus; where there are more, in as many passes as they need. `stem`: a word also counts as its first so many
     bytes. `prior`: prior belief, spread like the corpus, as a share of all labelled tokens. `least_z`: a token counts as
     toxic beyond so many standard errors. `drift`: score of every other token. `least`: a passage is reported from this
     score on.
@@ -67,18 +67,35 @@ def training_labels(labels: DataFrame, column: str, bound: int, doc_id: str = "d
     return known.orderBy(F.xxhash64("_doc"), "_doc").limit(bound)
 
 
-def toxic_tokens(toxic: DataFrame, settings: Settings) -> np.ndarray:
-    """Sorted hashes of the words and stems of toxic training documents: only these can score."""
+def toxic_tokens(toxic: DataFrame, settings: Settings) -> DataFrame:
+    """Hashes (`token`) of all words and stems of toxic training documents: only these can score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, buf, offsets in parts(batches, "text"):
-            word, stem, text, _, _ = token_hashes(buf, offsets, settings)
-            once = _once(word, text)
-            seen, n = np.unique(np.concatenate([word[once], stem[once]]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["token", "n"])
+            word, stem, *_ = token_hashes(buf, offsets, settings)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([word, stem])).view(np.int64))], ["token"])
+
+    return checkpointed(toxic.select("text").mapInArrow(run, "token long").distinct())
 
-    found = toxic.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(settings.tokens)
-    return np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+def toxic_scores(marked: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and log-odds of all tokens that are toxic beyond doubt, by counts over all of `marked` (texts with `_label`).
+
+    Tokens of toxic training documents are counted `settings.tokens` at a time: what a task or the driver holds is bounded, and
+    none is left out.
+    """
+    found = toxic_tokens(marked.where("_label = 1"), settings)
+    passes = max(1, -(-found.count() // settings.tokens))
+    known, worth = [], []
+    for k in range(passes):
+        some = found.where(F.pmod("token", F.lit(passes)) == k).toPandas()["token"]  # about `settings.tokens`
+        tokens = np.sort(some.to_numpy(np.int64).view(np.uint64))
+        scores = log_odds(*token_counts_by_label(marked, tokens, settings), settings)
+        known.append(tokens[scores > 0])
+        worth.append(scores[scores > 0])
+    tokens, scores = np.concatenate(known), np.concatenate(worth)
+    order = np.argsort(tokens)
+    return tokens[order], scores[order]
 
 
 def token_counts_by_label(docs: DataFrame, tokens: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -251,8 +268,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), *
     train = checkpointed(training_labels(labels.select(F.col(doc_id), F.col(label)), label, settings.labelled, doc_id))
     known = F.broadcast(train)  # `labelled` rows at most
     marked = rows.join(known, rows["doc_id"] == known["_doc"], "left")
-    tokens = toxic_tokens(marked.where("_label = 1"), settings)
-    scores = log_odds(*token_counts_by_label(marked, tokens, settings), settings)
+    tokens, scores = toxic_scores(marked, settings)
     sample = passages(marked.where("_label is not null").select("text", "doc_id", F.col("_label").alias("_row")), tokens, scores, settings)
     sample = sample.groupBy("doc_id").agg(F.max(F.struct("best", "tokens", F.col("_row").alias("_label"))).alias("_most"))
     law = calibrate(sample.select("_most.*").toPandas())  # a row for each labelled id

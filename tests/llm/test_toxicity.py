@@ -98,3 +98,17 @@ def test_the_stage_judges_every_row_by_its_own_text(spark, tmp_path):
     kept = [(r.doc_id, r.text) for r in stages.drop_toxic(spark, docs, str(tmp_path)).collect()]
     assert Counter(x for x in kept if x[0] in (None, 1000)) == Counter([(None, clean), (1000, clean), (1000, clean), (None, None)])
     assert {d for d, _ in kept if d is not None and d < 1000} >= {d for d, y in labels if not y}
+
+
+def test_tokens_beyond_one_pass_count_too(spark):
+    """With 40 tokens a pass there are many passes, and every score is that of one pass; the rarest toxic word still scores."""
+    rows, labels = corpus(random.Random(53), 150)
+    rows = [(i, t + (" zzrare" if i % 3 == 0 and i % 5 else "")) for i, t in rows]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    columns = ["doc_id", "score", "best", "tokens", "passages"]
+    one = {r.doc_id: r for r in toxicity.score(docs, marks).select(*columns).collect()}
+    many = {r.doc_id: r for r in toxicity.score(docs, marks, toxicity.Settings(tokens=40)).select(*columns).collect()}
+    assert one == many and any(r.best > 0 for r in one.values())
+    lone = spark.createDataFrame([(5000, "zzrare")], "doc_id long, text string")
+    scored = toxicity.score(docs.unionByName(lone), marks, toxicity.Settings(tokens=40)).where("doc_id = 5000").first()
+    assert scored.best > 0
