@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipfleet.llm.common import checkpointed, flat, joined_classes, release_memory
+from dipfleet.llm.common import checkpointed, flat, joined_by_key, joined_classes, release_memory
 from dipfleet.llm.components import components
 
 
@@ -140,6 +140,8 @@ def nearest_pairs(label: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray
     return a[kept], b[kept]
 
 
+#: Patterns shared by very many fingerprints that are broadcast at most; more are joined by a shuffle.
+LARGE = 200_000
 #: So many fingerprints below one shared pattern meet in a task; more are dealt in pairs of slices.
 SLICE = 1 << 17
 
@@ -156,7 +158,8 @@ def pattern_links(dealt: DataFrame, words: int, tiers: Sequence[int], slice_rows
     columns = [f"f{k}" for k in range(words)]
     some = dealt.where(F.pmod(F.xxhash64("name"), F.lit(every)) == 0)
     large = some.groupBy("node").agg(F.ceil(F.count("*") * every / slice_rows).cast("int").alias("_slices")).where("_slices > 1")
-    dealt = dealt.join(F.broadcast(checkpointed(large)), "node", "left")  # a row for each `slice_rows` fingerprints at most
+    large = checkpointed(large)  # a row for each `slice_rows` fingerprints at most: broadcast while these are few
+    dealt = dealt.join(F.broadcast(large) if large.count() <= LARGE else large, "node", "left")
     n = F.coalesce("_slices", F.lit(1))
     dealt = dealt.withColumn("_i", F.pmod(F.xxhash64(*columns), n).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), n - 1)))
     tile = F.when(n == 1, F.col("node")).otherwise(F.xxhash64("node", F.least("_i", "_j"), F.greatest("_i", "_j")))
@@ -224,10 +227,10 @@ def near_texts(docs: DataFrame, *, shingle: int = 3, most: int = 2, doc_id: str
     Returns `doc_id, fingerprint (16 hex digits), component_id`.
     """
     marked = checkpointed(fingerprints(docs, shingle, doc_id=doc_id, text=text))
-    nodes = marked.groupBy("f").agg(F.min("doc_id").alias("least"))
+    nodes = marked.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     nodes = checkpointed(nodes)
     classes = components(near_links(nodes.select("f"), most))
-    joined = nodes.join(classes, nodes["f"] == classes["node"], "left").select("f", "least", F.coalesce("component", "f").alias("component"))
+    joined = nodes.join(classes, nodes["f"] == classes["node"], "left").select("f", "least", "rows", F.coalesce("component", "f").alias("component"))
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(smallest, "component").select("f", "component_id")
-    return marked.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    named = checkpointed(joined.join(smallest, "component").select("f", "component_id", "rows"))
+    return joined_by_key(marked, named, "f", "rows").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
