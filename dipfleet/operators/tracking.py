@@ -1,8 +1,9 @@
-"""Multi-object tracking per video: sequential over frames, vectorised over the active tracks of a video."""
+"""Multi-object tracking per video: sequential over frames, in parallel over videos and over parts of them that cannot meet."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from math import hypot, sqrt
 
 import numpy as np
 import pandas as pd
@@ -17,42 +18,53 @@ from dipfleet.functions.storage import checkpointed
 COLUMNS = "frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long, object_id long, is_new boolean"
 
 
+def reach(params: TrackParams) -> float | None:
+    """Boxes whose centres are so many mean sizes apart, or more, never match; None where any distance may."""
+    return 2.0 * (1.0 - (params.similarity - 0.4) / 0.6) if params.similarity >= 0.4 else None
+
+
 class Tracker:
-    """The active tracks of one video. Only running sums of a track's history are kept, so a long track costs no more."""
+    """The active tracks of one video, in the order of their ids. Only running sums of a track's history are kept, so a long track
+    costs no more. Plain numbers: a video has few tracks at a time, and most are out of reach of a box."""
 
     FIELDS = ("id", "first", "last", "n", "x1", "y1", "x2", "y2", "area", "ratios", "ratio_sum", "area_sum", "area_m2", "counted")
 
-    def __init__(self, params: TrackParams, state: np.ndarray | None = None, next_id: int = 1):
+    def __init__(self, params: TrackParams, state: Iterable[Sequence[float]] = (), next_id: int = 1):
         self.params, self.next_id = params, next_id
-        self.tracks = np.zeros((0, len(self.FIELDS))) if state is None else state
-
-    def similarities(self, box: Sequence[float], area: float) -> np.ndarray:
-        t = self.tracks
-        areas = t[:, 8]
-        gap = np.hypot(t[:, 4] + t[:, 6] - (box[0] + box[2]), t[:, 5] + t[:, 7] - (box[1] + box[3])) / 2
-        if area > 0 and areas.min() > 0:
-            return np.minimum(areas, area) / np.maximum(areas, area) * 0.4 + np.maximum(0.0, 1 - gap / np.sqrt((areas + area) / 2) / 2) * 0.6
-        most, size = np.maximum(area, areas), np.sqrt(np.maximum((area + areas) / 2, 0))
-        ratio = np.where(most > 0, np.minimum(area, areas) / np.where(most > 0, most, 1), 0.0)
-        return ratio * 0.4 + np.where(size > 0, np.maximum(0.0, 1 - gap / np.where(size > 0, size, 1) / 2), 0.0) * 0.6
+        self.tracks = [list(t) for t in state]
+        far = reach(params)
+        self.far = float("inf") if far is None else far * far * (1 + 1e-9)
 
     def expire(self, frame: int) -> None:
-        if len(self.tracks) and frame - self.tracks[:, 2].min() > self.params.retention_frames:
-            self.tracks = self.tracks[frame - self.tracks[:, 2] <= self.params.retention_frames]
+        self.tracks = [t for t in self.tracks if frame - t[2] <= self.params.retention_frames]
+
+    def match(self, box: Sequence[float], area: float) -> list | None:
+        """The track most similar to a box, if it is so beyond the threshold; the first created wins ties."""
+        cx, cy, best, found, far = box[0] + box[2], box[1] + box[3], self.params.similarity, None, self.far
+        for t in self.tracks:
+            dx, dy, other = t[4] + t[6] - cx, t[5] + t[7] - cy, t[8]
+            size = (area + other) / 2  # the square of the mean size
+            if (dx * dx + dy * dy) / 4 > far * max(size, 0.0):
+                continue
+            most = area if area > other else other
+            like = (other if area > other else area) / most * 0.4 if most > 0 else 0.0
+            if size > 0:
+                close = 1 - hypot(dx, dy) / 2 / sqrt(size) / 2
+                if close > 0:
+                    like += close * 0.6
+            if like > best:
+                best, found = like, t
+        return found
 
     def observe(self, frame: int, box: Sequence[float], class_id: int) -> tuple[int, bool]:
         """The track of a detection, and whether it is counted here for the first time."""
         w, h = box[2] - box[0], box[3] - box[1]
-        area, at = w * h, -1
-        if len(self.tracks):
-            like = self.similarities(box, area)
-            best = int(like.argmax())  # tracks are in the order of their ids: the first created wins ties
-            at = best if like[best] > self.params.similarity else -1
-        if at < 0:
-            self.tracks = np.vstack([self.tracks, [self.next_id, frame, frame, 0, *box, area, 0, 0, 0, 0, 0]])
+        area = w * h
+        t = self.match(box, area)
+        if t is None:
+            t = [self.next_id, frame, frame, 0, *box, area, 0, 0, 0, 0, 0]
+            self.tracks.append(t)
             self.next_id += 1
-            at = len(self.tracks) - 1
-        t = self.tracks[at].tolist()
         t[2], t[4:8], t[8] = frame, box, area
         if h > 0:
             t[9], t[10] = t[9] + 1, t[10] + w / h
@@ -62,7 +74,6 @@ class Tracker:
         t[12] += (area - before) * (area - t[11] / t[3])
         new = not t[13] and self.counts(t, frame, class_id)
         t[13] = float(bool(t[13]) or new)
-        self.tracks[at] = t
         return int(t[0]), new
 
     def counts(self, t: Sequence[float], frame: int, class_id: int) -> bool:
@@ -119,11 +130,6 @@ def track_objects(detections: DataFrame, params: TrackParams = TrackParams(), ke
 BUNDLE = 4_096
 
 
-def reach(params: TrackParams) -> float | None:
-    """Boxes whose centres are so many mean sizes apart, or more, never match; None where any distance may."""
-    return 2.0 * (1.0 - (params.similarity - 0.4) / 0.6) if params.similarity >= 0.4 else None
-
-
 def reachable_parts(detections: DataFrame, params: TrackParams, keys: Sequence[str] = ("video_id",)) -> DataFrame:
     """Detections with `_part`, and `_bundles` for each video: those of different parts of a video can never come to one track, nor
     vie for one.

@@ -277,7 +277,7 @@ class LiveTracker(Ordered):
     def restore(self) -> None:
         self.tracker = Tracker(self.params)
         if (state := self.next.get()) is not None:
-            self.tracker = Tracker(self.params, np.array([list(x) for x in self.tracks.get()]).reshape(-1, len(Tracker.FIELDS)), int(state[0]))
+            self.tracker = Tracker(self.params, self.tracks.get(), int(state[0]))
 
     def consume(self, key, rows: pd.DataFrame) -> pd.DataFrame:
         return track_rows(self.tracker, rows).assign(video_id=key[0])
