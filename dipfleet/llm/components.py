@@ -9,7 +9,8 @@ from dipfleet.llm.common import checkpointed
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """`node, component` (the smallest node reachable) for every node with a link.
+    """`node, component` (the smallest node reachable) for every node with a link. Links to null or to a node itself link nothing; repeated
+    links count once; no links give an empty result.
 
     Each step hangs nodes on the smallest neighbour known; the star forest is reached in about log(n) steps, each cut
     off by a checkpoint. Smallest neighbours are combined before they are shuffled, and the joins that follow can

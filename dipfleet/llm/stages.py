@@ -49,10 +49,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: whole epochs first, then a weighted sample."""
+    """Each document as often as the mix of sources takes it: whole epochs first, then a weighted sample. A null source is a source of
+    its own; documents without words belong to no target and are taken by no epoch of an empty source, else like any other;
+    rows without an id are sampled by their texts, exact repeats as many as come nearest; an empty table gives an empty result."""
     return mixed(docs, weights=(1, 2, 3), epochs=3).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: pieces of documents with their ids, each a power of two long."""
+    """The training sequences: pieces of documents with their ids, each a power of two long. A null or empty text is its end mark
+    alone; rows without an id are packed like any other; repeated rows give their pieces again; texts of any length are cut
+    whole; an empty table gives an empty result."""
     return pack(docs, tokenizer_path("byte_bpe_50k.json"), longest=2048)
