@@ -21,8 +21,9 @@ WORDS = 4
 #: The index links texts by rising distance of their fingerprints; every link is checked on the words. Unlike texts never come
 #: near the last tier.
 TIERS = (30, 36, 42, 48, 60)
-#: Links that a class keeps below a pattern beside the one that joins it, should that fail.
-SPARE = 3
+#: 64-bit words of the filter by which tasks leave out texts without a link. Its size is fixed: with very many linked texts it lets
+#: more of the others through.
+FILTER = 1 << 17
 #: Rounds in which each class has its nearest link checked; then all links are that are still between classes.
 ROUNDS = 2
 #: Upper nodes of the index: every fingerprint lies under MASKS patterns of BITS bits each. A pair of similarity 0.8 agrees on
@@ -99,12 +100,16 @@ def _digest(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=16).digest()
 
 
+def _halves(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+
+
 def _slot(key: bytes, doc_id: int | None) -> bytes:
     return key if doc_id is None else key + struct.pack("<q", doc_id)
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """`doc_id, key` (128 bits of the words of the text), `slot` (words and id), `worded` and the fingerprint."""
+    """`doc_id, key` (128 bits of the words of the text; `h0, h1` are its halves), `slot` (words and id), `worded` and the fingerprint."""
     names = [f"f{k}" for k in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +118,17 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
             keys = [_digest(w) for w in words]
             slots = [_slot(k, d) for k, d in zip(keys, part.column(0).to_pylist(), strict=True)]
             f = wide_fingerprints(buf, offsets, shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(slots, pa.binary()), pa.array([bool(w) for w in words]), *(pa.array(f[:, k].copy()) for k in range(WORDS))], ["doc_id", "key", "slot", "worded", *names])
+            halves = _halves(keys)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(slots, pa.binary()), pa.array([bool(w) for w in words]), *(pa.array(halves[:, k].copy()) for k in (0, 1)), *(pa.array(f[:, k].copy()) for k in range(WORDS))], ["doc_id", "key", "slot", "worded", "h0", "h1", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, slot binary, worded boolean, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, slot binary, worded boolean, h0 long, h1 long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _named(docs: DataFrame, shingle: int) -> DataFrame:
     """A row for each different text: a `name` (a number of its own), its `key` and fingerprint, `worded`, and the `slot` of its
     row of least id. Rows of one text are one before they are shuffled."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "slot")).alias("least")
-    print_ = F.max(F.struct("worded", *[f"f{k}" for k in range(WORDS)])).alias("f")
+    print_ = F.max(F.struct("worded", "h0", "h1", *[f"f{k}" for k in range(WORDS)])).alias("f")
     once = _marked(docs, shingle).groupBy("key").agg(least, print_)
     # written once: the numbers stay
     return checkpointed(once.select(F.monotonically_increasing_id().alias("name"), "key", "least", "f.*"))
@@ -150,14 +156,32 @@ def _nodes(distinct: DataFrame) -> DataFrame:
     return listed.select(F.explode("nodes").alias("node"), "name", *names)
 
 
+def _filter(wanted: DataFrame, words: int = FILTER) -> np.ndarray:
+    """A Bloom filter of the halves of the wanted keys: `words` numbers, whatever their number."""
+    places = wanted.select(F.explode(F.array("h0", "h1")).alias("h")).select(F.pmod("h", F.lit(64 * words)).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    out = np.zeros(words, np.int64)
+    for r in places.select((F.col("at") / 64).cast("long").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most `words`
+        out[r.word] = r.bits
+    return out.view(np.uint64)
+
+
+def _may_hold(bits: np.ndarray, halves: np.ndarray) -> np.ndarray:
+    at = halves % (64 * len(bits))
+    return ((bits[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)).all(1)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`name, text` (words) of the wanted texts (`name, key`), each once. Copies of a task are one row before any shuffle."""
+    """`name, text` (words) of the wanted texts (`name, key, h0, h1`), each once. Copies of a task are one row before any shuffle, and most
+    other texts never leave it."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # digests of a task's texts
         for _, buf, offsets in parts(batches, "text"):
-            words = [(k, w) for w in _words(buf, offsets) if w and (k := _digest(w)) not in seen]
-            words = list(dict(words).items())
+            words = list({_digest(w): w for w in _words(buf, offsets) if w}.items())
+            may = _may_hold(shared.value, _halves([k for k, _ in words])) if words else []
+            words = [(k, w) for (k, w), m in zip(words, may, strict=True) if m and k not in seen]
             seen.update(k for k, _ in words)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in words], pa.binary()), pa.array([w for _, w in words], pa.binary())], ["_key", "text"])
 
@@ -198,16 +222,15 @@ def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def links(named: DataFrame, docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Links `a, b` between names whose components are the classes of similar texts: each was checked on the words.
 
-    The index finds pairs of close fingerprints below every shared pattern: a forest of about least distances and some spare ones,
-    so a family of copies of any size gives pairs in proportion to it. Of those, each class has its nearest link to another class
+    The index finds pairs of close fingerprints below every shared pattern, a forest of about least distances, so a family of copies of any size gives pairs in proportion to it. Of those, each class has its nearest link to another class
     checked, classes are joined by what holds, and so again; at last every pair that still lies between two classes is
     checked. So no pair is believed, none is given up, and few are read.
     """
     fingerprints = [f"f{k}" for k in range(WORDS)]
-    found = pattern_links(_nodes(named.where("worded").select("name", *fingerprints)), WORDS, TIERS, spare=SPARE)
+    found = pattern_links(_nodes(named.where("worded").select("name", *fingerprints)), WORDS, TIERS, direct=True)
     open_pairs = checkpointed(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").where("a <> b").groupBy("a", "b").agg(F.min("bits").alias("bits")))
     wanted = open_pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    texts = checkpointed(_texts(docs, named.select("name", "key").join(wanted, "name", "left_semi")))
+    texts = checkpointed(_texts(docs, checkpointed(named.select("name", "key", "h0", "h1").join(wanted, "name", "left_semi"))))
     held, classes = None, None
     for round_ in range(ROUNDS + 1):
         if classes is not None:

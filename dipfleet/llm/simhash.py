@@ -61,15 +61,14 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def index_classes(f: np.ndarray, group: np.ndarray, tiers: Sequence[int], fanout: int = 8, chunk: int = 1 << 17, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def index_classes(f: np.ndarray, group: np.ndarray, tiers: Sequence[int], fanout: int = 8, chunk: int = 1 << 17, direct: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The class of each fingerprint (the first place in it): those of a group that are linked at `tiers[0]` or fewer bits.
     And the links that join these classes further as the distance rises from tier to tier: a forest, about that of least distances.
 
     `f` holds a row of 64-bit words for each fingerprint and comes sorted by group and Gray rank. Each node of the index
     covers up to `fanout` nodes below it and keeps the bits on which all of them agree (mask) and their values (pattern).
     A pair of nodes is dropped as soon as the bits fixed in both differ in too many places, with everything below it, and also when all below it is one class already: a large family of copies is joined by few of its pairs.
-    With `spare` no pair is taken for granted: links of the first tier come out as well, each a pair that lies that close, and beside
-    the one that joins a class to another up to `spare` more of its nearest.
+    With `direct` no pair is taken for granted: links of the first tier come out as well, each a pair that lies that close.
     """
     patterns, masks, owners, lows = [f], [np.full(f.shape, ~np.uint64(0))], [group], [np.arange(len(f))]
     while len(owners[-1]) > len(np.unique(owners[-1])):
@@ -98,12 +97,11 @@ def index_classes(f: np.ndarray, group: np.ndarray, tiers: Sequence[int], fanout
         while work:
             level, a, b = work.pop()
             if level == 0:
-                more = nearest_pairs(label, f, a, b, spare) if spare else ()
                 label, x, y = joined_classes(label, a, b)
                 if len(x):
                     refresh()
-                    left += [x, *more[:1]]
-                    right += [y, *more[1:]]
+                    left.append(x)
+                    right.append(y)
                 continue
             if len(a) > step:
                 work.append((level, a[step:], b[step:]))
@@ -122,33 +120,20 @@ def index_classes(f: np.ndarray, group: np.ndarray, tiers: Sequence[int], fanout
             i, j = i[near], j[near]
             same = i == j  # what lies close in Gray order first
             work += [(down, i[~same], j[~same]), (down, i[same], j[same])]
-        if tier == 0 and not spare:
+        if tier == 0 and not direct:
             sure, left, right = label, left[:1], right[:1]
     return sure, np.concatenate(left), np.concatenate(right)
 
 
-def nearest_pairs(label: np.ndarray, f: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs a-b that lie in two classes, the `most` nearest for each class that is not the lower one of its pair."""
-    apart = label[a] != label[b]
-    a, b = a[apart], b[apart]
-    high, bits = np.maximum(label[a], label[b]), np.bitwise_count(f[a] ^ f[b]).sum(1, dtype=np.int64)
-    order = np.lexsort((bits, high))
-    high = high[order]
-    first = np.flatnonzero(np.diff(high, prepend=-1))
-    place = np.arange(len(high)) - np.repeat(first, np.diff(np.append(first, len(high))))
-    kept = order[place < most]
-    return a[kept], b[kept]
-
-
 #: Patterns shared by very many fingerprints that are broadcast at most; more are joined by a shuffle.
 LARGE = 200_000
 #: So many fingerprints below one shared pattern meet in a task; more are dealt in pairs of slices.
 SLICE = 1 << 17
 
 
-def pattern_links(dealt: DataFrame, words: int, tiers: Sequence[int], slice_rows: int = SLICE, every: int = 64, spare: int = 0) -> DataFrame:
+def pattern_links(dealt: DataFrame, words: int, tiers: Sequence[int], slice_rows: int = SLICE, every: int = 64, direct: bool = False) -> DataFrame:
     """Links `a, b` below each shared pattern: `sure` ones join the classes at `tiers[0]` bits, others go on (`index_classes`). With
-    `spare` none is sure, and `bits` are the differing ones of each link.
+    `direct` none is sure, and `bits` are the differing ones of each link.
 
     `dealt` has a row `node, name, f0, f1, ..` for each fingerprint and each node (shared pattern) that it lies under; names
     and nodes are longs. Tasks sort them by Gray rank and search the hierarchy. A node of more than `slice_rows`, judged
@@ -176,9 +161,9 @@ def pattern_links(dealt: DataFrame, words: int, tiers: Sequence[int], slice_rows
                 return
             f, group = np.stack([np.asarray(table.column(c)).view(np.uint64)[many] for c in columns], 1), group[many]
             order = np.lexsort((*gray_rank(f).T[::-1], group))
-            label, a, b = index_classes(f[order], group[order], tiers, spare=spare)
+            label, a, b = index_classes(f[order], group[order], tiers, direct=direct)
             name = np.asarray(table.column("name"))[many[order]]
-            if spare:
+            if direct:
                 bits = np.bitwise_count(f[order[a]] ^ f[order[b]]).sum(1, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(name[a]), pa.array(name[b]), pa.array(bits)], ["a", "b", "bits"])
                 return
@@ -201,7 +186,7 @@ def pattern_links(dealt: DataFrame, words: int, tiers: Sequence[int], slice_rows
         if held:
             yield from classes(pa.Table.from_batches(held))
 
-    return tiles.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, " + ("bits int" if spare else "sure boolean"))
+    return tiles.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, " + ("bits int" if direct else "sure boolean"))
 
 
 def near_links(distinct: DataFrame, most: int = 2, blocks: int = 4, **slicing) -> DataFrame:
