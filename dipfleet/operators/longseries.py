@@ -24,8 +24,7 @@ BUCKET_MS = 3_600_000
 
 def _local(samples: DataFrame, line: float | Column, keys: Sequence[str], bucket_ms: int) -> DataFrame:
     """What rows know within their bucket: place `_k` from 0, the row before (`_p`) and behind (`_n`), the last row below (`_b`)."""
-    rows = samples.where(F.coalesce(*[F.when(F.col(k).isNull(), F.lit(True)) for k in keys], F.lit(False)) == F.lit(False))
-    rows = rows.select(*keys, F.floor(F.col("time_ms") / bucket_ms).alias("_bucket"), "time_ms", "seq", F.col("distance").cast("double").alias("distance"), is_below("distance", line).alias("below"))
+    rows = samples.na.drop(subset=list(keys)).select(*keys, F.floor(F.col("time_ms") / bucket_ms).alias("_bucket"), "time_ms", "seq", F.col("distance").cast("double").alias("distance"), is_below("distance", line).alias("below"))
     w = ordered([*keys, "_bucket"])
     rows = rows.withColumn("_k", (F.row_number().over(w) - 1).cast("long"))
     here = F.struct(F.col("_k").alias("k"), F.col("time_ms").alias("t"), F.col("distance").alias("d"), F.col("below").alias("b"))
