@@ -97,8 +97,8 @@ class LogReader(DataSourceReader):
     def partitions(self) -> list[Piece]:
         return [p for f, n in sorted(_sizes(self.path).items()) for p in _pieces(self.path, f, 0, n, self.size)]
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        return read_lines(partition)
+    def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
+        return read_lines(partition) if partition else iter(())  # a folder without logs has no pieces
 
 
 class LogStream(DataSourceStreamReader):
