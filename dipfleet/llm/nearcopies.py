@@ -219,6 +219,17 @@ def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where("_a <> _b")
 
 
+def _rough_classes(held: DataFrame) -> DataFrame:
+    """`node, component` after three steps towards the smallest node reachable. Classes may still be in pieces: what is left between
+    them is asked for once more, so that costs a few pairs and no result."""
+    both = held.select(F.col("a").alias("node"), F.col("b").alias("n")).unionByName(held.select(F.col("b").alias("node"), F.col("a").alias("n")))
+    least = both.groupBy("node").agg(F.min("n").alias("n")).select("node", F.least("node", "n").alias("component"))
+    for _ in range(2):
+        up = least.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        least = least.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return checkpointed(least)
+
+
 def links(named: DataFrame, docs: DataFrame, *, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Links `a, b` between names whose components are the classes of similar texts: each was checked on the words.
 
@@ -245,7 +256,7 @@ def links(named: DataFrame, docs: DataFrame, *, shingle: int = 5, least: float =
         true = _verified(asked, texts, shingle, least)
         held = true if held is None else held.unionByName(true)
         if round_ < ROUNDS:
-            classes = checkpointed(components(held))
+            classes = _rough_classes(held)
     return held
 
 
