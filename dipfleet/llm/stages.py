@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that a document with a smaller id holds are cut from the text; a character cut in
     half goes whole, null texts become empty, n_chars is counted anew, and no document is dropped."""
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [b.decode("utf-8", "ignore") for b in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), part.column(2), part.column(3)], ["doc_id", "text", "lang", "source"])
-
-    cleaned = without_repeats(docs, 50, keep=("lang", "source")).select("doc_id", "kept", "lang", "source")
-    return cleaned.mapInArrow(decoded, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cleaned = without_repeats(docs, 50, keep=("lang", "source"), as_text=True)
+    return cleaned.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from dipfleet.llm.common import flat, mix, prefix_hash, release_memory, slices, span_hash
 
@@ -407,7 +407,7 @@ class Exchange:
         return np.cumsum(cover)[:-1] > 0
 
 
-def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), gram: int = 20, block_bytes: int = 4 << 20, hot: int = 8192, fan: int = 64) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), as_text: bool = False, gram: int = 20, block_bytes: int = 4 << 20, hot: int = 8192, fan: int = 64) -> DataFrame:
     """Remove from every whole text each byte covered by a string of `length` bytes that also starts in a document with a smaller id.
 
     Every window of `length` bytes has an anchor that depends on its bytes alone. Blocks of documents send the hashes
@@ -423,7 +423,8 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     A null text counts as empty. A null id counts as larger than every id. Documents with the same id never remove
     each other's bytes; repeated rows get a row each. Texts shorter than `length` are kept whole. Columns in `keep` are
     handed through; others are ignored. An empty table gives an empty result.
-    Returns `doc_id, n_bytes, n_removed, n_spans, kept (binary)` and `keep`.
+    Returns `doc_id, n_bytes, n_removed, n_spans, kept` and `keep`; `kept` is binary, or with `as_text` a string, without what a cut
+    left of characters.
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
     blocks = max(8, -(-total // block_bytes))
@@ -463,10 +464,12 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
         begins[offsets[:-1][offsets[:-1] < len(gone)]] = gone[offsets[:-1][offsets[:-1] < len(gone)]]
         spans = np.append(0, np.cumsum(begins))
         kept = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        if as_text:
+            kept = [b.decode("utf-8", "ignore") for b in kept]
         counts = [np.diff(offsets), removed[offsets[1:]] - removed[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]]
-        return pa.table([docs_.column("_id"), *map(pa.array, counts), pa.array(kept, pa.binary()), docs_.column("_row")], names=empty.schema.names)
+        return pa.table([docs_.column("_id"), *map(pa.array, counts), pa.array(kept, empty.schema.field("kept").type), docs_.column("_row")], names=empty.schema.names)
 
-    empty = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("_row", to_arrow_type(kept_type))]).empty_table()
+    empty = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("_row", to_arrow_type(kept_type))]).empty_table()
     hashes = side().applyInArrow(step("anchors"), MESSAGE)
     shared = to(hashes, "bucket").applyInArrow(step("shared"), MESSAGE)
     strings = side().cogroup(to(shared, "block")).applyInArrow(step("strings"), MESSAGE)
@@ -480,6 +483,6 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     answers = received(0, steps.first).cogroup(to(combined, "bucket")).applyInArrow(step("answers"), MESSAGE)
     relayed = received(steps.first, 1 << 62).cogroup(to(answers, "block")).applyInArrow(step("relayed"), MESSAGE)
     told = shared.unionByName(relayed)
-    schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", BinaryType()), StructField("_row", kept_type)])
+    schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", StringType() if as_text else BinaryType()), StructField("_row", kept_type)])
     out = side().cogroup(to(told, "block")).applyInArrow(step("finish"), schema)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"_row.{c}").alias(c) for c in keep])
