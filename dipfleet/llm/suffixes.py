@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from dipfleet.llm.common import flat, mix, prefix_hash, release_memory, slices, span_hash
 
@@ -407,6 +407,28 @@ class Exchange:
         return np.cumsum(cover)[:-1] > 0
 
 
+def once_a_batch(rows: DataFrame) -> DataFrame:
+    """Rows `_id, _text, _row` that are equal throughout are one row for each batch of a partition, and `_n` says how many they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mark = np.asarray(batch.column(batch.schema.get_field_index("_mark")))
+            part = batch.select([0, 1, 2])
+            times = np.ones(len(mark), np.int32)
+            order = np.argsort(mark, kind="stable")
+            first = np.flatnonzero(np.append(True, mark[order][1:] != mark[order][:-1])) if len(mark) else np.zeros(0, np.int64)
+            lead = np.repeat(order[first], np.diff(np.append(first, len(mark))))
+            for i, j in zip(lead[lead != order].tolist(), order[lead != order].tolist(), strict=True):  # marks only bring rows together
+                if part.slice(i, 1).equals(part.slice(j, 1)):
+                    times[i] += 1
+                    times[j] = 0
+            kept = part.append_column("_n", pa.array(times))
+            yield kept.filter(pa.array(times > 0)) if (times == 0).any() else kept
+
+    schema = StructType([*rows.schema.fields, StructField("_n", IntegerType())])
+    return rows.withColumn("_mark", F.xxhash64("_id", "_text", "_row")).mapInArrow(run, schema)
+
+
 def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), as_text: bool = False, gram: int = 20, block_bytes: int = 4 << 20, hot: int = 8192, fan: int = 64) -> DataFrame:
     """Remove from every whole text each byte covered by a string of `length` bytes that also starts in a document with a smaller id.
 
@@ -416,7 +438,8 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     a block, and there their suffixes are sorted (`sort_windows`): equal windows end up in one class, and its smallest
     id decides. Hashes only route and bring candidates together; no byte goes without a comparison of bytes.
 
-    Blocks are dealt by id and text, so no id makes a large block. An anchor told more than `hot` times (once for each
+    Blocks are dealt by id, text and the partition that a row lies in, and rows that are equal throughout are one row with a count for each
+    batch of it, so neither an id nor a row repeated any number of times makes a large block; repeats are rows again at the end. An anchor told more than `hot` times (once for each
     block and 16 runs there) is spread over all buckets window by window, and such windows are combined over `fan` blocks at a time before they reach their bucket.
     All windows of whole texts are judged on the input.
 
@@ -431,10 +454,11 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     steps = Exchange(length, gram, blocks, max(8, total // (2 * block_bytes)), max(8, total // block_bytes), hot, fan)
     tasks = max(8, -(-total // (4 * block_bytes)))  # so many bytes a task, whatever the size of the table
     row = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("string")
-    names = ["_block", "_id", "_text", "_row"]
-    block = F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")), F.lit(blocks))
-    rows = docs.select(block.alias("_block"), F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row.alias("_row")).repartition(tasks, "_block")
-    kept_type = rows.schema["_row"].dataType
+    names = ["_block", "_id", "_text", "_row", "_n"]
+    named = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row.alias("_row"))
+    kept_type = named.schema["_row"].dataType
+    block = F.pmod(F.xxhash64("_id", "_text", F.spark_partition_id()), F.lit(blocks))
+    rows = once_a_batch(named).select(block.alias("_block"), "_id", "_text", "_row", "_n").repartition(tasks, "_block")
 
     def step(name: str):
         """A step of one group, after which its memory is given back."""
@@ -467,9 +491,9 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
         if as_text:
             kept = [b.decode("utf-8", "ignore") for b in kept]
         counts = [np.diff(offsets), removed[offsets[1:]] - removed[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]]
-        return pa.table([docs_.column("_id"), *map(pa.array, counts), pa.array(kept, empty.schema.field("kept").type), docs_.column("_row")], names=empty.schema.names)
+        return pa.table([docs_.column("_id"), *map(pa.array, counts), pa.array(kept, empty.schema.field("kept").type), docs_.column("_row"), docs_.column("_n")], names=empty.schema.names)
 
-    empty = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("_row", to_arrow_type(kept_type))]).empty_table()
+    empty = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("_row", to_arrow_type(kept_type)), ("_n", pa.int32())]).empty_table()
     hashes = side().applyInArrow(step("anchors"), MESSAGE)
     shared = to(hashes, "bucket").applyInArrow(step("shared"), MESSAGE)
     strings = side().cogroup(to(shared, "block")).applyInArrow(step("strings"), MESSAGE)
@@ -483,6 +507,7 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     answers = received(0, steps.first).cogroup(to(combined, "bucket")).applyInArrow(step("answers"), MESSAGE)
     relayed = received(steps.first, 1 << 62).cogroup(to(answers, "block")).applyInArrow(step("relayed"), MESSAGE)
     told = shared.unionByName(relayed)
-    schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", StringType() if as_text else BinaryType()), StructField("_row", kept_type)])
+    schema = StructType([StructField(n, LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField("kept", StringType() if as_text else BinaryType()), StructField("_row", kept_type), StructField("_n", IntegerType())])
     out = side().cogroup(to(told, "block")).applyInArrow(step("finish"), schema)
+    out = out.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n"))))  # at most the rows of a batch
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"_row.{c}").alias(c) for c in keep])

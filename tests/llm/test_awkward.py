@@ -102,3 +102,16 @@ def test_one_row_very_many_times(spark):
     shards = sharding.shard(rows).toPandas()
     assert shards["shard"].nunique() == 1 and (np.sort(shards["slot"]) == np.arange(3_000)).all()
     assert suffixes.without_repeats(rows).agg(F.sum("n_removed")).first()[0] == 0
+    others = spark.range(3).select((F.col("id") + 8).alias("doc_id"), F.concat(F.lit("x "), F.lit(rows.first().text)).alias("text"))
+    cut = suffixes.without_repeats(rows.select("doc_id", "text").unionByName(others)).groupBy("doc_id", "n_removed").count()
+    size = len(rows.first().text)
+    assert by_row(cut, *cut.columns) == sorted([(7, 0, 3_000), (8, size, 1), (9, size + 2, 1), (10, size + 2, 1)], key=str)
+
+
+def test_repeats_are_one_row_a_batch_and_unlike_rows_stay_apart(spark):
+    """A row 50,000 times in 16 partitions reaches the blocks as a row for each batch; rows that differ in id, text or another column stay."""
+    rows = spark.range(50_000).select(F.lit(7).cast("long").alias("_id"), F.lit("a").alias("_text"), F.struct(F.lit("s").alias("source")).alias("_row")).repartition(16)
+    unlike = spark.createDataFrame([(7, "b", ("s",)), (None, "a", ("s",)), (7, None, ("s",)), (7, "a", ("t",)), (7, "a", (None,))], "_id long, _text string, _row struct<source string>").coalesce(1)
+    got = suffixes.once_a_batch(rows.unionByName(unlike)).collect()
+    alike = [r._n for r in got if (r._id, r._text, r._row.source) == (7, "a", "s")]
+    assert sum(alike) == 50_000 and len(alike) <= 16 and len(got) - len(alike) == 5 and all(r._n == 1 for r in got if r._row.source != "s")
