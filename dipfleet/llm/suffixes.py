@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -206,7 +207,8 @@ class Exchange:
     """The steps of a search. Blocks of documents and buckets of anchors exchange packed arrays; each step is a
     function of one group whose size is set by parameters, not by the size of the corpus.
 
-    Kinds of messages. 0 to a bucket: strings; 0 to a block: anchors that it shares. 1 to a block: windows of its strings
+    Anchors pass a station between a group of blocks and a range of buckets, so a block sends about as many messages as the square
+    root of the number of buckets. Kinds of messages. 0 to a bucket: strings; 0 to a block: anchors that it shares. 1 to a block: windows of its strings
     that a smaller id holds. A bucket number of `first` or more is a first level for windows that very many blocks hold:
     it combines `fan` blocks and stands for them at the bucket proper.
     """
@@ -217,11 +219,14 @@ class Exchange:
     def __init__(self, length: int, gram: int, blocks: int, buckets: int, fine: int, hot: int, fan: int = 64):
         self.length, self.gram, self.buckets, self.fine, self.hot = length, gram, buckets, fine, hot
         self.groups, self.first = -(-blocks // fan), max(blocks, fine)
+        # anchors pass a station for each group of blocks and range of buckets: about the square root of either
+        self.range = max(1, isqrt(buckets))  # buckets in a range
+        self.of_blocks = max(1, isqrt(blocks))  # groups of blocks
 
     # --- which anchors are shared
 
     def anchors(self, docs: pa.Table) -> pa.Table:
-        """Block to buckets: the different anchors of the block; the lowest bit says that two ids of the block share one.
+        """Block to stations: the different anchors of the block; the lowest bit says that two ids of the block share one.
         Four bytes tell the anchors of a bucket apart: a confusion only costs work."""
         buf, offsets = flat(docs.column("_text"))
         _, _, h, text = anchored_runs(buf, offsets, self.length, self.gram)
@@ -236,24 +241,64 @@ class Exchange:
         times = -(-(last + 1 - first) // self.STEP)  # so that very many strings in few blocks are noticed too
         key, bucket = np.repeat(key, times), np.repeat(bucket[first], times)
         block = docs.column("_block")[0].as_py()
-        return _messages([(k, block, 0, key[a:b].tobytes(), None, None, None) for k, a, b in _cuts(bucket)])
+        return self._listed(bucket, key, lambda k: (k * self.of_blocks + block % self.of_blocks, block))
+
+    def _listed(self, bucket: np.ndarray, key: np.ndarray, ends) -> pa.Table:
+        """A message for each range of buckets: the keys, and the bucket of each as its place in the range. Buckets come in order."""
+        near = (bucket % self.range).astype(np.uint16)
+        return _messages([(*ends(k), 0, key[a:b].tobytes(), near[a:b].tobytes(), None, None) for k, a, b in _cuts(bucket // self.range)])
+
+    def _arrived(self, messages: pa.Table) -> tuple[np.ndarray, ...]:
+        """What a station received: key, place in the range, message."""
+        keys, near = _array(messages, "keys", np.uint32), _array(messages, "counts", np.uint16)
+        return np.concatenate(keys), np.concatenate(near).astype(np.int64), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+
+    def routed(self, messages: pa.Table) -> pa.Table:
+        """Station to buckets: each different anchor once, how often it was told, and by the lowest bit whether its blocks share it."""
+        key, near, source = self._arrived(messages)
+        block = np.asarray(messages.column("block"))[source]
+        order = np.lexsort((block, key | np.uint32(1), near))
+        key, near, block = key[order], near[order], block[order]
+        first = np.flatnonzero(np.append(True, ((key[1:] | 1) != (key[:-1] | 1)) | (near[1:] != near[:-1])))
+        last = np.append(first[1:], len(key)) - 1
+        shared = (np.bitwise_or.reduceat(key & np.uint32(1), first) > 0) | (block[first] != block[last])
+        key = (key[first] | np.uint32(1)) ^ (~shared).astype(np.uint32)
+        times, me = (last + 1 - first).astype(np.uint32), messages.column("bucket")[0].as_py()
+        base = me // self.of_blocks * self.range
+        return _messages([(base + k, me, 0, key[a:b].tobytes(), times[a:b].tobytes(), None, None) for k, a, b in _cuts(near[first])])
 
     def shared(self, messages: pa.Table) -> pa.Table:
-        """Bucket to blocks: those of their anchors that documents with different ids share; the lowest bit says that very many strings lie under it."""
-        arrays = _array(messages, "keys", np.uint32)
-        keys, blocks = np.concatenate(arrays), np.repeat(np.asarray(messages.column("block")), [len(a) for a in arrays])
-        one = np.uint32(1)
+        """Bucket to stations: those of their anchors that blocks share; the lowest bit says that very many strings lie under it."""
+        arrays, one = _array(messages, "keys", np.uint32), np.uint32(1)
+        keys, times = np.concatenate(arrays), np.concatenate(_array(messages, "counts", np.uint32)).astype(np.int64)
+        source = np.repeat(np.asarray(messages.column("block")), [len(a) for a in arrays])
         order = np.argsort(keys | one, kind="stable")
-        keys, blocks = keys[order], blocks[order]
+        keys, times, source = keys[order], times[order], source[order]
         first = np.flatnonzero(np.append(True, (keys[1:] | one) != (keys[:-1] | one)))
-        sizes = np.diff(np.append(first, len(keys)))
+        sizes = np.diff(np.append(first, len(keys)))  # a station tells an anchor once
         keep = np.repeat((sizes > 1) | (np.bitwise_or.reduceat(keys & one, first) > 0), sizes)
-        keys = (keys | one) ^ np.repeat((sizes <= self.hot).astype(np.uint32), sizes)
-        keep &= np.append(True, (keys[1:] != keys[:-1]) | (blocks[1:] != blocks[:-1]))  # once a block
-        keys, blocks = keys[keep], blocks[keep]
-        order = np.argsort(blocks, kind="stable")
+        keys = (keys | one) ^ np.repeat((np.add.reduceat(times, first) <= self.hot).astype(np.uint32), sizes)
+        keys, source = keys[keep], source[keep]
+        order = np.argsort(source, kind="stable")
         keys, bucket = keys[order], messages.column("bucket")[0].as_py()
-        return _messages([(bucket, k, 0, keys[a:b].tobytes(), None, None, None) for k, a, b in _cuts(blocks[order])])
+        return _messages([(bucket, k, 0, keys[a:b].tobytes(), None, None, None) for k, a, b in _cuts(source[order])])
+
+    def delivered(self, messages: pa.Table, told: pa.Table) -> pa.Table:
+        """Station to blocks: those of their anchors that the buckets call shared."""
+        if not messages.num_rows or not told.num_rows:
+            return _SCHEMA.empty_table()
+        arrays, me = _array(told, "keys", np.uint32), messages.column("bucket")[0].as_py()
+        base = me // self.of_blocks * self.range
+        shared = np.sort((np.repeat(np.asarray(told.column("bucket")) - base, [len(a) for a in arrays]).astype(np.uint64) << np.uint64(32)) | np.concatenate(arrays))
+        key, near, source = self._arrived(messages)
+        own = (near.astype(np.uint64) << np.uint64(32)) | (key | np.uint32(1))
+        at = np.minimum(np.searchsorted(shared | _ONE, own), len(shared) - 1)
+        hit = np.flatnonzero((shared[at] | _ONE) == own)
+        told_, near, source = shared[at[hit]], near[hit], source[hit]
+        once = np.append(True, (told_[1:] != told_[:-1]) | (source[1:] != source[:-1]))[: len(hit)]  # keys of a message come in order
+        told_, near, source = told_[once].astype(np.uint32), near[once].astype(np.uint16), source[once]
+        blocks = np.asarray(messages.column("block"))
+        return _messages([(base, int(blocks[k]), 0, told_[a:b].tobytes(), near[a:b].tobytes(), None, None) for k, a, b in _cuts(source)])
 
     @staticmethod
     def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -268,8 +313,8 @@ class Exchange:
         shared = _of_kind(told, 0)
         if not docs.num_rows or not shared.num_rows:
             return None
-        arrays = _array(shared, "keys", np.uint32)
-        keys = np.sort(np.concatenate(arrays).astype(np.uint64) | np.repeat(np.asarray(shared.column("bucket")).astype(np.uint64) << np.uint64(32), [len(a) for a in arrays]))
+        key, near, source = self._arrived(shared)
+        keys = np.sort(key.astype(np.uint64) | (np.asarray(shared.column("bucket"))[source] + near).astype(np.uint64) << np.uint64(32))
         first, windows, h, text = anchored_runs(buf, offsets, self.length, self.gram)
         if not len(h):
             return None
@@ -433,7 +478,7 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
     """Remove from every whole text each byte covered by a string of `length` bytes that also starts in a document with a smaller id.
 
     Every window of `length` bytes has an anchor that depends on its bytes alone. Blocks of documents send the hashes
-    of their anchors to buckets and learn which are shared among documents: windows under other anchors occur once and
+    of their anchors by way of stations to buckets and learn which are shared among documents: windows under other anchors occur once and
     are left out. The strings of windows under shared anchors go to buckets with their bytes, each different one once
     a block, and there their suffixes are sorted (`sort_windows`): equal windows end up in one class, and its smallest
     id decides. Hashes only route and bring candidates together; no byte goes without a comparison of bytes.
@@ -468,7 +513,7 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
             release_memory()
             return out
 
-        return (lambda a, b: run(a, b)) if name in ("strings", "answers", "relayed", "finish") else (lambda t: run(t))
+        return (lambda a, b: run(a, b)) if name in ("delivered", "strings", "answers", "relayed", "finish") else (lambda t: run(t))
 
     def side() -> GroupedData:  # the same plan each time, so that one shuffle of the texts serves all steps
         return rows.toDF(*names).groupBy("_block")
@@ -495,7 +540,9 @@ def without_repeats(docs: DataFrame, length: int = 50, *, doc_id: str = "doc_id"
 
     empty = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary()), ("_row", to_arrow_type(kept_type)), ("_n", pa.int32())]).empty_table()
     hashes = side().applyInArrow(step("anchors"), MESSAGE)
-    shared = to(hashes, "bucket").applyInArrow(step("shared"), MESSAGE)
+    routed = to(hashes, "bucket").applyInArrow(step("routed"), MESSAGE)
+    called = to(routed, "bucket").applyInArrow(step("shared"), MESSAGE)
+    shared = to(hashes, "bucket").cogroup(to(called, "block")).applyInArrow(step("delivered"), MESSAGE)
     strings = side().cogroup(to(shared, "block")).applyInArrow(step("strings"), MESSAGE)
 
     def received(low: int, past: int) -> GroupedData:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dipfleet.llm import common, metricjoin, mixing, packing, quality, sharding, simhash, suffixes, tokencount, topk, toxicity
@@ -215,3 +216,39 @@ def test_pivots_leave_out_most_pairs_of_clustered_vectors():
         near = np.flatnonzero((x[block] @ x.T >= 0.95).any(0))
         assert np.isin(near, some).all()
     assert sorted(np.concatenate(seen)) == list(range(6000)) and tried < 0.1 * 6000**2
+
+
+@pytest.mark.parametrize("blocks", [16, 1_000, 100_000])
+def test_messages_of_anchors_grow_with_the_root_of_the_table(blocks):
+    """Anchors of four blocks reach their buckets by stations and come back: those that two ids share, and no others."""
+    rnd = np.random.default_rng(5)
+    steps = suffixes.Exchange(50, 20, blocks, blocks // 2, blocks, 8192)
+    shared = rnd.integers(97, 123, 500, np.uint8).tobytes().decode()
+    texts = [[rnd.integers(97, 123, 20_000, np.uint8).tobytes().decode() + (shared if b in (1, 2) else "")] for b in range(4)]
+    docs = [pa.table({"_block": [b], "_id": [b], "_text": t}) for b, t in enumerate(texts)]
+    sent = [steps.anchors(d) for d in docs]
+    root = int(blocks**0.5)
+    assert max(m.num_rows for m in sent) <= root + 3
+
+    def by(messages, column):
+        keys = np.asarray(messages.column(column))
+        return {k: messages.filter(pa.array(keys == k)) for k in np.unique(keys).tolist()}
+
+    stations = by(pa.concat_tables(sent), "bucket")
+    routed = [steps.routed(m) for m in stations.values()]
+    assert max(m.num_rows for m in routed) <= root + 3
+    called = by(pa.concat_tables([steps.shared(m) for m in by(pa.concat_tables(routed), "bucket").values()]), "block")
+    back = by(pa.concat_tables([steps.delivered(m, called[k]) for k, m in stations.items() if k in called]), "block")
+    assert set(back) == {1, 2}
+    raw = np.frombuffer(shared.encode(), np.uint8)
+
+    def places(h):
+        return {(int(k), int(x) & 0xFFFFFFFF | 1) for k, x in zip(steps._bucket(h, steps.buckets), h, strict=True)}
+
+    begin = np.arange(len(raw) - 19)
+    grams = common.span_hash(common.prefix_hash(raw), begin, begin + 20)
+    for told in back.values():
+        key, near, source = steps._arrived(told)
+        got = {(int(k), int(x) | 1) for k, x in zip(np.asarray(told.column("bucket"))[source] + near, key, strict=True)}
+        assert places(suffixes.anchored_runs(raw, np.array([0, len(raw)]), 50, 20)[2]) <= got <= places(grams)
+        assert not (key & 1).any() and len(key) == len(got)
