@@ -37,12 +37,14 @@ def _shaped(dips: DataFrame, params: DipParams) -> DataFrame:
 def dip_features(slices: DataFrame, params: DipParams = DipParams(), keys: Sequence[str] = KEYS, counts: bool = False) -> DataFrame:  # noqa: B008
     """One row of features per dip of `dip_slices`. With `counts`, also the mean counts per dip and what passed.
 
-    Everything comes from windows and sums over rows clustered by key already; the array of a dip is not needed.
+    Everything comes from windows and sums over rows clustered by key already; the array of a dip is not needed. Rows lie from the
+    last to the first: sums in that order have the bits that the SQL's have, which decide a fill factor just at its bound.
     """
     dip = Window.partitionBy(*keys, "dip_id")
-    path = dip.orderBy("i")
+    path = dip.orderBy(F.desc("i"))
     d = F.col("distance").cast("double")
-    rows = slices.withColumns({"_step": F.abs(d - F.lag(d).over(path)), "_k": F.row_number().over(path) - 1, "_n": F.count("*").over(dip), "_m": F.avg(d).over(dip)})
+    rows = slices.withColumns({"_step": F.abs(d - F.lead(d).over(path)), "_n": F.count("*").over(dip), "_m": F.avg(d).over(dip)})
+    rows = rows.withColumn("_k", F.col("_n") - F.row_number().over(path))
     middle = (F.col("_k") >= F.floor(F.col("_n") * 0.25)) & (F.col("_k") < F.floor(F.col("_n") * 0.75))
     ends = F.first(d).over(path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + F.last(d).over(path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("_ends", ends)
@@ -71,13 +73,14 @@ def dip_arrays(slices: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def features_of_arrays(dips: DataFrame, array: str = "dip_array", params: DipParams = DipParams()) -> DataFrame:  # noqa: B008
-    """The same features from stored arrays, in array functions; an empty or null array gives zeros and 'Undefined'."""
+    """The same features from stored arrays, in array functions, summed from the last to the first; an empty or null array gives zeros
+    and 'Undefined'."""
     a = F.coalesce(F.col(array), F.array().cast("array<double>"))
     dips = dips.withColumn("_a", a).withColumn("frame_count", F.size("_a").cast("long"))
     a, n = F.col("_a"), F.col("frame_count")
 
     def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+        return F.aggregate(F.reverse(x), F.lit(0.0), lambda s, v: s + v)
 
     dips = dips.withColumn("avg_depth", F.when(n > 0, total(a) / n))
     m = F.col("avg_depth")

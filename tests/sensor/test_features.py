@@ -56,3 +56,12 @@ def test_split_report_and_rules(spark):
     assert report["Vehicle"].recall == 0.75 and report["Vehicle"].precision == 1 and report["Non-Vehicle"].precision == 0.8 and report["accuracy"].f1 == 0.875
     filled = models.fill_missing_features(spark.createDataFrame([(None, float("nan"))], "min_depth double, avg_depth double"), ["min_depth", "avg_depth"]).first()
     assert tuple(filled) == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("depths", [[242.15, 208.52, 185.02, 179.02, 172.53, 236.64], [249.35, 140.4, 178.79, 151.75, 159.33, 203.43, 225.64]])
+def test_fill_factors_at_their_bound_are_judged_as_in_sql(spark, depths):
+    """13/20 exactly: the sum from the last to the first lies above, the other way below."""
+    df = spark.createDataFrame([(1, 1, i, 40 * i, d) for i, d in enumerate(depths)], "sensor_id long, dip_id long, i long, time_ms long, distance double")
+    for dips in (features.dip_features(df), features.features_of_arrays(features.dip_arrays(df))):
+        r = dips.first()
+        assert r.fill_factor > 0.65 and r.shape_category == "Boxy_Irregular"
