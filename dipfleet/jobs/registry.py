@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dipfleet.functions.params import FEATURES, CompactParams, DipParams, EventParams, LiveParams, TrackParams
-from dipfleet.functions.series import numbered, positioned
+from dipfleet.functions.series import digits, numbered, positioned
 from dipfleet.functions.storage import checkpointed
 from dipfleet.functions.storage import fresh_folder as _folder
 from dipfleet.jobs import files as file_jobs
@@ -37,8 +37,7 @@ def query(f: Query) -> Query:
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
-    """Sums of doubles differ in their last bits with the order of their rows; the nudge keeps those bits from deciding ties."""
-    return df.withColumns({c: F.round(F.col(c) + 3e-8, 6) for c in names})
+    return df.withColumns({c: digits(F.col(c)) for c in names})
 
 
 # --- timelines -------------------------------------------------------------------------------------------------------
