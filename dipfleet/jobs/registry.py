@@ -613,20 +613,20 @@ def sensor_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lenient_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs with blanks for commas and with lines that hold no sample."""
     folder = _folder(spark)
-    samples = sensor(spark, sf_dir).repartition("sensor_id").sortWithinPartitions("sensor_id", "time_ms", "seq")
+    samples = sensor(spark, sf_dir)
     line = F.concat(F.col("time_ms").cast("string"), F.when(F.col("seq") % 2 == 0, " ").otherwise(" , "), F.col("distance").cast("string"))
-    lines = samples.withColumn("value", F.explode(F.when(F.col("seq") % 10 == 3, F.array(line, F.lit("restarted"), F.lit(""), F.lit("12"))).otherwise(F.array(line))))
-    lines.select("sensor_id", "value").write.partitionBy("sensor_id").text(folder)
+    lines = samples.select("sensor_id", "time_ms", "seq", F.posexplode(F.when(F.col("seq") % 10 == 3, F.array(line, F.lit("restarted"), F.lit(""), F.lit("12"))).otherwise(F.array(line))).alias("_k", "value"))
+    devicelog.write_lines(lines, folder, ("time_ms", "seq", "_k"))
     return files.read_sensor_log_lenient(spark, folder)
 
 
 def _faulty_log(spark: SparkSession, sf_dir: str) -> str:
     """The sensor table as logs with lines that hold no sample."""
     folder = _folder(spark)
-    samples = sensor(spark, sf_dir).repartition("sensor_id").sortWithinPartitions("sensor_id", "time_ms", "seq")
+    samples = sensor(spark, sf_dir)
     line = F.concat_ws(",", F.col("time_ms").cast("string"), F.col("distance").cast("string"))
-    lines = samples.withColumn("value", F.explode(F.when(F.col("seq") % 10 == 3, F.array(line, F.lit("restarted"), F.lit(""), F.lit("12"))).otherwise(F.array(line))))
-    lines.select("sensor_id", "value").write.partitionBy("sensor_id").text(folder)
+    lines = samples.select("sensor_id", "time_ms", "seq", F.posexplode(F.when(F.col("seq") % 10 == 3, F.array(line, F.lit("restarted"), F.lit(""), F.lit("12"))).otherwise(F.array(line))).alias("_k", "value"))
+    devicelog.write_lines(lines, folder, ("time_ms", "seq", "_k"))
     return folder
 
 

@@ -4,6 +4,7 @@ it stopped."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 #: One line of a log: its sensor, its file, the offset of its first byte, and the line itself.
 LINES = "sensor_id string, file string, at long, line string"
-#: Bytes that one task reads, about.
-PIECE = 32 << 20
+#: Bytes that one task reads, about, and as how many at least a log counts: small logs are read many to a task.
+PIECE, OPENED = 32 << 20, 1 << 18
+#: Lines of small logs that go into one batch, about.
+BATCH = 10_000
 
 
 def _filesystem(path: str):
@@ -60,6 +63,38 @@ def _pieces(path: str, file: str, first: int, stop: int, size: int) -> list[Piec
     return [Piece(path, file, a, min(a + size, stop), first, stop) for a in range(first, stop, size)]
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Pieces that one task reads one after the other."""
+
+    pieces: list[Piece]
+
+
+def _bundles(pieces: list[Piece], size: int) -> list[Bundle]:
+    bundles, cost = [], size
+    for p in pieces:
+        if cost >= size:
+            bundles.append(Bundle([]))
+            cost = 0
+        bundles[-1].pieces.append(p)
+        cost += max(p.end - p.start, OPENED)
+    return bundles
+
+
+def read_bundle(bundle: Bundle) -> Iterator[pa.RecordBatch]:
+    """The lines of all pieces; those of small logs share a batch."""
+    held, n = [], 0
+    for piece in bundle.pieces:
+        for batch in read_lines(piece):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BATCH:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def read_lines(piece: Piece, block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of whole lines. A line belongs to the piece in which it begins, and is read to its end."""
     files, _ = _filesystem(piece.path)
@@ -94,11 +129,11 @@ class LogReader(DataSourceReader):
     def __init__(self, path: str, size: int):
         self.path, self.size = path, size
 
-    def partitions(self) -> list[Piece]:
-        return [p for f, n in sorted(_sizes(self.path).items()) for p in _pieces(self.path, f, 0, n, self.size)]
+    def partitions(self) -> list[Bundle]:
+        return _bundles([p for f, n in sorted(_sizes(self.path).items()) for p in _pieces(self.path, f, 0, n, self.size)], self.size)
 
-    def read(self, partition: Piece | None) -> Iterator[pa.RecordBatch]:
-        return read_lines(partition) if partition else iter(())  # a folder without logs has no pieces
+    def read(self, partition: Bundle | None) -> Iterator[pa.RecordBatch]:
+        return read_bundle(partition) if partition else iter(())  # a folder without logs has no pieces
 
 
 class LogStream(DataSourceStreamReader):
@@ -125,11 +160,52 @@ class LogStream(DataSourceStreamReader):
                 size = start
         return 0
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        return [p for f, n in sorted(end.items()) if n > start.get(f, 0) for p in _pieces(self.path, f, start.get(f, 0), n, self.size)]
+    def partitions(self, start: dict, end: dict) -> list[Bundle]:
+        return _bundles([p for f, n in sorted(end.items()) if n > start.get(f, 0) for p in _pieces(self.path, f, start.get(f, 0), n, self.size)], self.size)
+
+    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
+        return read_bundle(partition)
+
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        return read_lines(partition)
+class LogWriter(DataSourceArrowWriter):
+    """A folder for each sensor, and one log in it. A task's rows lie together by sensor, and a sensor in one task. Logs get their names once they are
+    whole, so of a task that runs twice one log stays."""
+
+    def __init__(self, path: str):
+        self.path, self.run = path, uuid.uuid4().hex
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        files, root = _filesystem(self.path)
+        sensor, log, draft, final = None, None, "", ""
+
+        def end() -> None:
+            if log is not None:
+                log.close()
+                files.move(draft, final)
+
+        for batch in iterator:
+            sensors, lines = batch.column("sensor_id").to_pylist(), batch.column("value").to_pylist()
+            cuts = [k for k in range(1, len(sensors)) if sensors[k] != sensors[k - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(sensors)], strict=True):
+                if a == b:
+                    continue
+                if log is None or sensors[a] != sensor:
+                    end()
+                    sensor = sensors[a]
+                    folder = f"{root}/sensor_id={_escaped(sensor)}"
+                    draft, final = f"{folder}/_{uuid.uuid4().hex}", f"{folder}/part-{self.run}.txt"
+                    files.create_dir(folder, recursive=True)
+                    log = files.open_output_stream(draft)
+                log.write("".join(f"{line or ''}\n" for line in lines[a:b]).encode())
+        end()
+        return WriterCommitMessage()
+
+
+def _escaped(sensor: str | None) -> str:
+    """As Spark names folders of partitions."""
+    if not sensor:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", sensor)
 
 
 class DeviceLog(DataSource):
@@ -145,6 +221,9 @@ class DeviceLog(DataSource):
     def reader(self, schema) -> LogReader:
         return LogReader(self.options["path"], int(self.options.get("piece", PIECE)))
 
+    def writer(self, schema, overwrite: bool) -> LogWriter:
+        return LogWriter(self.options["path"])
+
     def streamReader(self, schema) -> LogStream:  # noqa: N802
         return LogStream(self.options["path"], int(self.options.get("piece", PIECE)))
 
@@ -154,6 +233,14 @@ def log_lines(spark: SparkSession, path: str, stream: bool = False, piece: int =
     return (spark.readStream if stream else spark.read).format("device_log").option("path", path).option("piece", str(piece)).load()
 
 
+def write_lines(lines: DataFrame, path: str, order: tuple[str, ...] = ("time_ms", "seq")) -> None:
+    """`sensor_id, value` in `order` as logs, a folder for each sensor. The files of a cluster's own writers cost some ten milliseconds each,
+    which logs of many small sensors pay for each of them."""
+    lines.sparkSession.dataSource.register(DeviceLog)
+    placed = lines.repartition("sensor_id").sortWithinPartitions("sensor_id", *order)
+    placed.select(F.col("sensor_id").cast("string").alias("sensor_id"), F.col("value").cast("string").alias("value")).write.format("device_log").mode("append").save(path)
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines with `time_ms, distance`, and for those that hold no sample the `reason`; blank lines have neither."""
     pattern = r"^\s*([-+]?\d+)\s*[,\s]\s*([-+]?\d*\.?\d+)"

@@ -5,10 +5,11 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipfleet.functions.series import ordered
+from dipfleet.sources import devicelog
 
 #: Logical column names of a merged table and the physical names they have by default.
 DEFAULT_MAPPING = {"time": "time_seconds", "depth": "ultrawide_depth_m", "vehicles": "vehicles_in_frame", "bicycles": "bicycles_in_frame", "people": "people_in_frame"}
@@ -23,37 +24,27 @@ DIP_FEATURES = (
 )
 
 
-def _sensor() -> Column:
-    """The sensor of a log: the folder `sensor_id=..` that it lies in, or else the name of the file."""
-    path = F.col("_metadata.file_path")
-    return F.coalesce(F.nullif(F.regexp_extract(path, r"/sensor_id=([^/]+)/", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1))
-
-
 def write_sensor_log(samples: DataFrame, path: str, separator: str = ",") -> None:
     """Lines of time and distance in the order of time, a folder for each sensor."""
     line = F.concat_ws(separator, F.col("time_ms").cast("string"), F.col("distance").cast("string"))
-    placed = samples.repartition("sensor_id").sortWithinPartitions("sensor_id", "time_ms", "seq")
-    placed.select("sensor_id", line.alias("value")).write.partitionBy("sensor_id").text(path)
+    devicelog.write_lines(samples.withColumn("value", line), path)
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """`seq` in file order: rows of a file keep the order of their offsets through monotonic ids within a partition."""
+    """`seq` by time, and in the order of file and offset among equal times."""
     w = ordered(("sensor_id",), "time_ms", "_at")
-    return rows.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).select("sensor_id", "seq", "time_ms", "distance")
+    return rows.withColumn("_at", F.struct("file", "at")).withColumn("seq", (F.row_number().over(w) - 1).cast("long")).select("sensor_id", "seq", "time_ms", "distance")
 
 
 def read_sensor_log(spark: SparkSession, path: str) -> DataFrame:
     """Headerless logs of `time,distance`, one file per sensor: the sensor is the file name. Blank lines are skipped."""
-    rows = spark.read.schema("time_ms long, distance double").csv(path, header=False).withColumn("sensor_id", _sensor()).withColumn("_at", F.monotonically_increasing_id())
-    return _numbered(rows.where("time_ms is not null"))
+    rows = devicelog.log_lines(spark, path).withColumn("_row", F.from_csv("line", "time_ms long, distance double"))
+    return _numbered(rows.select("sensor_id", "file", "at", "_row.*").where("time_ms is not null"))
 
 
 def read_sensor_log_lenient(spark: SparkSession, path: str) -> DataFrame:
     """Lines of `t,d` or `t d`; lines that hold neither are skipped."""
-    pattern = r"^\s*([-+]?\d+)\s*[,\s]\s*([-+]?\d*\.?\d+)"
-    rows = spark.read.text(path).withColumn("sensor_id", _sensor()).withColumn("_at", F.monotonically_increasing_id())
-    rows = rows.withColumns({"time_ms": F.regexp_extract("value", pattern, 1).try_cast("long"), "distance": F.regexp_extract("value", pattern, 2).try_cast("double")})
-    return _numbered(rows.where("time_ms is not null and distance is not null"))
+    return _numbered(devicelog.parsed(devicelog.log_lines(spark, path)).where("time_ms is not null and distance is not null"))
 
 
 def read_frame_counts(spark: SparkSession, path: str) -> DataFrame:

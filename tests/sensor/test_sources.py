@@ -124,3 +124,22 @@ def test_sessions(spark, tmp_path):
     feed = live.reordered(live.sample_feed(spark, f"{tmp_path}/in", samples.schema), 60_000)
     got = live.run_to_end(segment.session_events(feed, 215.0), str(tmp_path))
     assert comparable(got.where("sensor_id >= 0"), columns) == sorted(want)
+
+
+def test_small_logs_share_tasks_and_batches(spark, tmp_path):
+    """A thousand logs were a thousand tasks."""
+    rows = [(f"s{k}", t, t % 20, 40 * t, 200.0 + t) for k in range(1000) for t in range(3)]
+    df = spark.createDataFrame(rows, "sensor_id string, n long, seq long, time_ms long, distance double").drop("n")
+    files.write_sensor_log(df, f"{tmp_path}/log")
+    assert len(list(tmp_path.glob("log/sensor_id=*/*.txt"))) == 1000 and not list(tmp_path.glob("log/*/_*"))
+    reader = devicelog.LogReader(f"{tmp_path}/log", devicelog.PIECE)
+    assert len(reader.partitions()) == 8
+    assert sum(b.num_rows for b in devicelog.read_bundle(reader.partitions()[0])) == 384 and len(list(devicelog.read_bundle(reader.partitions()[0]))) == 1
+    assert sorted(files.read_sensor_log(spark, f"{tmp_path}/log").collect()) == sorted(df.select("sensor_id", "seq", "time_ms", "distance").collect())
+
+
+def test_logs_of_awkward_sensors_and_values(spark, tmp_path):
+    df = spark.createDataFrame([("a b/c=d", 0, 0, 1.5), ("a b/c=d", 1, 40, None), (None, 0, 0, 2.5), ("é", 0, 7, 1e-7)], "sensor_id string, seq long, time_ms long, distance double")
+    files.write_sensor_log(df, f"{tmp_path}/log")
+    got = {tuple(r) for r in files.read_sensor_log(spark, f"{tmp_path}/log").collect()}
+    assert got == {("a b%2Fc%3Dd", 0, 0, 1.5), ("a b%2Fc%3Dd", 1, 40, None), ("__HIVE_DEFAULT_PARTITION__", 0, 0, 2.5), ("é", 0, 7, 1e-7)}
