@@ -11,6 +11,7 @@ late: they are not stepped, but come out as rows that are marked `late`.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -155,40 +156,44 @@ class Ordered(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self.advance(key, pd.concat(list(rows), ignore_index=True), timerValues)
+        frames = list(rows)
+        yield from self.advance(key, frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True), timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from self.advance(key, None, timerValues)
 
     def advance(self, key, frame: pd.DataFrame | None, timers) -> Iterator[pd.DataFrame]:
+        """Plain tuples in the order of `ROW`, which begins with `ORDER`: a key has few rows in a micro-batch, so tables cost more than they do."""
         first, second, late, timer = self.place.get() or (_FIRST_BATCH, _FIRST_BATCH, 0, None)
-        t, seq = self.ORDER
-        columns = _names(self.ROW) + ["event_ms"] * self.waits
-        held = pd.DataFrame([tuple(x) for x in self.waiting.get()], columns=columns) if self.waits else None
+        held = [tuple(x) for x in self.waiting.get()] if self.waits else []
+        waited = bool(held)
         if frame is not None:
-            behind = (frame[t] < first) | ((frame[t] == first) & (frame[seq] <= second))
-            late += int(behind.sum())
-            if behind.any():
-                told = frame[behind].reset_index(drop=True).assign(**{self.KEY: key[0], "late": True})
+            arrived = list(zip(*[frame[c].tolist() for c in _names(self.ROW) + ["event_ms"] * self.waits], strict=True))
+            behind = [row[:2] <= (first, second) for row in arrived]
+            if any(behind):
+                late += sum(behind)
+                told = frame[np.array(behind)].reset_index(drop=True).assign(**{self.KEY: key[0], "late": True})
                 nothing = pd.Series([None] * len(told), dtype=object)
                 yield pd.DataFrame({c: told[c] if c in told else nothing for c in _names(self.OUT)})
-            frame = frame.loc[~behind, columns]
-            held = frame if held is None or held.empty else pd.concat([held, frame], ignore_index=True)
-        ready = held["event_ms"] < timers.getCurrentWatermarkInMs() if self.waits else np.ones(len(held), bool)
-        now = held[ready].sort_values([t, seq], kind="stable")
-        if len(now):
+            held += [row for row, b in zip(arrived, behind, strict=True) if not b]
+        rest = []
+        if self.waits:
+            watermark = timers.getCurrentWatermarkInMs()
+            held, rest = [x for x in held if x[-1] < watermark], [x for x in held if x[-1] >= watermark]
+        if held:
+            now = sorted(held, key=itemgetter(0, 1))
             self.restore()
             stepped = self.consume(key, now)
             self.store()
-            first, second = int(now[t].iloc[-1]), int(now[seq].iloc[-1])
+            first, second = int(now[-1][0]), int(now[-1][1])
             if len(stepped):
-                yield stepped.assign(late=False).reindex(columns=_names(self.OUT))
+                yield pd.DataFrame(stepped).assign(late=False).reindex(columns=_names(self.OUT))
         if self.waits:
-            rest = held[~ready]
-            self.waiting.clear()
-            if len(rest):
-                self.waiting.put(list(rest.itertuples(index=False, name=None)))
-            due = int(rest["event_ms"].min()) + 1 if len(rest) else None
+            if waited:
+                self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+            due = int(min(x[-1] for x in rest)) + 1 if rest else None
             if due != timer:
                 if timer is not None and timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
@@ -218,24 +223,27 @@ class LiveDetector(Ordered):
             m.prev = None if prev_t is None else (prev_t, float("nan") if prev_d is None else prev_d)
             m.bins = {int(k[0]): int(v[0]) for k, v in self.bins.iterator()} if m.phase == "CALIBRATING" else {}
             m.buffer = [tuple(x) for x in self.buffer.get()] if m.phase in ("IN_DIP", "WAITING_FOR_MERGE") else []
+        self.kept = bool(m.bins), bool(m.buffer)
 
-    def consume(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+    def consume(self, key, rows: list[tuple]) -> list[dict]:
         out = []
-        for t, d, kind in rows[["time_ms", "distance", "kind"]].itertuples(index=False):
+        for t, _, d, kind, *_ in rows:
             if kind == TRIGGER:
                 self.machine.trigger(int(t))
             elif (event := self.machine.step(int(t), float("nan") if d is None else float(d))) is not None:
                 out.append({"sensor_id": key[0], **event})
-        return pd.DataFrame(out)
+        return out
 
     def store(self) -> None:
         m = self.machine
         prev_t, prev_d = m.prev or (None, None)
         self.core.update((m.phase, float(m.baseline), int(m.t0), int(m.last_dip), prev_t, prev_d))
-        self.bins.clear()
+        if self.kept[0]:
+            self.bins.clear()
         for k, v in m.bins.items():
             self.bins.updateValue((k,), (v,))
-        self.buffer.clear()
+        if self.kept[1]:
+            self.buffer.clear()
         if m.buffer:
             self.buffer.put(m.buffer)
 
@@ -252,12 +260,12 @@ class CompactDetector(Ordered):
             m.calibrated, m.total, m.seen, m.good, m.n, m.mean, m.m2, m.start = state
             m.calibrated = float("nan") if m.calibrated is None else m.calibrated
 
-    def consume(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+    def consume(self, key, rows: list[tuple]) -> list[dict]:
         out = []
-        for t, d, kind in rows[["time_ms", "distance", "kind"]].itertuples(index=False):
+        for t, _, d, kind, *_ in rows:
             if kind != TRIGGER and (event := self.machine.step(int(t), float("nan") if d is None else float(d))) is not None:
                 out.append({"sensor_id": key[0], **event})
-        return pd.DataFrame(out)
+        return out
 
     def store(self) -> None:
         m = self.machine
@@ -280,8 +288,9 @@ class LiveTracker(Ordered):
         if (state := self.next.get()) is not None:
             self.tracker = Tracker(self.params, self.tracks.get(), int(state[0]))
 
-    def consume(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        return track_rows(self.tracker, rows).assign(video_id=key[0])
+    def consume(self, key, rows: list[tuple]) -> pd.DataFrame:
+        names = _names(self.ROW)
+        return track_rows(self.tracker, pd.DataFrame([x[: len(names)] for x in rows], columns=names)).assign(video_id=key[0])
 
     def store(self) -> None:
         self.next.update((self.tracker.next_id,))

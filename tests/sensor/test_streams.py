@@ -145,3 +145,31 @@ def test_events_longer_than_the_buffer(spark, tmp_path):
     got = live.on_time(live.run_to_end(live.live_detector(stream, params), str(tmp_path)))
     columns = ["sensor_id", "time_ms", "samples", "duration", "min_depth", "variance", "avg_gradient", "baseline", "type"]
     assert comparable(got, columns) == comparable(segment.live_events(df, params), columns) and got.first().samples == 5_000
+
+
+def test_a_key_asks_its_state_for_no_more_than_it_has():
+    """Every call is a message to the state server: empty lists and maps are not cleared, and nothing is built for a key without events."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *_: calls.append(f"{self.name}.{call}") or ([] if self.name == "waiting" else None)
+
+    class Handle:
+        def __getattr__(self, kind):
+            return lambda name, *_: State(name)
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 1_000
+
+    detector = live.LiveDetector(LIVE, True)
+    detector.init(Handle())
+    frame = pd.DataFrame({"time_ms": [80, 40], "seq": [1, 0], "distance": [230.0, None], "kind": [live.SAMPLE] * 2, "event_ms": [80, 40]})
+    assert not list(detector.handleInputRows((1,), iter([frame]), Timers()))
+    assert calls == ["place.get", "waiting.get", "core.get", "core.update", "place.update"]
