@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from math import hypot, sqrt
 
 import numpy as np
@@ -89,10 +89,9 @@ class Tracker:
         return not (t[3] > 2 and mean > 0 and (max(t[12], 0.0) / t[3]) ** 0.5 / mean > p.max_area_cv)
 
 
-def track_rows(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
-    """Step through detections in order; adds `object_id` and `is_new`."""
+def stepped(tracker: Tracker, frames: Sequence[int], classes: Sequence[int], boxes: Sequence[Sequence[float]]) -> tuple[list[int], list[bool]]:
+    """Step through detections in order: the track of each, and whether it is counted there for the first time."""
     ids, news, last = [], [], None
-    frames, classes, boxes = rows["frame_number"].tolist(), rows["class_id"].tolist(), rows[["x1", "y1", "x2", "y2"]].to_numpy(float).tolist()
     for frame, class_id, box in zip(frames, classes, boxes, strict=True):
         if frame != last:
             tracker.expire(frame)
@@ -100,30 +99,67 @@ def track_rows(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
         i, new = tracker.observe(frame, box, class_id)
         ids.append(i)
         news.append(new)
+    return ids, news
+
+
+def _plain(rows: pd.DataFrame) -> tuple[list, list, list]:
+    return rows["frame_number"].tolist(), rows["class_id"].tolist(), rows[["x1", "y1", "x2", "y2"]].to_numpy(float).tolist()
+
+
+def track_rows(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
+    """Step through detections in order; adds `object_id` and `is_new`."""
+    ids, news = stepped(tracker, *_plain(rows))
     return rows.assign(object_id=np.array(ids, "int64"), is_new=np.array(news, bool))
 
 
+WANTED = ("frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2")
+
+
+def track_parts(parts: DataFrame, params: TrackParams, keys: Sequence[str]) -> DataFrame:
+    """Track every `_part` of a video by itself; ids count from 1 in each, and `_born` marks the rows that make a track.
+
+    A task takes its parts one after the other, as they come in batches of sorted rows: many small parts share a batch, and of a long
+    one only its tracks are held.
+    """
+    by = [*keys, "_part"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tracker, part = None, None
+        for rows in batches:
+            frames, classes, boxes = _plain(rows)
+            begins = np.flatnonzero(rows[by].ne(rows[by].shift()).any(axis=1).to_numpy()).tolist()
+            ids, news, born = [], [], []
+            for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
+                if (here := tuple(rows[c].iloc[a] for c in by)) != part:
+                    tracker, part = Tracker(params), here
+                most = tracker.next_id
+                i, new = stepped(tracker, frames[a:b], classes[a:b], boxes[a:b])
+                ids += i
+                news += new
+                for k in i:  # a new track has the next number
+                    born.append(int(k == most))
+                    most += k == most
+            yield rows.assign(object_id=np.array(ids, "int64"), is_new=np.array(news, bool), _born=np.array(born, "int32"))
+
+    schema = ", ".join(f"{k} {parts.schema[k].dataType.simpleString()}" for k in keys) + ", _part long, " + COLUMNS + ", _born int"
+    placed = parts.select(*by, *WANTED).repartition(*by).sortWithinPartitions(*by, "frame_number", "det_idx")
+    return placed.mapInPandas(run, schema)
+
+
 def track_objects(detections: DataFrame, params: TrackParams = TrackParams(), keys: Sequence[str] = ("video_id",)) -> DataFrame:  # noqa: B008
-    """Track the boxes of every video; ids count from 1 in each.
+    """Track the boxes of every video; ids count from 1 in each. Rows without a video are left out.
 
     Tracks live in small state, but frames follow each other. Long videos are therefore cut where no detection comes
     for longer than the retention: every track has expired there, so parts are independent and track in parallel; ids
-    are renumbered by a running sum afterwards.
+    are renumbered afterwards, by a running sum of the tracks made in the parts before.
     """
     w = Window.partitionBy(*keys).orderBy("frame_number", "det_idx")
     cut = F.coalesce(F.col("frame_number") - F.lag("frame_number").over(w) > params.retention_frames, F.lit(False))
-    parts = detections.withColumn("_cut", cut.cast("int")).withColumn("_part", F.sum("_cut").over(so_far(w)))
-    wanted = ["frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2"]
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return track_rows(Tracker(params), rows.sort_values(["frame_number", "det_idx"]))[[*keys, "_part", *wanted, "object_id", "is_new"]]
-
-    schema = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keys) + ", _part long, " + COLUMNS
-    tracked = parts.select(*keys, "_part", *wanted).groupBy(*keys, "_part").applyInPandas(run, schema)
-    most = tracked.groupBy(*keys, "_part").agg(F.max("object_id").alias("_ids"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = most.select(*keys, "_part", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_shift"))
-    return tracked.join(shift, [*keys, "_part"]).withColumn("object_id", F.col("object_id") + F.col("_shift")).drop("_part", "_shift")
+    named = detections.na.drop(subset=list(keys))
+    parts = named.withColumn("_cut", cut.cast("int")).withColumn("_part", F.sum("_cut").over(so_far(w)))
+    before = Window.partitionBy(*keys).orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
+    tracked = track_parts(parts, params, keys).withColumn("object_id", F.col("object_id") + F.coalesce(F.sum("_born").over(before), F.lit(0)))
+    return tracked.drop("_part", "_born")
 
 
 #: Detections that are tracked in one call, about: parts are small, so several go together.
@@ -164,20 +200,22 @@ def track_crowded(detections: DataFrame, params: TrackParams = TrackParams(), ke
     """`track_objects` for videos without gaps: parts of a video that cannot reach each other are tracked in parallel.
 
     Tracks never leave their part and are created in the same order, so only their numbers differ: they are counted anew by
-    the first detection of each, in stretches of frames. Parts are tracked in bundles of some thousand detections. A threshold below 0.4 lets any two boxes match: then gaps alone cut.
+    the first detection of each, in stretches of frames. Parts are tracked in bundles of some thousand detections; a video of no more than one
+    bundle is tracked as it is, without a search for its parts. A threshold below 0.4 lets any two boxes match: then gaps alone cut.
     """
     if reach(params) is None:
         return track_objects(detections, params, keys)
-    wanted = ["frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2"]
-    parts = reachable_parts(detections.select(*keys, *wanted), params, keys).withColumn("_part", F.pmod(F.xxhash64("_part"), F.col("_bundles")))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return track_rows(Tracker(params), rows.sort_values(["frame_number", "det_idx"]))[[*keys, "_part", *wanted, "object_id", "is_new"]]
-
-    schema = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keys) + ", _part long, " + COLUMNS
-    tracked = checkpointed(parts.select(*keys, "_part", *wanted).groupBy(*keys, "_part").applyInPandas(run, schema))
+    boxes = detections.select(*keys, *WANTED)
+    sizes = checkpointed(boxes.groupBy(*keys).agg((F.count("*") > BUNDLE).alias("_crowded")))  # a row for each video
+    crowded = lambda yes: boxes.join(sizes.where(F.col("_crowded") == yes).drop("_crowded"), list(keys))
+    columns = [*keys, *WANTED, "object_id", "is_new"]
+    few = track_parts(crowded(False).withColumn("_part", F.lit(0).cast("long")), params, keys).select(columns)
+    if sizes.where("_crowded").isEmpty():
+        return few
+    parts = reachable_parts(checkpointed(crowded(True)), params, keys).withColumn("_part", F.pmod(F.xxhash64("_part"), F.col("_bundles")))
+    tracked = checkpointed(track_parts(parts, params, keys).drop("_born"))
     tracks = tracked.groupBy(*keys, "_part", F.col("object_id").alias("_own")).agg(F.min(F.struct("frame_number", "det_idx")).alias("_first"))
     tracks = tracks.withColumn("_video", F.struct(*keys))
     ids = numbered(tracks, "_video", F.floor(F.col("_first.frame_number") / (params.retention_frames + 1)), ["_first"], "_id").select(*keys, "_part", "_own", "_id")
     joined = tracked.withColumnRenamed("object_id", "_own").join(ids, [*keys, "_part", "_own"])
-    return joined.select(*keys, *wanted, F.col("_id").alias("object_id"), "is_new")
+    return joined.withColumn("object_id", F.col("_id")).select(columns).unionByName(few)

@@ -90,3 +90,32 @@ def test_regions(spark):
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     assert det.roi_filter(df, rois.limit(0)).count() == len(boxes) == det.roi_filter(df).count()
     assert out.columns == df.columns and out.where(F.col("video_id") == 3).count() == 0
+
+
+def test_videos_of_one_bundle_are_tracked_as_they_are(spark, monkeypatch):
+    """Parts are looked for in crowded videos alone; numbers of both kinds of video are the same as ever."""
+    params, rows = TrackParams(fps=4.0, retention_frames=6), crowd(random.Random(7), 3, 40, 3, 4000) + [(9, *r[1:]) for r in crowd(random.Random(8), 1, 60, 12, 4000)]
+    small = len([r for r in rows if r[0] != 9])
+    monkeypatch.setattr(tracking, "BUNDLE", small)
+    seen, search = [], tracking.reachable_parts
+    monkeypatch.setattr(tracking, "reachable_parts", lambda df, *more: seen.append({r.video_id for r in df.select("video_id").distinct().collect()}) or search(df, *more))
+    df = spark.createDataFrame(rows, BOXES)
+    for wanted, mine in (([], df.where("video_id <> 9")), ([{9}], df)):
+        got = tracking.track_crowded(mine, params).collect()
+        assert {(r.video_id, r.frame_number, r.det_idx): (r.object_id, r.is_new) for r in got} == model([r for r in rows if wanted or r[0] != 9], params)
+        assert seen == wanted
+
+
+def test_parts_are_tracked_once(spark):
+    """A part is stepped through in one pass, across batches; gaps cut, and numbers go on behind them."""
+    params = TrackParams(fps=4.0, retention_frames=6)
+    rows = [(v, f + 100 * (f // 20), *more) for v, f, *more in crowd(random.Random(9), 3, 80, 6)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = tracking.track_objects(spark.createDataFrame([*rows, (None, *rows[0][1:])], BOXES), params)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plan.split("== Initial Plan ==")[0].count("InPandas") == 1
+    assert {(r.video_id, r.frame_number, r.det_idx): (r.object_id, r.is_new) for r in got} == model(rows, params) and len(got) == len(rows)
