@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipfleet.functions.series import ordered
+from dipfleet.functions.storage import checkpointed
 from dipfleet.sources import devicelog
 
 #: Logical column names of a merged table and the physical names they have by default.
@@ -83,6 +84,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_dips(dips: DataFrame, path: str) -> bool:
     """Dip results as CSV. Where there are none, nothing is written but a warning to the log."""
+    dips = checkpointed(dips)  # looked at and written
     if dips.isEmpty():
         logging.getLogger(__name__).warning("no dips found: nothing is written to %s", path)
         return False

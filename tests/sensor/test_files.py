@@ -58,3 +58,18 @@ def test_logs_to_results(spark, tmp_path, caplog):
     assert "no dips found" in caplog.text and not (tmp_path / "out8" / "dips").exists()
     report = jobs.log_to_report(spark, str(tmp_path / "log7")).collect()
     assert [(r.sensor_id, r.events) for r in report] == [("7", 1)]
+
+
+def test_the_log_is_read_once(spark, tmp_path, monkeypatch):
+    """Neither table of the alignment job, nor the dips, go back to the log."""
+    from dipfleet.jobs import files as jobs
+
+    (tmp_path / "7.txt").write_text("".join(f"{t},{100.0 if 2000 <= t < 3500 else 230.0}\n" for t in range(0, 6000, 50)))
+    plans, write_table, write_csv = [], files.write_table, files.write_csv
+    told = lambda write: lambda df, *more: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, *more)
+    monkeypatch.setattr(files, "write_table", told(write_table))
+    monkeypatch.setattr(files, "write_csv", told(write_csv))
+    frames = spark.createDataFrame([(7, f, f / 4.0, 0, 0, 1) for f in range(24)], "sensor_id long, frame_number long, time_seconds double, people_in_frame long, bicycles_in_frame long, vehicles_in_frame long")
+    assert jobs.merge_and_dips(spark, str(tmp_path / "7.txt"), frames, str(tmp_path / "out"), 0.0)
+    assert len(plans) == 3 and all("device_log" not in p and "python" not in p.lower() for p in plans)
+    assert "Window" not in plans[2]
