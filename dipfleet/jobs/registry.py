@@ -174,7 +174,7 @@ def dip_slice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_table(segment.raw_dips(samples, DIPS.baseline), f"{folder}/dips")
     files.write_sensor_log(samples, f"{folder}/log")
     log = positioned(files.read_sensor_log(spark, f"{folder}/log")).withColumn("sensor_id", F.col("sensor_id").cast("long"))
-    joined = intervals.dip_rows(log, spark.read.parquet(f"{folder}/dips"))
+    joined = intervals.dip_rows(checkpointed(log), spark.read.parquet(f"{folder}/dips"))
     return joined.select("sensor_id", "dip_id", F.col("i").cast("long").alias("i"), "time_ms", "distance")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipfleet.functions.series import KEYS
+from dipfleet.functions.storage import checkpointed
 
 #: Buckets that an interval is copied to at most, but for one at its end; longer ones go to wider buckets.
 FANOUT = 64
@@ -46,7 +47,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str] =
     places = F.array(*[F.struct(F.lit(k).alias("_level"), bucket(at, w).alias("_bucket")) for k, w in enumerate(widths)])
     placed = points.where(F.col(at).isNotNull()).withColumn("_place", F.explode(places)).withColumns({"_level": F.col("_place._level"), "_bucket": F.col("_place._bucket")}).drop("_place")
     by = [*keys, "_level", "_bucket"]
-    counts = placed.groupBy(*by).agg(F.count("*").alias("_n"))
+    counts = checkpointed(placed.groupBy(*by).agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
     least = max(hot_rows, total // HOT)
     hot = F.broadcast(counts.where(F.col("_n") > least).select(*by, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices")))
