@@ -418,8 +418,13 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.classification_report(scored, prediction="rule_variance"), "precision", "recall", "f1", "support")
 
 
+def _labelled_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled dips with what the models take of them, computed once: splits and fits pass over them many times."""
+    return checkpointed(_labelled(spark, sf_dir).select("sensor_id", "dip_id", "is_vehicle", *FEATURES))
+
+
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.assemble_features(_labelled(spark, sf_dir))
+    return models.assemble_features(_labelled_once(spark, sf_dir))
 
 
 def _shuffled() -> dict:
@@ -429,7 +434,7 @@ def _shuffled() -> dict:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.stratified_split(_assembled(spark, sf_dir), **_shuffled())
+    return models.assemble_features(checkpointed(models.stratified_split(_labelled_once(spark, sf_dir), **_shuffled())))
 
 
 @query
@@ -457,7 +462,7 @@ def tree_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split_dips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled dips, features to six digits, split by their ids; computed once."""
-    rows = rounded(_labelled(spark, sf_dir), *FEATURES).select("sensor_id", "dip_id", "is_vehicle", *FEATURES)
+    rows = rounded(_labelled_once(spark, sf_dir), *FEATURES)
     return checkpointed(models.stratified_split(rows, ["sensor_id", "dip_id"]))
 
 
@@ -495,7 +500,7 @@ def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five stratified folds of ten trees each, all grown together."""
-    rows = rounded(_labelled(spark, sf_dir), *FEATURES).select("sensor_id", "dip_id", "is_vehicle", *FEATURES)
+    rows = rounded(_labelled_once(spark, sf_dir), *FEATURES)
     dealt = numbered(rows, "is_vehicle", F.col("sensor_id"), ["sensor_id", "dip_id"], "_n").withColumn("fold", F.pmod("_n", F.lit(5)).cast("int")).drop("_n")
     return rounded(trees.cross_validated(checkpointed(dealt), ["sensor_id", "dip_id"], FOLD_FOREST), "accuracy", "mean_accuracy", "two_std")
 
