@@ -50,6 +50,22 @@ def test_every_arrival_is_a_batch_of_its_own(spark, tmp_path):
     assert rows(found["counts"].where("video_id is not null"), counts.columns) == rows(counts, counts.columns)
 
 
+def test_large_arrivals_have_more_files(spark, tmp_path, monkeypatch):
+    """A batch still reads as many as an arrival has; frames are cut, and counted without a sort of their detections."""
+    monkeypatch.setattr(registry, "FILE_ROWS", 100)
+    monkeypatch.setattr(registry, "_folder", lambda _: str(tmp_path))
+    boxes = det.filter_detections(registry.detections(spark, DATA))
+    got = registry.frame_counts_live(spark, DATA)
+    want = det.frame_class_counts(boxes)
+    assert rows(got, want.columns) == rows(want, want.columns)
+    files = [len([f for f in os.listdir(f"{tmp_path}/in/part={k}") if f.endswith(".parquet")]) for k in range(registry.ARRIVALS)]
+    assert min(files) == max(files) >= boxes.count() / registry.ARRIVALS / 100 > registry.FILES
+    assert 4 <= batches(tmp_path) <= 7
+    fed = spark.read.parquet(f"{tmp_path}/in").where("video_id is not null")
+    assert "det_idx" not in fed.columns and fed.count() == boxes.count()
+    assert fed.groupBy("video_id", "frame_number").agg(F.count_distinct("part").alias("n")).where("n > 1").count() > 10
+
+
 def test_null_and_nan_distances_live_as_in_batch(spark, tmp_path):
     """They are samples that enter no depth, variance or step, wherever they fall: calibration, dips, ends of dips."""
     table = []

@@ -81,6 +81,25 @@ def test_frame_counts(spark, tmp_path):
     assert len(got) == 30 and all((r.people_in_frame, r.bicycles_in_frame, r.vehicles_in_frame) == (2, 0, 1) for r in got)
 
 
+def test_frames_of_a_second_share_a_row_of_state(spark, tmp_path):
+    """And each keeps counts of its own: also frames before the first, without a number or a class, or with times in two seconds."""
+    rnd = random.Random(19)
+    rows = [(v, f, rnd.choice([0, 1, 2, None]), 100_000 + f * 250) for v in range(3) for f in range(-8, 40) for _ in range(rnd.randint(0, 3))]
+    rows += [(1, None, 2, 101_000), (1, None, 0, 101_900), (2, 5, 1, 107_000), (None, None, None, 10**9)]
+    df = spark.createDataFrame(rows, "video_id long, frame_number long, class_id int, ms long").select("video_id", "frame_number", "class_id", F.timestamp_millis("ms").alias("at"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    live.use_rocksdb(spark)
+    stream = live.frame_counts_live(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "at")
+    of = lambda k: F.count_if(F.col("class_id") == k)
+    want = df.where("video_id is not null").groupBy("video_id", "frame_number", F.window("at", "1 second")).agg(of(0), of(1), of(2), F.count("*")).drop("window")
+    text = lambda d: sorted(str(list(r)) for r in d.collect())
+    assert text(live.run_to_end(stream, f"{tmp_path}/a")) == text(want)
+    again = stream.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/b").trigger(availableNow=True).start()
+    again.awaitTermination()
+    written = sum(p["stateOperators"][0]["numRowsUpdated"] for p in again.recentProgress)
+    assert stream.columns == ["video_id", "frame_number", "people_in_frame", "bicycles_in_frame", "vehicles_in_frame", "total_in_frame"] and written <= 3 * 12 + 3
+
+
 def jumbled(spark, df, folder, time, delay, cuts, rnd_seed, closing):
     """Rows in arrivals by their time and a delay of their own; then a row of no key that moves the watermark past all."""
     late_by = F.pmod(F.xxhash64(F.lit(rnd_seed), *df.columns), F.lit(delay))
