@@ -512,6 +512,8 @@ def forest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 ARRIVALS, FILES = 4, 4
 #: Rows that a file of detections holds at most, about: larger arrivals have more files, which as many tasks write and read.
 FILE_ROWS = 250_000
+#: Rows of a bundle of videos in all arrivals, about.
+BUNDLE_ROWS = 50_000
 #: Milliseconds of a sensor's time in an arrival, and how much later than in order a sample may arrive.
 STRETCH, JITTER = 31_000 // ARRIVALS, 1_500
 FOREVER = 10**12
@@ -542,22 +544,22 @@ def _feed(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     return live.reordered(live.sample_feed(spark, path, files_per_batch=FILES), STRETCH + JITTER)
 
 
-def _boxes_arrivals(spark: SparkSession, sf_dir: str, folder: str, closing: bool, jitter: int, ranked: bool = True) -> tuple[DataFrame, int]:
-    """Detections as arrivals, each a stretch of frames, and rows up to `jitter` frames late, so that arrivals cut through frames; and
-    by how many milliseconds a row may be behind. A closing row without a video, long after all, moves the watermark on. If not `ranked`,
+def _boxes_arrivals(spark: SparkSession, sf_dir: str, folder: str, closing: bool, jitter: int, ranked: bool = True) -> tuple[DataFrame, int, int]:
+    """Detections as arrivals, each a stretch of frames, and rows up to `jitter` frames late, so that arrivals cut through frames;
+    by how many milliseconds a row may be behind; and the number of rows. A closing row without a video, long after all, moves the watermark on. If not `ranked`,
     detections have no `det_idx`, which takes a sort of them all, and only the columns that are counted."""
     boxes = det.filter_detections(detections(spark, sf_dir)).withColumn("at", F.timestamp_seconds(F.col("frame_number") / FPS))
     most, rows = boxes.agg(F.max("frame_number"), F.count("*")).first()
     most, files_each = most or 0, FILES * max(1, -(-rows // (ARRIVALS * FILES * FILE_ROWS)))
     late = F.pmod(F.xxhash64("video_id", "frame_number", *(["det_idx"] if ranked else ["lane", "class_id", "x1", "y1"])), F.lit(jitter + 1))
-    boxes = boxes.select(*(boxes.columns if ranked else ["video_id", "frame_number", "class_id", "at"]), late.alias("_late"))
+    boxes = boxes.select("video_id", "frame_number", "class_id", "at", *["det_idx", "x1", "y1", "x2", "y2"] * ranked, late.alias("_late"))
     if closing:
         last = spark.range(1).select(F.lit(FOREVER).alias("frame_number"), F.timestamp_seconds(F.lit(4e9)).alias("at"))
         boxes = boxes.unionByName(last, allowMissingColumns=True)
     part = F.when(F.col("frame_number") == FOREVER, ARRIVALS).otherwise(F.least(F.floor((F.col("frame_number") + F.col("_late")) * ARRIVALS / (most + 1)), F.lit(ARRIVALS - 1)).cast("int"))
     path = _arriving(boxes, part, folder, ARRIVALS + closing, files_each)
     # a micro-batch may hold files of two arrivals
-    return spark.readStream.schema(boxes.drop("_late").schema).option("maxFilesPerTrigger", files_each).parquet(path), int((most / ARRIVALS + jitter + 2) * 1000 / FPS)
+    return spark.readStream.schema(boxes.drop("_late").schema).option("maxFilesPerTrigger", files_each).parquet(path), int((most / ARRIVALS + jitter + 2) * 1000 / FPS), rows
 
 
 def _boxes_feed(spark: SparkSession, sf_dir: str, folder: str, closing: bool = False) -> DataFrame:
@@ -596,8 +598,9 @@ def track_objects_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What `track_objects` gives, live, from detections out of order and frames in pieces."""
     live.use_rocksdb(spark)
     folder = _folder(spark)
-    feed, delay = _boxes_arrivals(spark, sf_dir, folder, True, 3)
-    return live.on_time(live.run_to_end(live.track_objects_live(live.reordered(feed, delay, F.unix_millis("at")), TRACKS), folder))
+    feed, delay, rows = _boxes_arrivals(spark, sf_dir, folder, True, 3)
+    boxes = live.reordered(feed, delay, F.unix_millis("at"))
+    return live.on_time(live.run_to_end(live.track_objects_live(boxes, TRACKS, max(256, rows // BUNDLE_ROWS)), folder))
 
 
 @query
@@ -605,7 +608,7 @@ def frame_counts_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What `frame_class_counts` gives, live."""
     live.use_rocksdb(spark)
     folder = _folder(spark)
-    feed, delay = _boxes_arrivals(spark, sf_dir, folder, True, 3, ranked=False)
+    feed, delay, _ = _boxes_arrivals(spark, sf_dir, folder, True, 3, ranked=False)
     return live.run_to_end(live.frame_counts_live(feed, "at", f"{delay} milliseconds"), folder).where("video_id is not null")
 
 

@@ -44,7 +44,7 @@ class Tracker:
         for t in self.tracks:
             dx, dy, other = t[4] + t[6] - cx, t[5] + t[7] - cy, t[8]
             size = (area + other) / 2  # the square of the mean size
-            if (dx * dx + dy * dy) / 4 > far * max(size, 0.0):
+            if (dx * dx + dy * dy) / 4 > far * (0.0 if size < 0.0 else size):
                 continue
             most = area if area > other else other
             like = (other if area > other else area) / most * 0.4 if most > 0 else 0.0
@@ -102,16 +102,10 @@ def stepped(tracker: Tracker, frames: Sequence[int], classes: Sequence[int], box
     return ids, news
 
 
-def _plain(rows: pd.DataFrame) -> tuple[list, list, list]:
+def plain(rows: pd.DataFrame) -> tuple[list, list, list]:
     return rows["frame_number"].tolist(), rows["class_id"].tolist(), rows[["x1", "y1", "x2", "y2"]].to_numpy(float).tolist()
 
 
-def track_rows(tracker: Tracker, rows: pd.DataFrame) -> pd.DataFrame:
-    """Step through detections in order; adds `object_id` and `is_new`."""
-    ids, news = stepped(tracker, *_plain(rows))
-    return rows.assign(object_id=np.array(ids, "int64"), is_new=np.array(news, bool))
-
-
 WANTED = ("frame_number", "det_idx", "class_id", "x1", "y1", "x2", "y2")
 
 
@@ -126,7 +120,7 @@ def track_parts(parts: DataFrame, params: TrackParams, keys: Sequence[str]) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tracker, part = None, None
         for rows in batches:
-            frames, classes, boxes = _plain(rows)
+            frames, classes, boxes = plain(rows)
             begins = np.flatnonzero(rows[by].ne(rows[by].shift()).any(axis=1).to_numpy()).tolist()
             ids, news, born = [], [], []
             for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):

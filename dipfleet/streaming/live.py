@@ -15,12 +15,15 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from dipfleet.functions.params import CompactParams, LiveParams, TrackParams
-from dipfleet.operators.tracking import Tracker, track_rows
+from dipfleet.operators.tracking import Tracker, plain, stepped
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SAMPLE, TRIGGER = "sample", "trigger"
@@ -137,6 +140,16 @@ def _names(schema: str) -> list[str]:
     return [c.strip().split(" ")[0] for c in schema.split(",")]
 
 
+def _moved(handle: StatefulProcessorHandle, timer: int | None, due: int | None) -> int | None:
+    """The timer of a key, from then to now."""
+    if due != timer:
+        if timer is not None and timer in list(handle.listTimers()):
+            handle.deleteTimer(timer)
+        if due is not None:
+            handle.registerTimer(due)
+    return due
+
+
 class Ordered(StatefulProcessor):
     """Steps the rows of a key in the order of `ORDER`; `waits` until the watermark is past their `event_ms`.
 
@@ -195,13 +208,7 @@ class Ordered(StatefulProcessor):
                 self.waiting.clear()
             if rest:
                 self.waiting.put(rest)
-            due = int(min(x[-1] for x in rest)) + 1 if rest else None
-            if due != timer:
-                if timer is not None and timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                if due is not None:
-                    self.handle.registerTimer(due)
-                timer = due
+            timer = _moved(self.handle, timer, int(min(x[-1] for x in rest)) + 1 if rest else None)
         self.place.update((first, second, late, timer))
 
     def close(self) -> None:
@@ -274,31 +281,148 @@ class CompactDetector(Ordered):
         self.core.update((float(m.calibrated), float(m.total), int(m.seen), int(m.good), int(m.n), float(m.mean), float(m.m2), int(m.start)))
 
 
-class LiveTracker(Ordered):
-    """`Tracker` over the state store. A frame may come in pieces: its detections are stepped in order, whenever they arrive."""
+class LiveTracker(StatefulProcessor):
+    """`Tracker` over the state store. A frame may come in pieces: its detections are stepped in order, whenever they arrive.
 
-    ORDER = ("frame_number", "det_idx")
-    KEY, ROW = "video_id", "frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long"
-    OUT = "video_id long, frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long, object_id long, is_new boolean, late boolean"
+    A key is a bundle of videos, not one, and its rows come as packed tables (`in_bundles`): a video has some hundred rows in a micro-batch,
+    and calls, state and tables of so few cost more than their tracking. A bundle keeps two kinds of packed tables: where each of its videos
+    stands, with its tracks, and the rows that wait, a table for each micro-batch until some of them are due.
+    """
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.next = handle.getValueState("next", "id long")
-        self.tracks = handle.getListState("tracks", ", ".join(f"f{i} double" for i in range(len(Tracker.FIELDS))))
+    KEY, VIDEO, ORDER = "bundle", "video_id", ("frame_number", "det_idx")
+    ROW = "video_id long, frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long"
+    OUT = ROW + ", object_id long, is_new boolean, late boolean"
 
-    def restore(self) -> None:
-        self.tracker = Tracker(self.params)
-        if (state := self.next.get()) is not None:
-            self.tracker = Tracker(self.params, self.tracks.get(), int(state[0]))
+    def __init__(self, params: TrackParams, waits: bool = False):
+        self.params, self.waits = params, waits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.videos = handle.getValueState("videos", "packed binary")
+        if self.waits:
+            self.timer = handle.getValueState("timer", "ms long")
+            self.waiting = handle.getListState("waiting", "packed binary")
 
-    def consume(self, key, rows: list[tuple]) -> pd.DataFrame:
-        names = _names(self.ROW)
-        return track_rows(self.tracker, pd.DataFrame([x[: len(names)] for x in rows], columns=names)).assign(video_id=key[0])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.advance([_unpacked(x) for frame in rows for x in frame["packed"]], timerValues)
 
-    def store(self) -> None:
-        self.next.update((self.tracker.next_id,))
-        self.tracks.clear()
-        if len(self.tracker.tracks):
-            self.tracks.put([tuple(map(float, t)) for t in self.tracker.tracks])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.advance([], timerValues)
+
+    def advance(self, tables: list[pa.Table], timers) -> Iterator[pd.DataFrame]:
+        places, changed = self.restore(), False
+        arrived = [pa.concat_tables(tables).to_pandas()] if tables else []
+        for rows in arrived:
+            behind = self.behind(places, rows)
+            if behind.any():
+                told, changed = rows[behind], True
+                for video, n in told[self.VIDEO].value_counts().items():
+                    places[video]["late"] += n
+                yield told.assign(object_id=pd.array([None] * len(told), "Int64"), is_new=pd.array([None] * len(told), "boolean"), late=True)[_names(self.OUT)]
+            arrived = [rows[~behind]]
+        now = pd.concat(due, ignore_index=True) if (due := self.due(arrived, timers.getCurrentWatermarkInMs()) if self.waits else arrived) else None
+        if now is not None and len(now):
+            changed = True
+            yield self.consume(places, now.take(np.lexsort([now[c] for c in (*self.ORDER[::-1], self.VIDEO)])).reset_index(drop=True))
+        if changed:
+            self.videos.update((_packed(pa.Table.from_pylist(list(places.values()), _PLACES)),))
+
+    def restore(self) -> dict[int, dict]:
+        """By video, the detection that was stepped last, the number of late ones, the next id and the tracks."""
+        table = self.videos.get()
+        return {} if table is None else {place[self.VIDEO]: place for place in _unpacked(table[0]).to_pylist()}
+
+    def behind(self, places: dict[int, dict], rows: pd.DataFrame) -> np.ndarray:
+        """Which rows come at or before the last step of their video."""
+        videos, of = np.unique(rows[self.VIDEO].to_numpy(), return_inverse=True)
+        frame, index = (np.array([places[v][c] if v in places else _FIRST_BATCH for v in videos.tolist()], "int64")[of] for c in self.ORDER)
+        there, place = rows[self.ORDER[0]].to_numpy(), rows[self.ORDER[1]].to_numpy()
+        return (there < frame) | ((there == frame) & (place <= index))
+
+    def due(self, arrived: list[pd.DataFrame], watermark: int) -> list[pd.DataFrame]:
+        """Rows that the watermark has passed. The others wait; those that wait are read only when the timer says that some are due."""
+        timer = (self.timer.get() or (None,))[0]
+        expired = timer is not None and timer <= watermark
+        held = [_unpacked(x[0]).to_pandas() for x in self.waiting.get()] + arrived if expired else arrived
+        ready, rest = ([rows[(rows["event_ms"] < watermark) == passed] for rows in held] for passed in (True, False))
+        rest = [rows for rows in rest if len(rows)]
+        if expired:
+            self.waiting.clear()
+        if rest:
+            kept = pa.Table.from_pandas(pd.concat(rest), pa.schema([(c, pa.int64()) for c in rest[0]]), preserve_index=False)
+            self.waiting.appendValue((_packed(kept),))
+        least = [int(rows["event_ms"].min()) + 1 for rows in rest] + [timer] * (timer is not None and not expired)
+        if (moved := _moved(self.handle, timer, min(least, default=None))) != timer:
+            self.timer.update((moved,))
+        return ready
+
+    def consume(self, places: dict[int, dict], rows: pd.DataFrame) -> pd.DataFrame:
+        videos, (frames, classes, boxes), indices = rows[self.VIDEO].to_numpy(), plain(rows), rows[self.ORDER[1]].tolist()
+        begins = np.flatnonzero(np.diff(videos, prepend=videos[0] - 1)).tolist()
+        ids, news = [], []
+        for a, b in zip(begins, [*begins[1:], len(rows)], strict=True):
+            video = int(videos[a])
+            place = places.setdefault(video, {self.VIDEO: video, "late": 0, "next": 1, "tracks": []})
+            tracker = Tracker(self.params, place["tracks"], place["next"])
+            i, new = stepped(tracker, frames[a:b], classes[a:b], boxes[a:b])
+            ids += i
+            news += new
+            place.update({self.ORDER[0]: frames[b - 1], self.ORDER[1]: indices[b - 1], "next": tracker.next_id, "tracks": tracker.tracks})
+        return rows.assign(object_id=np.array(ids, "int64"), is_new=np.array(news, bool), late=False)[_names(self.OUT)]
+
+
+_PLACES = pa.schema([(c, pa.int64()) for c in (LiveTracker.VIDEO, *LiveTracker.ORDER, "late", "next")] + [("tracks", pa.list_(pa.list_(pa.float64())))])
+
+
+def _packed(table: pa.Table | pa.RecordBatch, compression: str | None = "lz4") -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as writer:
+        writer.write(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_all()
+
+
+#: Rows that a task packs at once.
+PACKED = 1 << 18
+
+
+def in_bundles(feed: DataFrame, bundles: int) -> DataFrame:
+    """Detections dealt into bundles of videos, as packed tables: of each bundle one for a task of a micro-batch, or for `PACKED` of its rows.
+
+    Rows without a video are left out. The watermark's column, if the feed has one, is the newest of those that were packed together.
+    """
+    names, timed = [*_names(LiveTracker.ROW), *[c for c in ("event_ms",) if c in feed.columns]], "event_ms" in feed.columns
+    schema = StructType([StructField(LiveTracker.KEY, LongType()), StructField("packed", BinaryType())])
+    if timed:
+        schema = schema.add(feed.schema["at"])  # it says that it is the watermark's
+
+    def dealt(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        table = table.filter(pc.is_valid(table[LiveTracker.VIDEO])).sort_by(LiveTracker.KEY).combine_chunks()
+        keys = table[LiveTracker.KEY].to_numpy()
+        bounds = np.flatnonzero(np.diff(keys, prepend=-1, append=-1)).tolist()
+        rows, begins = table.select(names), bounds[:-1]
+        columns = [pa.array(keys[begins], pa.int64()), pa.array([_packed(rows.slice(a, b - a), None) for a, b in zip(begins, bounds[1:], strict=True)], pa.binary())]
+        if timed:
+            columns.append(pa.array([pc.max(table["at"]).as_py()] * len(begins), table.schema.field("at").type))
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield dealt(held)
+                held = []
+        if held:
+            yield dealt(held)
+
+    whole = [F.col(c).cast("long").alias(c) for c in names]
+    bundle = F.pmod(F.xxhash64(LiveTracker.VIDEO), F.lit(bundles)).alias(LiveTracker.KEY)
+    return feed.select(bundle, *whole, *["at"] * timed).mapInArrow(packed, schema)
 
 
 def reordered(feed: DataFrame, delay_ms: int, event_ms: Column | str = "time_ms", grace_ms: int = 86_400_000) -> DataFrame:
@@ -312,8 +436,8 @@ def reordered(feed: DataFrame, delay_ms: int, event_ms: Column | str = "time_ms"
     return feed.withColumn("event_ms", event).withColumn("at", F.timestamp_millis(F.col("event_ms") + grace_ms)).withWatermark("at", f"{delay_ms + grace_ms} milliseconds")
 
 
-def _stepped(feed: DataFrame, processor: type[Ordered], params) -> DataFrame:
-    waits = "event_ms" in feed.columns
+def _stepped(feed: DataFrame, processor: type[Ordered] | type[LiveTracker], params, waits: bool | None = None) -> DataFrame:
+    waits = "event_ms" in feed.columns if waits is None else waits
     return feed.groupBy(processor.KEY).transformWithStateInPandas(processor(params, waits), processor.OUT, "append", "eventTime" if waits else "none")
 
 
@@ -335,8 +459,13 @@ def compact_live_detector(feed: DataFrame, params: CompactParams = CompactParams
     return _stepped(feed, CompactDetector, params)
 
 
-def track_objects_live(detections: DataFrame, params: TrackParams = TrackParams()) -> DataFrame:  # noqa: B008
-    return _stepped(detections, LiveTracker, params)
+def track_objects_live(detections: DataFrame, params: TrackParams = TrackParams(), bundles: int = 256) -> DataFrame:  # noqa: B008
+    """Detections with their tracks, and late ones. Rows without a video are left out.
+
+    Videos are dealt into `bundles` that share state. A task holds a bundle's rows of a micro-batch and those that wait, so the more videos
+    there are, the more bundles there should be: some ten thousand rows each.
+    """
+    return _stepped(in_bundles(detections, bundles), LiveTracker, params, "event_ms" in detections.columns)
 
 
 def frame_counts_live(detections: DataFrame, event_time: str, late: str = "10 seconds", keys: Sequence[str] = ("video_id",), together: int = 4) -> DataFrame:

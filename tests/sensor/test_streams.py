@@ -155,6 +155,43 @@ def test_frames_in_pieces(spark, tmp_path):
     assert got.where("late").count() == 0 and comparable(live.on_time(got), columns) == comparable(track_objects(df, params), columns)
 
 
+BOXES = "video_id long, frame_number long, det_idx long, class_id int, x1 long, y1 long, x2 long, y2 long"
+
+
+def test_videos_share_state(spark, tmp_path):
+    """A micro-batch of many videos touches a few rows of state for each bundle; each video is tracked as in batch, whatever its id, and one without an id is not."""
+    rnd, rows = random.Random(20), []
+    for v in [*range(-500, 500), 2**60 + 1, 2**61 + 1, None]:
+        for f in range(1, 9):
+            for i in range(rnd.randint(0, 2)):
+                x = rnd.choice([0, 60, 200]) + rnd.randint(0, 9)
+                rows.append((v, f, i, rnd.randint(0, 2), x, 0, x + 50, 50))
+    df, params = spark.createDataFrame(rows, BOXES), TrackParams(fps=4.0, retention_frames=3)
+    closing = spark.createDataFrame([(None, 10**6, None, None, None, None, None, None)], BOXES)
+    stream = live.reordered(jumbled(spark, df, str(tmp_path), "frame_number", 3, 2, 5, closing), 1_500, F.col("frame_number") * 250)
+    tracked = live.track_objects_live(stream, params)
+    query = tracked.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got, columns = spark.read.schema(tracked.schema).parquet(f"{tmp_path}/out"), ["video_id", "frame_number", "det_idx", "class_id", "x1", "x2", "object_id", "is_new"]
+    assert got.where("late").count() == 0 and comparable(live.on_time(got), columns) == comparable(track_objects(df, params), columns)
+    assert max(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress) <= 6 * 256
+
+
+def test_late_detections_come_out_marked(spark, tmp_path):
+    """Videos of a bundle are late each by itself: one whose rows all come at the end has none that are."""
+    rnd = random.Random(21)
+    rows = [(v, f, i, 2, x, 0, x + 50, 50) for v in range(7) for f in range(1, 30) for i in range(2) if (x := 200 * i + rnd.randint(0, 9)) >= 0]
+    df, params = spark.createDataFrame(rows, BOXES), TrackParams(fps=4.0, retention_frames=8)
+    late, last = (F.col("frame_number") % 10 == 3) & (F.col("video_id") < 5), F.col("video_id") == 6
+    closing = df.limit(1).withColumns({"video_id": F.lit(None).cast("long"), "frame_number": F.lit(10**4).cast("long")})
+    stream = live.reordered(jumbled(spark, df.where(~late & ~last), str(tmp_path), "frame_number", 3, 3, 7, closing), 1_000, F.col("frame_number") * 250)
+    df.where(late | last).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = live.run_to_end(live.track_objects_live(stream, params, bundles=2), str(tmp_path))
+    columns = ["video_id", "frame_number", "det_idx", "object_id", "is_new"]
+    assert comparable(live.on_time(got), columns) == comparable(track_objects(df.where(~late), params), columns)
+    assert comparable(got.where("late"), columns[:3]) == comparable(df.where(late), columns[:3]) and got.where("late and object_id is not null").count() == 0
+
+
 def test_events_longer_than_the_buffer(spark, tmp_path):
     """5,000 samples of an event are kept, live as in batch."""
     depths = [230.0] * 20 + [100.0 + i % 3 for i in range(5_200)] + [230.0] * 20
